@@ -82,3 +82,46 @@ def global_index(df: DataFrame, key: str, order: list[str] | None = None, out: s
     w = Window.partitionBy("_b").orderBy(*order)
     return (t.withColumn(out, (F.col("_base") + F.row_number().over(w) - 1).cast("bigint"))
              .drop("_b", "_base"))
+
+
+def range_bounds(df: DataFrame, order: list[str], rows_per_bucket: int = ROWS_PER_BUCKET,
+                 max_buckets: int = MAX_BUCKETS, per_bucket_sample: int = 64, seed: int = 7) -> list[tuple]:
+    """Split points (tuples of the full ``order`` key) from a seeded sample: rows sharing a
+    hot leading key are still split across buckets by the following columns. At most
+    ``max_buckets * per_bucket_sample`` sampled keys reach the driver."""
+    n = df.count()
+    k = min(max_buckets, max(1, -(-n // max(1, rows_per_bucket))))
+    if k <= 1:
+        return []
+    frac = min(1.0, k * per_bucket_sample / n)
+    rows = [tuple(r) for r in df.select(*order).sample(fraction=frac, seed=seed).collect()]
+    rows = sorted(r for r in rows if all(v is not None for v in r))
+    if not rows:
+        return []
+    picks = [rows[min(len(rows) - 1, (j * len(rows)) // k)] for j in range(1, k)]
+    return sorted(set(picks))
+
+
+def bucket_of_key(cols: list[str], bounds: list[tuple], lo: int = 0, hi: int | None = None) -> Column:
+    """Number of bound tuples <= the key tuple (lexicographic struct comparison)."""
+    if hi is None:
+        hi = len(bounds)
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
+    bound = F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(bounds[mid])])
+    return F.when(key < bound, bucket_of_key(cols, bounds, lo, mid)) \
+        .otherwise(bucket_of_key(cols, bounds, mid + 1, hi))
+
+
+def global_rank(df: DataFrame, order: list[str], out: str = "idx",
+                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """0-based row number in ``order`` (a total order over any comparable columns); buckets
+    come from ``range_bounds``, so one hot leading key does not land in one task."""
+    bounds = range_bounds(df, order, rows_per_bucket)
+    t = df.withColumn("_b", bucket_of_key(order, bounds))
+    t = _with_base(t, "_b", F.lit(1), "_base")
+    w = Window.partitionBy("_b").orderBy(*order)
+    return (t.withColumn(out, (F.col("_base") + F.row_number().over(w) - 1).cast("bigint"))
+             .drop("_b", "_base"))
