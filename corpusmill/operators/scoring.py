@@ -5,6 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,3 +34,8 @@ def identity_model() -> Callable:
 def nll_of_scores(df: DataFrame, logits: str, target: str) -> DataFrame:
     """F4+F5 on model output: ``nll = -log_softmax(logits)[target]``."""
     return df.withColumn("nll", -target_logprob(logits, target))
+
+
+# Python workers need not have this package installed: functions of this module travel
+# by value with the UDF.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

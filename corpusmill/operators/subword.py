@@ -14,8 +14,10 @@ and shipped with the function -- then joined back to the token positions.
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -131,3 +133,7 @@ def symbol_table(alpha: list[str], merges: list[tuple[str, str]]) -> dict[str, i
     for a, b in merges:
         ids.setdefault(a + b, len(ids))
     return ids
+
+
+# Python workers need not have this package installed: the BPE helper travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

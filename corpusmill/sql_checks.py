@@ -214,10 +214,10 @@ WHERE next_id IS NOT NULL"""
 pb AS (SELECT item_id, item_id // {C.EVAL_BATCH} AS batch_id, ids FROM hi),
 pm AS (SELECT batch_id, max(len(ids)) AS m FROM pb GROUP BY batch_id),
 padded AS (SELECT pb.item_id, pb.batch_id,
-             list_concat(pb.ids, list_transform(range(pm.m - len(pb.ids)), lambda x: (SELECT eos FROM consts))) AS input_ids,
+             list_concat(pb.ids, list_transform(range(pm.m - len(pb.ids)), lambda x: cs.eos)) AS input_ids,
              list_concat(list_transform(range(len(pb.ids)), lambda x: 1),
                          list_transform(range(pm.m - len(pb.ids)), lambda x: 0)) AS attention_mask
-           FROM pb JOIN pm USING (batch_id))"""
+           FROM pb JOIN pm USING (batch_id) CROSS JOIN consts cs)"""
     q["pad_batch"] = _with(_HELD, pad) + r"""
 SELECT item_id, batch_id, array_to_string(input_ids, ' ') AS input_ids,
        array_to_string(attention_mask, ' ') AS attention_mask FROM padded"""
