@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.ngram import NgramModel, top_successors
-from corpusmill.plans.joins import lookup_join
+from corpusmill.plans.joins import fits_broadcast
 from corpusmill.plans.lineage import materialize
 
 
@@ -25,15 +25,17 @@ def generate(model: NgramModel, prompts: DataFrame, key: str, eos_id: int, beams
              max_new: int = 20, cut_every: int = 5) -> DataFrame:
     """I4: ``(key, rank, ids, new_ids, score)`` -- the final ``beams`` beams of every
     prompt ``(key, ids)``; ``rank`` 1 is the best. Prompts must be non-empty."""
-    succ = top_successors(model, beams).select("ctx", "next", "lp")
+    # the successor table is bounded by (contexts x beams); written once, size-checked once
+    succ = materialize(top_successors(model, beams).select("ctx", "next", "lp"), "successors")
+    succ_side = F.broadcast(succ) if fits_broadcast(succ, "ctx") else succ
     state = prompts.where(F.size("ids") > 0).select(
         key, F.col("ids").cast("array<bigint>").alias("ids"), F.size("ids").alias("plen"),
         F.lit(0.0).alias("score"), F.lit(False).alias("done"))
     rank_w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("ids").asc())
     for step in range(int(max_new)):
         done = state.where(F.col("done"))
-        live = state.where(~F.col("done")).withColumn("ctx", F.element_at("ids", -1))
-        j = lookup_join(live, succ, "ctx", how="left")
+        live = state.where(~F.col("done")).withColumn("ctx", F.try_element_at("ids", F.lit(-1)))
+        j = live.join(succ_side, "ctx", "left")
         grown = j.select(
             key,
             F.when(F.col("next").isNull(), F.col("ids")).otherwise(

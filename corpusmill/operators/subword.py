@@ -48,7 +48,7 @@ def _chars(col: str):
 def learn_merges(docs: DataFrame, n_merges: int, cut_every: int = 10) -> list[tuple[str, str]]:
     """the first ``n_merges`` merges, most frequent adjacent pair first (ties: the
     smallest pair). One aggregation job per merge on the distinct-word table."""
-    wc = word_counts(docs).select(F.array_join(_chars("word"), SEP).alias("syms"), "n")
+    wc = materialize(word_counts(docs).select(F.array_join(_chars("word"), SEP).alias("syms"), "n"), "merge-words")
     merges: list[tuple[str, str]] = []
     for i in range(int(n_merges)):
         arr = F.split("syms", SEP)
