@@ -47,6 +47,7 @@ TOP_K = 3
 
 _lock = threading.Lock()
 _corpora: dict = {}
+_models: dict = {}
 
 
 def _r(c, places: int = 6):
@@ -78,12 +79,21 @@ def _heldout(spark, sf_dir) -> DataFrame:
 
 
 def _bigram(spark, sf_dir, by=None, order=2) -> ng.NgramModel:
+    """Count model of the line-mode corpus, fit once per session and written to the
+    checkpoint folder; later queries score against the written tables."""
+    key = (id(spark), sf_dir, tuple(by or ()), order)
+    with _lock:
+        if key in _models:
+            return _models[key]
     c = corpus(spark, sf_dir, "line")
     docs = c.docs
     if by:
         meta = read_documents(spark, sf_dir, columns=tuple(by)).select("doc_id", *by)
         docs = docs.join(meta, "doc_id")
-    return ng.fit_ngram(docs, c.vocab_size, order=order, alpha=ALPHA, by=by)
+    model = ng.persist_model(ng.fit_ngram(docs, c.vocab_size, order=order, alpha=ALPHA, by=by))
+    with _lock:
+        _models[key] = model
+    return model
 
 
 # ---------------------------------------------------------------- scans and tokens

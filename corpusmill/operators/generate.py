@@ -24,29 +24,37 @@ from corpusmill.plans.lineage import materialize
 def generate(model: NgramModel, prompts: DataFrame, key: str, eos_id: int, beams: int = 2,
              max_new: int = 20, cut_every: int = 5) -> DataFrame:
     """I4: ``(key, rank, ids, new_ids, score)`` -- the final ``beams`` beams of every
-    prompt ``(key, ids)``; ``rank`` 1 is the best. Prompts must be non-empty."""
+    prompt ``(key, ids)``; ``rank`` 1 is the best. Prompts must be non-empty.
+
+    The beam table is hash-partitioned by ``key``. A step is one left join of every beam
+    with the successor table (the join condition skips finished beams, which come back
+    unchanged) and a per-key ``row_number() <= beams``: with the successor table
+    broadcast (size-checked) the join keeps the partitioning, so the step needs no
+    shuffle. Every ``cut_every`` steps the table is written to the checkpoint folder.
+    """
     # the successor table is bounded by (contexts x beams); written once, size-checked once
     succ = materialize(top_successors(model, beams).select("ctx", "next", "lp"), "successors")
     succ_side = F.broadcast(succ) if fits_broadcast(succ, "ctx") else succ
+    parts = prompts.sparkSession.sparkContext.defaultParallelism
     state = prompts.where(F.size("ids") > 0).select(
         key, F.col("ids").cast("array<bigint>").alias("ids"), F.size("ids").alias("plen"),
-        F.lit(0.0).alias("score"), F.lit(False).alias("done"))
+        F.lit(0.0).alias("score"), F.lit(False).alias("done")).repartition(parts, key)
     rank_w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("ids").asc())
     for step in range(int(max_new)):
-        done = state.where(F.col("done"))
-        live = state.where(~F.col("done")).withColumn("ctx", F.try_element_at("ids", F.lit(-1)))
-        j = live.join(succ_side, "ctx", "left")
+        cur = state.withColumn("_last", F.try_element_at("ids", F.lit(-1)))
+        j = cur.join(succ_side, (cur["_last"] == succ_side["ctx"]) & ~cur["done"], "left")
+        stop = F.col("next").isNull()
         grown = j.select(
             key,
-            F.when(F.col("next").isNull(), F.col("ids")).otherwise(
-                F.concat("ids", F.array(F.col("next")))).alias("ids"),
+            F.when(stop, F.col("ids")).otherwise(F.concat("ids", F.array(F.col("next")))).alias("ids"),
             "plen",
-            F.when(F.col("next").isNull(), F.col("score")).otherwise(F.col("score") + F.col("lp")).alias("score"),
-            (F.col("next").isNull() | (F.col("next") == F.lit(eos_id))).alias("done"))
-        cand = done.unionByName(grown)
-        state = cand.withColumn("_r", F.row_number().over(rank_w)).where(F.col("_r") <= beams).drop("_r")
-        if cut_every and (step + 1) % cut_every == 0 and step + 1 < max_new:
+            F.when(stop, F.col("score")).otherwise(F.col("score") + F.col("lp")).alias("score"),
+            (stop | (F.col("next") == F.lit(eos_id))).alias("done"))
+        state = grown.withColumn("_r", F.row_number().over(rank_w)).where(F.col("_r") <= beams).drop("_r")
+        if (cut_every and (step + 1) % cut_every == 0) or step + 1 == max_new:
             state = materialize(state, "beams")
+            if step + 1 < max_new:
+                state = state.repartition(parts, key)
     out = state.withColumn("rank", F.row_number().over(rank_w).cast("int"))
     return out.select(key, "rank", "ids", F.slice("ids", F.col("plen") + 1, F.lit(max_new + 1)).alias("new_ids"),
                       "score")

@@ -74,6 +74,13 @@ def fit_ngram(stream_docs: DataFrame, vocab_size: int, order: int = 2, alpha: fl
     return NgramModel(model, contexts, vocab_size, alpha, order, by)
 
 
+def persist_model(model: NgramModel) -> NgramModel:
+    """Write the fitted tables once to the checkpoint folder; later scoring scans them."""
+    from corpusmill.plans.lineage import materialize
+    return NgramModel(materialize(model.pairs, "ngram-pairs"), materialize(model.contexts, "ngram-contexts"),
+                      model.vocab_size, model.alpha, model.order, model.by)
+
+
 def _fallback_lp(model: NgramModel, tot) -> F.Column:
     a, V1 = float(model.alpha), float(model.outcomes)
     unseen_pair = F.log(F.lit(a) / (tot + F.lit(a * V1))) if a > 0 else F.lit(float("-inf"))

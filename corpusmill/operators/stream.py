@@ -55,23 +55,29 @@ def prepare_corpus(docs: DataFrame, mode: str = DOC_MODE, persist: bool = True,
                    rows_per_bucket: int = ROWS_PER_BUCKET) -> Corpus:
     """Tokenize, build the vocabulary, encode and lay out the stream.
 
-    With ``persist`` the tokens, the vocabulary and the encoded stream are written once
-    to the shared checkpoint folder (tokenize once, serve many samples); later operators
-    scan those tables.
+    With ``persist`` the tokens (with their counts), the vocabulary and the encoded stream
+    are written once to the shared checkpoint folder (tokenize once, serve many samples).
+    Offsets come from the token counts -- a slim ``(doc_id, n)`` scan -- so they never
+    wait on the encode join; the encoded documents then meet their offsets in one join on
+    ``doc_id``, where the encoded side is already partitioned by ``doc_id``.
     """
-    tokens = doc_tokens(docs, mode)
+    tokens = doc_tokens(docs, mode).withColumn("n", F.size("words").cast("bigint"))
     if persist:
         tokens = materialize(tokens, "tokens")
     vocab = build_vocab(tokens, rows_per_bucket)
     if persist:
         vocab = materialize(vocab, "vocab")
-    stream = attach_offsets(encode(tokens, vocab), rows_per_bucket)
+    offs = global_offsets(tokens.select("doc_id", "n"), "doc_id", "n", rows_per_bucket=rows_per_bucket)
+    if persist:
+        offs = materialize(offs, "offsets")
+    enc = encode(tokens, vocab)
+    stream = enc.join(offs.select("doc_id", "off"), "doc_id").select("doc_id", "off", "n", "ids")
     if persist:
         stream = materialize(stream, "stream")
-    agg = stream.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
-    vstats = vocab.agg(F.count(F.lit(1)).alias("v")).first()
+    total = offs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    vsize = vocab.count()
     eos = word_id(vocab, EOS)
-    return Corpus(tokens, vocab, stream, int(agg["t"]), int(vstats["v"]), -1 if eos is None else eos)
+    return Corpus(tokens, vocab, stream, int(total), int(vsize), -1 if eos is None else eos)
 
 
 def sample_at(stream_docs: DataFrame, index: int, seq_len: int) -> DataFrame:
