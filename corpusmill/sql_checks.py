@@ -331,7 +331,7 @@ hits AS (SELECT qs.query, qs.l, min(p.p_partkey) AS ord FROM qs JOIN part p ON c
 best AS (SELECT h.query, h.l, min(h.ord) AS ord FROM hits h
          JOIN (SELECT query, max(l) AS m FROM hits GROUP BY query) mx ON mx.query = h.query AND mx.m = h.l
          GROUP BY h.query, h.l),
-newest AS (SELECT p_name FROM part ORDER BY greatest(CAST(p_size AS DOUBLE), 0.0) DESC, p_partkey LIMIT 1)
+newest AS (SELECT first(p_name ORDER BY greatest(CAST(p_size AS DOUBLE), 0.0) DESC, p_partkey) AS p_name FROM part)
 SELECT qy.query, coalesce(p.p_name, (SELECT p_name FROM newest)) AS name, CAST(coalesce(best.l, 0) AS INTEGER) AS match_size
 FROM qy LEFT JOIN best USING (query) LEFT JOIN part p ON p.p_partkey = best.ord"""
     q["land_once"] = "SELECT item_id, text FROM benchmark"
