@@ -64,7 +64,7 @@ def prepare_corpus(docs: DataFrame, mode: str = DOC_MODE, persist: bool = True,
     tokens = doc_tokens(docs, mode).withColumn("n", F.size("words").cast("bigint"))
     if persist:
         tokens = materialize(tokens, "tokens")
-    vocab = build_vocab(tokens, rows_per_bucket)
+    vocab = build_vocab(tokens, rows_per_bucket, persist=persist)
     if persist:
         vocab = materialize(vocab, "vocab")
     offs = global_offsets(tokens.select("doc_id", "n"), "doc_id", "n", rows_per_bucket=rows_per_bucket)

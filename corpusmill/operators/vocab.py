@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import EOS, UNK
 from corpusmill.plans.joins import lookup_join
+from corpusmill.plans.lineage import materialize
 from corpusmill.plans.ordering import ROWS_PER_BUCKET, global_index
 
 
@@ -19,7 +20,7 @@ def _explode(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     return tokens.select(key, F.posexplode("words").alias("k", "word"))
 
 
-def build_vocab(tokens: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def build_vocab(tokens: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, persist: bool = False) -> DataFrame:
     """G1: ``(id, word, n)`` from ``(doc_id, words)``.
 
     One aggregation by word (partial aggregation map-side, so hot words cost one row per
@@ -29,6 +30,8 @@ def build_vocab(tokens: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> Da
     first = _explode(tokens).groupBy("word").agg(
         F.min(F.struct("doc_id", "k")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = first.select("word", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.k").alias("first_k"))
+    if persist:  # one pass over the tokens, then bounds and ranks read the distinct words
+        first = materialize(first, "first-occurrence")
     ranked = global_index(first, "first_doc", order=["first_doc", "first_k"], out="id",
                           rows_per_bucket=rows_per_bucket)
     return ranked.select("id", "word", F.col("n").cast("bigint").alias("n"))

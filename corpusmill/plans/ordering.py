@@ -65,6 +65,9 @@ def global_offsets(df: DataFrame, key: str, size: str, out: str = "off", order:
     """Exclusive prefix sum of ``size`` in ``order`` (default ``[key]``), as column ``out``."""
     order = order or [key]
     bounds = bucket_bounds(df, key, rows_per_bucket)
+    if not bounds:  # at most rows_per_bucket rows: one ordered window is bounded
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(size).over(w), F.lit(0)).cast("bigint"))
     t = df.withColumn("_b", bucket_of(F.col(key), bounds))
     t = _with_base(t, "_b", F.col(size), "_base")
     w = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -72,16 +75,22 @@ def global_offsets(df: DataFrame, key: str, size: str, out: str = "off", order:
              .drop("_b", "_base"))
 
 
+def _ranked(df: DataFrame, bucket: Column | None, order: list[str], out: str) -> DataFrame:
+    if bucket is None:  # at most rows_per_bucket rows: one ordered window is bounded
+        return df.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+    t = df.withColumn("_b", bucket)
+    t = _with_base(t, "_b", F.lit(1), "_base")
+    w = Window.partitionBy("_b").orderBy(*order)
+    return (t.withColumn(out, (F.col("_base") + F.row_number().over(w) - 1).cast("bigint"))
+             .drop("_b", "_base"))
+
+
 def global_index(df: DataFrame, key: str, order: list[str] | None = None, out: str = "idx",
                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """0-based row number of every row in ``order`` (a total order whose first column is ``key``)."""
     order = order or [key]
     bounds = bucket_bounds(df, key, rows_per_bucket)
-    t = df.withColumn("_b", bucket_of(F.col(key), bounds))
-    t = _with_base(t, "_b", F.lit(1), "_base")
-    w = Window.partitionBy("_b").orderBy(*order)
-    return (t.withColumn(out, (F.col("_base") + F.row_number().over(w) - 1).cast("bigint"))
-             .drop("_b", "_base"))
+    return _ranked(df, bucket_of(F.col(key), bounds) if bounds else None, order, out)
 
 
 def range_bounds(df: DataFrame, order: list[str], rows_per_bucket: int = ROWS_PER_BUCKET,
@@ -120,8 +129,4 @@ def global_rank(df: DataFrame, order: list[str], out: str = "idx",
     """0-based row number in ``order`` (a total order over any comparable columns); buckets
     come from ``range_bounds``, so one hot leading key does not land in one task."""
     bounds = range_bounds(df, order, rows_per_bucket)
-    t = df.withColumn("_b", bucket_of_key(order, bounds))
-    t = _with_base(t, "_b", F.lit(1), "_base")
-    w = Window.partitionBy("_b").orderBy(*order)
-    return (t.withColumn(out, (F.col("_base") + F.row_number().over(w) - 1).cast("bigint"))
-             .drop("_b", "_base"))
+    return _ranked(df, bucket_of_key(order, bounds) if bounds else None, order, out)
