@@ -7,7 +7,7 @@ its first position like any other word.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import EOS, UNK
@@ -20,6 +20,21 @@ def _explode(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     return tokens.select(key, F.posexplode("words").alias("k", "word"))
 
 
+def first_position_key(tokens: DataFrame) -> tuple[Column, Column] | None:
+    """``(doc_id, k)`` packed into one long, ``doc_id * 2^b + k``, when it fits: ``b`` covers
+    the longest document, ``doc_id`` is non-negative and below ``2^(62 - b)`` (checked on the
+    slim ``(doc_id, n)`` columns). A one-long minimum aggregates in Spark's hash aggregate; a
+    struct minimum would fall back to a sort-based aggregate."""
+    length = F.col("n") if "n" in tokens.columns else F.size("words")
+    r = tokens.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(length).alias("m")).first()
+    if r["lo"] is None:
+        return None
+    b = max(1, int(r["m"] or 0).bit_length())
+    if r["lo"] < 0 or int(r["hi"]).bit_length() > 62 - b:
+        return None
+    return F.shiftleft(F.col("doc_id"), b) + F.col("k"), F.lit(b)
+
+
 def build_vocab(tokens: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, persist: bool = False) -> DataFrame:
     """G1: ``(id, word, n)`` from ``(doc_id, words)``.
 
@@ -27,13 +42,18 @@ def build_vocab(tokens: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, persi
     task) keeps the first ``(doc_id, k)`` and the count; ranking the distinct words by first
     position uses the bucketed global index, not a single-task window.
     """
-    first = _explode(tokens).groupBy("word").agg(
-        F.min(F.struct("doc_id", "k")).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.select("word", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.k").alias("first_k"))
+    packed = first_position_key(tokens)
+    t = _explode(tokens)
+    if packed is not None:
+        first = t.groupBy("word").agg(F.min(packed[0]).alias("first"), F.count(F.lit(1)).alias("n"))
+        order = ["first"]
+    else:  # exact for any key range, via a struct minimum
+        first = t.groupBy("word").agg(F.min(F.struct("doc_id", "k")).alias("_f"), F.count(F.lit(1)).alias("n"))
+        first = first.select("word", "n", F.col("_f.doc_id").alias("first"), F.col("_f.k").alias("first_k"))
+        order = ["first", "first_k"]
     if persist:  # one pass over the tokens, then bounds and ranks read the distinct words
         first = materialize(first, "first-occurrence")
-    ranked = global_index(first, "first_doc", order=["first_doc", "first_k"], out="id",
-                          rows_per_bucket=rows_per_bucket)
+    ranked = global_index(first, "first", order=order, out="id", rows_per_bucket=rows_per_bucket)
     return ranked.select("id", "word", F.col("n").cast("bigint").alias("n"))
 
 
