@@ -90,8 +90,8 @@ def _bigram(spark, sf_dir, by=None, order=2) -> ng.NgramModel:
     if by:
         meta = read_documents(spark, sf_dir, columns=tuple(by)).select("doc_id", *by)
         docs = docs.join(meta, "doc_id")
-    model = ng.fit_ngram(docs, c.vocab_size, order=order, alpha=ALPHA, by=by)
-    if not by:  # the corpus-wide model is scored by many queries: write it once
+    model = ng.fit_ngram(docs, c.vocab_size, order=order, alpha=ALPHA, by=by, persist=True)
+    if not by:  # the corpus-wide model is scored by many queries: write its scored pairs too
         model = ng.persist_model(model)
     with _lock:
         _models[key] = model

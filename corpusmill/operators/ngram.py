@@ -50,6 +50,7 @@ class NgramModel:
     alpha: float
     order: int
     by: list[str]
+    counts: DataFrame | None = None   # (*by, ctx, next, n): pairs without the lp join
 
     @property
     def outcomes(self) -> int:
@@ -57,8 +58,11 @@ class NgramModel:
 
 
 def fit_ngram(stream_docs: DataFrame, vocab_size: int, order: int = 2, alpha: float = 0.1,
-              by: list[str] | None = None) -> NgramModel:
-    """``lp = ln((n + alpha) / (tot + alpha * (V + 1)))`` per (context, next)."""
+              by: list[str] | None = None, persist: bool = False) -> NgramModel:
+    """``lp = ln((n + alpha) / (tot + alpha * (V + 1)))`` per (context, next).
+
+    With ``persist`` the pair counts are written once to the checkpoint folder and the
+    context totals and log-probabilities are derived from the written table."""
     by = by or []
     pairs = stream_pairs(stream_docs, by)
     if order == 1:
@@ -66,19 +70,24 @@ def fit_ngram(stream_docs: DataFrame, vocab_size: int, order: int = 2, alpha: fl
     elif order != 2:
         raise ValueError("order must be 1 or 2")
     counts = pairs.groupBy(*by, "ctx", "next").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    if persist:
+        from corpusmill.plans.lineage import materialize
+        counts = materialize(counts, "ngram-counts")
     contexts = counts.groupBy(*by, "ctx").agg(F.sum("n").cast("bigint").alias("tot"))
+    if persist:
+        contexts = materialize(contexts, "ngram-contexts")
     V1 = float(vocab_size + 1)
     j = counts.join(contexts, [*by, "ctx"])
     lp = F.log((F.col("n") + F.lit(float(alpha))) / (F.col("tot") + F.lit(float(alpha) * V1)))
     model = j.select(*by, "ctx", "next", "n", lp.alias("lp"))
-    return NgramModel(model, contexts, vocab_size, alpha, order, by)
+    return NgramModel(model, contexts, vocab_size, alpha, order, by, counts)
 
 
 def persist_model(model: NgramModel) -> NgramModel:
-    """Write the fitted tables once to the checkpoint folder; later scoring scans them."""
+    """Write the scored pair table once (contexts and counts are expected written already)."""
     from corpusmill.plans.lineage import materialize
-    return NgramModel(materialize(model.pairs, "ngram-pairs"), materialize(model.contexts, "ngram-contexts"),
-                      model.vocab_size, model.alpha, model.order, model.by)
+    pairs = materialize(model.pairs, "ngram-pairs")
+    return NgramModel(pairs, model.contexts, model.vocab_size, model.alpha, model.order, model.by, model.counts)
 
 
 def _fallback_lp(model: NgramModel, tot) -> F.Column:
@@ -123,12 +132,14 @@ def perplexity_by_group(model: NgramModel, heldout_pairs: DataFrame) -> DataFram
     """
     by = model.by
     a, V1 = float(model.alpha), float(model.outcomes)
-    h = heldout_pairs.select("ctx", F.col("id").alias("next"))
+    from corpusmill.plans.lineage import materialize
+    h = materialize(heldout_pairs.select("ctx", F.col("id").alias("next")), "heldout-pairs")  # read 3 times
     H = h.count()
     if model.order == 1:
         h = h.withColumn("ctx", F.lit(NO_CTX).cast("bigint"))
     seen_ctx = lookup_join(model.contexts, h, "ctx")
-    seen = seen_ctx.join(model.pairs.select(*by, "ctx", "next", "n"), [*by, "ctx", "next"], "left")
+    counts = model.counts if model.counts is not None else model.pairs.select(*by, "ctx", "next", "n")
+    seen = seen_ctx.join(counts, [*by, "ctx", "next"], "left")
     lp = F.log((F.coalesce(F.col("n"), F.lit(0)) + F.lit(a)) / (F.col("tot") + F.lit(a * V1)))
     part = seen.groupBy(*by).agg(F.sum(lp).alias("_s"), F.count(F.lit(1)).alias("_k"))
     groups = model.contexts.select(*by).distinct()

@@ -25,14 +25,6 @@ def stream_offsets(enc: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> Da
     return global_offsets(enc.select("doc_id", "n"), "doc_id", "n", rows_per_bucket=rows_per_bucket)
 
 
-def attach_offsets(enc: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """``(doc_id, off, n, ids)``. The slim offsets table joins back on ``doc_id``; the
-    encoded side is already hash-partitioned by ``doc_id`` after encoding's regroup, so only
-    the slim side is exchanged."""
-    offs = stream_offsets(enc, rows_per_bucket).select("doc_id", "off")
-    return enc.join(offs, "doc_id").select("doc_id", "off", "n", "ids")
-
-
 def token_stream(stream_docs: DataFrame) -> DataFrame:
     """Long form ``(pos, doc_id, id)`` of the concatenated stream (narrow)."""
     return stream_docs.select("doc_id", "off", F.posexplode("ids").alias("k", "id")) \

@@ -59,3 +59,13 @@ def test_greedy_from_eos_length(spark):
     m = ng.fit_ngram(_docs(spark), 5, alpha=0.1)
     g = gen.greedy_from_eos(m, spark, EOS, total_len=6).first()
     assert g["ids"][0] == EOS and len(g["ids"]) <= 6
+
+
+def test_beams_without_broadcast(spark, monkeypatch):
+    import corpusmill.plans.joins as J
+    m = ng.fit_ngram(_docs(spark), 5, alpha=0.1)
+    prompts = spark.createDataFrame([(0, [0]), (1, [2, 2])], "k bigint, ids array<bigint>")
+    a = sorted((r["k"], r["rank"], list(r["ids"])) for r in gen.generate(m, prompts, "k", EOS, 2, 4).collect())
+    monkeypatch.setattr(gen, "fits_broadcast", lambda *args, **kw: False)
+    b = sorted((r["k"], r["rank"], list(r["ids"])) for r in gen.generate(m, prompts, "k", EOS, 2, 4).collect())
+    assert a == b

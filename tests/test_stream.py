@@ -164,3 +164,26 @@ def test_token_budget_and_report(spark):
     assert got == want
     rep = tokens.corpus_report(t, 5, "windows").first()
     assert (rep["dataset_tokens"], rep["samples"], rep["learn_tokens"]) == (sum(sizes), sum(sizes) - 5, (sum(sizes) - 5) * 5)
+
+
+def test_lookup_join_hot_cold_split_matches_broadcast(spark):
+    from corpusmill.plans.joins import lookup_join
+    words = ["the"] * 50 + ["a"] * 20 + [f"w{i}" for i in range(30)] + ["zz-unknown"] * 3
+    fact = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "k bigint, word string")
+    dim = spark.createDataFrame([(w, j, words.count(w)) for j, w in enumerate(sorted(set(words) - {"zz-unknown"}))],
+                                "word string, id bigint, n bigint")
+    for how in ("inner", "left"):
+        a = sorted(tuple(r) for r in lookup_join(fact, dim, "word", how=how, weight="n").select("k", "id").collect())
+        b = sorted(tuple(r) for r in lookup_join(fact, dim, "word", how=how, weight="n", max_rows=3,
+                                                  hot_rows=2).select("k", "id").collect())
+        c = sorted(tuple(r) for r in lookup_join(fact, dim, "word", how=how, max_rows=3).select("k", "id").collect())
+        assert a == b == c
+        assert len(a) == (len(words) if how == "left" else len(words) - 3)
+
+
+def test_windows_with_stride(spark):
+    docs, T = _stream_docs(spark, SEQS)
+    data = [x for s in SEQS for x in s]
+    got = [(r["sample_id"], list(r["inputs"])) for r in pack.pack_windows(docs, 4, T, stride=3, chunk=5)
+           .orderBy("sample_id").collect()]
+    assert got == [(i, data[i:i + 4]) for i in range(0, T - 4, 3)]
