@@ -455,6 +455,11 @@ def q_stream_metrics(spark, sf_dir):
     return out.select("run", "name", "value", F.col("ts"))
 
 
+def q_stream_word_counts(spark, sf_dir):
+    out = ingest.stream_word_counts(spark, sf_dir, scratch_path(spark, "wc-out"), scratch_path(spark, "wc-ckpt"))
+    return out.select("word", "n")
+
+
 # ---------------------------------------------------------------- subwords (rows-only checks)
 
 N_MERGES = 30
@@ -527,6 +532,7 @@ QUERIES = {
     "append_metrics": q_append_metrics,
     "stream_tokenize": q_stream_tokenize,
     "stream_metrics": q_stream_metrics,
+    "stream_word_counts": q_stream_word_counts,
     "learn_merges": q_learn_merges,
     "encode_subword": q_encode_subword,
 }

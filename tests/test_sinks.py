@@ -47,3 +47,36 @@ def test_stream_tokenize_available_now(spark):
     want = sorted((d, k, w, vid.get(w, c.vocab_size))
                   for d, t in enumerate(["a b c", "c d", "e"]) for k, w in enumerate(t.split() + ["<eos>"]))
     assert got == want
+
+
+def test_list_files_and_latest(spark):
+    from corpusmill.operators import runs
+    from corpusmill.sources.files import list_files
+    root = tempfile.mkdtemp(prefix="corpusmill-ckpts-")
+    names = {"checkpoints": ["x-000900.ckpt", "x-001000.ckpt", "x-step=000100.ckpt", "notes.txt"],
+             "lightning_logs/version_0/checkpoints": ["epoch=0-step=12.ckpt"],
+             "lightning_logs/version_1/checkpoints": ["epoch=1-step=3.ckpt"]}
+    for d, ns in names.items():
+        os.makedirs(os.path.join(root, d), exist_ok=True)
+        for n in ns:
+            with open(os.path.join(root, d, n), "w") as f:
+                f.write("x")
+    files = list_files(spark, root)
+    got = sorted((r["dir"], r["name"]) for r in files.collect())
+    assert got == sorted((d, n) for d, ns in names.items() for n in ns)
+    latest = runs.latest_artifact(files.withColumn("grp", F.lit(0))).first()
+    assert latest["path"] == "checkpoints/x-001000.ckpt"
+    ck = list_files(spark, root, "*.ckpt")
+    assert ck.count() == 5
+
+
+def test_stream_word_counts(spark):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    src = tempfile.mkdtemp(prefix="corpusmill-wc-")
+    pq.write_table(pa.table({"doc_id": pa.array([0, 1], pa.int64()), "text": ["a b a", "b c"]}),
+                   os.path.join(src, "documents.parquet"))
+    pq.write_table(pa.table({"doc_id": pa.array([2], pa.int64()), "text": ["a"]}),
+                   os.path.join(src, "documents-2.parquet"))
+    out = ingest.stream_word_counts(spark, src, scratch_path(spark, "wc"), scratch_path(spark, "wc-ck"))
+    assert {r["word"]: r["n"] for r in out.collect()} == {"a": 3, "b": 2, "c": 1, "<eos>": 3}
