@@ -36,8 +36,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _apply_merge(joined, a: str, b: str):
-    pat = "(?<=^|" + SEP + ")" + re.escape(a) + SEP + re.escape(b) + "(?=" + SEP + "|$)"
-    return F.regexp_replace(joined, pat, (a + b).replace("\\", "\\\\").replace("$", "\\$"))
+    """Merge every adjacent ``a b`` left to right (non-overlapping), symbols separated by SEP."""
+    pat = "(^|" + SEP + ")" + re.escape(a) + SEP + re.escape(b) + "(?=" + SEP + "|$)"
+    return F.regexp_replace(joined, pat, "$1" + (a + b).replace("\\", "\\\\").replace("$", "\\$"))
 
 
 def _chars(col: str):
@@ -45,7 +46,7 @@ def _chars(col: str):
     return F.split(F.col(col), "(?<=.)(?=.)")
 
 
-def learn_merges(docs: DataFrame, n_merges: int, cut_every: int = 10) -> list[tuple[str, str]]:
+def learn_merges(docs: DataFrame, n_merges: int, cut_every: int = 2) -> list[tuple[str, str]]:
     """the first ``n_merges`` merges, most frequent adjacent pair first (ties: the
     smallest pair). One aggregation job per merge on the distinct-word table."""
     wc = materialize(word_counts(docs).select(F.array_join(_chars("word"), SEP).alias("syms"), "n"), "merge-words")
