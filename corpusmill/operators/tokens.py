@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import EOS, doc_mode_words, line_mode_words, line_words, split_lines
-from corpusmill.plans.ordering import global_offsets
+from corpusmill.plans.ordering import ROWS_PER_BUCKET, global_index, global_offsets
 
 LINE_MODE = "line"
 DOC_MODE = "doc"
@@ -33,9 +33,19 @@ def doc_lengths(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.size("words").cast("bigint").alias("n"))
 
 
-def take_documents(docs: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` documents in corpus order (a top-n by ``doc_id``, not a sample)."""
-    return docs.orderBy("doc_id").limit(n)
+TOP_N_IN_ONE_TASK = 100_000
+
+
+def take_documents(docs: DataFrame, n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The first ``n`` documents in corpus order (``doc_id``), not a sample.
+
+    A small ``n`` is a ``TakeOrderedAndProject`` (each task keeps its own top ``n``, bounded
+    by ``n``); a large ``n`` ranks with the bucketed global index and filters, so no task
+    ever holds ``n`` rows."""
+    if n <= TOP_N_IN_ONE_TASK:
+        return docs.orderBy("doc_id").limit(n)
+    return global_index(docs, "doc_id", out="_rank", rows_per_bucket=rows_per_bucket) \
+        .where(F.col("_rank") < n).drop("_rank")
 
 
 def token_budget(tokens: DataFrame, budget: int) -> DataFrame:

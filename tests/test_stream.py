@@ -187,3 +187,11 @@ def test_windows_with_stride(spark):
     got = [(r["sample_id"], list(r["inputs"])) for r in pack.pack_windows(docs, 4, T, stride=3, chunk=5)
            .orderBy("sample_id").collect()]
     assert got == [(i, data[i:i + 4]) for i in range(0, T - 4, 3)]
+
+
+def test_take_documents_both_paths(spark, monkeypatch):
+    d = spark.createDataFrame([((i * 37) % 101, "t") for i in range(101)], "doc_id bigint, text string")
+    a = sorted(r["doc_id"] for r in tokens.take_documents(d, 13).collect())
+    monkeypatch.setattr(tokens, "TOP_N_IN_ONE_TASK", 5)
+    b = sorted(r["doc_id"] for r in tokens.take_documents(d, 13, rows_per_bucket=10).collect())
+    assert a == b == list(range(13))
