@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.plans.joins import lookup_join
+from corpusmill.plans.joins import lookup_join, restrict_to
 
 NO_CTX = -1
 
@@ -108,6 +108,9 @@ def score_pairs(model: NgramModel, pairs: DataFrame) -> DataFrame:
         p = p.withColumn("_ctx", F.col("ctx"))
     m = model.pairs.select(F.col("ctx").alias("_ctx"), F.col("next").alias("id"), F.col("lp").alias("_lp"), "n")
     c = model.contexts.select(F.col("ctx").alias("_ctx"), F.col("tot").alias("_tot"))
+    # a small scored set never shuffles the model: the model is filtered to its keys first
+    m = restrict_to(m, p, ["_ctx", "id"])
+    c = restrict_to(c, p, ["_ctx"])
     j = p.join(m, ["_ctx", "id"], "left")
     j = j.join(c, "_ctx", "left")
     return j.withColumn("lp", F.coalesce(F.col("_lp"), _fallback_lp(model, F.col("_tot")))) \
@@ -139,6 +142,7 @@ def perplexity_by_group(model: NgramModel, heldout_pairs: DataFrame) -> DataFram
         h = h.withColumn("ctx", F.lit(NO_CTX).cast("bigint"))
     seen_ctx = lookup_join(model.contexts, h, "ctx")
     counts = model.counts if model.counts is not None else model.pairs.select(*by, "ctx", "next", "n")
+    counts = restrict_to(counts, h, ["ctx", "next"])
     seen = seen_ctx.join(counts, [*by, "ctx", "next"], "left")
     lp = F.log((F.coalesce(F.col("n"), F.lit(0)) + F.lit(a)) / (F.col("tot") + F.lit(a * V1)))
     part = seen.groupBy(*by).agg(F.sum(lp).alias("_s"), F.count(F.lit(1)).alias("_k"))

@@ -48,3 +48,15 @@ def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", w
     cold_dim = dim.join(F.broadcast(hot_keys), key, "left_anti")
     cold_part = cold_fact.join(cold_dim, key, how)
     return hot_part.unionByName(cold_part)
+
+
+def restrict_to(big: DataFrame, small: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS,
+                max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows of ``big`` whose ``keys`` occur in ``small``. When the distinct keys of ``small``
+    pass the size check they are broadcast into a left-semi join, so ``big`` is filtered
+    while it is scanned and never shuffled; otherwise ``big`` is returned as it is."""
+    k = small.select(*keys).distinct()
+    r = k.agg(F.count(F.lit(1)).alias("n")).first()["n"] or 0
+    if r <= max_rows and r * 8 * len(keys) <= max_bytes:
+        return big.join(F.broadcast(k), keys, "left_semi")
+    return big
