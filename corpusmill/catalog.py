@@ -58,10 +58,16 @@ def _join_ids(c):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
 
 
+def _session_key(spark: SparkSession) -> tuple:
+    """Identity of a live session: a new SparkContext gets a new application id, so cached
+    tables of a stopped session are never reused."""
+    return (spark.sparkContext.applicationId, id(spark))
+
+
 def corpus(spark: SparkSession, sf_dir: str, mode: str) -> stream.Corpus:
     """Prepared corpus per (session, data folder, mode), written once to the checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    key = (id(spark), sf_dir, mode)
+    key = (_session_key(spark), sf_dir, mode)
     with _lock:
         if key not in _corpora:
             _corpora[key] = stream.prepare_corpus(read_documents(spark, sf_dir), mode)
@@ -81,7 +87,7 @@ def _heldout(spark, sf_dir) -> DataFrame:
 def _bigram(spark, sf_dir, by=None, order=2) -> ng.NgramModel:
     """Count model of the line-mode corpus, fit once per session and written to the
     checkpoint folder; later queries score against the written tables."""
-    key = (id(spark), sf_dir, tuple(by or ()), order)
+    key = (_session_key(spark), sf_dir, tuple(by or ()), order)
     with _lock:
         if key in _models:
             return _models[key]

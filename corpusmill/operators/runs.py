@@ -86,7 +86,7 @@ def artifact_files(log: DataFrame, every_n: int = 10, kind: str = "event_type",
     d = (F.when(k == "error", F.format_string("lightning_logs/version_%d/checkpoints", F.floor(step / 30)))
          .otherwise(F.lit("checkpoints")))
     name = (F.when(k == "purchase", F.lit(LAST_NAME))
-            .when(k == "view", F.format_string("run%d-%06d.ckpt", run, step))
+            .when(k == "view", F.concat(F.lit("run"), run.cast("string"), F.lit("-"), zero_pad(step), F.lit(".ckpt")))
             .when(k == "click", F.format_string("run%d-step=%06d.ckpt", run, step))
             .when(k == "error", F.format_string("epoch=%d-step=%d.ckpt", F.floor(step / 25), step))
             .otherwise(F.format_string("run%d-%06d.txt", run, step)))

@@ -101,3 +101,13 @@ def test_scoring_and_grouped_perplexity(spark):
         assert math.isclose(res[src], -tot / 4, rel_tol=1e-12)
     e = met.unigram_entropy(spark.createDataFrame([(1, 2), (2, 2)], "id int, n bigint")).first()
     assert math.isclose(e["entropy"], math.log(2))
+
+
+def test_ones_mask_clamp_and_names(spark):
+    from corpusmill.functions.names import number_from, zero_pad
+    from corpusmill.functions.scores import clamp, ones_mask
+    df = spark.createDataFrame([([5, 6, 7], -3, "a-0012.ckpt"), ([], 9, "x-step=1.ckpt")],
+                               "ids array<bigint>, v int, name string")
+    r = df.select(ones_mask("ids").alias("m"), clamp("v", F.lit(0), F.lit(4)).alias("c"),
+                  number_from("name", r".*-(\d+)\.ckpt").alias("num"), zero_pad(F.col("v")).alias("z")).collect()
+    assert [(list(x["m"]), x["c"], x["num"], x["z"]) for x in r] == [([1, 1, 1], 0, 12, "-00003"), ([], 4, None, "000009")]
