@@ -20,13 +20,14 @@ def _explode(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     return tokens.select(key, F.posexplode("words").alias("k", "word"))
 
 
-def first_position_key(tokens: DataFrame) -> tuple[Column, Column] | None:
+def first_position_key(tokens: DataFrame, sizes: DataFrame | None = None) -> tuple[Column, Column] | None:
     """``(doc_id, k)`` packed into one long, ``doc_id * 2^b + k``, when it fits: ``b`` covers
     the longest document, ``doc_id`` is non-negative and below ``2^(62 - b)`` (checked on the
     slim ``(doc_id, n)`` columns). A one-long minimum aggregates in Spark's hash aggregate; a
     struct minimum would fall back to a sort-based aggregate."""
-    length = F.col("n") if "n" in tokens.columns else F.size("words")
-    r = tokens.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(length).alias("m")).first()
+    src = sizes if sizes is not None else tokens
+    length = F.col("n") if "n" in src.columns else F.size("words")
+    r = src.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(length).alias("m")).first()
     if r["lo"] is None:
         return None
     b = max(1, int(r["m"] or 0).bit_length())
@@ -35,14 +36,15 @@ def first_position_key(tokens: DataFrame) -> tuple[Column, Column] | None:
     return F.shiftleft(F.col("doc_id"), b) + F.col("k"), F.lit(b)
 
 
-def build_vocab(tokens: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, persist: bool = False) -> DataFrame:
+def build_vocab(tokens: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, persist: bool = False,
+                sizes: DataFrame | None = None) -> DataFrame:
     """G1: ``(id, word, n)`` from ``(doc_id, words)``.
 
     One aggregation by word (partial aggregation map-side, so hot words cost one row per
     task) keeps the first ``(doc_id, k)`` and the count; ranking the distinct words by first
     position uses the bucketed global index, not a single-task window.
     """
-    packed = first_position_key(tokens)
+    packed = first_position_key(tokens, sizes)
     t = _explode(tokens)
     if packed is not None:
         first = t.groupBy("word").agg(F.min(packed[0]).alias("first"), F.count(F.lit(1)).alias("n"))
