@@ -250,7 +250,7 @@ def q_softmax_nll(spark, sf_dir):
 
 def q_mean_nll(spark, sf_dir):
     e = met.softmax_nll(_embeddings(spark, sf_dir), "embedding", "label") \
-        .withColumn("batch_id", F.floor(F.col("vec_id") / BATCH).cast("bigint"))
+        .withColumn("batch_id", F.expr(f"vec_id div {BATCH}"))
     return met.mean_nll(e, ["batch_id"]).select("batch_id", "n", _r(F.col("mean_nll")).alias("mean_nll"))
 
 

@@ -41,7 +41,7 @@ def pad_batch(seqs: DataFrame, key: str, batch_size: int, pad_id: int) -> DataFr
     The per-batch maximum comes from a groupBy on the batch (one row per batch) joined
     back, so no batch is ever gathered into one group.
     """
-    ranked = seqs.withColumn("batch_id", F.floor(F.col(key) / int(batch_size)).cast("bigint"))
+    ranked = seqs.withColumn("batch_id", F.expr(f"`{key}` div {int(batch_size)}"))
     longest = ranked.groupBy("batch_id").agg(F.max(F.size("ids")).alias("_m"))
     j = ranked.join(longest, "batch_id")
     return j.select(key, "batch_id", right_pad("ids", F.col("_m"), pad_id).alias("input_ids"),

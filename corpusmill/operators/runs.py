@@ -83,12 +83,12 @@ def artifact_files(log: DataFrame, every_n: int = 10, kind: str = "event_type",
     s = log.where(F.col("step") % every_n == 0)
     k, run, step = F.col(kind), F.col("run"), F.col("step")
     # This test-data convention maps event types to naming styles.
-    d = (F.when(k == "error", F.format_string("lightning_logs/version_%d/checkpoints", F.floor(step / 30)))
+    d = (F.when(k == "error", F.format_string("lightning_logs/version_%d/checkpoints", F.expr("step div 30")))
          .otherwise(F.lit("checkpoints")))
     name = (F.when(k == "purchase", F.lit(LAST_NAME))
             .when(k == "view", F.concat(F.lit("run"), run.cast("string"), F.lit("-"), zero_pad(step), F.lit(".ckpt")))
             .when(k == "click", F.format_string("run%d-step=%06d.ckpt", run, step))
-            .when(k == "error", F.format_string("epoch=%d-step=%d.ckpt", F.floor(step / 25), step))
+            .when(k == "error", F.format_string("epoch=%d-step=%d.ckpt", F.expr("step div 25"), step))
             .otherwise(F.format_string("run%d-%06d.txt", run, step)))
     return s.select(run.alias("grp"), d.alias("dir"), name.alias("name"),
                     (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("mtime"))

@@ -66,7 +66,7 @@ def corpus_report(tokens: DataFrame, seq_len: int, packing: str) -> DataFrame:
     total = F.coalesce(F.sum(F.size("words")), F.lit(0)).cast("bigint")
     n = F.col("dataset_tokens")
     if packing == "blocks":
-        samples = F.greatest(F.lit(0).cast("bigint"), F.floor(n / seq_len).cast("bigint") - 1)
+        samples = F.greatest(F.lit(0).cast("bigint"), F.expr(f"dataset_tokens div {int(seq_len)}") - 1)
     else:
         samples = F.greatest(F.lit(0).cast("bigint"), n - seq_len)
     return tokens.agg(total.alias("dataset_tokens")).select(

@@ -16,7 +16,7 @@ def land_once(df: DataFrame, path: str) -> DataFrame:
 def write_samples(samples: DataFrame, path: str, batches_per_shard: int) -> DataFrame:
     """Training samples written as shards of ``batches_per_shard`` consecutive batches
     (``shard`` partition folders); a loader reads shard by shard in order."""
-    out = samples.withColumn("shard", F.floor(F.col("batch_id") / int(batches_per_shard)).cast("bigint"))
+    out = samples.withColumn("shard", F.expr(f"batch_id div {int(batches_per_shard)}"))
     out.write.mode("overwrite").partitionBy("shard").parquet(path)
     return samples.sparkSession.read.parquet(path)
 
