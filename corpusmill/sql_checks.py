@@ -175,10 +175,9 @@ SELECT CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(*) FILTER (WHERE lv.id I
 FROM ht LEFT JOIN lv USING (word)"""
     q["pack_blocks"] = _with(_blocks_cte()) + "SELECT sample_id, inputs, target FROM blk"
     q["pack_windows"] = _with() + rf"""
-SELECT pos AS sample_id, pos // {BS} AS batch_id, id AS first_input, lt AS last_target,
-       CAST(s AS BIGINT) AS sum_inputs, CAST(s - id + lt AS BIGINT) AS sum_target
-FROM (SELECT pos, id, sum(id) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND {S - 1} FOLLOWING) AS s,
-             lead(id, {S}) OVER (ORDER BY pos) AS lt FROM ds)
+SELECT pos AS sample_id, pos // {BS} AS batch_id, md5(array_to_string(w[1:{S}], ' ')) AS inputs_md5,
+       md5(array_to_string(w[2:{S + 1}], ' ')) AS target_md5
+FROM (SELECT pos, list(id ORDER BY pos) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND {S} FOLLOWING) AS w FROM ds)
 WHERE pos < (SELECT T FROM consts) - {S}"""
     q["assign_batches"] = _with(_blocks_cte()) + rf"""
 SELECT sample_id // {BS} AS batch_id, CAST(count(*) AS BIGINT) AS n_samples, min(sample_id) AS first_sample,
