@@ -91,8 +91,8 @@ def sample_at(stream_docs: DataFrame, index: int, seq_len: int) -> DataFrame:
     stop = F.least(F.col("off") + F.col("n"), F.lit(end))
     piece = F.slice("ids", (start - F.col("off") + 1).cast("int"), (stop - start).cast("int"))
     g = d.select(F.lit(i).cast("bigint").alias("sample_id"), start.alias("start"), piece.alias("piece")) \
-        .groupBy("sample_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))),
-                                                         lambda p: p["piece"])).alias("a"))
+        .groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("_p")) \
+        .select("sample_id", F.flatten(F.col("_p.piece")).alias("a"))
     return g.where(F.size("a") == S + 1).select(
         "sample_id", F.slice("a", 1, S).alias("inputs"), F.slice("a", 2, S).alias("target"))
 

@@ -120,7 +120,7 @@ def encode_subword(docs: DataFrame, merges: list[tuple[str, str]], symbol_ids: d
     distinct = t.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("sub", enc(F.col("word")))
     j = lookup_join(t, distinct, "word", weight="n")
     g = j.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "sub"))).alias("_p"))
-    seq = F.concat(F.flatten(F.transform("_p", lambda x: x["sub"])), F.array(F.lit(eos_id).cast("bigint")))
+    seq = F.concat(F.flatten(F.col("_p.sub")), F.array(F.lit(eos_id).cast("bigint")))
     enc_docs = g.select("doc_id", seq.alias("ids"))
     empty = docs.join(enc_docs.select("doc_id"), "doc_id", "left_anti").select(
         "doc_id", F.array(F.lit(eos_id).cast("bigint")).alias("ids"))

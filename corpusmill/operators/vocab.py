@@ -82,7 +82,7 @@ def encode(tokens: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFram
 
 def _regroup(j: DataFrame, key: str) -> DataFrame:
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "id"))).alias("_p"))
-    ids = F.transform("_p", lambda x: x["id"])
+    ids = F.col("_p.id")
     return g.select(key, F.size("_p").cast("bigint").alias("n"), ids.alias("ids"))
 
 
@@ -122,7 +122,7 @@ def decode(seqs: DataFrame, vocab: DataFrame, key: str, skip_ids: list[int] | No
     j = lookup_join(t, vocab.select("id", "word", "n"), "id", how="left", weight="n")
     j = j.withColumn("word", F.coalesce(F.col("word"), F.lit(unk_word)))
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("_p"))
-    g = g.select(key, F.array_join(F.transform("_p", lambda x: x["word"]), " ").alias("text"))
+    g = g.select(key, F.array_join(F.col("_p.word"), " ").alias("text"))
     return seqs.select(key).join(g, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
 
 
