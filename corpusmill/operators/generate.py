@@ -22,7 +22,7 @@ from corpusmill.plans.lineage import materialize
 
 
 def generate(model: NgramModel, prompts: DataFrame, key: str, eos_id: int, beams: int = 2,
-             max_new: int = 20, cut_every: int = 5) -> DataFrame:
+             max_new: int = 20, cut_every: int = 10) -> DataFrame:
     """I4: ``(key, rank, ids, new_ids, score)`` -- the final ``beams`` beams of every
     prompt ``(key, ids)``; ``rank`` 1 is the best. Prompts must be non-empty.
 

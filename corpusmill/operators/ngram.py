@@ -99,6 +99,7 @@ def _fallback_lp(model: NgramModel, tot) -> F.Column:
 def score_pairs(model: NgramModel, pairs: DataFrame) -> DataFrame:
     """Adds ``lp`` to rows carrying ``ctx`` and ``id`` (the target): the model's
     value when the pair was seen, else the smoothing rule."""
+    from corpusmill.plans.lineage import materialize
     if model.by:
         raise ValueError("grouped models are scored with perplexity_by_group")
     p = pairs
@@ -109,8 +110,9 @@ def score_pairs(model: NgramModel, pairs: DataFrame) -> DataFrame:
     m = model.pairs.select(F.col("ctx").alias("_ctx"), F.col("next").alias("id"), F.col("lp").alias("_lp"), "n")
     c = model.contexts.select(F.col("ctx").alias("_ctx"), F.col("tot").alias("_tot"))
     # a small scored set never shuffles the model: the model is filtered to its keys first
-    m = restrict_to(m, p, ["_ctx", "id"])
-    c = restrict_to(c, p, ["_ctx"])
+    keys = materialize(p.select("_ctx", "id").distinct(), "scored-keys")
+    m = restrict_to(m, keys, ["_ctx", "id"])
+    c = restrict_to(c, keys, ["_ctx"])
     j = p.join(m, ["_ctx", "id"], "left")
     j = j.join(c, "_ctx", "left")
     return j.withColumn("lp", F.coalesce(F.col("_lp"), _fallback_lp(model, F.col("_tot")))) \
