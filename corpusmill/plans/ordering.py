@@ -3,7 +3,8 @@
 A plain ``Window.orderBy(key)`` moves every row into one task. Instead:
 
 1. bucket bounds from ``percentile_approx(key)`` (one aggregation pass; only the
-   bounds -- at most ``max_buckets`` scalars -- reach the driver);
+   bounds -- at most ``max_buckets`` scalars -- reach the driver); past ``max_buckets``
+   buckets each quantile range is cut again into equal-width parts;
 2. ``bucket(key)`` is a balanced CASE tree over the bounds (O(log k) compares per row),
    a deterministic expression of the key, so recomputation after a lost executor
    yields the same buckets;
@@ -26,19 +27,40 @@ MAX_BUCKETS = 512
 _ACCURACY = 100_000
 
 
-def bucket_bounds(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET,
-                  max_buckets: int = MAX_BUCKETS) -> list:
-    """Sorted distinct split points of ``key`` for about ``count / rows_per_bucket`` buckets."""
+FINE_SPLITS = 16
+
+
+def numeric_buckets(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET,
+                    max_buckets: int = MAX_BUCKETS, fine_splits: int = FINE_SPLITS) -> Column | None:
+    """A monotone, deterministic bucket expression of a numeric ``key`` for about
+    ``count / rows_per_bucket`` buckets, or None when one bucket suffices.
+
+    Coarse buckets: split points from ``percentile_approx`` (one pass, with min and max; at
+    most ``max_buckets`` scalars reach the driver), looked up by a balanced CASE tree. When
+    more than ``max_buckets`` buckets are needed, each coarse range is cut again into up to
+    ``fine_splits`` equal-width parts (its edges come from a literal array, O(1) per row);
+    quantile ranges have roughly even density, so equal widths inside them stay balanced.
+    """
     grid = max(2, max_buckets)
     pcts = [i / grid for i in range(1, grid)]
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(key, pcts, _ACCURACY).alias("q")).first()
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, pcts, _ACCURACY).alias("q"),
+                 F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     n, q = row["n"], row["q"]
-    k = min(grid, max(1, -(-n // max(1, rows_per_bucket))))
-    if k <= 1 or not q:
-        return []
-    picks = [q[round(j * grid / k) - 1] for j in range(1, k)]
-    return sorted(set(picks))
+    want = max(1, -(-n // max(1, rows_per_bucket)))
+    if want <= 1 or not q:
+        return None
+    k = min(grid, want)
+    bounds = sorted(set(q[round(j * grid / k) - 1] for j in range(1, k)))
+    coarse = bucket_of(F.col(key), bounds)
+    m = min(int(fine_splits), -(-want // k)) if want > grid else 1
+    if m <= 1:
+        return coarse
+    edges = [row["lo"]] + bounds + [row["hi"] + 1]
+    arr = F.array(*[F.lit(e) for e in edges])
+    lo = F.element_at(arr, coarse + 1).cast("double")
+    hi = F.element_at(arr, coarse + 2).cast("double")
+    fine = F.floor((F.col(key).cast("double") - lo) * m / (hi - lo)).cast("int")
+    return coarse * m + F.least(F.lit(m - 1), F.greatest(F.lit(0), fine))
 
 
 def bucket_of(key: Column, bounds: list, lo: int = 0, hi: int | None = None) -> Column:
@@ -61,14 +83,14 @@ def _with_base(df: DataFrame, bucket: str, measure: Column, base: str) -> DataFr
 
 
 def global_offsets(df: DataFrame, key: str, size: str, out: str = "off", order: list[str] | None = None,
-                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                   rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """Exclusive prefix sum of ``size`` in ``order`` (default ``[key]``), as column ``out``."""
     order = order or [key]
-    bounds = bucket_bounds(df, key, rows_per_bucket)
-    if not bounds:  # at most rows_per_bucket rows: one ordered window is bounded
+    bucket = numeric_buckets(df, key, rows_per_bucket, max_buckets)
+    if bucket is None:  # at most rows_per_bucket rows: one ordered window is bounded
         w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(size).over(w), F.lit(0)).cast("bigint"))
-    t = df.withColumn("_b", bucket_of(F.col(key), bounds))
+    t = df.withColumn("_b", bucket)
     t = _with_base(t, "_b", F.col(size), "_base")
     w = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (t.withColumn(out, (F.col("_base") + F.coalesce(F.sum(size).over(w), F.lit(0))).cast("bigint"))
@@ -86,11 +108,10 @@ def _ranked(df: DataFrame, bucket: Column | None, order: list[str], out: str) ->
 
 
 def global_index(df: DataFrame, key: str, order: list[str] | None = None, out: str = "idx",
-                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                 rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """0-based row number of every row in ``order`` (a total order whose first column is ``key``)."""
     order = order or [key]
-    bounds = bucket_bounds(df, key, rows_per_bucket)
-    return _ranked(df, bucket_of(F.col(key), bounds) if bounds else None, order, out)
+    return _ranked(df, numeric_buckets(df, key, rows_per_bucket, max_buckets), order, out)
 
 
 def range_bounds(df: DataFrame, order: list[str], rows_per_bucket: int = ROWS_PER_BUCKET,

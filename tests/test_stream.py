@@ -53,6 +53,12 @@ def test_offsets_and_index_are_partition_independent(spark):
     assert got == want
     idx = {r["doc_id"]: r["idx"] for r in global_index(df, "doc_id", rows_per_bucket=7).collect()}
     assert idx == {d: i for i, (d, _) in enumerate(sorted(rows))}
+    # more buckets than the coarse cap: equal-width splits inside each quantile range
+    two = {r["doc_id"]: r["off"] for r in global_offsets(df, "doc_id", "n", rows_per_bucket=3,
+                                                          max_buckets=4).collect()}
+    assert two == want
+    idx2 = {r["doc_id"]: r["idx"] for r in global_index(df, "doc_id", rows_per_bucket=2, max_buckets=3).collect()}
+    assert idx2 == idx
 
 
 def _stream_docs(spark, seqs):
