@@ -339,5 +339,6 @@ SELECT sample_id, sample_id // {BS} AS batch_id, sample_id // {BS} // 50 AS shar
     q["append_metrics"] = "WITH " + _LOG.lstrip(",") + "\nSELECT run, step, 'train_loss' AS name, value FROM lg"
     q["stream_tokenize"] = _with() + "SELECT doc_id, CAST(k - 1 AS INTEGER) AS k, word, id FROM dt JOIN dv USING (word)"
     q["stream_word_counts"] = _with() + "SELECT word, CAST(count(*) AS BIGINT) AS n FROM dt GROUP BY word"
-    q["stream_metrics"] = "SELECT user_id AS run, event_type AS name, value, ts FROM events"
+    q["stream_metrics"] = ("SELECT user_id AS run, event_type AS name, value, "
+                           "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events")
     return q
