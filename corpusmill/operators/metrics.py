@@ -7,7 +7,7 @@ over rows; perplexity is token-weighted, never an average of per-text means.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.scores import length_mask, right_pad, target_logprob
@@ -71,5 +71,4 @@ def unigram_entropy(counts: DataFrame, n: str = "n") -> DataFrame:
                       (-F.sum(p * F.log(p))).alias("entropy"))
 
 
-__all__ = ["softmax_nll", "mean_nll", "masked_perplexity", "pad_batch", "padded_positions", "unigram_entropy",
-           "Window"]
+__all__ = ["softmax_nll", "mean_nll", "masked_perplexity", "pad_batch", "padded_positions", "unigram_entropy"]

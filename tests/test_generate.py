@@ -62,7 +62,6 @@ def test_greedy_from_eos_length(spark):
 
 
 def test_beams_without_broadcast(spark, monkeypatch):
-    import corpusmill.plans.joins as J
     m = ng.fit_ngram(_docs(spark), 5, alpha=0.1)
     prompts = spark.createDataFrame([(0, [0]), (1, [2, 2])], "k bigint, ids array<bigint>")
     a = sorted((r["k"], r["rank"], list(r["ids"])) for r in gen.generate(m, prompts, "k", EOS, 2, 4).collect())

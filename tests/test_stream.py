@@ -1,8 +1,5 @@
 """G1, J1, J2, W1-W4, W7, J4 against brute force (the reference's own loops, restated)."""
-import random
-
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import docs_df
 from corpusmill.operators import pack, stream, tokens, vocab

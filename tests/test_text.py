@@ -1,8 +1,6 @@
 """F1, S1, P3, P6, F11 against Python's own string rules."""
 import io
 
-from pyspark.sql import functions as F
-
 from conftest import docs_df
 from corpusmill.functions.text import is_stop_word, line_mode_words, py_strip, split_lines, split_words
 
