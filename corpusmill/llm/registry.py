@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import quality
+from corpusmill.llm import pii, quality
 
-QUERIES = {"op10_quality_rules": quality.query}
+QUERIES = {"op1_personal_data": pii.query, "op10_quality_rules": quality.query}
 
 
 def oracle_sql() -> dict[str, str]:
