@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import pii, quality
+from corpusmill.llm import mixing, pii, quality, simhash
 
-QUERIES = {"op1_personal_data": pii.query, "op10_quality_rules": quality.query}
+QUERIES = {"op3_mix_sources": mixing.query, "op5_simhash_golay": simhash.query,
+           "op1_personal_data": pii.query, "op10_quality_rules": quality.query}
 
 
 def oracle_sql() -> dict[str, str]:
