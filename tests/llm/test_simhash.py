@@ -28,7 +28,7 @@ def brute_components(fps):
     fs = list(fps)
     for i, a in enumerate(fs):
         for b in fs[:i]:
-            if (a ^ b).bit_count() <= 2:
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= 2:
                 root[max(find(a), find(b))] = min(find(a), find(b))
     return {f: find(f) for f in fs}
 
