@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import mixing, pii, quality, simhash
+from corpusmill.llm import decontaminate, linededup, mixing, pii, quality, simhash
 
-QUERIES = {"op3_mix_sources": mixing.query, "op5_simhash_golay": simhash.query,
+QUERIES = {"op4_decontaminate": decontaminate.query, "op6_line_dedup": linededup.query,
+           "op3_mix_sources": mixing.query, "op5_simhash_golay": simhash.query,
            "op1_personal_data": pii.query, "op10_quality_rules": quality.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality.sql()}
+    return {"op6_line_dedup": linededup.sql(), "op10_quality_rules": quality.sql()}
