@@ -29,7 +29,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import WORD, fresh, materialize, ship, table
@@ -175,19 +175,28 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``docs`` with the number of ``copies`` that the mix takes of each (0: left out); the
     column's name is lengthened if ``docs`` has it. Rows that repeat a doc_id, source and size
     share their copies by rank, in no particular order among equals."""
-    from pyspark.sql import Window
-
-    taken = mixture(docs, block).select("doc_id", "source", "size", "copies")
-    # equal (doc_id, source, size) rows are numbered on both sides; such groups are repeats of one row
-    w = lambda *by: Window.partitionBy("doc_id", "source", "size").orderBy(*by)
-    taken = taken.withColumn("_k", F.row_number().over(w("copies")))
-    name, size, k = (fresh(docs.columns, n) for n in ("copies", "_mix_size", "_mix_k"))
-    numbered = docs.withColumn(size, F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint"))
-    numbered = numbered.withColumn(k, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy("doc_id")))
-    t = taken.select(*[F.col(c).alias(f"_mix_in_{c}") for c in taken.columns])
-    same = numbered["doc_id"].eqNullSafe(t["_mix_in_doc_id"]) & numbered["source"].eqNullSafe(t["_mix_in_source"]) \
-        & (numbered[size] == t["_mix_in_size"]) & (numbered[k] == t["_mix_in__k"])
-    return numbered.join(t, same).select(*[numbered[c] for c in docs.columns], t["_mix_in_copies"].alias(name))
+    taken = materialize(mixture(docs, block).select("doc_id", "source", "size", "copies"), "mix-copies")
+    name, size, k, key = (fresh(docs.columns, n) for n in ("copies", "_mix_size", "_mix_k", "_mix_id"))
+    often = materialize(taken.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)), "mix-often")
+    repeats = not often.isEmpty()
+    plain, one = docs, taken
+    if repeats:
+        plain = docs.join(often, docs["doc_id"].eqNullSafe(F.col(key)), "left_anti")
+        one = taken.join(often, taken["doc_id"].eqNullSafe(F.col(key)), "left_anti")
+    t = one.select(F.col("doc_id").alias(key), F.col("copies").alias(name))
+    # the copies grow with the corpus: a shuffle at every size, never a broadcast
+    out = plain.join(t.hint("merge"), plain["doc_id"].eqNullSafe(F.col(key))).select(*[plain[c] for c in docs.columns], name)
+    if not repeats:
+        return out
+    rest = docs.join(often, docs["doc_id"].eqNullSafe(F.col(key)), "left_semi") \
+        .withColumn(size, F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint"))
+    rest = rest.withColumn(k, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))))
+    m = taken.join(often, taken["doc_id"].eqNullSafe(F.col(key)), "left_semi") \
+        .withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("copies")))
+    m = m.select(*[F.col(c).alias(f"_mix_in_{c}") for c in m.columns])
+    same = rest["doc_id"].eqNullSafe(m["_mix_in_doc_id"]) & rest["source"].eqNullSafe(m["_mix_in_source"]) \
+        & (rest[size] == m["_mix_in_size"]) & (rest[k] == m["_mix_in__k"])
+    return out.unionByName(rest.join(m, same).select(*[rest[c] for c in docs.columns], m["_mix_in_copies"].alias(name)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,25 +157,37 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of ``docs (doc_id, text)``."""
+    """``(doc_id, fp, component_id, root)`` for every row of ``docs (doc_id, text)``; ``root`` is
+    the smallest fingerprint of the component."""
     prints = materialize(docs.select("doc_id", fingerprint_of().alias("fp")), "simhash-prints")
     # distinct fingerprints with their smallest doc_id; copies meet in a partial aggregate
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes")
     roots = materialize(components(links(classes)).select(F.col("node").alias("fp"), "root"), "simhash-roots")
     linked = classes.join(roots, "fp")
     low = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    one = classes.join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("low").alias("component_id"))
-    ids = materialize(linked.join(low, "root").select("fp", "component_id").unionByName(one), "simhash-ids")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    one = classes.join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("low").alias("component_id"), F.col("fp").alias("root"))
+    ids = materialize(linked.join(low, "root").select("fp", "component_id", "root").unionByName(one), "simhash-ids")
+    return prints.join(ids, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their component, all columns as
-    they are. Rows that repeat a doc_id with the same text are kept once."""
-    found = near_duplicates(docs)
-    keep = fresh(docs.columns, "_keep")
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep)).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(F.col(keep)), "left_semi").dropDuplicates(["doc_id"])
+    they are; of rows that repeat a doc_id within a component, one stays."""
+    found = materialize(near_duplicates(docs), "simhash-found")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    per = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(first).alias("first")), "simhash-ids")
+    key, fp, root = (fresh(docs.columns, c) for c in ("_keep", "_keep_fp", "_keep_root"))
+    same = docs["doc_id"].eqNullSafe(F.col(key))
+    once = per.where("n = 1 AND first").select(F.col("doc_id").alias(key))
+    # the kept ids grow with the corpus: a shuffle at every size, never a broadcast
+    kept = docs.join(once.hint("merge"), same, "left_semi")
+    often = per.where("n > 1").select(F.col("doc_id").alias(key))
+    if often.isEmpty():
+        return kept
+    chosen = found.where(first).select(F.col("doc_id").alias(key), F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
+    again = docs.join(often, same, "left_semi").withColumn(fp + "_", fingerprint_of())
+    again = again.join(chosen, again["doc_id"].eqNullSafe(F.col(key)) & (F.col(fp + "_") == F.col(fp)))
+    return kept.unionByName(again.dropDuplicates(["doc_id", root]).select(*[again[c] for c in docs.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
