@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, linededup, mixing, pii, quality, simhash
+from corpusmill.llm import decontaminate, linededup, mixing, pii, quality, simhash, warc
 
-QUERIES = {"op4_decontaminate": decontaminate.query, "op6_line_dedup": linededup.query,
+QUERIES = {"op9_warc_revisits": warc.query,
+           "op4_decontaminate": decontaminate.query, "op6_line_dedup": linededup.query,
            "op3_mix_sources": mixing.query, "op5_simhash_golay": simhash.query,
            "op1_personal_data": pii.query, "op10_quality_rules": quality.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": linededup.sql(), "op10_quality_rules": quality.sql()}
+    return {"op9_warc_revisits": warc.sql(), "op6_line_dedup": linededup.sql(), "op10_quality_rules": quality.sql()}
