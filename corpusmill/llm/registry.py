@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, linededup, mixing, pii, quality, simhash, warc
+from corpusmill.llm import decontaminate, htmltext, linededup, mixing, pii, quality, simhash, warc
 
-QUERIES = {"op9_warc_revisits": warc.query,
+QUERIES = {"op7_html_extraction": htmltext.query,
+           "op9_warc_revisits": warc.query,
            "op4_decontaminate": decontaminate.query, "op6_line_dedup": linededup.query,
            "op3_mix_sources": mixing.query, "op5_simhash_golay": simhash.query,
            "op1_personal_data": pii.query, "op10_quality_rules": quality.query}
