@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, htmltext, linededup, mixing, pii, quality, simhash, warc
+from corpusmill.llm import decontaminate, htmltext, licenses, linededup, mixing, pii, quality, simhash, warc
 
-QUERIES = {"op7_html_extraction": htmltext.query,
+QUERIES = {"op8_license_scan": licenses.query,
+           "op7_html_extraction": htmltext.query,
            "op9_warc_revisits": warc.query,
            "op4_decontaminate": decontaminate.query, "op6_line_dedup": linededup.query,
            "op3_mix_sources": mixing.query, "op5_simhash_golay": simhash.query,
@@ -12,4 +13,4 @@ QUERIES = {"op7_html_extraction": htmltext.query,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc_revisits": warc.sql(), "op6_line_dedup": linededup.sql(), "op10_quality_rules": quality.sql()}
+    return {"op8_license_scan": licenses.sql(), "op9_warc_revisits": warc.sql(), "op6_line_dedup": linededup.sql(), "op10_quality_rules": quality.sql()}
