@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, htmltext, licenses, linededup, mixing, pii, quality, simhash, warc
+from corpusmill.llm import decontaminate, htmltext, langid, licenses, linededup, mixing, pii, quality, simhash, warc
 
-QUERIES = {"op8_license_scan": licenses.query,
+QUERIES = {"op2_language_id": langid.query,
+           "op8_license_scan": licenses.query,
            "op7_html_extraction": htmltext.query,
            "op9_warc_revisits": warc.query,
            "op4_decontaminate": decontaminate.query, "op6_line_dedup": linededup.query,
