@@ -39,7 +39,7 @@ BEAMS = 2
 MAX_NEW = 20          # prompt completion length
 CHECK_NEW = 10        # completion length of the model check
 GREEDY_LEN = 20       # open-ended sample length, prompt included
-TAKE_N = 5500         # default record count of the story experiment
+TAKE_N = 750          # record count: below the row count at every scale but the smallest, so that it cuts
 BUDGET = 100_000      # token budget of the budget query
 MAX_STEPS = 100       # short-run step limit
 EVERY_N = 10          # checkpoint interval on the events metric log
@@ -250,8 +250,7 @@ def q_softmax_nll(spark, sf_dir):
 
 
 def q_mean_nll(spark, sf_dir):
-    e = met.softmax_nll(_embeddings(spark, sf_dir), "embedding", "label") \
-        .withColumn("batch_id", F.expr(f"vec_id div {BATCH}"))
+    e = met.batch_by_rank(met.softmax_nll(_embeddings(spark, sf_dir), "embedding", "label").select("vec_id", "nll"), "vec_id", BATCH)
     return met.mean_nll(e, ["batch_id"]).select("batch_id", "n", _r(F.col("mean_nll")).alias("mean_nll"))
 
 
@@ -345,7 +344,7 @@ def q_greedy_from_eos(spark, sf_dir):
 def _prompts(spark, sf_dir):
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     kept = runs.require_nonblank(runs.take_until_exit(conv), "text").where(F.col("role") == "user")
-    keyed = kept.select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"),
+    keyed = kept.select(F.struct("conv_id", "turn").alias("prompt_id"),
                         split_words("text").alias("words"))
     c = corpus(spark, sf_dir, "line")
     return vocab.encode_heldout(keyed, c.vocab, c.vocab_size, key="prompt_id")
@@ -354,7 +353,7 @@ def _prompts(spark, sf_dir):
 def q_beam_complete(spark, sf_dir):
     c = corpus(spark, sf_dir, "line")
     b = gen.generate(_bigram(spark, sf_dir), _prompts(spark, sf_dir), "prompt_id", c.eos_id, BEAMS, MAX_NEW)
-    return _decoded(spark, sf_dir, b, "prompt_id")
+    return _decoded(spark, sf_dir, b, "prompt_id").select("prompt_id.conv_id", "prompt_id.turn", "new_ids", "text", "score")
 
 
 def q_evaluate(spark, sf_dir):

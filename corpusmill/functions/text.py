@@ -26,7 +26,7 @@ def _c(x) -> Column:
 
 def split_words(text) -> Column:
     """Python ``str.split()``: split on runs of Unicode whitespace, no empty pieces."""
-    return F.filter(F.split(F.coalesce(_c(text), F.lit("")), WS_CLASS + "+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(_c(text), F.lit("")), WS_CLASS + "+"), "")
 
 
 def split_lines(text) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.scores import length_mask, right_pad, target_logprob
+from corpusmill.plans.ordering import global_index
 
 
 def softmax_nll(df: DataFrame, scores: str, target: str) -> DataFrame:
@@ -34,6 +35,11 @@ def masked_perplexity(scored: DataFrame, by: list[str] | None = None, lp: str =
     return g.withColumn("perplexity", F.exp("loss"))
 
 
+def batch_by_rank(df: DataFrame, key: str, batch_size: int) -> DataFrame:
+    """Adds ``batch_id``: rows in ``key`` order, ``batch_size`` to a batch, gaps in the key or not."""
+    return global_index(df, key, out="_rank").withColumn("batch_id", F.expr(f"_rank div {int(batch_size)}")).drop("_rank")
+
+
 def pad_batch(seqs: DataFrame, key: str, batch_size: int, pad_id: int) -> DataFrame:
     """right-pad every sequence to the longest of its batch with ``pad_id`` (= EOS id),
     mask from lengths (a real EOS keeps mask 1). Batches are consecutive ``key`` ranks.
@@ -41,7 +47,7 @@ def pad_batch(seqs: DataFrame, key: str, batch_size: int, pad_id: int) -> DataFr
     The per-batch maximum comes from a groupBy on the batch (one row per batch) joined
     back, so no batch is ever gathered into one group.
     """
-    ranked = seqs.withColumn("batch_id", F.expr(f"`{key}` div {int(batch_size)}"))
+    ranked = batch_by_rank(seqs, key, batch_size)
     longest = ranked.groupBy("batch_id").agg(F.max(F.size("ids")).alias("_m"))
     j = ranked.join(longest, "batch_id")
     return j.select(key, "batch_id", right_pad("ids", F.col("_m"), pad_id).alias("input_ids"),
@@ -71,4 +77,4 @@ def unigram_entropy(counts: DataFrame, n: str = "n") -> DataFrame:
                       (-F.sum(p * F.log(p))).alias("entropy"))
 
 
-__all__ = ["softmax_nll", "mean_nll", "masked_perplexity", "pad_batch", "padded_positions", "unigram_entropy"]
+__all__ = ["softmax_nll", "mean_nll", "batch_by_rank", "masked_perplexity", "pad_batch", "padded_positions", "unigram_entropy"]

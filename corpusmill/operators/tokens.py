@@ -33,19 +33,21 @@ def doc_lengths(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.size("words").cast("bigint").alias("n"))
 
 
-TOP_N_IN_ONE_TASK = 100_000
-
-
 def take_documents(docs: DataFrame, n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """The first ``n`` documents in corpus order (``doc_id``), not a sample.
-
-    A small ``n`` is a ``TakeOrderedAndProject`` (each task keeps its own top ``n``, bounded
-    by ``n``); a large ``n`` ranks with the bucketed global index and filters, so no task
-    ever holds ``n`` rows."""
-    if n <= TOP_N_IN_ONE_TASK:
-        return docs.orderBy("doc_id").limit(n)
-    return global_index(docs, "doc_id", out="_rank", rows_per_bucket=rows_per_bucket) \
-        .where(F.col("_rank") < n).drop("_rank")
+    """The first ``n`` documents in corpus order (``doc_id``, null first), not a sample.
+
+    The ``n``-th id is found on the id column alone; the documents are then filtered where
+    they are scanned, whatever ``n``. Of rows that share that id, as many as are missing."""
+    if n <= 0:
+        return docs.limit(0)
+    ranked = global_index(docs.select("doc_id"), "doc_id", out="_rank", rows_per_bucket=rows_per_bucket)
+    last = ranked.where(F.col("_rank") == n - 1).first()
+    if last is None:
+        return docs
+    cut = F.lit(last["doc_id"])
+    before = ranked.where(F.col("doc_id").eqNullSafe(cut)).agg(F.min("_rank")).first()[0]
+    at = docs.where(F.col("doc_id").eqNullSafe(cut)).limit(n - before)
+    return at if last["doc_id"] is None else docs.where(F.col("doc_id").isNull() | (F.col("doc_id") < cut)).unionByName(at)
 
 
 def token_budget(tokens: DataFrame, budget: int) -> DataFrame:

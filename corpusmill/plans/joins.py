@@ -22,8 +22,8 @@ HOT_ROWS = 100_000
 
 def size_of(dim: DataFrame, key: str) -> tuple[int, int]:
     """(rows, estimated bytes) of a dimension table, by one aggregation."""
-    r = dim.agg(F.count(F.lit(1)).alias("n"),
-                F.sum(F.length(F.col(key).cast("string")) + F.lit(24)).alias("b")).first()
+    wide = F.length(F.to_json(F.struct(*[F.col(c) for c in dim.columns])))  # every column counts, arrays too
+    r = dim.agg(F.count(F.lit(1)).alias("n"), F.sum(wide + F.lit(24)).alias("b")).first()
     return int(r["n"] or 0), int(r["b"] or 0)
 
 

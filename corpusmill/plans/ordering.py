@@ -51,7 +51,9 @@ def numeric_buckets(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUC
         return None
     k = min(grid, want)
     bounds = sorted(set(q[round(j * grid / k) - 1] for j in range(1, k)))
-    coarse = bucket_of(F.col(key), bounds)
+    # null keys come first, as in a single ordered window
+    first = F.col(key).isNull()
+    coarse = F.when(first, F.lit(0)).otherwise(bucket_of(F.col(key), bounds))
     m = min(int(fine_splits), -(-want // k)) if want > grid else 1
     if m <= 1:
         return coarse
@@ -60,7 +62,7 @@ def numeric_buckets(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUC
     lo = F.element_at(arr, coarse + 1).cast("double")
     hi = F.element_at(arr, coarse + 2).cast("double")
     fine = F.floor((F.col(key).cast("double") - lo) * m / (hi - lo)).cast("int")
-    return coarse * m + F.least(F.lit(m - 1), F.greatest(F.lit(0), fine))
+    return F.when(first, F.lit(0)).otherwise(coarse * m + F.least(F.lit(m - 1), F.greatest(F.lit(0), fine)))
 
 
 def bucket_of(key: Column, bounds: list, lo: int = 0, hi: int | None = None) -> Column:

@@ -7,6 +7,7 @@ the bench and the smoke entry set it, and only when it is unset.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -54,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     d = checkpoint_dir(spark)
     if d:
         return d
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at storage that the executors share")
     d = fallback or tempfile.mkdtemp(prefix="corpusmill-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     try:

@@ -206,11 +206,11 @@ WHERE next_id IS NOT NULL"""
  FROM (SELECT vec_id, label, e, list_max(e) AS m
        FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)))"""
     q["softmax_nll"] = f"SELECT vec_id, label, round(nll, 6) AS nll FROM {nll}"
-    q["mean_nll"] = (f"SELECT vec_id // {BS} AS batch_id, CAST(count(*) AS BIGINT) AS n, round(avg(nll), 6) AS mean_nll "
-                     f"FROM {nll} GROUP BY 1")
+    q["mean_nll"] = (f"SELECT k // {BS} AS batch_id, CAST(count(*) AS BIGINT) AS n, round(avg(nll), 6) AS mean_nll "
+                     f"FROM (SELECT nll, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM {nll}) GROUP BY 1")
     q["score_batches"] = f"SELECT vec_id, round(nll, 4) AS nll FROM {nll}"
     pad = rf""",
-pb AS (SELECT item_id, item_id // {C.EVAL_BATCH} AS batch_id, ids FROM hi),
+pb AS (SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) // {C.EVAL_BATCH} AS batch_id, ids FROM hi),
 pm AS (SELECT batch_id, max(len(ids)) AS m FROM pb GROUP BY batch_id),
 padded AS (SELECT pb.item_id, pb.batch_id,
              list_concat(pb.ids, list_transform(range(pm.m - len(pb.ids)), lambda x: cs.eos)) AS input_ids,
@@ -272,7 +272,7 @@ FROM big JOIN uni USING (batch_id) JOIN otot USING (batch_id)"""
     q["greedy_from_eos"] = _with(_MODEL, _beams(greedy_prompts, 1, C.GREEDY_LEN - 1)) + \
         _decoded_beams(f"s{C.GREEDY_LEN - 1}")
     conv_prompts = r"""
-SELECT cv.conv_id * 1000 + cv.turn AS pid,
+SELECT {'conv_id': cv.conv_id, 'turn': cv.turn} AS pid,
        coalesce(list(coalesce(lv.id, (SELECT V FROM consts)) ORDER BY w.k) FILTER (WHERE w.k IS NOT NULL), []::BIGINT[]) AS ids
 FROM cv LEFT JOIN (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM
                    (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM cv)) w
@@ -280,7 +280,8 @@ FROM cv LEFT JOIN (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts
 LEFT JOIN lv ON lv.word = w.word
 WHERE cv.role = 'user' AND regexp_matches(coalesce(cv.text, ''), '\S')
 GROUP BY cv.conv_id, cv.turn"""
-    q["beam_complete"] = _with(_CONV, _MODEL, _beams(conv_prompts, C.BEAMS, C.MAX_NEW)) + _decoded_beams(f"s{C.MAX_NEW}")
+    beams = _with(_CONV, _MODEL, _beams(conv_prompts, C.BEAMS, C.MAX_NEW)) + _decoded_beams(f"s{C.MAX_NEW}")
+    q["beam_complete"] = f"SELECT prompt_id.conv_id AS conv_id, prompt_id.turn AS turn, new_ids, text, score FROM ({beams})"
     # evaluate: open-ended sample + held-out perplexity + completion of every held-out text
     ev = _with(ppl_cte, _beams(greedy_prompts, 1, C.GREEDY_LEN - 1))
     ev_g = _decoded_beams(f"s{C.GREEDY_LEN - 1}")

@@ -15,13 +15,16 @@ from corpusmill.functions.text import doc_mode_words, line_mode_words
 
 
 def document_stream(spark: SparkSession, src_dir: str, table: str = "documents",
-                    max_files_per_trigger: int = 1) -> DataFrame:
-    """A streaming scan of ``{src_dir}/{table}.parquet`` files with the batch schema."""
-    schema = spark.read.parquet(f"{src_dir.rstrip('/')}/{table}.parquet").schema
-    return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", f"{table}*.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(src_dir))
+                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """A streaming scan of the table ``{src_dir}/{table}.parquet``, a folder of part files or a
+    single file, with the batch schema. ``max_files_per_trigger`` bounds a micro-batch."""
+    path = f"{src_dir.rstrip('/')}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        stream = stream.option("maxFilesPerTrigger", max_files_per_trigger)
+    # as a pattern the path may be a folder or a file; it matches this table's name only
+    return stream.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def tokenize_stream(stream: DataFrame, vocab: DataFrame, unk_id: int, mode: str = "doc") -> DataFrame:

@@ -92,27 +92,20 @@ def test_windows_brute_force(spark, S, chunk):
         assert a[1:] == b[:-1]
 
 
-def _ref_sources(seqs, S, i):
-    """The reference's per-sample document scan."""
-    cum = [0]
-    for s in seqs:
-        cum.append(cum[-1] + len(s))
-    start, end, out, toks = i, i + S + 1, [], []
-    for d in range(len(seqs)):
-        if cum[d + 1] > start:
-            ls, le = max(0, start - cum[d]), min(len(seqs[d]), end - cum[d])
-            toks.extend(seqs[d][ls:le])
-            if le > ls:
-                out.append((i, d, ls, le))
-            if len(toks) >= S + 1:
-                break
-    return out
+def _sources(seqs, S):
+    """Every position labelled with its (document, place); the labels of each window, by document."""
+    labels = [(d, k) for d, s in enumerate(seqs) for k in range(len(s))]
+    for i in range(len(labels) - S):
+        held = labels[i:i + S + 1]
+        for d in {d for d, _ in held}:
+            places = [k for e, k in held if e == d]
+            yield i, d, min(places), max(places) + 1
 
 
 @pytest.mark.parametrize("S", [1, 4, 12])
 def test_window_sources_brute_force(spark, S):
     docs, T = _stream_docs(spark, SEQS)
-    want = sorted(x for i in range(T - S) for x in _ref_sources(SEQS, S, i))
+    want = sorted(_sources(SEQS, S))
     got = sorted(tuple(r) for r in stream.window_sources(docs, S, T).collect())
     assert got == want
 
