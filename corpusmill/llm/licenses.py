@@ -28,7 +28,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import table
+from corpusmill.llm.common import materialize, table
 
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 64
 
@@ -122,7 +122,8 @@ def scan(docs: DataFrame, templates=tuple(TEMPLATES), containment: float = CONTA
     any_anchor = "|".join(sorted({a for own in by.values() for a in own}))
     text = docs.where(F.col("text").rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{any_anchor})(?![\p{{L}}\p{{N}}])")) \
         .select("doc_id", F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")).alias("clean"))
-    words = text.select("doc_id", F.split("clean", " ").alias("words"))
+    # the few texts with an anchor word, written once: the classes do not scan the corpus again
+    words = materialize(text.select("doc_id", F.split("clean", " ").alias("words")), "license-words")
     found = None
     for (size, length), anchor in by.items():
         w = _windows(words, size, length, anchor)
