@@ -36,7 +36,8 @@ def test_stream_tokenize_available_now(spark):
     src = tempfile.mkdtemp(prefix="corpusmill-src-")
     texts = ["a b c", "c d", "e"]
     docs = docs_df(spark, texts)
-    for name, ids in (("documents.parquet", [0, 1]), ("documents-2.parquet", [2])):
+    os.makedirs(os.path.join(src, "documents.parquet"))
+    for name, ids in (("documents.parquet/part-0.parquet", [0, 1]), ("documents.parquet/part-1.parquet", [2])):
         pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": [texts[i] for i in ids]}),
                        os.path.join(src, name))
     c = stream.prepare_corpus(docs.where("doc_id < 2"), "doc", persist=False)
@@ -74,9 +75,10 @@ def test_stream_word_counts(spark):
     import pyarrow as pa
     import pyarrow.parquet as pq
     src = tempfile.mkdtemp(prefix="corpusmill-wc-")
+    os.makedirs(os.path.join(src, "documents.parquet"))
     pq.write_table(pa.table({"doc_id": pa.array([0, 1], pa.int64()), "text": ["a b a", "b c"]}),
-                   os.path.join(src, "documents.parquet"))
+                   os.path.join(src, "documents.parquet/part-0.parquet"))
     pq.write_table(pa.table({"doc_id": pa.array([2], pa.int64()), "text": ["a"]}),
-                   os.path.join(src, "documents-2.parquet"))
+                   os.path.join(src, "documents.parquet/part-1.parquet"))
     out = ingest.stream_word_counts(spark, src, scratch_path(spark, "wc"), scratch_path(spark, "wc-ck"))
     assert {r["word"]: r["n"] for r in out.collect()} == {"a": 3, "b": 2, "c": 1, "<eos>": 3}
