@@ -1,4 +1,4 @@
-"""G1, J1, J2, W1-W4, W7, J4 against brute force (the reference's own loops, restated)."""
+"""G1, J1, J2, W1-W4, W7, J4 against brute force (brute force from the definitions)."""
 import pytest
 
 from conftest import docs_df
@@ -185,9 +185,8 @@ def test_windows_with_stride(spark):
     assert got == [(i, data[i:i + 4]) for i in range(0, T - 4, 3)]
 
 
-def test_take_documents_both_paths(spark, monkeypatch):
+def test_take_documents_in_one_window_and_in_buckets(spark):
     d = spark.createDataFrame([((i * 37) % 101, "t") for i in range(101)], "doc_id bigint, text string")
     a = sorted(r["doc_id"] for r in tokens.take_documents(d, 13).collect())
-    monkeypatch.setattr(tokens, "TOP_N_IN_ONE_TASK", 5)
     b = sorted(r["doc_id"] for r in tokens.take_documents(d, 13, rows_per_bucket=10).collect())
     assert a == b == list(range(13))
