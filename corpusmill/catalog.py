@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.scores import perplexity_str
-from corpusmill.functions.text import split_words
+from corpusmill.functions.text import doc_mode_words, line_mode_words, split_words
 from corpusmill.operators import generate as gen
 from corpusmill.operators import metrics as met
 from corpusmill.operators import ngram as ng
 from corpusmill.operators import pack, runs, stream, tokens, vocab
-from corpusmill.operators.scoring import identity_model, nll_of_scores, score_batches
+from corpusmill.operators.scoring import linear_model, nll_of_scores, score_batches
 from corpusmill.session import ensure_checkpoint_dir, scratch_path
 from corpusmill.sources import sinks
 from corpusmill.sources.documents import lines as scan_lines
@@ -44,6 +44,7 @@ BUDGET = 100_000      # token budget of the budget query
 MAX_STEPS = 100       # short-run step limit
 EVERY_N = 10          # checkpoint interval on the events metric log
 TOP_K = 3
+N_LABELS = 10         # scores of the linear model: labels 0-9
 
 _lock = threading.Lock()
 _corpora: dict = {}
@@ -128,9 +129,8 @@ def q_doc_tokens(spark, sf_dir):
 
 def q_doc_lengths(spark, sf_dir):
     docs = read_documents(spark, sf_dir)
-    a = tokens.doc_lengths(tokens.doc_tokens(docs, tokens.LINE_MODE)).withColumnRenamed("n", "n_line")
-    b = tokens.doc_lengths(tokens.doc_tokens(docs, tokens.DOC_MODE)).withColumnRenamed("n", "n_doc")
-    return a.join(b, "doc_id")
+    return docs.select("doc_id", F.size(line_mode_words("text")).cast("bigint").alias("n_line"),
+                       F.size(doc_mode_words("text")).cast("bigint").alias("n_doc"))
 
 
 def q_corpus_report(spark, sf_dir):
@@ -255,7 +255,7 @@ def q_mean_nll(spark, sf_dir):
 
 
 def q_score_batches(spark, sf_dir):
-    e = score_batches(_embeddings(spark, sf_dir), identity_model, "embedding", 64)
+    e = score_batches(_embeddings(spark, sf_dir), linear_model(64, N_LABELS), "embedding", 64)
     return nll_of_scores(e, "logits", "label").select("vec_id", _r(F.col("nll"), 4).alias("nll"))
 
 
@@ -467,25 +467,53 @@ def q_stream_word_counts(spark, sf_dir):
     return out.select("word", "n")
 
 
-# ---------------------------------------------------------------- subwords (rows-only checks)
+# ---------------------------------------------------------------- subwords
 
 N_MERGES = 30
+STRIDE = 16           # step between the subword windows
+_merges: dict = {}
 
 
-def q_learn_merges(spark, sf_dir):
+def _subwords(spark, sf_dir) -> tuple:
+    """The rank table learned from the corpus and the symbol ids, once per session."""
     from corpusmill.operators import subword
-    merges = subword.learn_merges(read_documents(spark, sf_dir), N_MERGES)
-    return subword.merges_table(spark, merges)
+    ensure_checkpoint_dir(spark)
+    key = (_session_key(spark), sf_dir)
+    with _lock:
+        if key not in _merges:
+            docs = read_documents(spark, sf_dir)
+            merges = subword.learn_merges(docs, N_MERGES)
+            _merges[key] = subword.merges_table(spark, merges), subword.symbol_table(subword.alphabet(docs), merges)
+        return _merges[key]
 
 
-def q_encode_subword(spark, sf_dir):
+def _encoded_subwords(spark, sf_dir, eos: bool) -> DataFrame:
     from corpusmill.operators import subword
-    docs = read_documents(spark, sf_dir)
-    merges = subword.learn_merges(docs, N_MERGES)
-    alpha = subword.alphabet(docs)
-    ids = subword.symbol_table(alpha, merges)
-    return subword.encode_subword(docs, merges, ids, eos_id=len(ids)).select(
-        "doc_id", "n", _join_ids(F.col("ids")).alias("ids"))
+    ranks, ids = _subwords(spark, sf_dir)
+    return subword.encode_subword(read_documents(spark, sf_dir), ranks, ids, len(ids) if eos else None)
+
+
+def q_learn_merges(spark, sf_dir):
+    return _subwords(spark, sf_dir)[0]
+
+
+def q_encode_subword(spark, sf_dir):
+    return _encoded_subwords(spark, sf_dir, eos=True).select("doc_id", "n", _join_ids(F.col("ids")).alias("ids"))
+
+
+def q_subword_windows(spark, sf_dir):
+    """Subwords with an end marker per document, as one stream, in windows."""
+    docs, total = stream.lay_out(_encoded_subwords(spark, sf_dir, eos=True))
+    w = pack.assign_batches(pack.pack_windows(docs, SEQ_LEN, total, stride=STRIDE), BATCH)
+    return w.select("sample_id", "batch_id", F.md5(_join_ids(F.col("inputs"))).alias("inputs_md5"),
+                    F.md5(_join_ids(F.col("target"))).alias("target_md5"))
+
+
+def q_whole_text_blocks(spark, sf_dir):
+    """Subwords of the whole texts without end markers, as one stream, in blocks."""
+    docs, total = stream.lay_out(_encoded_subwords(spark, sf_dir, eos=False))
+    b = pack.pack_blocks(docs, SEQ_LEN, total)
+    return b.select("sample_id", _join_ids(F.col("inputs")).alias("inputs"), _join_ids(F.col("target")).alias("target"))
 
 
 QUERIES = {
@@ -542,6 +570,8 @@ QUERIES = {
     "stream_word_counts": q_stream_word_counts,
     "learn_merges": q_learn_merges,
     "encode_subword": q_encode_subword,
+    "subword_windows": q_subword_windows,
+    "whole_text_blocks": q_whole_text_blocks,
 }
 
 __all__ = ["QUERIES", "corpus"]

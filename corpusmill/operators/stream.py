@@ -78,6 +78,15 @@ def prepare_corpus(docs: DataFrame, mode: str = DOC_MODE, persist: bool = True,
     return Corpus(tokens, vocab, stream, int(total), int(vsize), -1 if eos is None else eos)
 
 
+def lay_out(enc: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, int]:
+    """Encoded documents ``(doc_id, n, ids)`` of any tokenizer as a stream ``(doc_id, off, n, ids)``
+    and its length: the sequences that packing reads. Written once."""
+    enc = materialize(enc.select("doc_id", "n", "ids"), "encoded")
+    offs = materialize(stream_offsets(enc, rows_per_bucket), "offsets")
+    docs = materialize(enc.join(offs.select("doc_id", "off"), "doc_id").select("doc_id", "off", "n", "ids"), "stream")
+    return docs, int(offs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+
 def sample_at(stream_docs: DataFrame, index: int, seq_len: int) -> DataFrame:
     """Window ``index`` without building the others: ``(sample_id, inputs, target)``.
 

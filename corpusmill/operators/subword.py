@@ -1,19 +1,21 @@
 """Subword tokens (F2, F3): a merge table learned from the corpus, and encoding with it.
 
-``learn_merges``: the ``(word, n)`` table is built once; every merge is one small job on
-it -- adjacent symbol pairs exploded and weighted by ``n``, summed per pair (partial
-aggregation), the best pair taken by one global ``max``, and applied to every word with
-a JVM-side regex over the symbols. The merge count is a parameter; the table is
+A word is held as its symbols in hexadecimal UTF-8, each between spaces (``" 6C  6F  77 "``),
+so a merge is one plain ``replace`` of ``" a  b "`` by ``" ab "``: exact from left to right for
+any characters, and hexadecimal order is code point order.
+
+``learn_merges``: the ``(word, n)`` table is built once; a pass over it counts the adjacent
+pairs (partial aggregation) and takes the leading merges that cannot influence each other,
+so a pass yields one merge or several, always those of one merge at a time. The table is
 written to the checkpoint folder every few merges to keep plans short.
 
 ``encode_subword``: each *distinct* word is encoded once (``groupBy(word)``) by an Arrow
-(pandas) UDF that applies the merge ranks -- the ranks table is bounded by the merge count
-and shipped with the function -- then joined back to the token positions.
+(pandas) UDF that applies the merge ranks -- the rank table is bounded by the merge count
+and shipped with the function -- then looked up for the token positions.
 """
 
 from __future__ import annotations
 
-import re
 import sys
 
 import pandas as pd
@@ -23,10 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from corpusmill.functions.text import split_words
-from corpusmill.plans.joins import lookup_join
+from corpusmill.operators.vocab import relabel
 from corpusmill.plans.lineage import materialize
 
-SEP = "\u0001"
+#: One character of hexadecimal UTF-8 (also read by the SQL check).
+HEX_CHARACTER = "[0-7][0-9A-F]|[C-F][0-9A-F](?:[89AB][0-9A-F])+"
+#: Pairs looked at in one pass.
+LEADING = 64
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -35,37 +40,62 @@ def word_counts(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-def _apply_merge(joined, a: str, b: str):
-    """Merge every adjacent ``a b`` left to right (non-overlapping), symbols separated by SEP."""
-    pat = "(^|" + SEP + ")" + re.escape(a) + SEP + re.escape(b) + "(?=" + SEP + "|$)"
-    return F.regexp_replace(joined, pat, "$1" + (a + b).replace("\\", "\\\\").replace("$", "\\$"))
+def symbols(word: str):
+    """The characters of a word as spaced hexadecimal symbols."""
+    return F.regexp_replace(F.hex(F.col(word)), HEX_CHARACTER, " $0 ")
+
 
+def _text(symbol: str) -> str:
+    return bytes.fromhex(symbol).decode("utf-8", "replace")
 
-def _chars(col: str):
-    """Code points of a string (a regex split between any two characters)."""
-    return F.split(F.col(col), "(?<=.)(?=.)")
+
+def independent(leading: list[tuple[str, str, int]], known: set[str], more: bool) -> list[tuple[str, str]]:
+    """The first merges of ``leading`` (pairs by falling count, then by symbols; ``more``: not
+    all pairs) that are also those of one merge at a time. A merge changes only counts of pairs
+    that share a symbol with it, and a pair it creates is at most as frequent as such a pair. So
+    a later pair follows if it shares no symbol with an earlier one and its count is above that
+    of the first pair that does. A pair of one symbol twice, or one whose result is a symbol
+    already, ends the pass."""
+    taken: list[tuple[str, str, int]] = []
+    used: set[str] = set()
+    limit = leading[-1][2] if more else 0
+    for k, (a, b, n) in enumerate(leading):
+        if taken and (a in used or b in used):
+            limit = max(limit, n)
+            break
+        taken.append((a, b, n))
+        used |= {a, b}
+        if a == b or a + b in known:
+            limit = max([limit, *(c for _, _, c in leading[k + 1:k + 2])])
+            break
+        known = known | {a + b}
+    return [(a, b) for k, (a, b, n) in enumerate(taken) if not k or n > limit]
 
 
-def learn_merges(docs: DataFrame, n_merges: int, cut_every: int = 2) -> list[tuple[str, str]]:
+def learn_merges(docs: DataFrame, n_merges: int, cut_every: int = 8) -> list[tuple[str, str]]:
     """the first ``n_merges`` merges, most frequent adjacent pair first (ties: the
-    smallest pair). One aggregation job per merge on the distinct-word table."""
-    wc = materialize(word_counts(docs).select(F.array_join(_chars("word"), SEP).alias("syms"), "n"), "merge-words")
+    smallest pair)."""
+    wc = materialize(word_counts(docs).select(symbols("word").alias("syms"), "n").groupBy("syms").agg(F.sum("n").alias("n")),
+                     "merge-words")
     merges: list[tuple[str, str]] = []
-    for i in range(int(n_merges)):
-        arr = F.split("syms", SEP)
+    pending = 0
+    while len(merges) < int(n_merges):
+        arr = F.split(F.trim("syms"), "  ")
         pairs = wc.where(F.size(arr) > 1).select(
             F.explode(F.arrays_zip(F.slice(arr, 1, F.size(arr) - 1).alias("a"),
                                    F.slice(arr, 2, F.size(arr) - 1).alias("b"))).alias("p"), "n")
         counts = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("c"))
-        best = counts.agg(F.min(F.struct((-F.col("c")).alias("nc"), "a", "b")).alias("m")).first()["m"]
-        if best is None:
+        top = [tuple(r) for r in counts.orderBy(F.col("c").desc(), "a", "b").limit(LEADING).collect()]
+        if not top:
             break
-        a, b = best["a"], best["b"]
-        merges.append((a, b))
-        wc = wc.select(_apply_merge(F.col("syms"), a, b).alias("syms"), "n")
-        if cut_every and (i + 1) % cut_every == 0:
-            wc = materialize(wc, "merge-words")
-    return merges
+        new = independent(top, {a + b for a, b in merges}, len(top) == LEADING)[:int(n_merges) - len(merges)]
+        for a, b in new:
+            wc = wc.select(F.replace(F.col("syms"), F.lit(f" {a}  {b} "), F.lit(f" {a}{b} ")).alias("syms"), "n")
+        merges += new
+        pending += len(new)
+        if cut_every and pending >= cut_every:
+            wc, pending = materialize(wc, "merge-words"), 0
+    return [(_text(a), _text(b)) for a, b in merges]
 
 
 def merges_table(spark, merges: list[tuple[str, str]]) -> DataFrame:
@@ -73,12 +103,17 @@ def merges_table(spark, merges: list[tuple[str, str]]) -> DataFrame:
                                  "rank int, left string, right string")
 
 
+def read_merges(table: DataFrame) -> list[tuple[str, str]]:
+    """The merges of a rank table ``(rank, left, right)`` in order (bounded by the merge count)."""
+    return [(r["left"], r["right"]) for r in table.select("rank", "left", "right").orderBy("rank").collect()]
+
+
 def alphabet(docs: DataFrame) -> list[str]:
     """The distinct characters of the corpus words in code point order (bounded by the
     character set, not by the data)."""
-    chars = docs.select(F.explode(split_words("text")).alias("w")).select(F.explode(_chars("w")).alias("sym")) \
-        .where(F.col("sym") != "").distinct()
-    return sorted(r["sym"] for r in chars.collect())
+    words = docs.select(F.explode(split_words("text")).alias("w")).distinct()
+    return [_text(r["s"]) for r in words.select(F.explode(F.split(F.trim(symbols("w")), "  ")).alias("s")).distinct()
+            .orderBy("s").collect()]
 
 
 def bpe_encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -105,10 +140,12 @@ def bpe_encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return syms
 
 
-def encode_subword(docs: DataFrame, merges: list[tuple[str, str]], symbol_ids: dict[str, int],
-                   eos_id: int) -> DataFrame:
-    """``(doc_id, n, ids)``: every document's words encoded with the merge table, one
-    end-of-sequence id per document. Distinct words are encoded once."""
+def encode_subword(docs: DataFrame, merges: DataFrame | list[tuple[str, str]], symbol_ids: dict[str, int],
+                   eos_id: int | None, **limits) -> DataFrame:
+    """``(doc_id, n, ids)``: every document's words encoded with the merges (a rank table or
+    a list), one end-of-sequence id per document (none if ``eos_id`` is None)."""
+    if isinstance(merges, DataFrame):
+        merges = read_merges(merges)
     ranks = {(a, b): r for r, (a, b) in enumerate(merges)}
     ids = dict(symbol_ids)
 
@@ -116,15 +153,12 @@ def encode_subword(docs: DataFrame, merges: list[tuple[str, str]], symbol_ids: d
     def enc(words: pd.Series) -> pd.Series:
         return words.map(lambda w: [ids.get(s, -1) for s in bpe_encode_word(w, ranks)])
 
-    t = docs.select("doc_id", F.posexplode(split_words("text")).alias("k", "word"))
-    distinct = t.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("sub", enc(F.col("word")))
-    j = lookup_join(t, distinct, "word", weight="n")
-    g = j.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "sub"))).alias("_p"))
-    seq = F.concat(F.flatten(F.col("_p.sub")), F.array(F.lit(eos_id).cast("bigint")))
-    enc_docs = g.select("doc_id", seq.alias("ids"))
-    empty = docs.join(enc_docs.select("doc_id"), "doc_id", "left_anti").select(
-        "doc_id", F.array(F.lit(eos_id).cast("bigint")).alias("ids"))
-    out = enc_docs.unionByName(empty)
+    distinct = materialize(word_counts(docs).withColumn("sub", enc(F.col("word"))), "subwords")
+    words = docs.select("doc_id", split_words("text").alias("words"))
+    seq = F.flatten(F.col("sub"))
+    if eos_id is not None:
+        seq = F.concat(seq, F.array(F.lit(eos_id).cast("bigint")))
+    out = relabel(words, "doc_id", "words", distinct, "word", "sub", **limits).select("doc_id", seq.alias("ids"))
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n"), "ids")
 
 

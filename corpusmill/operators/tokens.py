@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import EOS, doc_mode_words, line_mode_words, line_words, split_lines
+from corpusmill.functions.text import EOS, doc_mode_words, line_mode_words, line_words, split_lines, split_words
 from corpusmill.plans.ordering import ROWS_PER_BUCKET, global_index, global_offsets
 
 LINE_MODE = "line"
 DOC_MODE = "doc"
+TEXT_MODE = "text"
+_WORDS = {LINE_MODE: line_mode_words, DOC_MODE: doc_mode_words, TEXT_MODE: split_words}
 
 
 def line_tokens(docs: DataFrame) -> DataFrame:
@@ -22,10 +24,10 @@ def doc_tokens(docs: DataFrame, mode: str = DOC_MODE) -> DataFrame:
     """``(doc_id, words)``: one token array per document.
 
     ``doc``: whitespace words of the whole text plus one end marker (P2);
-    ``line``: every line's words followed by ``<eos>`` (P3), lines concatenated.
+    ``line``: every line's words followed by ``<eos>`` (P3), lines concatenated;
+    ``text``: the words of the whole text alone (S2).
     """
-    words = doc_mode_words("text") if mode == DOC_MODE else line_mode_words("text")
-    return docs.select("doc_id", words.alias("words"))
+    return docs.select("doc_id", _WORDS[mode]("text").alias("words"))
 
 
 def doc_lengths(tokens: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import EOS, UNK
-from corpusmill.plans.joins import lookup_join
+from corpusmill.plans.joins import HOT_ROWS, fits_broadcast, lookup_join, split_join
 from corpusmill.plans.lineage import materialize
 from corpusmill.plans.ordering import ROWS_PER_BUCKET, global_index
 
@@ -69,33 +69,43 @@ def word_id(vocab: DataFrame, word: str) -> int | None:
     return None if r is None else int(r["id"])
 
 
-def encode(tokens: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, n, ids)``; every word is known (the vocabulary came from these tokens).
+def relabel(rows: DataFrame, key: str, values: str, dim: DataFrame, by: str, out: str, missing: Column | None = None,
+            skip: list | None = None, weight: str = "n", hot_rows: int = HOT_ROWS, **limits) -> DataFrame:
+    """``(key, out)``: the array ``values`` of every row with each value replaced by the ``out``
+    that ``dim (by, out, weight)`` gives it, in the same order. Values in ``skip`` go, and so do
+    unknown ones unless ``missing`` stands for them.
 
-    The token->id join is size-checked: broadcast when the vocabulary fits, else hot words
-    broadcast and cold words sort-merge joined. Ids are put back in order per key.
+    Rows are partitioned by ``key`` before the explode, so a broadcast lookup and the regroup
+    behind it move no token. Above the broadcast limits each row's distinct values are looked
+    up with the list of their places, hot values apart from the others.
     """
-    t = _explode(tokens, key)
-    j = lookup_join(t, vocab.select("word", "id", "n"), "word", weight="n")
-    return _regroup(j, key)
-
-
-def _regroup(j: DataFrame, key: str) -> DataFrame:
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "id"))).alias("_p"))
-    ids = F.col("_p.id")
-    return g.select(key, F.size("_p").cast("bigint").alias("n"), ids.alias("ids"))
-
-
-def encode_heldout(tokens: DataFrame, vocab: DataFrame, unk_id: int, key: str = "doc_id") -> DataFrame:
+    t = rows.select(key, values).repartition(F.col(key)).select(key, F.posexplode_outer(values).alias("k", by))
+    value = F.col(out) if missing is None else F.coalesce(F.col(out), missing)
+    keep = value.isNotNull() if not skip else value.isNotNull() & ~F.coalesce(F.col(by).isin(skip), F.lit(False))
+    if fits_broadcast(dim, by, **limits):
+        j = t.join(F.broadcast(dim.select(by, out)), by, "left")
+        pair = F.when(keep & F.col("k").isNotNull(), F.struct("k", value.alias("v")))
+        places = F.collect_list(pair)
+    else:
+        own = materialize(t.groupBy(key, by).agg(F.collect_list("k").alias("ks")), "value-places")
+        j = split_join(own, dim.select(by, out, weight), by, "left", weight, hot_rows)
+        places = F.flatten(F.collect_list(F.when(keep, F.transform("ks", lambda k: F.struct(k.alias("k"), value.alias("v"))))))
+    g = j.groupBy(key).agg(F.array_sort(places).alias("_p"))
+    return g.select(key, F.col("_p.v").alias(out))
+
+
+def encode(tokens: DataFrame, vocab: DataFrame, key: str = "doc_id", **limits) -> DataFrame:
+    """``(key, n, ids)``; every word is known (the vocabulary came from these tokens). Keys
+    without a token have no row."""
+    enc = relabel(tokens, key, "words", vocab, "word", "id", **limits)
+    return enc.select(key, F.size("id").cast("bigint").alias("n"), F.col("id").alias("ids")).where("n > 0")
+
+
+def encode_heldout(tokens: DataFrame, vocab: DataFrame, unk_id: int, key: str = "doc_id", **limits) -> DataFrame:
     """Encode against a fixed vocabulary; unknown words get ``unk_id``. Keys with no
     token keep a row with an empty array."""
-    t = _explode(tokens, key)
-    j = lookup_join(t, vocab.select("word", "id", "n"), "word", how="left", weight="n")
-    j = j.withColumn("id", F.coalesce(F.col("id"), F.lit(unk_id).cast("bigint")))
-    enc = _regroup(j, key)
-    empty = tokens.where(F.size("words") == 0).select(
-        key, F.lit(0).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("ids"))
-    return enc.unionByName(empty)
+    enc = relabel(tokens, key, "words", vocab, "word", "id", missing=F.lit(unk_id).cast("bigint"), **limits)
+    return enc.select(key, F.size("id").cast("bigint").alias("n"), F.col("id").alias("ids"))
 
 
 def oov_rate(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -113,18 +123,13 @@ def oov_rate(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def decode(seqs: DataFrame, vocab: DataFrame, key: str, skip_ids: list[int] | None = None,
-           unk_word: str = UNK) -> DataFrame:
+           unk_word: str = UNK, **limits) -> DataFrame:
     """J2 (+P5): ``(key, text)`` -- ids back to words in order, joined by spaces; ids in
     ``skip_ids`` (special tokens) dropped; an id missing from the vocabulary reads ``<unk>``."""
-    t = seqs.select(key, F.posexplode("ids").alias("k", "id"))
-    if skip_ids:
-        t = t.where(~F.col("id").isin(skip_ids))
-    j = lookup_join(t, vocab.select("id", "word", "n"), "id", how="left", weight="n")
-    j = j.withColumn("word", F.coalesce(F.col("word"), F.lit(unk_word)))
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("_p"))
-    g = g.select(key, F.array_join(F.col("_p.word"), " ").alias("text"))
-    return seqs.select(key).join(g, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    words = relabel(seqs, key, "ids", vocab.select("id", "word", "n"), "id", "word", missing=F.lit(unk_word),
+                    skip=skip_ids, **limits)
+    return words.select(key, F.array_join("word", " ").alias("text"))
 
 
-__all__ = ["EOS", "UNK", "build_vocab", "vocab_size", "word_id", "encode", "encode_heldout", "oov_rate",
+__all__ = ["EOS", "UNK", "build_vocab", "vocab_size", "word_id", "relabel", "encode", "encode_heldout", "oov_rate",
            "decode"]

@@ -41,6 +41,12 @@ def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", w
         return fact.join(F.broadcast(dim), key, how)
     if weight is None:
         return fact.join(dim, key, how)
+    return split_join(fact, dim, key, how, weight, hot_rows)
+
+
+def split_join(fact: DataFrame, dim: DataFrame, key: str, how: str, weight: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``fact`` joined with a ``dim`` too large to broadcast: hot keys by a broadcast of
+    ``hot_rows`` rows, the others by a shuffle. Both sides are read twice: pass written tables."""
     hot = dim.orderBy(F.col(weight).desc(), F.col(key)).limit(hot_rows)  # bounded by hot_rows
     hot_keys = hot.select(key)
     hot_part = fact.join(F.broadcast(hot), key, "inner")

@@ -7,6 +7,8 @@ single-node check, and deliberately unlike the Spark plans.
 from __future__ import annotations
 
 from corpusmill import catalog as C
+from corpusmill.operators.scoring import linear_weight
+from corpusmill.operators.subword import HEX_CHARACTER
 
 # line / document token CTEs ------------------------------------------------------------
 _BASE = r"""
@@ -123,6 +125,39 @@ files AS (SELECT run AS grp,
   FROM lg WHERE step % {C.EVERY_N} = 0)"""
 
 
+def _merge_ctes(steps: int) -> str:
+    """Byte-pair merging unrolled: ``w{i}`` holds every distinct word after ``i`` merges, as
+    symbols in hexadecimal UTF-8 between spaces; ``b{i}`` is merge ``i``."""
+    out = [rf"""
+sdw AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS words FROM documents),
+st AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM sdw),
+w0 AS MATERIALIZED (SELECT word, regexp_replace(hex(word), '({HEX_CHARACTER})', ' \1 ', 'g') AS s, count(*) AS n FROM st GROUP BY word)"""]
+    for i in range(steps):
+        out.append(rf""",
+p{i} AS (SELECT t[k] AS a, t[k + 1] AS b, n FROM (
+  SELECT t, n, unnest(range(1, len(t))) AS k FROM (SELECT string_split(trim(s), '  ') AS t, n FROM w{i}))),
+b{i} AS MATERIALIZED (SELECT a, b FROM (
+  SELECT a, b, row_number() OVER (ORDER BY sum(n) DESC, a, b) AS r FROM p{i} GROUP BY a, b) WHERE r = 1),
+w{i + 1} AS MATERIALIZED (SELECT word, CASE WHEN b.a IS NULL THEN s ELSE replace(s, ' ' || b.a || '  ' || b.b || ' ', ' ' || b.a || b.b || ' ') END AS s, n
+  FROM w{i} LEFT JOIN b{i} b ON true)""")
+    rows = " UNION ALL ".join(f"SELECT {i} AS rank, a, b FROM b{i}" for i in range(steps))
+    return "".join(out) + f""",
+mg AS (SELECT * FROM ({rows}))"""
+
+
+def _subword_ctes(steps: int) -> str:
+    """Token ids ``sub(doc_id, k, j, id)``: characters by code point, then merged symbols by rank."""
+    return _merge_ctes(steps) + rf""",
+alpha AS (SELECT sym, row_number() OVER (ORDER BY sym) - 1 AS id FROM (SELECT DISTINCT unnest(string_split(trim(s), '  ')) AS sym FROM w0)),
+symid AS (SELECT * FROM alpha UNION ALL
+          SELECT sym, row_number() OVER (ORDER BY r) - 1 + (SELECT count(*) FROM alpha)
+          FROM (SELECT a || b AS sym, min(rank) AS r FROM mg GROUP BY 1)),
+seos AS (SELECT CAST(count(*) AS BIGINT) AS eos FROM symid),
+ws AS (SELECT word, unnest(string_split(trim(s), '  ')) AS sym, unnest(range(len(string_split(trim(s), '  ')))) AS j FROM w{steps}),
+sub AS (SELECT st.doc_id, st.k, ws.j, CAST(symid.id AS BIGINT) AS id FROM st JOIN ws USING (word) JOIN symid USING (sym)),
+sube AS (SELECT * FROM sub UNION ALL SELECT doc_id, 9223372036854775807, 0, (SELECT eos FROM seos) FROM documents)"""
+
+
 def _blocks_cte() -> str:
     B = C.BLOCK
     return rf""",
@@ -208,7 +243,11 @@ WHERE next_id IS NOT NULL"""
     q["softmax_nll"] = f"SELECT vec_id, label, round(nll, 6) AS nll FROM {nll}"
     q["mean_nll"] = (f"SELECT k // {BS} AS batch_id, CAST(count(*) AS BIGINT) AS n, round(avg(nll), 6) AS mean_nll "
                      f"FROM (SELECT nll, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM {nll}) GROUP BY 1")
-    q["score_batches"] = f"SELECT vec_id, round(nll, 4) AS nll FROM {nll}"
+    linear = ", ".join("(" + " + ".join(f"embedding[{i + 1}]::DOUBLE * {linear_weight(i, o)}" for i in range(64)) + ")"
+                       for o in range(C.N_LABELS))
+    q["score_batches"] = rf"""
+SELECT vec_id, round(m + ln(list_sum(list_transform(e, lambda x: exp(x - m)))) - e[label + 1], 4) AS nll
+FROM (SELECT vec_id, label, e, list_max(e) AS m FROM (SELECT vec_id, label, [{linear}] AS e FROM embeddings))"""
     pad = rf""",
 pb AS (SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) // {C.EVAL_BATCH} AS batch_id, ids FROM hi),
 pm AS (SELECT batch_id, max(len(ids)) AS m FROM pb GROUP BY batch_id),
@@ -340,6 +379,26 @@ SELECT sample_id, sample_id // {BS} AS batch_id, sample_id // {BS} // 50 AS shar
     q["append_metrics"] = "WITH " + _LOG.lstrip(",") + "\nSELECT run, step, 'train_loss' AS name, value FROM lg"
     q["stream_tokenize"] = _with() + "SELECT doc_id, CAST(k - 1 AS INTEGER) AS k, word, id FROM dt JOIN dv USING (word)"
     q["stream_word_counts"] = _with() + "SELECT word, CAST(count(*) AS BIGINT) AS n FROM dt GROUP BY word"
+    merged = "WITH " + _merge_ctes(C.N_MERGES).lstrip()
+    q["learn_merges"] = merged + """
+SELECT CAST(rank AS INTEGER) AS rank, decode(unhex(a)) AS "left", decode(unhex(b)) AS "right" FROM mg"""
+    subwords = "WITH " + _subword_ctes(C.N_MERGES).lstrip()
+    q["encode_subword"] = subwords + f"""
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n, {_ids('id', 'k, j')} AS ids FROM sube GROUP BY doc_id"""
+    q["subword_windows"] = subwords + rf""",
+ps AS (SELECT row_number() OVER (ORDER BY doc_id, k, j) - 1 AS pos, id FROM sube),
+wi AS (SELECT pos, id, unnest(range(greatest(0, -(-(pos - {S}) // {C.STRIDE})), pos // {C.STRIDE} + 1)) * {C.STRIDE} AS i FROM ps)
+SELECT CAST(i AS BIGINT) AS sample_id, CAST(i // {BS} AS BIGINT) AS batch_id,
+       md5(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) FILTER (WHERE pos < i + {S})) AS inputs_md5,
+       md5(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) FILTER (WHERE pos > i)) AS target_md5
+FROM wi WHERE i < (SELECT count(*) FROM ps) - {S} AND pos BETWEEN i AND i + {S} GROUP BY i"""
+    q["whole_text_blocks"] = subwords + rf""",
+ps AS (SELECT row_number() OVER (ORDER BY doc_id, k, j) - 1 AS pos, id FROM sub),
+bi AS (SELECT pos, id, pos // {S} AS i FROM ps UNION ALL SELECT pos, id, pos // {S} - 1 FROM ps WHERE pos % {S} = 0 AND pos > 0)
+SELECT CAST(i AS BIGINT) AS sample_id,
+       string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) FILTER (WHERE pos < (i + 1) * {S}) AS inputs,
+       string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) FILTER (WHERE pos > i * {S}) AS target
+FROM bi WHERE i < (SELECT count(*) FROM ps) // {S} - 1 GROUP BY i"""
     q["stream_metrics"] = ("SELECT user_id AS run, event_type AS name, value, "
                            "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events")
     return q

@@ -111,3 +111,12 @@ def test_ones_mask_clamp_and_names(spark):
     r = df.select(ones_mask("ids").alias("m"), clamp("v", F.lit(0), F.lit(4)).alias("c"),
                   number_from("name", r".*-(\d+)\.ckpt").alias("num"), zero_pad(F.col("v")).alias("z")).collect()
     assert [(list(x["m"]), x["c"], x["num"], x["z"]) for x in r] == [([1, 1, 1], 0, 12, "-00003"), ([], 4, None, "000009")]
+
+
+def test_linear_model_scores(spark):
+    from corpusmill.operators.scoring import linear_model, linear_weight, score_batches
+    df = spark.createDataFrame([(0, [1.0, -2.0, 0.5]), (1, [0.0, 0.0, 4.0])], "k bigint, x array<float>")
+    got = {r["k"]: list(r["logits"]) for r in score_batches(df, linear_model(3, 2), "x", 3).collect()}
+    rows = {0: [1.0, -2.0, 0.5], 1: [0.0, 0.0, 4.0]}
+    for k, x in rows.items():
+        assert got[k] == [sum(x[i] * linear_weight(i, o) for i in range(3)) for o in range(2)]

@@ -2,6 +2,7 @@
 import pytest
 
 from conftest import docs_df
+from corpusmill.functions.text import split_words
 from corpusmill.operators import pack, stream, tokens, vocab
 from corpusmill.plans.ordering import global_index, global_offsets
 
@@ -190,3 +191,25 @@ def test_take_documents_in_one_window_and_in_buckets(spark):
     a = sorted(r["doc_id"] for r in tokens.take_documents(d, 13).collect())
     b = sorted(r["doc_id"] for r in tokens.take_documents(d, 13, rows_per_bucket=10).collect())
     assert a == b == list(range(13))
+
+
+def test_encode_and_decode_agree_on_both_plans_with_a_hot_word(spark):
+    texts = ["the " * 200 + "cat", "the dog the", "", "a the b the c", None]
+    words = docs_df(spark, texts).select("doc_id", split_words("text").alias("words"))
+    v = vocab.build_vocab(words)
+    plans = [{}, {"max_rows": 0, "hot_rows": 1}, {"max_rows": 0, "hot_rows": 0}]
+    enc = [{r["doc_id"]: (r["n"], r["ids"]) for r in vocab.encode(words, v, **p).collect()} for p in plans]
+    assert enc[0] == enc[1] == enc[2] and set(enc[0]) == {0, 1, 3} and enc[0][0] == (201, [0] * 200 + [1])
+    held = [{r["doc_id"]: r["ids"] for r in vocab.encode_heldout(words, v.where("word <> 'dog'"), 99, **p).collect()} for p in plans]
+    assert held[0] == held[1] == held[2] and held[0][1] == [0, 99, 0] and held[0][2] == held[0][4] == []
+    seqs = spark.createDataFrame([(k, ids) for k, ids in held[0].items()], "doc_id bigint, ids array<bigint>")
+    back = [{r["doc_id"]: r["text"] for r in vocab.decode(seqs, v, "doc_id", skip_ids=[0], **p).collect()} for p in plans]
+    assert back[0] == back[1] == back[2] == {0: "cat", 1: "<unk>", 2: "", 3: "a b c", 4: ""}
+
+
+def test_encode_moves_documents_not_tokens(spark):
+    words = docs_df(spark, ["a b", "b c"]).select("doc_id", split_words("text").alias("words"))
+    v = spark.createDataFrame([(0, "a", 1), (1, "b", 2), (2, "c", 1)], "id bigint, word string, n bigint")
+    plan = vocab.encode(words, v)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("Generate posexplode") < plan.index("Exchange hashpartitioning")  # the one exchange is below the explode

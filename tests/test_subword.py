@@ -1,6 +1,9 @@
-"""F2/F3 (rows-only in the oracle) against a brute-force BPE."""
+"""F2/F3 against a brute-force BPE, one merge at a time."""
+import random
 from collections import Counter
 
+import pytest
+
 from conftest import docs_df
 from corpusmill.operators import subword
 
@@ -47,3 +50,37 @@ def test_learn_merges_and_encode(spark):
         want = [ids[s] for w in t.split() for s in subword.bpe_encode_word(w, ranks)] + [eos]
         assert enc[i] == want
     assert subword.bpe_encode_word("lowest", ranks)[0].startswith("low")
+
+
+@pytest.mark.parametrize("texts", [
+    ["ab\x01cd ab\x01cd", "a\x01b"],                         # a control character is a symbol like any other
+    ["aaaa aaa aaaaa", "aaaaaaaa baab"],                      # one symbol twice in a row
+    ["żółw żółw 日本 日本語 \U0001f600\U0001f600 é$\\1 é$\\1 1 12 21"],
+    [" ".join("".join(random.Random(k).choices("abcd", k=random.Random(-k).randint(1, 9))) for k in range(300))],
+    ["", None],
+])
+def test_merges_are_those_of_one_at_a_time(spark, texts):
+    got = subword.learn_merges(docs_df(spark, texts), 25, cut_every=4)
+    assert got == _py_merges([t or "" for t in texts], 25)
+
+
+def test_a_pass_takes_only_merges_that_cannot_influence_each_other():
+    pick = subword.independent
+    assert pick([("a", "b", 9), ("c", "d", 8), ("b", "x", 7), ("e", "f", 6)], set(), False) == [("a", "b"), ("c", "d")]
+    assert pick([("a", "b", 9), ("c", "d", 7), ("b", "x", 7)], set(), False) == [("a", "b")]      # a tie decides later
+    assert pick([("a", "b", 9), ("c", "d", 7)], set(), True) == [("a", "b")]                      # pairs not looked at
+    assert pick([("a", "a", 9), ("c", "d", 7)], set(), False) == [("a", "a")]
+    assert pick([("a", "b", 9), ("c", "c", 7), ("a", "x", 7)], set(), False) == [("a", "b")]
+    assert pick([("a", "b", 9), ("c", "d", 7)], {"ab"}, False) == [("a", "b")]
+
+
+def test_rank_table_and_no_end_marker_above_the_broadcast_limit(spark):
+    d = docs_df(spark, TEXTS + [None])
+    merges = subword.learn_merges(d, 8)
+    ids = subword.symbol_table(subword.alphabet(d), merges)
+    ranks = subword.merges_table(spark, merges).repartition(3)
+    for eos in (None, len(ids)):
+        want = {r["doc_id"]: (r["n"], list(r["ids"])) for r in subword.encode_subword(d, merges, ids, eos).collect()}
+        got = subword.encode_subword(d, ranks, ids, eos, max_rows=0, hot_rows=2)
+        assert {r["doc_id"]: (r["n"], list(r["ids"])) for r in got.collect()} == want
+        assert want[4][1] == want[5][1] == ([] if eos is None else [eos])
