@@ -21,7 +21,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "pack_blocks", "pack_windows", "window_sources", "build_vocab", "token_stream", "fit_bigram",
     "masked_perplexity", "perplexity_by_source", "overfit_check", "unigram_baseline", "beam_complete",
-    "best_steps", "latest_artifact", "fuzzy_lookup", "softmax_nll", "take_until",
+    "best_steps", "latest_artifact", "fuzzy_lookup", "softmax_nll", "take_until", "decode", "evaluate",
+    "learn_merges", "encode_subword", "subword_windows", "write_samples", "stream_word_counts",
 ]
 
 

@@ -16,7 +16,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.scores import perplexity_str
+from corpusmill.functions.scores import ones_mask, perplexity_str
 from corpusmill.functions.text import doc_mode_words, line_mode_words, split_words
 from corpusmill.operators import generate as gen
 from corpusmill.operators import metrics as met
@@ -44,6 +44,7 @@ BUDGET = 100_000      # token budget of the budget query
 MAX_STEPS = 100       # short-run step limit
 EVERY_N = 10          # checkpoint interval on the events metric log
 TOP_K = 3
+SHORT_TURN = 100      # characters: a turn below ends a conversation, or has no rest, in two checks
 N_LABELS = 10         # scores of the linear model: labels 0-9
 
 _lock = threading.Lock()
@@ -184,7 +185,8 @@ def q_decode(spark, sf_dir):
 
 
 def q_encode_heldout(spark, sf_dir):
-    return _heldout(spark, sf_dir).select("item_id", "n", _join_ids(F.col("ids")).alias("ids"))
+    return _heldout(spark, sf_dir).select("item_id", "n", _join_ids(F.col("ids")).alias("ids"),
+                                          _join_ids(ones_mask("ids")).alias("attention_mask"))
 
 
 def q_oov_rate(spark, sf_dir):
@@ -281,7 +283,7 @@ def q_masked_perplexity(spark, sf_dir):
 
 def q_unigram_baseline(spark, sf_dir):
     c = corpus(spark, sf_dir, "line")
-    targets = ng.stream_pairs(c.docs).groupBy("next").agg(F.count(F.lit(1)).alias("n"))
+    targets = stream.token_stream(c.docs).where("pos >= 1").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     e = met.unigram_entropy(targets)
     return e.select("n_tokens", "n_types", _r(F.col("entropy")).alias("entropy"))
 
@@ -385,6 +387,18 @@ def q_require_nonblank(spark, sf_dir):
     return runs.require_nonblank(_conversations(spark, sf_dir), "text").select("conv_id", "turn")
 
 
+def q_take_until_short(spark, sf_dir):
+    """P4 with a stop that occurs: the turns before a conversation's first short one."""
+    short = F.length("text") < SHORT_TURN
+    return runs.take_until(_conversations(spark, sf_dir), "conv_id", "turn", short).select("conv_id", "turn", "role")
+
+
+def q_nonblank_rest(spark, sf_dir):
+    """P6 where blanks occur: the turns with something behind their first characters."""
+    c = _conversations(spark, sf_dir).withColumn("rest", F.expr(f"substring(text, {SHORT_TURN + 1})"))
+    return runs.require_nonblank(c, "rest").select("conv_id", "turn")
+
+
 def _log(spark, sf_dir, extra=()):
     return runs.metric_log(read_table(spark, sf_dir, "events"), extra=extra)
 
@@ -436,7 +450,7 @@ def q_write_samples(spark, sf_dir):
     b = pack.assign_batches(pack.pack_blocks(c.docs, BLOCK, c.total), BATCH)
     back = sinks.write_samples(b, scratch_path(spark, "samples"), batches_per_shard=50)
     return back.select("sample_id", "batch_id", F.col("shard").cast("bigint").alias("shard"),
-                       _join_ids(F.col("inputs")).alias("inputs"))
+                       _join_ids(F.col("inputs")).alias("inputs"), _join_ids(F.col("target")).alias("target"))
 
 
 def q_append_metrics(spark, sf_dir):
@@ -557,6 +571,8 @@ QUERIES = {
     "evaluate": q_evaluate,
     "take_until": q_take_until,
     "require_nonblank": q_require_nonblank,
+    "take_until_short": q_take_until_short,
+    "nonblank_rest": q_nonblank_rest,
     "metric_log": q_metric_log,
     "best_steps": q_best_steps,
     "artifact_listing": q_artifact_listing,

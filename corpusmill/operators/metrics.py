@@ -67,14 +67,11 @@ def padded_positions(padded: DataFrame, key: str) -> DataFrame:
 
 def unigram_entropy(counts: DataFrame, n: str = "n") -> DataFrame:
     """The input-independent baseline -- entropy ``-sum(p ln p)`` of a count table
-    ``(..., n)``: ``(n_tokens, n_types, entropy)``. Two global aggregates, no window."""
-    tot = counts.agg(F.sum(n).alias("t")).first()["t"] or 0
-    if tot == 0:
-        spark = counts.sparkSession
-        return spark.createDataFrame([(0, 0, None)], "n_tokens bigint, n_types bigint, entropy double")
-    p = F.col(n) / F.lit(float(tot))
-    return counts.agg(F.lit(tot).cast("bigint").alias("n_tokens"), F.count(F.lit(1)).cast("bigint").alias("n_types"),
-                      (-F.sum(p * F.log(p))).alias("entropy"))
+    ``(..., n)``: ``(n_tokens, n_types, entropy)``. One aggregate: ``ln N - sum(n ln n) / N``."""
+    c, total = F.col(n), F.sum(n)
+    entropy = F.when(total > 0, F.log(total) - F.sum(F.when(c > 0, c * F.log(c)).otherwise(0.0)) / total)
+    return counts.agg(F.coalesce(total, F.lit(0)).cast("bigint").alias("n_tokens"),
+                      F.count(F.lit(1)).cast("bigint").alias("n_types"), entropy.alias("entropy"))
 
 
 __all__ = ["softmax_nll", "mean_nll", "batch_by_rank", "masked_perplexity", "pad_batch", "padded_positions", "unigram_entropy"]

@@ -77,7 +77,13 @@ def fit_ngram(stream_docs: DataFrame, vocab_size: int, order: int = 2, alpha: fl
     if persist:
         contexts = materialize(contexts, "ngram-contexts")
     V1 = float(vocab_size + 1)
-    j = counts.join(contexts, [*by, "ctx"])
+    if by:
+        j = counts.join(contexts, [*by, "ctx"])
+    elif order == 2:
+        j = lookup_join(counts, contexts, "ctx", weight="tot")
+    else:  # a single context
+        one = contexts.first()
+        j = counts.withColumn("tot", F.lit(one["tot"] if one else 0).cast("bigint"))
     lp = F.log((F.col("n") + F.lit(float(alpha))) / (F.col("tot") + F.lit(float(alpha) * V1)))
     model = j.select(*by, "ctx", "next", "n", lp.alias("lp"))
     return NgramModel(model, contexts, vocab_size, alpha, order, by, counts)
@@ -130,24 +136,25 @@ def score_ngram(model: NgramModel, seqs: DataFrame, key: str) -> DataFrame:
 def perplexity_by_group(model: NgramModel, heldout_pairs: DataFrame) -> DataFrame:
     """Held-out perplexity under every group's model: ``(*by, n_scored, loss, perplexity)``.
 
-    No cross product of groups and held-out tokens: held-out pairs join the groups'
-    context table on ``ctx`` (only groups that saw the context), then the pair table; the
-    remaining held-out pairs of a group (unseen context) all score ``ln(1/(V+1))`` and are
-    added in bulk from their count.
+    Held-out tokens are reduced to distinct pairs with their count first, so a common context
+    meets each group once per distinct pair, not once per token. A group's contexts among them
+    score by its counts; all other held-out tokens of the group (unseen context) score
+    ``ln(1/(V+1))`` and are added in bulk from their count.
     """
     by = model.by
     a, V1 = float(model.alpha), float(model.outcomes)
     from corpusmill.plans.lineage import materialize
-    h = materialize(heldout_pairs.select("ctx", F.col("id").alias("next")), "heldout-pairs")  # read 3 times
-    H = h.count()
+    h = heldout_pairs.select("ctx", F.col("id").alias("next"))
     if model.order == 1:
         h = h.withColumn("ctx", F.lit(NO_CTX).cast("bigint"))
-    seen_ctx = lookup_join(model.contexts, h, "ctx")
+    h = materialize(h.groupBy("ctx", "next").agg(F.count(F.lit(1)).alias("w")), "heldout-pairs")
+    H = h.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    seen_ctx = restrict_to(model.contexts, h, ["ctx"]).join(h, "ctx")
     counts = model.counts if model.counts is not None else model.pairs.select(*by, "ctx", "next", "n")
     counts = restrict_to(counts, h, ["ctx", "next"])
     seen = seen_ctx.join(counts, [*by, "ctx", "next"], "left")
     lp = F.log((F.coalesce(F.col("n"), F.lit(0)) + F.lit(a)) / (F.col("tot") + F.lit(a * V1)))
-    part = seen.groupBy(*by).agg(F.sum(lp).alias("_s"), F.count(F.lit(1)).alias("_k"))
+    part = seen.groupBy(*by).agg(F.sum(F.col("w") * lp).alias("_s"), F.sum("w").alias("_k"))
     groups = model.contexts.select(*by).distinct()
     g = groups.join(part, by, "left")
     total_lp = F.coalesce(F.col("_s"), F.lit(0.0)) + (F.lit(H) - F.coalesce(F.col("_k"), F.lit(0))) * F.lit(math.log(1.0 / V1))
@@ -162,19 +169,18 @@ def overfit_check(samples: DataFrame) -> DataFrame:
     first can never exceed the second. ``(batch_id, n_pairs, bigram_nll, unigram_nll)``.
 
     With ``H(X|C) * P = sum_c n_c ln n_c - sum_cx n_cx ln n_cx`` and
-    ``H(X) * P = P ln P - sum_x n_x ln n_x`` every term is a sum of ``n ln n`` over one
-    count table, so three partial-aggregated counts reduce to one row per batch each."""
+    ``H(X) * P = P ln P - sum_x n_x ln n_x`` every term is a sum of ``n ln n``. The pairs are
+    counted once; the counts of contexts and of targets are sums of that table."""
+    from corpusmill.plans.lineage import materialize
     z = samples.select("batch_id", F.explode(F.arrays_zip(F.col("inputs").alias("ctx"),
                                                            F.col("target").alias("next"))).alias("z"))
-    z = z.select("batch_id", F.col("z.ctx").alias("ctx"), F.col("z.next").alias("next"))
-
-    def nlogn(keys, name):
-        c = z.groupBy("batch_id", *keys).agg(F.count(F.lit(1)).alias("_n"))
-        return c.groupBy("batch_id").agg(F.sum(F.col("_n") * F.log("_n")).alias(name),
-                                         F.sum("_n").alias("P" if name == "a" else f"_{name}"))
-
-    pairs, ctxs, nexts = nlogn(["ctx", "next"], "a"), nlogn(["ctx"], "c"), nlogn(["next"], "x")
-    j = pairs.join(ctxs.select("batch_id", "c"), "batch_id").join(nexts.select("batch_id", "x"), "batch_id")
+    counts = materialize(z.groupBy("batch_id", F.col("z.ctx").alias("ctx"), F.col("z.next").alias("next"))
+                         .agg(F.count(F.lit(1)).alias("n")), "batch-pairs")
+    nlogn = F.sum(F.col("n") * F.log("n"))
+    side = lambda key, name: counts.groupBy("batch_id", key).agg(F.sum("n").alias("n")).groupBy("batch_id") \
+        .agg(nlogn.alias(name))
+    pairs = counts.groupBy("batch_id").agg(nlogn.alias("a"), F.sum("n").alias("P"))
+    j = pairs.join(side("ctx", "c"), "batch_id").join(side("next", "x"), "batch_id")
     P = F.col("P").cast("double")
     return j.select("batch_id", F.col("P").cast("bigint").alias("n_pairs"),
                     ((F.col("c") - F.col("a")) / P).alias("bigram_nll"),

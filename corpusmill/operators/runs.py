@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.names import EPOCH_STEP, LAST_NAME, NUMBERED, SUFFIX, number_from, zero_pad
 from corpusmill.functions.text import is_stop_word, py_strip
-from corpusmill.plans.joins import lookup_join
+from corpusmill.plans.joins import lookup_join, restrict_to
+from corpusmill.plans.lineage import materialize
 from corpusmill.plans.ordering import ROWS_PER_BUCKET, global_rank
 
 
@@ -26,8 +27,8 @@ def take_until(df: DataFrame, part: str, order: str, stop: Column) -> DataFrame:
     The first stop per group is a partial aggregate (``min``), joined back with a
     size-checked join: no per-group window over all rows.
     """
-    first = df.where(stop).groupBy(part).agg(F.min(order).alias("_stop"))
-    j = lookup_join(df, first, part, how="left")
+    first = materialize(df.where(stop).groupBy(part).agg(F.min(order).alias("_stop"), F.count(F.lit(1)).alias("_n")), "stops")
+    j = lookup_join(df, first, part, how="left", weight="_n").drop("_n")
     return j.where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")
 
 
@@ -51,9 +52,9 @@ def metric_log(events: DataFrame, run: str = "user_id", ts: str = "ts", tie: str
     by ``ts``), minus the run's first rank (one row per run, size-checked join)."""
     e = events.select(F.col(run).alias("run"), F.col(ts).alias("_ts"), F.col(tie).alias("_tie"),
                       F.col(value).cast("double").alias("value"), *extra)
-    r = global_rank(e, ["run", "_ts", "_tie"], out="_g", rows_per_bucket=rows_per_bucket)
-    starts = r.groupBy("run").agg(F.min("_g").alias("_g0"))
-    j = lookup_join(r, starts, "run")
+    r = materialize(global_rank(e, ["run", "_ts", "_tie"], out="_g", rows_per_bucket=rows_per_bucket), "ranked-log")
+    starts = materialize(r.groupBy("run").agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("_n")), "run-starts")
+    j = lookup_join(r, starts, "run", weight="_n")  # a run of a third of all events stays where it is
     return j.select("run", (F.col("_g") - F.col("_g0") + 1).cast("bigint").alias("step"), "value", *extra)
 
 
@@ -155,13 +156,15 @@ def fuzzy_lookup(candidates: DataFrame, queries: DataFrame, name: str = "name",
     maxq = q.agg(F.max(F.length("query")).alias("m")).first()["m"] or 0
     c = candidates.select(F.col(name).alias("name"), F.col(order).alias("ord"), F.col(recency).alias("rec"))
     qsub = _substrings(q.where(F.col("query").isNotNull()), "query", maxq).select("qid", "sub", "len").distinct()
-    csub = _substrings(c, "name", maxq).join(qsub.select("sub").distinct(), "sub", "left_semi")
-    first = csub.groupBy("sub").agg(F.min(F.struct("ord", "name")).alias("_c"))
-    hits = qsub.join(first, "sub")
+    qsub = materialize(qsub, "query-substrings")
+    # one row per substring before any join: a common character costs one row per task
+    csub = restrict_to(_substrings(c, "name", maxq), qsub, ["sub"]).groupBy("sub").agg(F.min("ord").alias("ord"))
+    hits = qsub.join(csub, "sub")
     best = hits.groupBy("qid").agg(
-        F.max(F.struct(F.col("len").alias("len"), (-F.col("_c.ord")).alias("o"), F.col("_c.name").alias("name")))
-        .alias("_h"))
-    best = best.select("qid", F.col("_h.name").alias("_hit"), F.col("_h.len").alias("_len"))
+        F.max(F.struct(F.col("len").alias("len"), (-F.col("ord")).alias("o"))).alias("_h"))
+    best = best.select("qid", (-F.col("_h.o")).alias("ord"), F.col("_h.len").alias("_len"))
+    names = c.groupBy("ord").agg(F.min("name").alias("_hit"))
+    best = best.join(names, "ord", "left").drop("ord")
     newest = c.agg(F.min(F.struct((-F.greatest(F.col("rec").cast("double"), F.lit(0.0))).alias("r"),
                                   F.col("ord").alias("o"), F.col("name").alias("name"))).alias("_n")).first()["_n"]
     fallback = F.lit(None).cast("string") if newest is None else F.lit(newest["name"])

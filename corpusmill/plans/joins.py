@@ -62,7 +62,6 @@ def restrict_to(big: DataFrame, small: DataFrame, keys: list[str], max_rows: int
     pass the size check they are broadcast into a left-semi join, so ``big`` is filtered
     while it is scanned and never shuffled; otherwise ``big`` is returned as it is."""
     k = small.select(*keys).distinct()
-    r = k.agg(F.count(F.lit(1)).alias("n")).first()["n"] or 0
-    if r <= max_rows and r * 8 * len(keys) <= max_bytes:
+    if fits_broadcast(k, keys[0], max_rows, max_bytes):
         return big.join(F.broadcast(k), keys, "left_semi")
     return big

@@ -2,7 +2,7 @@
 
 Spark's ``binaryFile`` source lists files in parallel; selecting only ``path`` and
 ``modificationTime`` prunes the ``content`` column, so no file is read. Zero-byte files
-produce no scan split and are therefore not listed.
+have no scan split; they are taken from the file system's own listing.
 """
 
 from __future__ import annotations
@@ -17,13 +17,26 @@ def list_files(spark: SparkSession, root: str, glob: str = "*", recursive: bool
     base = root.rstrip("/")
     df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
           .option("recursiveFileLookup", str(recursive).lower()).load(base)
-          .select("path", "modificationTime"))
+          .select("path", (F.unix_micros(F.col("modificationTime")) / 1e6).alias("mtime")))
+    df = df.unionByName(_empty_files(spark, base, glob, recursive))
     rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + _quote(base.lstrip("/")) + "/?", "")
     parts = F.split(rel, "/")
     name = F.element_at(parts, -1)
     d = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
-    return df.select(d.alias("dir"), name.alias("name"),
-                     (F.unix_micros(F.col("modificationTime")) / 1e6).alias("mtime"))
+    return df.select(d.alias("dir"), name.alias("name"), "mtime")
+
+
+def _empty_files(spark: SparkSession, base: str, glob: str, recursive: bool) -> DataFrame:
+    """``(path, mtime)`` of the zero-byte files (hidden ones left out, as in a scan)."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(base)
+    accept, rows = hadoop.GlobFilter(glob), []
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, recursive)
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0 and accept.accept(f.getPath()) and f.getPath().getName()[0] not in "._":
+            rows.append((f.getPath().toString(), f.getModificationTime() / 1000))
+    return spark.createDataFrame(rows, "path string, mtime double")
 
 
 def _quote(s: str) -> str:

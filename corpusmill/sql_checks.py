@@ -202,8 +202,8 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n,
     q["decode"] = _with() + r"""
 SELECT lt.doc_id, coalesce(string_agg(lt.word, ' ' ORDER BY lt.k) FILTER (WHERE lt.word <> '<eos>'), '') AS text
 FROM lt GROUP BY lt.doc_id"""
-    q["encode_heldout"] = _with(_HELD) + ("SELECT item_id, CAST(len(ids) AS BIGINT) AS n, array_to_string(ids, ' ') AS ids "
-                                          "FROM hi")
+    q["encode_heldout"] = _with(_HELD) + ("SELECT item_id, CAST(len(ids) AS BIGINT) AS n, array_to_string(ids, ' ') AS ids, "
+                                          "array_to_string(list_transform(ids, lambda x: 1), ' ') AS attention_mask FROM hi")
     q["oov_rate"] = _with(_HELD) + r"""
 SELECT CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(*) FILTER (WHERE lv.id IS NULL) AS BIGINT) AS n_oov,
        CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE lv.id IS NULL) / count(*), 6) END AS oov_rate
@@ -333,6 +333,11 @@ UNION ALL
 SELECT 'completion', prompt_id, text, score FROM ({_decoded_beams(f"e{C.CHECK_NEW}")})"""
     q["take_until"] = _with(_CONV) + "SELECT conv_id, turn, role FROM cv"
     q["require_nonblank"] = r"SELECT conv_id, turn FROM conversations WHERE regexp_matches(coalesce(text, ''), '\S')"
+    q["take_until_short"] = rf"""
+SELECT c.conv_id, c.turn, c.role FROM conversations c LEFT JOIN
+  (SELECT conv_id, min(turn) AS stop FROM conversations WHERE length(text) < {C.SHORT_TURN} GROUP BY conv_id) s USING (conv_id)
+WHERE s.stop IS NULL OR c.turn < s.stop"""
+    q["nonblank_rest"] = rf"SELECT conv_id, turn FROM conversations WHERE regexp_matches(coalesce(substr(text, {C.SHORT_TURN + 1}), ''), '\S')"
     q["metric_log"] = "WITH " + _LOG.lstrip(",") + "\nSELECT run, step, value FROM lg"
     q["best_steps"] = "WITH " + _LOG.lstrip(",") + rf""",
 top AS (SELECT run, step, value FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY value, step) AS r
@@ -375,7 +380,7 @@ SELECT qy.query, coalesce(p.p_name, (SELECT p_name FROM newest)) AS name, CAST(c
 FROM qy LEFT JOIN best USING (query) LEFT JOIN part p ON p.p_partkey = best.ord"""
     q["land_once"] = "SELECT item_id, text FROM benchmark"
     q["write_samples"] = _with(_blocks_cte()) + rf"""
-SELECT sample_id, sample_id // {BS} AS batch_id, sample_id // {BS} // 50 AS shard, inputs FROM blk"""
+SELECT sample_id, sample_id // {BS} AS batch_id, sample_id // {BS} // 50 AS shard, inputs, target FROM blk"""
     q["append_metrics"] = "WITH " + _LOG.lstrip(",") + "\nSELECT run, step, 'train_loss' AS name, value FROM lg"
     q["stream_tokenize"] = _with() + "SELECT doc_id, CAST(k - 1 AS INTEGER) AS k, word, id FROM dt JOIN dv USING (word)"
     q["stream_word_counts"] = _with() + "SELECT word, CAST(count(*) AS BIGINT) AS n FROM dt GROUP BY word"

@@ -69,6 +69,9 @@ def test_list_files_and_latest(spark):
     assert latest["path"] == "checkpoints/x-001000.ckpt"
     ck = list_files(spark, root, "*.ckpt")
     assert ck.count() == 5
+    open(os.path.join(root, "checkpoints", "x-002000.ckpt"), "w").close()   # empty files are listed too
+    assert list_files(spark, root, "*.ckpt").count() == 6
+    assert runs.latest_artifact(list_files(spark, root).withColumn("grp", F.lit(0))).first()["path"] == "checkpoints/x-002000.ckpt"
 
 
 def test_stream_word_counts(spark):
@@ -82,3 +85,13 @@ def test_stream_word_counts(spark):
                    os.path.join(src, "documents.parquet/part-1.parquet"))
     out = ingest.stream_word_counts(spark, src, scratch_path(spark, "wc"), scratch_path(spark, "wc-ck"))
     assert {r["word"]: r["n"] for r in out.collect()} == {"a": 3, "b": 2, "c": 1, "<eos>": 3}
+    more = ingest.stream_word_counts(spark, src, f"{scratch_path(spark, 'wc1')}", scratch_path(spark, "wc1-ck"), max_files_per_trigger=1)
+    assert {r["word"]: r["n"] for r in more.collect()} == {"a": 3, "b": 2, "c": 1, "<eos>": 3}
+
+
+def test_word_counts_go_on_where_they_stopped(spark, tmp_path):
+    out, ck, src = f"{tmp_path}/out", f"{tmp_path}/ck", f"{tmp_path}/documents.parquet"
+    for k, text in enumerate(["a b", "a", "c a"]):
+        spark.createDataFrame([(k, text)], "doc_id bigint, text string").write.mode("append").parquet(src)
+        got = ingest.stream_word_counts(spark, str(tmp_path), out, ck)
+    assert {r["word"]: r["n"] for r in got.collect()} == {"a": 3, "b": 1, "c": 1, "<eos>": 3}
