@@ -48,6 +48,11 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _part(digits: str) -> bool:
+    digits = digits.lstrip("0")  # int() refuses thousands of digits, zeros too
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     out, floor, at = [], 0, text.find("@")
     while at >= 0:
@@ -68,7 +73,7 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     digits = lambda m: "".join(filter(str.isdigit, m[0]))  # noqa: E731  the patterns hold ASCII digits only
     return {
         "email": _emails(text) if "@" in text else [],
-        "ip": [m.span() for m in _IP.finditer(text) if "." in m[0] and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))],
+        "ip": [m.span() for m in _IP.finditer(text) if "." in m[0] and all(_part(p) for p in m[0].split("."))],
         "card": [m.span() for m in _CARD.finditer(text) if m.end() - m.start() >= 16 and 16 <= len(d := digits(m)) <= 19 and _luhn(d)],
         "phone": [m.span() for m in _PHONE.finditer(text) if 8 <= len(digits(m)) <= 15] if "+" in text else [],
     }

@@ -63,3 +63,8 @@ def test_rows(spark, write_tables):
         (1, 1, 1, "email:0:5,card:6:25")] * 2 + [(3, 0, 0, ""), (None, 0, 0, "")]
     empty = write_tables(documents=spark.createDataFrame([], "doc_id bigint, text string"))
     assert pii.query(spark, empty).count() == 0
+
+
+def test_address_parts_of_thousands_of_zeros():
+    zeros = "0" * 6000
+    assert pii.find(f"{zeros}.1.2.{zeros}7 9.9.9.{'9' * 6000}")["ip"] == [(0, 6000 + 5 + 6001)]
