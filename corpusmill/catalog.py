@@ -45,6 +45,7 @@ MAX_STEPS = 100       # short-run step limit
 EVERY_N = 10          # checkpoint interval on the events metric log
 TOP_K = 3
 SHORT_TURN = 100      # characters: a turn below ends a conversation, or has no rest, in two checks
+GROUPS = ("source", "lang")   # columns that the stream carries for models by group
 N_LABELS = 10         # scores of the linear model: labels 0-9
 
 _lock = threading.Lock()
@@ -73,7 +74,8 @@ def corpus(spark: SparkSession, sf_dir: str, mode: str) -> stream.Corpus:
     key = (_session_key(spark), sf_dir, mode)
     with _lock:
         if key not in _corpora:
-            _corpora[key] = stream.prepare_corpus(read_documents(spark, sf_dir), mode)
+            docs = read_documents(spark, sf_dir, columns=("text", *GROUPS))
+            _corpora[key] = stream.prepare_corpus(docs, mode, keep=GROUPS)
         return _corpora[key]
 
 
@@ -95,11 +97,7 @@ def _bigram(spark, sf_dir, by=None, order=2) -> ng.NgramModel:
         if key in _models:
             return _models[key]
     c = corpus(spark, sf_dir, "line")
-    docs = c.docs
-    if by:
-        meta = read_documents(spark, sf_dir, columns=tuple(by)).select("doc_id", *by)
-        docs = docs.join(meta, "doc_id")
-    model = ng.fit_ngram(docs, c.vocab_size, order=order, alpha=ALPHA, by=by, persist=True)
+    model = ng.fit_ngram(c.docs, c.vocab_size, order=order, alpha=ALPHA, by=by, persist=True)
     if not by:  # the corpus-wide model is scored by many queries: write its scored pairs too
         model = ng.persist_model(model)
     with _lock:

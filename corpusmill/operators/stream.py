@@ -44,7 +44,8 @@ class Corpus:
 
 
 def prepare_corpus(docs: DataFrame, mode: str = DOC_MODE, persist: bool = True,
-                   rows_per_bucket: int = ROWS_PER_BUCKET, persist_tokens: bool = True) -> Corpus:
+                   rows_per_bucket: int = ROWS_PER_BUCKET, persist_tokens: bool = True,
+                   keep: tuple[str, ...] = ()) -> Corpus:
     """Tokenize, build the vocabulary, encode and lay out the stream.
 
     With ``persist`` the tokens (dictionary-encoded parquet, three later scans), the slim
@@ -54,12 +55,12 @@ def prepare_corpus(docs: DataFrame, mode: str = DOC_MODE, persist: bool = True,
     measured 2x slower at sf0.1, but it avoids a corpus-size write where writes cost more
     than reading the text again. Offsets come from the slim counts, and the encoded
     documents meet them in one join on ``doc_id``, where the encoded side is already
-    partitioned by ``doc_id``.
+    partitioned by ``doc_id``. The columns ``keep`` go with the slim counts into the stream.
     """
-    tokens = doc_tokens(docs, mode).withColumn("n", F.size("words").cast("bigint"))
+    tokens = doc_tokens(docs, mode, keep).withColumn("n", F.size("words").cast("bigint"))
     if persist and persist_tokens:
         tokens = materialize(tokens, "tokens")
-    sizes = tokens.select("doc_id", "n")
+    sizes = tokens.select("doc_id", "n", *keep)
     if persist:
         sizes = materialize(sizes, "doc-sizes")
     vocab = build_vocab(tokens, rows_per_bucket, persist=persist, sizes=sizes)
@@ -69,7 +70,7 @@ def prepare_corpus(docs: DataFrame, mode: str = DOC_MODE, persist: bool = True,
     if persist:
         offs = materialize(offs, "offsets")
     enc = encode(tokens, vocab)
-    stream = enc.join(offs.select("doc_id", "off"), "doc_id").select("doc_id", "off", "n", "ids")
+    stream = enc.join(offs.select("doc_id", "off", *keep), "doc_id").select("doc_id", "off", "n", "ids", *keep)
     if persist:
         stream = materialize(stream, "stream")
     total = offs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]

@@ -20,14 +20,14 @@ def line_tokens(docs: DataFrame) -> DataFrame:
         .select("doc_id", F.col("line_no").cast("int").alias("line_no"), line_words("line").alias("words"))
 
 
-def doc_tokens(docs: DataFrame, mode: str = DOC_MODE) -> DataFrame:
-    """``(doc_id, words)``: one token array per document.
+def doc_tokens(docs: DataFrame, mode: str = DOC_MODE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, *keep, words)``: one token array per document.
 
     ``doc``: whitespace words of the whole text plus one end marker (P2);
     ``line``: every line's words followed by ``<eos>`` (P3), lines concatenated;
     ``text``: the words of the whole text alone (S2).
     """
-    return docs.select("doc_id", _WORDS[mode]("text").alias("words"))
+    return docs.select("doc_id", *keep, _WORDS[mode]("text").alias("words"))
 
 
 def doc_lengths(tokens: DataFrame) -> DataFrame:
