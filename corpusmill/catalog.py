@@ -68,10 +68,17 @@ def _session_key(spark: SparkSession) -> tuple:
     return (spark.sparkContext.applicationId, id(spark))
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """The folder, and the change time and size of its documents: changed data is another key."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sf_dir, fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()
+
+
 def corpus(spark: SparkSession, sf_dir: str, mode: str) -> stream.Corpus:
-    """Prepared corpus per (session, data folder, mode), written once to the checkpoint folder."""
+    """Prepared corpus per (session, state of the data, mode), written once to the checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    key = (_session_key(spark), sf_dir, mode)
+    key = (_session_key(spark), _stamp(spark, sf_dir), mode)
     with _lock:
         if key not in _corpora:
             docs = read_documents(spark, sf_dir, columns=("text", *GROUPS))
@@ -92,7 +99,7 @@ def _heldout(spark, sf_dir) -> DataFrame:
 def _bigram(spark, sf_dir, by=None, order=2) -> ng.NgramModel:
     """Count model of the line-mode corpus, fit once per session and written to the
     checkpoint folder; later queries score against the written tables."""
-    key = (_session_key(spark), sf_dir, tuple(by or ()), order)
+    key = (_session_key(spark), _stamp(spark, sf_dir), tuple(by or ()), order)
     with _lock:
         if key in _models:
             return _models[key]
@@ -490,7 +497,7 @@ def _subwords(spark, sf_dir) -> tuple:
     """The rank table learned from the corpus and the symbol ids, once per session."""
     from corpusmill.operators import subword
     ensure_checkpoint_dir(spark)
-    key = (_session_key(spark), sf_dir)
+    key = (_session_key(spark), _stamp(spark, sf_dir))
     with _lock:
         if key not in _merges:
             docs = read_documents(spark, sf_dir)

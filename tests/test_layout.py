@@ -55,3 +55,23 @@ def test_landing_refuses_an_unfinished_write_and_shards_are_single_sorted_files(
         assert len(files) == 1
         ids = [r["sample_id"] for r in spark.read.parquet(f"{tmp_path}/shards/shard={shard}/{files[0]}").collect()]
         assert ids == sorted(ids) == list(range(25 * shard, 25 * shard + 25))
+
+
+def test_prepared_tables_follow_changed_data(spark, tmp_path):
+    from corpusmill import catalog
+    rows = spark.createDataFrame([(1, "a b", "en", "x")], "doc_id bigint, text string, lang string, source string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    first = catalog.corpus(spark, str(tmp_path), "doc")
+    assert first.total == 3 and catalog.corpus(spark, str(tmp_path), "doc") is first
+    rows.selectExpr("2 AS doc_id", "'c' AS text", "lang", "source").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.corpus(spark, str(tmp_path), "doc").total == 5
+
+
+def test_joins_above_the_broadcast_limit_keep_every_row_of_a_hot_key(spark):
+    fact = spark.createDataFrame([(k % 3 if k % 4 else None, k) for k in range(60)], "k bigint, v bigint")
+    dim = spark.createDataFrame([(0, "x", 20), (1, "y", 20)], "k bigint, d string, n bigint")
+    for how in ("inner", "left"):
+        want = sorted(map(str, joins.lookup_join(fact, dim, "k", how, weight="n").collect()))
+        for hot in (0, 1, 5):
+            got = joins.lookup_join(fact, dim, "k", how, weight="n", max_rows=0, hot_rows=hot)
+            assert sorted(map(str, got.select("k", "v", "d", "n").collect())) == want
