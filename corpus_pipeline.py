@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; a document that has no word left goes with them."""
-    return linededup.drop_runs(docs).where(F.col("text").rlike(WORD))
+    """Later repeated runs of lines go, whole; a document that has no word left goes with them."""
+    return linededup.drop_runs(docs, whole=True).where(F.col("text").rlike(WORD))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

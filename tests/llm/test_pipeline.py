@@ -48,3 +48,11 @@ def test_empty_and_extra_columns(spark, write_tables):
     out = cp.run(spark, d)
     assert out.columns == [*odd.columns, "copies_"] and out.count() > 0
     assert quality.quality_rules(odd).count() == odd.count()
+
+
+def test_line_dedup_stage_deletes_the_tail_of_a_run(spark):
+    line = lambda tag, n: " ".join(f"{tag}{j}" for j in range(n))
+    run = line("r", 100) + "\n" + line("s", 20)
+    rows = [(1, "one\n" + run), (2, "two\n" + run), (3, run)]
+    got = cp.line_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), None)
+    assert {r.doc_id: r.text for r in got.collect()} == {1: rows[0][1], 2: "two"}
