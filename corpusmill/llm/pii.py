@@ -117,17 +117,17 @@ def _table() -> dict[int, str | None]:
     return out
 
 
-_RARE = re.compile("[^\x00-\x7f\xbf-\xd6\xd8-\xf6\xf8-\u024f]")
+_WORDS = re.compile(r"\w+")
 
 
 @cache
 def _odd_characters() -> frozenset:
-    return frozenset(map(chr, _table())) - {"\xa0"}
+    return frozenset(map(chr, _table()))
 
 
 def _odd(text: str) -> bool:
-    """Whether the table rewrites a character of the text (a no-break space alone is not enough)."""
-    return not text.isascii() and bool(_RARE.search(text)) and not _odd_characters().isdisjoint(text)
+    """Whether the table rewrites a character of the text."""
+    return not text.isascii() and not _odd_characters().isdisjoint(text)
 
 
 @cache
@@ -141,7 +141,7 @@ def _rules() -> list[tuple[re.Pattern, object]]:
     return [
         (re.compile(r"(?:(?<=[0-9])|(?<=[0-9]\.))(?P<x>[Oo])(?=[0-9Oo]|\.[0-9])"), "0"),
         (re.compile(r"(?:(?<=[0-9])|(?<=[0-9]\.))(?P<x>[lI])(?=[0-9lI]|\.[0-9])"), "1"),
-        (re.compile(rf"(?<!\w)(?P<x>{_WORD})(?!\w)", i), lambda s: DIGIT_WORDS[s.lower()]),
+        (re.compile(rf"(?<!\w)(?P<x>{_WORD})(?!\w)", i), lambda s: DIGIT_WORDS[_lower(s)]),
         (re.compile(r"(?<!\w)(?P<x>plus[ \t]+)(?=[0-9])", i), "+"),
         (re.compile(rf"(?<=[0-9]){dot_after}(?=[0-9])", i), "."),
         (re.compile(email_at, i), "@"), (re.compile(bare_at, i), "@"), (re.compile(loose_at, i), "@"),
@@ -209,27 +209,35 @@ def _beside_sign(text: str, a: int, b: int) -> bool:
     return right[m.end():m.end() + 1] == "@"
 
 
-# What a text must hold for the second pass to be worth a look (each rule needs one of these).
-_SIGNS = ("[at", "(at", "{at", "<at", "[@", "(@", "@ ", " @", "[.", "(.", "{.", "<.", "[ ", "( ", "{ ", "< ", "[ät", "(ät",
-          "[arrob", "(arrob")
-_LETTER_DIGIT = re.compile(r"[0-9.][OolI][0-9]|[0-9][OolI][0-9.OolI]|[0-9]\.[OolI]\.[0-9]")
-_BREAKS = "-,./()"
-_NUMBER_WORDS = re.compile(
-    rf"(?<!\w)(?:{_WORD}|plus)[\W_]{{1,3}}(?:(?:{_WORD})(?!\w)|[0-9])|[0-9][\W_]{{1,3}}(?:{_WORD})(?!\w)")
-_SIGN_WORDS = frozenset(("dot", "punkt", "point", "punto", "period"))
+# What a text must hold for the second pass to be worth a look: each rule needs one of these in
+# the source (a rule that needs what another one wrote is covered by that one's sign).
+_LETTER_DIGIT = re.compile(r"[0-9]\.?(?:[Oo](?:[0-9Oo]|\.[0-9])|[lI](?:[0-9lI]|\.[0-9]))")
+_BRACKETED = re.compile(rf"[\[({{<][ \t]*(?:{_AT}|{_DOT}|[@.]){_SHUT}")
+_LOOSE_AT = re.compile(r"[ \t]@|@[ \t]")
+_PLUS = re.compile(rf"(?<!\w)plus[ \t]+(?:[0-9]|(?:{_WORD})(?!\w))")
+_BETWEEN = r"[ ().0-9-]+"
+_SPELLED = re.compile(rf"(?<!\w)(?:{_WORD}){_BETWEEN}(?:{_WORD}){_BETWEEN}(?:{_WORD})(?!\w)")
+_SIGN_WORDS = frozenset(_DOT.split("|"))
 _DIGIT_WORDS = frozenset(DIGIT_WORDS)
 
 
+def _lower(text: str) -> str:
+    """Lower case as the patterns take it: the Turkish letters count as i."""
+    return (text if text.isascii() else text.replace("\u0130", "i").replace("\u0131", "i")).lower()
+
+
 def _suspect(text: str) -> bool:
     if _odd(text) or _LETTER_DIGIT.search(text):
         return True
-    low = text.lower()
-    if any(s in low for s in _SIGNS):
+    low = _lower(text)
+    sign = "@" in low
+    if _BRACKETED.search(low) or sign and _LOOSE_AT.search(low):
+        return True
+    words = set(_WORDS.findall(low))
+    if not _SIGN_WORDS.isdisjoint(words) or "plus" in words and _PLUS.search(low):
         return True
-    for c in _BREAKS:
-        low = low.replace(c, " ")
-    words = set(low.split())
-    return not _SIGN_WORDS.isdisjoint(words) or not _DIGIT_WORDS.isdisjoint(words) and bool(_NUMBER_WORDS.search(low))
+    # without another sign a span needs MIN_SPELLED words, with nothing but its own characters between
+    return not _DIGIT_WORDS.isdisjoint(words) and (sign or bool(_SPELLED.search(low)))
 
 
 def disguised(text: str) -> dict[str, list[tuple[int, int]]]:

@@ -68,3 +68,29 @@ def test_rows(spark, write_tables):
 def test_address_parts_of_thousands_of_zeros():
     zeros = "0" * 6000
     assert pii.find(f"{zeros}.1.2.{zeros}7 9.9.9.{'9' * 6000}")["ip"] == [(0, 6000 + 5 + 6001)]
+
+
+def test_disguises_that_need_no_other_sign():
+    for text, kind in (("john@example[dot]com", "email"), ("192[dot]168[dot]0[dot]1", "ip"), ("john{dot}x@example.com", "email"),
+                       ("john<dot>x@example.com", "email"), ("john{@}example.com", "email"), ("john<@>example.com", "email"),
+                       ("john{arroba}example.com", "email"), ("john\t@\texample.com", "email"), ("plus 49 170 1234567", "phone"),
+                       ("+49\xa0170\xa01234567", "phone"), ("jame\u017f@example.com", "email"),
+                       ("+1 555 f\u0131ve f\u0130ve five 4567", "phone")):
+        assert text in cover(f"so: {text}", kind)  # base spans inside it stay
+
+
+FRAGMENTS = ["john", "x.y", "example", "com", "one", "Two", "fünf", "zéro", "f\u0131ve", "plus", "PLUS", "at", "AT", "ät", "arroba", "dot", "Punkt",
+             "point", "@", ".", "+", "1", "192", "555", "O", "l", "I", "[", "]", "(", ")", "{", "}", "<", ">", " ", " ", " ", "\t", "-", "_",
+             "\n", "\xa0", "\u017f", "\u200b", "\u0430", "\u0664", "4111 1111 1111 1111", "12345678"]
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(FRAGMENTS), max_size=18))
+def test_gate_equals_no_gate(parts):
+    text, gate = "".join(parts), pii._suspect
+    gated = pii.spans_of(text)
+    pii._suspect = lambda _: True
+    try:
+        assert pii.spans_of(text) == gated
+    finally:
+        pii._suspect = gate
