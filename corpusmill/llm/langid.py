@@ -162,8 +162,8 @@ def fit(labelled: DataFrame, per_label: int = PER_LABEL) -> Model:
     idf = np.full(1 << BITS, 1.0 + np.log1p(total))
     for b, n in df.items():
         idf[b] = 1.0 + np.log((1 + total) / (1 + n))
-    # one row per label; the sample takes a share of each label's texts by their hash
-    count = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # one row per label; the sample takes a share of each label's distinct texts by their hash
+    count = rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     u = F.pmod(F.xxhash64(F.col("text"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(F.broadcast(count), "lang").where(u < F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("n"))) \
         .withColumn("h", F.xxhash64("text")).dropDuplicates(["lang", "h"]).select("text", "lang", "h")

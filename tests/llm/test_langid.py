@@ -52,3 +52,11 @@ def test_held_out_accuracy_and_rows(spark, write_tables):
     none = write_tables(documents=df.selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang").limit(5))
     assert {r.lang_pred for r in li.query(spark, none).collect()} == {"und"}
     assert li.query(spark, write_tables(documents=df.limit(0))).count() == 0
+
+
+def test_labels_of_many_copies_are_learned(spark):
+    rows = [(f"the shing ou {'abcdefghij'[k % 10]}", "aa") for k in range(2000)]  # ten distinct texts
+    rows += [("que ció ez", "bb")] * 3000 + [(f"ñque {'abcdefghij'[k % 10]} {'klmnopqrst'[k // 10]}", "bb") for k in range(100)]
+    model = li.fit(spark.createDataFrame(rows, "text string, lang string"), per_label=100)
+    assert model.labels == ["aa", "bb"]
+    assert model.predict("the shing ou")[0] == "aa" and model.predict("ñque que")[0] == "bb"
