@@ -2,7 +2,7 @@
 
 Words are runs of letters and digits, lower-cased; shingles are five words (an item with
 fewer words is one shingle). For every item length, windows of that many words slide over a
-document; each window's 64-bit SimHash is looked up among the items of that length by
+document (one with fewer words is itself the one window); each window's 64-bit SimHash is looked up among the items of that length by
 multi-index Hamming blocks: eight blocks of 8 bits, items filed under every block value
 within 2 bits. Fingerprints within ``RADIUS`` = 23 bits have, by the pigeonhole principle,
 a block with at most 2 errors, so none is missed. Candidates are verified by their exact
@@ -120,6 +120,9 @@ class Items:
                 for n in self.lengths[size][c]:
                     if len(words) >= n:
                         spans[n].append((max(0, p - n + size), min(p, len(words) - n)))
+                    # a shorter document is one window; with too few shingles it cannot be similar
+                    elif (len(words) - size + 1) / (n - size + 1) >= SIMILARITY:
+                        spans[n].append((0, 0))
         out = {}
         for n, own in spans.items():
             mark = np.zeros(len(words) + 1, np.int64)
@@ -136,6 +139,7 @@ class Items:
         for n, starts in (self._starts(words) if words else {}).items():
             members, prints, tables = self.groups[n]
             size = min(SHINGLE, n)
+            n = min(n, len(words))
             lo, per = int(starts[0]), n - size + 1
             # runs of starts that lie close share one strip of shingles
             for strip in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):

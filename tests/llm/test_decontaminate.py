@@ -55,3 +55,41 @@ def test_rows(spark, write_tables):
     assert dc.leaks(docs, items.limit(0)).count() == 0 and dc.drop_leaky(docs, items.limit(0)).count() == 7
     d = write_tables(documents=docs.limit(0), benchmark=items)
     assert dc.query(spark, d).count() == 0
+
+
+def test_documents_shorter_than_the_item():
+    item = [f"q{k}" for k in range(60)]
+    index = dc.Items([(7, " ".join(item)), (8, "one two three four five")])
+    for gone in ([59], [0], [30], [58, 59], [10, 11]):
+        words = [w for k, w in enumerate(item) if k not in gone]
+        n, left = len(words), len(words) - 4 - (4 if 4 <= gone[0] < 56 else 0)
+        want = left / (56 + len(words) - 4 - left)
+        assert want >= 0.8 and index.leaks(" ".join(words)) == [(7, want, 0, n)]
+    assert index.leaks(" ".join(item[:48])) == [] and index.leaks(" ".join(item[:49])) == [(7, 45 / 56, 0, 49)]
+    assert index.leaks("one two three four") == [] and index.leaks("q1 q2") == []
+
+
+def test_short_documents_equal_brute_force():
+    rnd = random.Random(9)
+    items = [(k, " ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.randint(1, 40)))) for k in range(60)]
+    index, found = dc.Items(items), 0
+    for _ in range(200):
+        words = rnd.choice(items)[1].split()
+        for _ in range(rnd.randint(0, 3)):
+            if words:
+                del words[rnd.choice([0, -1, rnd.randrange(len(words))])]
+        text, want = " ".join(words), []
+        for item_id, t in items:
+            own = t.split()
+            n, size = min(len(own), len(words)), min(5, len(own))
+            grams = lambda w: Counter(tuple(w[k:k + size]) for k in range(len(w) - size + 1))
+            b, best = grams(own), None
+            for s in range(len(words) - n + 1 if words else 0):
+                a = grams(words[s:s + n])
+                sim = sum((a & b).values()) / sum((a | b).values())
+                if sim >= 0.8 and (best is None or sim > best[1]):
+                    best = (item_id, sim, s, n)
+            want += [best] if best else []
+            found += bool(best and n < len(own))
+        assert index.leaks(text) == want
+    assert found > 20
