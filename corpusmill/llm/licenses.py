@@ -8,12 +8,12 @@ one window. A window is compared when it holds an anchor word of its class: word
 so that the shingles without any of them are too few to reach the containment, so leaving
 out the other windows loses no match.
 
-Each window has ``BANDS`` = 64 min-hashes, each a band of one row. A match (containment 0.8)
-has at least 0.16 Jaccard similarity with its window, whose shingles are at most five times
-the template's: a band agrees with that probability, and no band does with (1 - 0.16)^64 <
-2e-5. For whole templates it is at least 0.2, and 7e-7. Bands are joined with those of the
-templates (a broadcast of ``templates * BANDS`` rows); candidates are verified by exact
-shingle containment, 0.8 or more.
+Each window has at least ``BANDS`` = 64 min-hashes, each a band of one row. A band agrees with
+the probability of the Jaccard similarity J of a match and its window, which is smallest for the
+template of fewest shingles in a full window: 1/12 for a template of five words in 16. A class
+has so many bands that none agrees with (1 - J)^bands <= ``MISS`` = 2e-5 (125 at 1/12). Bands are
+joined with those of the templates (a broadcast of ``templates * bands`` rows); candidates are
+verified by exact shingle containment, 0.8 or more.
 
 Edge cases: null or empty texts match nothing; texts are scanned whole. Rows with the same
 doc_id give one row per license (largest containment, then first window). Extra columns are
@@ -22,6 +22,7 @@ ignored; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import materialize, table
 
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 64
+#: Bound of the probability that no band of a match agrees.
+MISS = 2e-5
 
 # License notices as their publishers word them.
 TEMPLATES = [
@@ -88,16 +91,27 @@ def _classes(templates) -> dict[tuple[int, int], list[tuple]]:
     return out
 
 
-def _bands(hashes: Column) -> Column:
+def bands_of(size: int, length: int, own: list[tuple], containment: float = CONTAINMENT) -> int:
+    """The bands of a class: enough for its template of the smallest similarity to a full window."""
+    least, window = 1.0, 2 * length - size + 1
+    for _, words in own:
+        grams = len(set(_shingles(words, size)))
+        shared = max(1, math.ceil(containment * grams - 1e-9))
+        least = min(least, shared / (window + grams - shared))
+    return BANDS if least == 1 else max(BANDS, math.ceil(math.log(MISS) / math.log(1 - least)))
+
+
+def _bands(hashes: Column, bands: int) -> Column:
     low = lambda seed: F.array_min(F.transform(hashes, lambda x: F.xxhash64(F.lit(seed), x)))
-    return F.array(*map(low, range(BANDS)))
+    return F.array(*map(low, range(bands)))
 
 
-def _template_bands(spark: SparkSession, templates) -> DataFrame:
+def _template_bands(spark: SparkSession, templates, bands: int) -> DataFrame:
+    """With the bands of the class of most bands; the windows of a class may have fewer."""
     rows = [(size, length, name, _shingles(words, size)) for (size, length), own in _classes(templates).items() for name, words in own]
     t = spark.createDataFrame(rows, "size int, length int, license_id string, grams array<string>")
     t = t.withColumn("template", F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g))))
-    return t.select("size", "length", "license_id", "template", F.posexplode(_bands(F.col("template"))).alias("band", "value"))
+    return t.select("size", "length", "license_id", "template", F.posexplode(_bands(F.col("template"), bands)).alias("band", "value"))
 
 
 def _windows(words: DataFrame, size: int, length: int, anchor: list[str]) -> DataFrame:
@@ -117,7 +131,8 @@ def _windows(words: DataFrame, size: int, length: int, anchor: list[str]) -> Dat
 def scan(docs: DataFrame, templates=tuple(TEMPLATES), containment: float = CONTAINMENT) -> DataFrame:
     """``(doc_id, license_id, containment, start)`` for ``docs (doc_id, text)``: ``start`` is the
     first word of the first window with the largest containment."""
-    bands = F.broadcast(_template_bands(docs.sparkSession, templates))  # templates * BANDS rows
+    number = {key: bands_of(*key, own, containment) for key, own in _classes(templates).items()}
+    bands = F.broadcast(_template_bands(docs.sparkSession, templates, max(number.values())))  # templates * bands rows
     by = {key: sorted({a for _, w in own for a in anchors(w, containment)}) for key, own in _classes(templates).items()}
     any_anchor = "|".join(sorted({a for own in by.values() for a in own}))
     text = docs.where(F.col("text").rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{any_anchor})(?![\p{{L}}\p{{N}}])")) \
@@ -127,7 +142,7 @@ def scan(docs: DataFrame, templates=tuple(TEMPLATES), containment: float = CONTA
     found = None
     for (size, length), anchor in by.items():
         w = _windows(words, size, length, anchor)
-        banded = w.select("*", F.posexplode(_bands(F.col("held"))).alias("band", "value"))
+        banded = w.select("*", F.posexplode(_bands(F.col("held"), number[size, length])).alias("band", "value"))
         hit = banded.join(bands, ["size", "length", "band", "value"])
         found = hit if found is None else found.unionByName(hit)
     share = F.size(F.array_intersect("held", "template")) / F.size("template")

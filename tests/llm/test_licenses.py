@@ -46,3 +46,24 @@ def test_anchors_leave_too_few_shingles():
         grams = set(lc._shingles(words, min(5, len(words))))
         chosen = set(lc.anchors(words))
         assert sum(not chosen & set(g.split()) for g in grams) < 0.8 * len(grams)
+
+
+def test_short_templates_in_one_window(spark):
+    rnd = random.Random(12)
+    docs = []
+    for k in range(4000):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(11)]
+        at = rnd.randrange(4)  # the first window only
+        words[at:at] = "released under the mit license".split()
+        docs.append((k, " ".join(words)))
+    got = lc.scan(spark.createDataFrame(docs, "doc_id bigint, text string"), [("mit", "Released under the MIT License.")])
+    assert got.count() == len(docs)
+
+
+def test_bands_keep_the_miss_bound():
+    for templates in (lc.TEMPLATES, [("five", "a b c d e"), ("nine", "a b c d e f g h i"), ("three", "a b c"), ("one", "a")]):
+        for (size, length), own in lc._classes(templates).items():
+            for _, words in own:
+                m = len(set(lc._shingles(words, size)))
+                c = next(c for c in range(1, m + 1) if c / m >= 0.8)
+                assert (1 - c / (2 * length - size + 1 + m - c)) ** lc.bands_of(size, length, own) <= 2e-5
