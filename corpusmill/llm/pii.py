@@ -195,18 +195,26 @@ class _Tape:
         self.text = "".join([*text, self.text[last:]])
 
 
-_DOTTED = re.compile(rf"(?:[A-Za-z0-9._%+-]|{_OPEN}(?:{_DOT}|\.){_SHUT}|[ \t]+(?:{_DOT})[ \t]+)*", re.IGNORECASE)
-
-
-def _beside_sign(text: str, a: int, b: int) -> bool:
-    """Whether a disguised dot stands in an address: its run of labels and dots holds "@"."""
-    lo, hi = max(0, a - 100), b + 100
-    left = text[lo:a]
-    right = text[b:hi]
-    if (at := left.rfind("@")) >= 0 and _DOTTED.fullmatch(left, at + 1):
-        return True
-    m = _DOTTED.match(right)
-    return right[m.end():m.end() + 1] == "@"
+_ADDRESS = re.compile(
+    rf"[A-Za-z0-9._%+@-](?:[A-Za-z0-9._%+@-]|{_OPEN}(?:{_DOT}|\.){_SHUT}|[ \t]+(?:{_DOT})[ \t]+)*", re.IGNORECASE)
+
+
+def _beside_sign(text: str, dots: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The disguised dots that stand in an address: their run of labels, dots and signs holds "@".
+    Runs are walked once each."""
+    if not dots or "@" not in text:
+        return []
+    out, k = [], 0
+    for m in _ADDRESS.finditer(text):
+        while k < len(dots) and dots[k][0] < m.start():
+            k += 1
+        if k == len(dots):
+            break
+        if dots[k][1] <= m.end() and "@" in m[0]:
+            while k < len(dots) and dots[k][1] <= m.end():
+                out.append(dots[k])
+                k += 1
+    return out
 
 
 # What a text must hold for the second pass to be worth a look: each rule needs one of these in
@@ -250,14 +258,10 @@ def disguised(text: str) -> dict[str, list[tuple[int, int]]]:
     if not text.isascii():
         tape.characters()
     for pattern, out in _rules():
-        spans = []
-        for m in pattern.finditer(tape.text):
-            a, b = m.span("x")
-            if out is _DOT_RULE:
-                if _beside_sign(tape.text, a, b):
-                    spans.append((a, b, "."))
-            else:
-                spans.append((a, b, out if isinstance(out, str) else out(m["x"])))
+        if out is _DOT_RULE:
+            spans = [(a, b, ".") for a, b in _beside_sign(tape.text, [m.span("x") for m in pattern.finditer(tape.text)])]
+        else:
+            spans = [(*m.span("x"), out if isinstance(out, str) else out(m["x"])) for m in pattern.finditer(tape.text)]
         if spans:
             tape.rewrite(spans, SPELLED if callable(out) else SIGN)
     if not tape.new.any():

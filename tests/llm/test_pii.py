@@ -94,3 +94,11 @@ def test_gate_equals_no_gate(parts):
         assert pii.spans_of(text) == gated
     finally:
         pii._suspect = gate
+
+
+def test_spelled_dots_far_from_the_sign():
+    part = "a" * 70
+    for text in (f"{part} dot {part} dot {part}@example.com", f"john@{part} dot {part} dot {part} dot com"):
+        assert text in cover(f"so, {text}, ok", "email")
+    far = "a dot " * 30_000
+    pii.spans_of(far + "b@c.d and " + far)
