@@ -13,7 +13,3 @@ def spark():
     s = local_session(4, shuffle_partitions=4, driver_memory="4g")
     ensure_checkpoint_dir(s, tempfile.mkdtemp(prefix="corpusmill-tests-"))
     yield s
-
-
-def docs_df(spark, texts):
-    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")

@@ -63,7 +63,7 @@ def test_prepared_tables_follow_changed_data(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/documents.parquet")
     first = catalog.corpus(spark, str(tmp_path), "doc")
     assert first.total == 3 and catalog.corpus(spark, str(tmp_path), "doc") is first
-    rows.selectExpr("2 AS doc_id", "'c' AS text", "lang", "source").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    rows.selectExpr("2L AS doc_id", "'c' AS text", "lang", "source").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
     assert catalog.corpus(spark, str(tmp_path), "doc").total == 5
 
 

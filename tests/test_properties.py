@@ -3,7 +3,7 @@ and the prepared stream does not depend on the input's partitioning."""
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from conftest import docs_df
+from helpers import docs_df
 from corpusmill.operators import pack, stream
 
 lengths = st.lists(st.integers(min_value=0, max_value=9), min_size=1, max_size=8)

@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import docs_df
+from helpers import docs_df
 from corpusmill.operators import stream
 from corpusmill.session import scratch_path
 from corpusmill.sources import sinks

@@ -1,7 +1,7 @@
 """G1, J1, J2, W1-W4, W7, J4 against brute force (brute force from the definitions)."""
 import pytest
 
-from conftest import docs_df
+from helpers import docs_df
 from corpusmill.functions.text import split_words
 from corpusmill.operators import pack, stream, tokens, vocab
 from corpusmill.plans.ordering import global_index, global_offsets

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from conftest import docs_df
+from helpers import docs_df
 from corpusmill.operators import subword
 
 TEXTS = ["low lower lowest", "newer newest new", "wide wider", "low low new", ""]

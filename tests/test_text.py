@@ -1,7 +1,7 @@
 """F1, S1, P3, P6, F11 against Python's own string rules."""
 import io
 
-from conftest import docs_df
+from helpers import docs_df
 from corpusmill.functions.text import is_stop_word, line_mode_words, py_strip, split_lines, split_words
 
 
