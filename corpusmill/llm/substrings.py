@@ -11,14 +11,14 @@ Spark rounds meet the names of the whole corpus, each an aggregate by name that
 places to their documents:
 
 1. Interior symbols of some words each. A symbol that occurs once proves every window of
-   ``width`` words around its span unique; the other windows are candidates. Documents
-   without a candidate are done.
-2. High-level symbols (up to ``2 * LONG`` words) of the candidate documents, each with the symbols that
-   the windows starting in it reach into. Such a block that occurs earlier proves all these
+   ``width`` words around its span unique; the other windows are open. Documents
+   without an open window are done.
+2. High-level symbols (up to ``2 * LONG`` words) of the documents with a long stretch of open windows, each with
+   the symbols that the windows starting in it reach into. Such a block that occurs earlier proves all these
    windows repeated: copies are settled a symbol at a time.
-3. Windows of the blocks that occur for the first time, each under its own 128-bit name. The
-   earliest occurrence of any window lies in such a block, so what is not the first of its
-   name is a repeat.
+3. The windows left, each under its own 128-bit name: those of blocks that occur for the first
+   time, and all open ones of documents without blocks. The earliest occurrence of any window is among
+   them, so what is not the first of its name is a repeat.
 
 A word covered by a repeated window goes. Names that decide are 128 bits (two independent
 64-bit names); those of the first step may collide without harm, as this only leaves a window
@@ -40,7 +40,6 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,29 +50,12 @@ WIDTH = 20
 #: Words up to which a symbol still joins a pair, and rounds, for interior and for high-level symbols.
 SHORT, SHORT_ROUNDS = 3, 7
 LONG, LONG_ROUNDS = 32, 16
-#: Words that a task holds as arrays at once, but for a longer document.
-GROUP_WORDS = 400_000
+#: Bytes of text that a task holds as arrays at once, but for a longer document.
+GROUP_BYTES = 400_000
 _FAR = 1 << 40
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
-class _Names(dict):
-    """Word -> 64-bit name; emptied when it holds very many words."""
-
-    def __init__(self, seed: int):
-        super().__init__()
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        name = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return name
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words between U+0020 and U+0009-U+000D."""
     return (text or "").encode("utf-8", "surrogatepass").split()
@@ -147,19 +129,59 @@ class Symbols:
         return self
 
 
+def _powers(base: np.uint64, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of ``base`` and of its inverse."""
+    of = lambda x: np.cumprod(np.concatenate(([np.uint64(1)], np.full(count, x, np.uint64))))
+    return of(base), of(np.uint64(pow(int(base), -1, 2**64)))
+
+
+class _Namer:
+    """Names of byte strings and of ranges of names: the family ``k`` of two independent ones."""
+
+    def __init__(self, k: int):
+        self.base, self.values = _BASE[k], np.random.default_rng(k).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.powers = _powers(self.base, 1 << 16)
+
+    def ranges(self, values: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Names of the ranges ``[a, z)`` of ``values``, from prefix sums."""
+        if len(values) >= len(self.powers[0]):
+            self.powers = _powers(self.base, 2 * len(values))
+        up, back = self.powers
+        prefix = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[:len(values)], out=prefix[1:])
+        return _mix((prefix[z] - prefix[a]) * back[a], (z - a).astype(np.uint64))
+
+    def windows(self, words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+        h = np.zeros(len(starts), np.uint64)
+        for k in range(width):
+            h = h * self.base + words[starts + k]
+        return _mix(h, np.uint64(width))
+
+
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
 class _Group:
-    """Some documents laid end to end: numbers, texts, words, sizes and offsets, and per document the
-    arrays of other columns."""
+    """Some documents laid end to end: numbers, texts, the bytes of their words, sizes and offsets in
+    words, and per document the arrays of other columns."""
 
-    def __init__(self, rows: list[tuple], own: list[list[bytes]]):
+    def __init__(self, rows: list[tuple], raw: list[bytes]):
         self.num = np.array([r[0] for r in rows], dtype=np.int64)
-        self.texts, self.more, self.own = [r[1] for r in rows], [r[2:] for r in rows], own
-        self.sizes = np.array([len(w) for w in own], dtype=np.int64)
-        self.offs = np.cumsum(self.sizes) - self.sizes
-        self.total = int(self.sizes.sum())
-
-    def name(self, names: _Names) -> np.ndarray:
-        return names.of([w for words in self.own for w in words])
+        self.texts, self.more = [r[1] for r in rows], [r[2:] for r in rows]
+        self.raw = b"\n".join([*raw, b""])
+        self.bytes = np.frombuffer(self.raw, np.uint8)
+        edge = np.diff(np.concatenate(([1], _SPACE[self.bytes].astype(np.int8))))
+        self.begin, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        until = np.searchsorted(self.begin, np.cumsum([len(r) + 1 for r in raw]))
+        self.offs = np.concatenate(([0], until[:-1]))
+        self.sizes, self.total = until - self.offs, len(self.begin)
+
+    def name(self, namer: _Namer) -> np.ndarray:
+        return namer.ranges(namer.values[self.bytes], self.begin, self.end)
+
+    def words(self, at: np.ndarray) -> bytes:
+        """The words at these places, joined by a space."""
+        return b" ".join([self.raw[s:e] for s, e in zip(self.begin[at].tolist(), self.end[at].tolist())])
 
     def document(self, at: np.ndarray) -> np.ndarray:
         """The document of each place (empty ones share an offset with the next, which has the word)."""
@@ -203,17 +225,17 @@ def _lists(column) -> list[np.ndarray]:
 
 
 def _groups(batch: pa.RecordBatch, *lists: str):
-    """The rows of a batch in groups of about ``GROUP_WORDS`` words."""
-    rows, own, count = [], [], 0
+    """The rows of a batch in groups of about ``GROUP_BYTES`` bytes of text."""
+    rows, raw, count = [], [], 0
     for row in zip(batch["num"].to_pylist(), batch["text"].to_pylist(), *(_lists(batch[c]) for c in lists)):
         rows.append(row)
-        own.append(words_of(row[1]))
-        count += len(own[-1])
-        if count >= GROUP_WORDS:
-            yield _Group(rows, own)
-            rows, own, count = [], [], 0
+        raw.append((row[1] or "").encode("utf-8", "surrogatepass"))
+        count += len(raw[-1])
+        if count >= GROUP_BYTES:
+            yield _Group(rows, raw)
+            rows, raw, count = [], [], 0
     if rows:
-        yield _Group(rows, own)
+        yield _Group(rows, raw)
 
 
 def _signed(names: np.ndarray) -> np.ndarray:
@@ -229,7 +251,7 @@ def _interior(b: int, width: int):
     w = _bits(width)
 
     def run(batches):
-        names = _Names(0)
+        names = _Namer(0)
         for batch in batches:
             for g in _groups(batch):
                 s = Symbols(g.name(names), g.sizes).compress(SHORT_ROUNDS, SHORT)
@@ -242,11 +264,12 @@ def _interior(b: int, width: int):
 
 
 def _open_starts(width: int):
-    """Ranges ``[s, e)`` of window starts that no unique span rules out, flat."""
+    """``open``: ranges ``[s, e)`` of window starts that no unique span rules out, flat; the
+    ``longest`` of them and the ``count`` of starts."""
     w = _bits(width)
 
-    @F.pandas_udf("array<bigint>")
-    def udf(n: pd.Series, spans: pd.Series) -> pd.Series:
+    @F.pandas_udf("open array<bigint>, longest bigint, count bigint")
+    def udf(n: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
         for size, own in zip(n, spans):
             count = size - width + 1
@@ -263,7 +286,8 @@ def _open_starts(width: int):
             np.add.at(mark, np.clip(hi - width, 0, count), 1)
             np.add.at(mark, np.clip(lo + 1, 0, count), -1)
             out.append(_ranges(np.cumsum(mark)[:count] == 0))
-        return pd.Series(out)
+        sizes = [[e - s for s, e in zip(o[::2], o[1::2])] for o in out]
+        return pd.DataFrame({"open": out, "longest": [max(x, default=0) for x in sizes], "count": list(map(sum, sizes))})
 
     return udf
 
@@ -274,83 +298,63 @@ def _ranges(mask: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def _poly(values: np.ndarray, a: np.ndarray, z: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Names of the ranges ``[a, z)`` of ``values``, from prefix sums."""
-    powers = lambda x: np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(values), x, np.uint64))))
-    prefix = np.concatenate(([np.uint64(0)], np.cumsum(values * powers(base)[:-1])))
-    back = powers(np.uint64(pow(int(base), -1, 2**64)))
-    return _mix((prefix[z] - prefix[a]) * back[a], (z - a).astype(np.uint64))
-
-
-class _Blocks:
-    """The high-level symbols of a group. The block of a symbol holds also the symbols that the
-    windows starting in it reach into; ``touched`` are those in which an open window starts."""
-
-    def __init__(self, g: _Group, opened: np.ndarray, names: _Names, width: int):
-        self.one = g.name(names)
-        s = Symbols(self.one, g.sizes).compress(LONG_ROUNDS, LONG)
-        self.start, self.end = s.start, s.end
-        doc = g.document(s.start)
-        until = np.minimum(s.end + width - 1, g.offs[doc] + g.sizes[doc])
-        self.reach = np.searchsorted(s.start, until, side="left")
-        held = np.concatenate(([0], np.cumsum(opened)))
-        self.touched = np.flatnonzero(held[s.end] > held[s.start])
-
-    def names(self, words: np.ndarray, base: np.uint64) -> np.ndarray:
-        """Names of the touched blocks, from the names of their symbols."""
-        symbols = _poly(words, self.start, self.end, base)
-        return _poly(symbols, self.touched, self.reach[self.touched], base)
+_CANDIDATE = "num bigint, text string, open array<bigint>, start array<bigint>, end array<bigint>, one array<bigint>, two array<bigint>"
 
 
-def _window_names(words: np.ndarray, starts: np.ndarray, base: np.uint64, width: int) -> np.ndarray:
-    h = np.zeros(len(starts), np.uint64)
-    for k in range(width):
-        h = h * base + words[starts + k]
-    return _mix(h, np.uint64(width))
+def _list(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
-def _named(one: np.ndarray, two: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(_signed(one)), pa.array(_signed(two)), pa.array(at)], names=["one", "two", "at"])
-
-
-def _blocks(b: int, width: int):
+def _blocks(width: int):
+    """Candidates with the high-level symbols in which an open window starts. The names of such a
+    block are made from those of the symbol and of the symbols that its windows reach into."""
     def run(batches):
-        names = _Names(0), _Names(1)
+        namers = _Namer(0), _Namer(1)
         for batch in batches:
             for g in _groups(batch, "open"):
-                own = _Blocks(g, g.mask(0), names[0], width)
-                yield _named(own.names(own.one, _BASE[0]), own.names(g.name(names[1]), _BASE[1]), g.packed(own.start[own.touched], b))
+                words = [g.name(n) for n in namers]
+                s = Symbols(words[0], g.sizes).compress(LONG_ROUNDS, LONG)
+                doc = g.document(s.start)
+                reach = np.searchsorted(s.start, np.minimum(s.end + width - 1, (g.offs + g.sizes)[doc]))
+                held = np.concatenate(([0], np.cumsum(g.mask(0))))
+                k = np.flatnonzero(held[s.end] > held[s.start])
+                names = [n.ranges(n.ranges(w, s.start, s.end), k, reach[k]) for n, w in zip(namers, words)]
+                ends, off = np.searchsorted(doc[k], np.arange(len(g.num) + 1)), g.offs[doc[k]]
+                opened = [m[0] for m in g.more]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g.num), pa.array(g.texts, pa.string()), pa.array(opened, pa.list_(pa.int64())), _list(s.start[k] - off, ends),
+                     _list(s.end[k] - off, ends), *(_list(_signed(n), ends) for n in names)], names=_columns(_CANDIDATE))
 
     return run
 
 
-_SPLIT = "num bigint, text string, copied array<bigint>, tested array<bigint>"
-
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
-def _settle(width: int):
-    """Open starts as ``copied`` (in blocks that occur earlier) and ``tested`` (in first blocks)."""
-    def run(batches):
-        names = _Names(0)
-        for batch in batches:
-            for g in _groups(batch, "open", "at"):
-                opened = g.mask(0)
-                own = _Blocks(g, opened, names, width)
-                new = own.touched[np.isin(own.start[own.touched], g.places(1))]
-                first = _between(own.start[new], own.end[new], g.total)
-                yield pa.RecordBatch.from_arrays([pa.array(g.num), pa.array(g.texts, pa.string()), g.ranges(opened & ~first), g.ranges(opened & first)],
-                                                 names=["num", "text", "copied", "tested"])
 
-    return run
+def _settle(opened: pd.Series, start: pd.Series, end: pd.Series, firsts: pd.Series) -> pd.DataFrame:
+    """Open starts in blocks that occur earlier, and those in first blocks, as ranges."""
+    copied, tested, count = [], [], []
+    for o, s, e, f in zip(opened, start, end, firsts):
+        size = int(o[-1])
+        mask = _between(o[::2], o[1::2], size)
+        new = np.isin(s, f) if f is not None else np.zeros(len(s), bool)
+        first = _between(np.minimum(s[new], size), np.minimum(e[new], size), size)
+        copied.append(_ranges(mask & ~first))
+        tested.append(_ranges(mask & first))
+        count.append(int((mask & first).sum()))
+    return pd.DataFrame({"copied": copied, "tested": tested, "count": count})
 
 
 def _windows(b: int, width: int):
     def run(batches):
-        names = _Names(0), _Names(1)
+        namers = _Namer(0), _Namer(1)
         for batch in batches:
             for g in _groups(batch, "tested"):
                 starts = np.flatnonzero(g.mask(0))
                 if len(starts):
-                    yield _named(*(_window_names(g.name(n), starts, base, width) for n, base in zip(names, _BASE)), g.packed(starts, b))
+                    names = [_signed(n.windows(g.name(n), starts, width)) for n in namers]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, names), pa.array(g.packed(starts, b))], names=["one", "two", "at"])
 
     return run
 
@@ -369,14 +373,14 @@ def _removed(width: int):
                 at = np.flatnonzero(again | g.mask(0))
                 gone = _between(at, at + width, g.total)
                 rows = []
-                for num, words, off in zip(g.num.tolist(), g.own, g.offs.tolist()):
-                    out = gone[off:off + len(words)]
+                for num, off, size in zip(g.num.tolist(), g.offs.tolist(), g.sizes.tolist()):
+                    out = gone[off:off + size]
                     if out.any():
-                        kept = b" ".join([words[k] for k in np.flatnonzero(~out).tolist()])
-                        rows.append((num, int(out.sum()), kept.decode("utf-8", "surrogatepass"), _ranges(out)))
+                        kept = g.words(off + np.flatnonzero(~out)).decode("utf-8", "surrogatepass")
+                        rows.append((num, int(out.sum()), kept, _ranges(out)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                        zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())))], names=["num", "n_removed", "kept", "spans"])
+                        zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())))], names=_columns(_GONE))
 
     return run
 
@@ -385,8 +389,11 @@ def digests(text: str = "text") -> Column:
     """A struct ``(n_words, sha)``: the number of words, and SHA-256 of the words joined by one space."""
     @F.pandas_udf("n_words bigint, sha string")
     def udf(texts: pd.Series) -> pd.DataFrame:
-        own = [words_of(t) for t in texts]
-        return pd.DataFrame({"n_words": [len(w) for w in own], "sha": [hashlib.sha256(b" ".join(w)).hexdigest() for w in own]})
+        rows = []
+        for t in texts:  # one text's words in memory at a time
+            own = words_of(t)
+            rows.append((len(own), hashlib.sha256(b" ".join(own)).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_words", "sha"])
 
     return udf(F.col(text))
 
@@ -406,7 +413,7 @@ def repeats(docs: DataFrame, sizes: DataFrame, width: int = WIDTH) -> DataFrame:
     word ranges ``s, e, s, e ...`` that go. ``sizes (doc_id, th, n_words)`` is a written table with a row for every row of
     ``docs``; ``th`` is the hash of the text."""
     keys = sizes.where(F.col("n_words") >= width)
-    r = keys.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids"), F.min("doc_id").alias("lo"),
+    r = sizes.where("n_words > 0").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids"), F.min("doc_id").alias("lo"),
                  F.max("doc_id").alias("hi"), F.max("n_words").alias("most")).first()
     b, w = _bits(r["most"] or 0), _bits(width)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
@@ -425,14 +432,25 @@ def repeats(docs: DataFrame, sizes: DataFrame, width: int = WIDTH) -> DataFrame:
     single = symbols.groupBy("name").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")).where("n = 1").select("at")
     spans = _by_document(single, b + w)
     sized = numbered.select("num", F.col("n_words").alias("n"))
-    opened = sized.join(spans.hint("merge"), "num", "left").select("num", _open_starts(width)("n", "at").alias("open")) \
-        .where(F.size("open") > 0)
+    opened = sized.join(spans.hint("merge"), "num", "left").select("num", _open_starts(width)("n", "at").alias("m")) \
+        .select("num", "m.open", "m.longest", "m.count").where(F.size("open") > 0)
     # the texts and what is known of them meet by shuffle at every size, never by broadcast
-    candidates = materialize(texts.join(opened.hint("merge"), "num"), "substring-candidates")
-    blocks = _by_document(_earliest(candidates.mapInArrow(_blocks(b, width), "one bigint, two bigint, at bigint")), b)
-    split = materialize(candidates.join(blocks.hint("merge"), "num", "left").mapInArrow(_settle(width), _SPLIT), "substring-blocks")
+    found = materialize(texts.join(opened.hint("merge"), "num"), "substring-open")
+    # a copied passage of some length is one long range; a document without one is tested window by window
+    candidates = materialize(found.where(F.col("longest") >= 2 * LONG).mapInArrow(_blocks(width), _CANDIDATE), "substring-candidates")
+    named = candidates.select("num", F.explode(F.arrays_zip("one", "two", "start")).alias("x")) \
+        .select("x.one", "x.two", (F.shiftleft("num", b) + F.col("x.start")).alias("at"))
+    firsts = _by_document(_earliest(named), b)
+    settled = F.pandas_udf(_settle, "copied array<bigint>, tested array<bigint>, count bigint")
+    split = candidates.join(firsts.hint("merge"), "num", "left") \
+        .select("num", "text", settled("open", "start", "end", "at").alias("m")).select("num", "text", "m.*")
+    direct = found.where(F.col("longest") < 2 * LONG).select("num", "text", F.array().cast("array<bigint>").alias("copied"), F.col("open").alias("tested"),
+                                                            "count")
+    split = materialize(split.unionByName(direct), "substring-blocks")
     windows = _by_document(_earliest(split.mapInArrow(_windows(b, width), "one bigint, two bigint, at bigint")), b)
-    gone = split.join(windows.hint("merge"), "num", "left").mapInArrow(_removed(width), _GONE)
+    # where every tested window is the first and none is copied, no word goes
+    gone = split.join(windows.hint("merge"), "num", "left").where("size(copied) > 0 OR coalesce(size(at), 0) < count") \
+        .drop("count").mapInArrow(_removed(width), _GONE)
     key = numbered.select("num", "doc_id", "th")
     return key.join(gone.hint("merge"), "num").select("doc_id", "th", "n_removed", "kept", "spans")
 

@@ -46,7 +46,7 @@ def corpus(seed, n=60, vocabulary=12):
 @pytest.mark.parametrize("seed,shift,long", [(1, 0, 32), (2, -30, 32), (3, 2**60, 6)])
 def test_query_equals_brute_force(spark, write_tables, monkeypatch, seed, shift, long):
     monkeypatch.setattr(substrings, "LONG", long)
-    monkeypatch.setattr(substrings, "GROUP_WORDS", 300)
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 900)
     rows = [(k + shift, t) for k, t in corpus(seed)]
     path = write_tables(documents=spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.query(spark, path).collect()}
