@@ -47,8 +47,9 @@ from corpusmill.llm.common import fresh, materialize, ship, table
 from corpusmill.plans.ordering import global_rank
 
 WIDTH = 20
-#: Words up to which a symbol still joins a pair, and rounds, for interior and for high-level symbols.
-SHORT, SHORT_ROUNDS = 3, 7
+#: Words up to which a symbol still joins a pair, and rounds, for interior and for high-level symbols;
+#: words that an interior symbol needs to be counted (smaller ones are rarely unique).
+SHORT, SHORT_ROUNDS, SHORT_LEAST = 3, 6, 3
 LONG, LONG_ROUNDS = 32, 16
 #: Bytes of text that a task holds as arrays at once, but for a longer document.
 GROUP_BYTES = 400_000
@@ -167,9 +168,8 @@ class _Group:
 
     def __init__(self, rows: list[tuple], raw: list[bytes]):
         self.num = np.array([r[0] for r in rows], dtype=np.int64)
-        self.texts, self.more = [r[1] for r in rows], [r[2:] for r in rows]
-        self.raw = b"\n".join([*raw, b""])
-        self.bytes = np.frombuffer(self.raw, np.uint8)
+        self.more = [r[2:] for r in rows]
+        self.bytes = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
         edge = np.diff(np.concatenate(([1], _SPACE[self.bytes].astype(np.int8))))
         self.begin, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         until = np.searchsorted(self.begin, np.cumsum([len(r) + 1 for r in raw]))
@@ -179,10 +179,6 @@ class _Group:
     def name(self, namer: _Namer) -> np.ndarray:
         return namer.ranges(namer.values[self.bytes], self.begin, self.end)
 
-    def words(self, at: np.ndarray) -> bytes:
-        """The words at these places, joined by a space."""
-        return b" ".join([self.raw[s:e] for s, e in zip(self.begin[at].tolist(), self.end[at].tolist())])
-
     def document(self, at: np.ndarray) -> np.ndarray:
         """The document of each place (empty ones share an offset with the next, which has the word)."""
         return np.searchsorted(self.offs, at, side="right") - 1
@@ -197,14 +193,6 @@ class _Group:
         edge = self.places(column)
         return _between(edge[::2], edge[1::2], self.total)
 
-    def ranges(self, mask: np.ndarray) -> pa.ListArray:
-        """The runs of true places by document, flat. Runs never touch over a document's end, as no
-        window starts at its last words."""
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-        doc = np.repeat(self.document(edge[::2]), 2)
-        ends = np.searchsorted(doc, np.arange(len(self.num) + 1))
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((edge - self.offs[doc]).astype(np.int64)))
-
     def packed(self, at: np.ndarray, b: int) -> np.ndarray:
         doc = self.document(at)
         return (self.num[doc] << b) | (at - self.offs[doc])
@@ -255,7 +243,7 @@ def _interior(b: int, width: int):
         for batch in batches:
             for g in _groups(batch):
                 s = Symbols(g.name(names), g.sizes).compress(SHORT_ROUNDS, SHORT)
-                held = s.hi - s.lo <= width
+                held = (s.hi - s.lo <= width) & (s.end - s.start >= SHORT_LEAST)
                 lo, length = s.lo[held], (s.hi - s.lo)[held]
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(s.name[held])), pa.array((g.packed(lo, b) << w) | length)],
                                                  names=["name", "at"])
@@ -298,7 +286,31 @@ def _ranges(mask: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-_CANDIDATE = "num bigint, text string, open array<bigint>, start array<bigint>, end array<bigint>, one array<bigint>, two array<bigint>"
+def _cut(width: int):
+    """The words of a text that its open windows cover, as ``piece``; ``cover`` has their ranges in the text, ``open`` the
+    starts of open windows within the piece."""
+    def cut(texts: pd.Series, opened: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, ranges in zip(texts, opened):
+            words, cover, own, piece, shift = words_of(text), [], [], [], 0
+            for s, e in zip(ranges[::2].tolist(), ranges[1::2].tolist()):
+                if not cover or s > cover[-1]:
+                    shift = s - len(piece)
+                    cover += [s, s]
+                piece += words[cover[-1]:e + width - 1]
+                cover[-1] = e + width - 1
+                own += [s - shift, e - shift]
+            rows.append((b" ".join(piece).decode("utf-8", "surrogatepass"), cover, own))
+        return pd.DataFrame(rows, columns=["piece", "cover", "open"])
+
+    return F.pandas_udf(cut, "piece string, cover array<bigint>, open array<bigint>")
+
+
+_CANDIDATE = "num bigint, cover array<bigint>, open array<bigint>, start array<bigint>, end array<bigint>, one array<bigint>, two array<bigint>"
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _list(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
@@ -306,32 +318,31 @@ def _list(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
 
 
 def _blocks(width: int):
-    """Candidates with the high-level symbols in which an open window starts. The names of such a
-    block are made from those of the symbol and of the symbols that its windows reach into."""
+    """The high-level symbols in which an open window starts. The names of such a block are made
+    from those of the symbol and of the symbols that its windows reach into."""
     def run(batches):
         namers = _Namer(0), _Namer(1)
         for batch in batches:
-            for g in _groups(batch, "open"):
+            for g in _groups(batch, "open", "cover"):
                 words = [g.name(n) for n in namers]
-                s = Symbols(words[0], g.sizes).compress(LONG_ROUNDS, LONG)
-                doc = g.document(s.start)
-                reach = np.searchsorted(s.start, np.minimum(s.end + width - 1, (g.offs + g.sizes)[doc]))
+                # no symbol reaches from one covered range into the next
+                sizes = np.concatenate([m[1][1::2] - m[1][::2] for m in g.more])
+                s, until = Symbols(words[0], sizes).compress(LONG_ROUNDS, LONG), np.cumsum(sizes)
+                behind = until[np.searchsorted(until, s.start, side="right")]
+                reach = np.searchsorted(s.start, np.minimum(s.end + width - 1, behind))
                 held = np.concatenate(([0], np.cumsum(g.mask(0))))
                 k = np.flatnonzero(held[s.end] > held[s.start])
                 names = [n.ranges(n.ranges(w, s.start, s.end), k, reach[k]) for n, w in zip(namers, words)]
-                ends, off = np.searchsorted(doc[k], np.arange(len(g.num) + 1)), g.offs[doc[k]]
-                opened = [m[0] for m in g.more]
+                doc = g.document(s.start[k])
+                ends, off = np.searchsorted(doc, np.arange(len(g.num) + 1)), g.offs[doc]
+                opened, cover = (pa.array([m[c] for m in g.more], pa.list_(pa.int64())) for c in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.num), pa.array(g.texts, pa.string()), pa.array(opened, pa.list_(pa.int64())), _list(s.start[k] - off, ends),
-                     _list(s.end[k] - off, ends), *(_list(_signed(n), ends) for n in names)], names=_columns(_CANDIDATE))
+                    [pa.array(g.num), cover, opened, _list(s.start[k] - off, ends), _list(s.end[k] - off, ends),
+                     *(_list(_signed(n), ends) for n in names)], names=_columns(_CANDIDATE))
 
     return run
 
 
-def _columns(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
-
-
 def _settle(opened: pd.Series, start: pd.Series, end: pd.Series, firsts: pd.Series) -> pd.DataFrame:
     """Open starts in blocks that occur earlier, and those in first blocks, as ranges."""
     copied, tested, count = [], [], []
@@ -359,30 +370,38 @@ def _windows(b: int, width: int):
     return run
 
 
-_GONE = "num bigint, n_removed bigint, kept string, spans array<bigint>"
-
-
-def _removed(width: int):
-    """``(num, n_removed, kept, spans)`` of documents that lose words: the text that stays and the
-    word ranges that go."""
-    def run(batches):
-        for batch in batches:
-            for g in _groups(batch, "copied", "tested", "at"):
-                again = g.mask(1)
-                again[g.places(2)] = False
-                at = np.flatnonzero(again | g.mask(0))
-                gone = _between(at, at + width, g.total)
-                rows = []
-                for num, off, size in zip(g.num.tolist(), g.offs.tolist(), g.sizes.tolist()):
-                    out = gone[off:off + size]
-                    if out.any():
-                        kept = g.words(off + np.flatnonzero(~out)).decode("utf-8", "surrogatepass")
-                        rows.append((num, int(out.sum()), kept, _ranges(out)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                        zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())))], names=_columns(_GONE))
-
-    return run
+def _spans(width: int):
+    """The word ranges of a text that go, flat, and their number of words."""
+    def spans(cover: pd.Series, copied: pd.Series, tested: pd.Series, firsts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c, old, new, first in zip(cover, copied, tested, firsts):
+            size = int((c[1::2] - c[::2]).sum())
+            again = _between(new[::2], new[1::2], size)
+            if first is not None:
+                again[first] = False
+            at = np.flatnonzero(again | _between(old[::2], old[1::2], size))
+            gone = np.flatnonzero(_between(at, at + width, size))
+            # places in the piece to places in the text
+            ends = np.cumsum(c[1::2] - c[::2])
+            part = np.searchsorted(ends, gone, side="right")
+            gone = gone + (c[1::2] - ends)[part]
+            cut = np.flatnonzero(np.diff(gone) != 1)
+            rows.append((len(gone), np.stack((gone[np.concatenate(([0], cut + 1))], gone[np.append(cut, len(gone) - 1)] + 1), axis=1).ravel()))
+        return pd.DataFrame(rows, columns=["n_removed", "spans"])
+
+    return F.pandas_udf(spans, "n_removed bigint, spans array<bigint>")
+
+
+def _kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """The words outside of the spans, joined by a space."""
+    out = []
+    for text, own in zip(texts, spans):
+        words, kept, at = words_of(text), [], 0
+        for s, e in zip(own[::2].tolist(), own[1::2].tolist()):
+            kept += words[at:s]
+            at = e
+        out.append(b" ".join(kept + words[at:]).decode("utf-8", "surrogatepass"))
+    return pd.Series(out, dtype=object)
 
 
 def digests(text: str = "text") -> Column:
@@ -435,22 +454,27 @@ def repeats(docs: DataFrame, sizes: DataFrame, width: int = WIDTH) -> DataFrame:
     opened = sized.join(spans.hint("merge"), "num", "left").select("num", _open_starts(width)("n", "at").alias("m")) \
         .select("num", "m.open", "m.longest", "m.count").where(F.size("open") > 0)
     # the texts and what is known of them meet by shuffle at every size, never by broadcast
-    found = materialize(texts.join(opened.hint("merge"), "num"), "substring-open")
+    found = materialize(texts.join(opened.hint("merge"), "num").select("num", _cut(width)("text", "open").alias("m"), "longest", "count")
+                        .select("num", "m.*", "longest", "count"), "substring-open")
     # a copied passage of some length is one long range; a document without one is tested window by window
-    candidates = materialize(found.where(F.col("longest") >= 2 * LONG).mapInArrow(_blocks(width), _CANDIDATE), "substring-candidates")
+    long_ = F.col("longest") >= 2 * LONG
+    pieces = found.where(long_).select("num", F.col("piece").alias("text"), "cover", "open")
+    candidates = materialize(pieces.mapInArrow(_blocks(width), _CANDIDATE), "substring-candidates")
     named = candidates.select("num", F.explode(F.arrays_zip("one", "two", "start")).alias("x")) \
         .select("x.one", "x.two", (F.shiftleft("num", b) + F.col("x.start")).alias("at"))
-    firsts = _by_document(_earliest(named), b)
     settled = F.pandas_udf(_settle, "copied array<bigint>, tested array<bigint>, count bigint")
-    split = candidates.join(firsts.hint("merge"), "num", "left") \
-        .select("num", "text", settled("open", "start", "end", "at").alias("m")).select("num", "text", "m.*")
-    direct = found.where(F.col("longest") < 2 * LONG).select("num", "text", F.array().cast("array<bigint>").alias("copied"), F.col("open").alias("tested"),
-                                                            "count")
-    split = materialize(split.unionByName(direct), "substring-blocks")
-    windows = _by_document(_earliest(split.mapInArrow(_windows(b, width), "one bigint, two bigint, at bigint")), b)
+    split = candidates.join(_by_document(_earliest(named), b).hint("merge"), "num", "left") \
+        .select("num", "cover", settled("open", "start", "end", "at").alias("m")).select("num", "cover", "m.*")
+    split = materialize(split, "substring-blocks")
+    direct = found.where(~long_).select("num", "cover", F.array().cast("array<bigint>").alias("copied"), F.col("open").alias("tested"), "count")
+    tested = found.where(~long_).select("num", F.col("piece").alias("text"), F.col("open").alias("tested")) \
+        .unionByName(pieces.select("num", "text").join(split.where("count > 0").select("num", "tested").hint("merge"), "num"))
+    windows = _by_document(_earliest(tested.mapInArrow(_windows(b, width), "one bigint, two bigint, at bigint")), b)
     # where every tested window is the first and none is copied, no word goes
-    gone = split.join(windows.hint("merge"), "num", "left").where("size(copied) > 0 OR coalesce(size(at), 0) < count") \
-        .drop("count").mapInArrow(_removed(width), _GONE)
+    lost = split.unionByName(direct).join(windows.hint("merge"), "num", "left").where("size(copied) > 0 OR coalesce(size(at), 0) < count") \
+        .select("num", _spans(width)("cover", "copied", "tested", "at").alias("m")).select("num", "m.*")
+    kept = F.pandas_udf(_kept, "string")
+    gone = texts.join(materialize(lost, "substring-spans").hint("merge"), "num").select("num", "n_removed", kept("text", "spans").alias("kept"), "spans")
     key = numbered.select("num", "doc_id", "th")
     return key.join(gone.hint("merge"), "num").select("doc_id", "th", "n_removed", "kept", "spans")
 
