@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import conversations, decontaminate, htmltext, langid, licenses, linededup, mixing, pii, quality, simhash, substrings, warc
+from corpusmill.llm import conversations, decontaminate, htmltext, langid, licenses, linededup, mixing, pii, quality, simhash, spellings, substrings, warc
 
 QUERIES = {"op2_language_id": langid.query,
            "op8_license_scan": licenses.query,
@@ -12,7 +12,7 @@ QUERIES = {"op2_language_id": langid.query,
            "op3_mix_sources": mixing.query, "op5_simhash_golay": simhash.query,
            "op1_personal_data": pii.query, "op10_quality_rules": quality.query,
            "op11_substring_dedup": substrings.query,
-           "op13_conversation_repair": conversations.query}
+           "op12_spelling_variants": spellings.query, "op13_conversation_repair": conversations.query}
 
 
 def oracle_sql() -> dict[str, str]:
