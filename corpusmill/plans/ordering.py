@@ -1,20 +1,16 @@
-"""Global order without a single-task window (W1, G1's ranking).
+"""Global order without a single-task window (W1, G1's ranking, T4's steps).
 
 A plain ``Window.orderBy(key)`` moves every row into one task. Instead:
 
-1. bucket bounds from ``percentile_approx(key)`` (one aggregation pass; only the
-   bounds -- at most ``max_buckets`` scalars -- reach the driver); past ``max_buckets``
-   buckets each quantile range is cut again into equal-width parts;
-2. ``bucket(key)`` is a balanced CASE tree over the bounds (O(log k) compares per row),
-   a deterministic expression of the key, so recomputation after a lost executor
-   yields the same buckets;
-3. per-bucket totals (at most k rows), their exclusive prefix over one tiny window,
-   broadcast back -- the broadcast is bounded by k, not by the data;
-4. inside a bucket, a partitioned window ordered by the full key.
-
-Rows with the same leading key share a bucket, so the leading key must not be a
-hot key holding a large share of the rows (true for ``doc_id``: one row per document,
-and for first occurrences: one row per distinct word).
+1. the engine's range exchange (``repartitionByRange`` on the whole order key, then a sort inside
+   each partition) puts the rows in order over ``rows / rows_per_bucket`` partitions, however many
+   that are; rows that share a hot leading key are split by the columns behind it;
+2. ``monotonically_increasing_id`` notes each row's partition and place, and the rows are written:
+   the layout is computed once, so a lost executor cannot change it;
+3. one small row per partition (its count, or the sum of a measure) gets its exclusive prefix in an
+   ordered window and is broadcast back -- bounded by the number of partitions, not by the data.
+
+At most ``rows_per_bucket`` rows need none of this: one ordered window is bounded then.
 """
 
 from __future__ import annotations
@@ -22,134 +18,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.lineage import materialize
+
 ROWS_PER_BUCKET = 4_000_000
-MAX_BUCKETS = 512
-_ACCURACY = 100_000
-
-
-FINE_SPLITS = 16
-
-
-def numeric_buckets(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET,
-                    max_buckets: int = MAX_BUCKETS, fine_splits: int = FINE_SPLITS) -> Column | None:
-    """A monotone, deterministic bucket expression of a numeric ``key`` for about
-    ``count / rows_per_bucket`` buckets, or None when one bucket suffices.
-
-    Coarse buckets: split points from ``percentile_approx`` (one pass, with min and max; at
-    most ``max_buckets`` scalars reach the driver), looked up by a balanced CASE tree. When
-    more than ``max_buckets`` buckets are needed, each coarse range is cut again into up to
-    ``fine_splits`` equal-width parts (its edges come from a literal array, O(1) per row);
-    quantile ranges have roughly even density, so equal widths inside them stay balanced.
-    """
-    grid = max(2, max_buckets)
-    pcts = [i / grid for i in range(1, grid)]
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, pcts, _ACCURACY).alias("q"),
-                 F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    n, q = row["n"], row["q"]
-    want = max(1, -(-n // max(1, rows_per_bucket)))
-    if want <= 1 or not q:
-        return None
-    k = min(grid, want)
-    bounds = sorted(set(q[round(j * grid / k) - 1] for j in range(1, k)))
-    # null keys come first, as in a single ordered window
-    first = F.col(key).isNull()
-    coarse = F.when(first, F.lit(0)).otherwise(bucket_of(F.col(key), bounds))
-    m = min(int(fine_splits), -(-want // k)) if want > grid else 1
-    if m <= 1:
-        return coarse
-    edges = [row["lo"]] + bounds + [row["hi"] + 1]
-    arr = F.array(*[F.lit(e) for e in edges])
-    lo = F.element_at(arr, coarse + 1).cast("double")
-    hi = F.element_at(arr, coarse + 2).cast("double")
-    fine = F.floor((F.col(key).cast("double") - lo) * m / (hi - lo)).cast("int")
-    return F.when(first, F.lit(0)).otherwise(coarse * m + F.least(F.lit(m - 1), F.greatest(F.lit(0), fine)))
-
-
-def bucket_of(key: Column, bounds: list, lo: int = 0, hi: int | None = None) -> Column:
-    """Number of bounds <= key, as a balanced CASE tree (depth log2(len(bounds)))."""
-    if hi is None:
-        hi = len(bounds)
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key < F.lit(bounds[mid]), bucket_of(key, bounds, lo, mid)) \
-        .otherwise(bucket_of(key, bounds, mid + 1, hi))
-
-
-def _with_base(df: DataFrame, bucket: str, measure: Column, base: str) -> DataFrame:
-    totals = df.groupBy(bucket).agg(F.sum(measure).alias("_total"))
-    prior = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(bucket, F.coalesce(F.sum("_total").over(prior), F.lit(0)).cast("bigint").alias(base))
-    # bounded by the number of buckets (<= MAX_BUCKETS rows), not by the data
-    return df.join(F.broadcast(bases), bucket)
+#: Bits of ``monotonically_increasing_id`` that hold the place inside a partition.
+_PLACE_BITS = 33
+
+
+def ranges_needed(df: DataFrame, rows_per_bucket: int, max_buckets: int | None = None) -> int:
+    parts = -(-df.count() // max(1, rows_per_bucket))
+    return min(parts, max_buckets) if max_buckets else parts
+
+
+def range_ordered(df: DataFrame, order: list[str], parts: int, name: str = "ordered") -> DataFrame:
+    """``df`` written in ``order`` (null first) over ``parts`` range partitions, with ``_part``, the
+    partition's number, and ``_place``, the row's place in it."""
+    spread = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    t = materialize(spread.withColumn("_m", F.monotonically_increasing_id()), name)
+    place = F.col("_m").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return t.withColumn("_part", F.shiftright("_m", _PLACE_BITS)).withColumn("_place", place).drop("_m")
+
+
+def _with_base(t: DataFrame, measure: Column) -> DataFrame:
+    totals = t.groupBy("_part").agg(F.sum(measure).alias("_total"))
+    prior = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_part", F.coalesce(F.sum("_total").over(prior), F.lit(0)).cast("bigint").alias("_base"))
+    # one row per range partition: bounded by their number
+    return t.join(F.broadcast(bases), "_part")
 
 
 def global_offsets(df: DataFrame, key: str, size: str, out: str = "off", order: list[str] | None = None,
-                   rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                   rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int | None = None) -> DataFrame:
     """Exclusive prefix sum of ``size`` in ``order`` (default ``[key]``), as column ``out``."""
     order = order or [key]
-    bucket = numeric_buckets(df, key, rows_per_bucket, max_buckets)
-    if bucket is None:  # at most rows_per_bucket rows: one ordered window is bounded
+    parts = ranges_needed(df, rows_per_bucket, max_buckets)
+    if parts <= 1:
         w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(size).over(w), F.lit(0)).cast("bigint"))
-    t = df.withColumn("_b", bucket)
-    t = _with_base(t, "_b", F.col(size), "_base")
-    w = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    t = _with_base(range_ordered(df, order, parts), F.col(size))
+    w = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     return (t.withColumn(out, (F.col("_base") + F.coalesce(F.sum(size).over(w), F.lit(0))).cast("bigint"))
-             .drop("_b", "_base"))
+             .drop("_part", "_place", "_base"))
 
 
-def _ranked(df: DataFrame, bucket: Column | None, order: list[str], out: str) -> DataFrame:
-    if bucket is None:  # at most rows_per_bucket rows: one ordered window is bounded
+def global_rank(df: DataFrame, order: list[str], out: str = "idx", rows_per_bucket: int = ROWS_PER_BUCKET,
+                max_buckets: int | None = None) -> DataFrame:
+    """0-based row number of every row in ``order``, a total order over any comparable columns."""
+    parts = ranges_needed(df, rows_per_bucket, max_buckets)
+    if parts <= 1:
         return df.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
-    t = df.withColumn("_b", bucket)
-    t = _with_base(t, "_b", F.lit(1), "_base")
-    w = Window.partitionBy("_b").orderBy(*order)
-    return (t.withColumn(out, (F.col("_base") + F.row_number().over(w) - 1).cast("bigint"))
-             .drop("_b", "_base"))
+    t = _with_base(range_ordered(df, order, parts), F.lit(1))
+    return t.withColumn(out, (F.col("_base") + F.col("_place")).cast("bigint")).drop("_part", "_place", "_base")
 
 
 def global_index(df: DataFrame, key: str, order: list[str] | None = None, out: str = "idx",
-                 rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                 rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int | None = None) -> DataFrame:
     """0-based row number of every row in ``order`` (a total order whose first column is ``key``)."""
-    order = order or [key]
-    return _ranked(df, numeric_buckets(df, key, rows_per_bucket, max_buckets), order, out)
-
-
-def range_bounds(df: DataFrame, order: list[str], rows_per_bucket: int = ROWS_PER_BUCKET,
-                 max_buckets: int = MAX_BUCKETS, per_bucket_sample: int = 64, seed: int = 7) -> list[tuple]:
-    """Split points (tuples of the full ``order`` key) from a seeded sample: rows sharing a
-    hot leading key are still split across buckets by the following columns. At most
-    ``max_buckets * per_bucket_sample`` sampled keys reach the driver."""
-    n = df.count()
-    k = min(max_buckets, max(1, -(-n // max(1, rows_per_bucket))))
-    if k <= 1:
-        return []
-    frac = min(1.0, k * per_bucket_sample / n)
-    rows = [tuple(r) for r in df.select(*order).sample(fraction=frac, seed=seed).collect()]
-    rows = sorted(r for r in rows if all(v is not None for v in r))
-    if not rows:
-        return []
-    picks = [rows[min(len(rows) - 1, (j * len(rows)) // k)] for j in range(1, k)]
-    return sorted(set(picks))
-
-
-def bucket_of_key(cols: list[str], bounds: list[tuple], lo: int = 0, hi: int | None = None) -> Column:
-    """Number of bound tuples <= the key tuple (lexicographic struct comparison)."""
-    if hi is None:
-        hi = len(bounds)
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
-    bound = F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(bounds[mid])])
-    return F.when(key < bound, bucket_of_key(cols, bounds, lo, mid)) \
-        .otherwise(bucket_of_key(cols, bounds, mid + 1, hi))
-
-
-def global_rank(df: DataFrame, order: list[str], out: str = "idx",
-                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """0-based row number in ``order`` (a total order over any comparable columns); buckets
-    come from ``range_bounds``, so one hot leading key does not land in one task."""
-    bounds = range_bounds(df, order, rows_per_bucket)
-    return _ranked(df, bucket_of_key(order, bounds) if bounds else None, order, out)
+    return global_rank(df, order or [key], out, rows_per_bucket, max_buckets)

@@ -2,10 +2,11 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.operators import metrics, tokens
 from corpusmill.plans import joins
-from corpusmill.plans.ordering import global_offsets
+from corpusmill.plans.ordering import global_offsets, global_rank, range_ordered
 from corpusmill.sources import sinks
 from corpusmill.streaming import ingest
 
@@ -75,3 +76,20 @@ def test_joins_above_the_broadcast_limit_keep_every_row_of_a_hot_key(spark):
         for hot in (0, 1, 5):
             got = joins.lookup_join(fact, dim, "k", how, weight="n", max_rows=0, hot_rows=hot)
             assert sorted(map(str, got.select("k", "v", "d", "n").collect())) == want
+
+
+def test_order_has_no_bucket_limit_and_splits_a_hot_leading_key(spark):
+    rows = [(0 if k % 2 else k, k, f"t{k % 7}") for k in range(1400)] + [(None, -1, "x"), (0, None, "y")]
+    df = spark.createDataFrame(rows, "k bigint, v bigint, t string").repartition(3)
+    want = sorted(rows, key=lambda r: tuple((x is not None, x or 0) for x in r[:2]))
+    t = range_ordered(df, ["k", "v"], 700)
+    held = [r["n"] for r in t.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(held) > 512 and max(held) <= 20  # half of the rows share k = 0
+    got = [tuple(r)[:3] for r in sorted(global_rank(df, ["k", "v"], rows_per_bucket=2).collect(), key=lambda r: r["idx"])]
+    assert got == want
+    sums, total = {}, 0
+    for r in want:
+        sums[r] = total
+        total += (r[1] or 0) % 5  # -1 counts 4, as pmod has it
+    sized = df.withColumn("n", F.pmod(F.coalesce("v", F.lit(0)), F.lit(5)))
+    assert {tuple(r)[:3]: r["off"] for r in global_offsets(sized, "k", "n", order=["k", "v"], rows_per_bucket=2).collect()} == sums
