@@ -9,8 +9,9 @@ deduplicated archive is written with fresh headers; revisits carry no payload. 5
 is read back, which gives the result.
 
 Files are WARC/1.1 records, written by Spark's text writer with the record separator
-CR LF CR LF and compressed as a whole (gzip); they are read as binary files and cut by
-Content-Length, so payloads may hold anything. Both go to the shared folder.
+CR LF CR LF and compressed as a whole (gzip), in files of bounded bytes; they are read as binary files,
+decompressed step by step and cut by Content-Length, so payloads may hold anything. Both go to the shared
+folder. Ids pass through Python as strings.
 
 A digest that a third of the records share is one row per task in the aggregate and a
 skewed join that the engine splits; payloads move once, by place, which is even.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 
@@ -40,6 +42,10 @@ MIN_BYTES = 0
 #: Fixed for reproducible archives; a crawl passes its own.
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_PER_FILE = 10_000
+#: Bytes that an archive file may hold before compression, by its number of records and the largest one.
+FILE_BYTES = 1 << 30
+#: Bytes read of a decompressed archive at a time.
+STEP_BYTES = 1 << 18
 _EMPTY = base64.b32encode(hashlib.sha1(b"").digest()).decode()
 
 
@@ -58,26 +64,61 @@ def record(kind: str, fields: dict, payload: str) -> str:
     return "\r\n".join(head) + "\r\n\r\n" + payload
 
 
-def parse(data: bytes):
-    """``(fields, payload)`` of every record of an archive file."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
-        fields = dict(line.split(": ", 1) for line in lines[1:])
-        body = end + 4
-        at = body + int(fields["Content-Length"]) + 4
-        yield fields, data[body:at - 4]
+class _Stream:
+    """A file read step by step; only what is asked for is held."""
+
+    def __init__(self, file):
+        self.file, self.held = file, b""
+
+    def until(self, end: bytes) -> bytes | None:
+        """The bytes before ``end``, or None behind the last record."""
+        held, at = bytearray(self.held), self.held.find(end)
+        while at < 0:
+            more = self.file.read(STEP_BYTES)
+            if not more:
+                if held:
+                    raise ValueError("the archive ends within a record")
+                return None
+            held += more
+            at = held.find(end, max(0, len(held) - len(more) - len(end) + 1))  # the end may lie over two steps
+        self.held = bytes(held[at + len(end):])
+        return bytes(held[:at])
+
+    def take(self, count: int) -> bytes:
+        parts, have = [self.held], len(self.held)
+        while have < count:
+            parts.append(self.file.read(max(STEP_BYTES, count - have)))
+            have += len(parts[-1])
+            if not parts[-1]:
+                raise ValueError("the archive ends within a record")
+        whole = b"".join(parts)
+        self.held = whole[count:]
+        return whole[:count]
+
+
+def parse(archive):
+    """``(fields, payload)`` of every record of an archive (bytes or an open file), one record in memory at a time."""
+    stream = _Stream(io.BytesIO(archive) if isinstance(archive, bytes) else archive)
+    while (head := stream.until(b"\r\n\r\n")) is not None:
+        fields = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])
+        payload = stream.take(int(fields["Content-Length"]) + 4)
+        yield fields, payload[:-4]
 
 
 def _id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(map(str, parts)))}>"
 
 
-def write_archive(rows: DataFrame, path: str) -> DataFrame:
+def records_per_file(pages: DataFrame) -> int:
+    """So many records that a file stays within ``FILE_BYTES`` even if all are as large as the largest."""
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    return max(1, min(RECORDS_PER_FILE, FILE_BYTES // (largest + 4096)))
+
+
+def write_archive(rows: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> DataFrame:
     """Writes ``rows (record string)`` as archive files; returns them as ``(path, content)``."""
     rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip") \
-        .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+        .option("maxRecordsPerFile", per_file).text(path)
     return rows.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
 
 
@@ -85,13 +126,13 @@ def _first_records(batches):
     for b in batches:
         out = []
         for page, url, html in zip(b["page_id"], b["url"], b["html"]):
-            page, url, html = (None if pd.isna(x) else x for x in (page, url, html))
+            page, url, html = (None if pd.isna(x) else x for x in (page, url, html))  # page ids are strings here
             payload = html or ""
             raw = payload.encode("utf-8", "surrogatepass")
             out.append(record("response", {
                 "WARC-Record-ID": _id(page, url, digest_of(raw)), "WARC-Date": DATE,
                 "WARC-Target-URI": None if url is None else _uri(url),
-                "WARC-Payload-Digest": f"sha1:{digest_of(raw)}", "X-Page-Id": None if page is None else int(page),
+                "WARC-Payload-Digest": f"sha1:{digest_of(raw)}", "X-Page-Id": page,
                 "Content-Type": "text/html; charset=utf-8"}, payload))
         yield pd.DataFrame({"record": out})
 
@@ -102,7 +143,7 @@ def _read(make, columns: list[str], with_payload: bool):
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
                 rows, held = [], 0
-                for k, (fields, payload) in enumerate(parse(gzip.decompress(content))):
+                for k, (fields, payload) in enumerate(parse(gzip.GzipFile(fileobj=io.BytesIO(content)))):
                     rows.append((path.rsplit("/", 1)[-1], k, *make(fields, payload)))
                     held += len(payload) if with_payload else 0
                     if len(rows) >= 5000 or held > 8_000_000:
@@ -137,7 +178,8 @@ def decide(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     j = h.join(first, "digest", "left")
     revisit = F.col("f").isNotNull() & (F.col("bytes") >= min_bytes) & \
         ~((F.col("f.file") == F.col("file")) & (F.col("f.number") == F.col("number")))
-    pick = lambda c: F.when(revisit, F.col(f"f.{c}")).alias(f"first_{c}")
+    # as strings: a column with nulls would reach Python as doubles, which end at 2^53
+    pick = lambda c: F.when(revisit, F.col(f"f.{c}").cast("string")).alias(f"first_{c}")
     return j.select("file", "number", "digest", "bytes", revisit.alias("revisit"), pick("page"), pick("file"), pick("number"))
 
 
@@ -152,7 +194,7 @@ def _second_records(batches):
             if r.revisit:
                 fields |= {"WARC-Refers-To": _id(r.first_file, int(r.first_number)), "WARC-Refers-To-Date": DATE,
                            "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                           "X-Refers-To-Page-Id": None if ref is None else int(ref)}
+                           "X-Refers-To-Page-Id": ref}
             else:
                 fields["Content-Type"] = "text/html; charset=utf-8"
             out.append(record("revisit" if r.revisit else "response", fields, "" if r.revisit else r.html or ""))
@@ -163,8 +205,9 @@ def deduplicated_archive(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFr
     """Writes both archives of ``pages (page_id, url, html)``; returns the files of the
     deduplicated one as ``(path, content)``."""
     spark = pages.sparkSession
-    first = write_archive(pages.select("page_id", "url", "html").mapInPandas(_first_records, "record string"),
-                          scratch_path(spark, "warc-first"))
+    rows = pages.select(F.col("page_id").cast("bigint").cast("string").alias("page_id"), "url", "html")
+    per_file = records_per_file(pages)
+    first = write_archive(rows.mapInPandas(_first_records, "record string"), scratch_path(spark, "warc-first"), per_file)
     headers = materialize(first.mapInPandas(_read(
         lambda f, p: (_page(f), digest_of(p), len(p)), _names(_HEADERS), False), _HEADERS), "warc-headers")
     full = first.mapInPandas(_read(
@@ -172,7 +215,7 @@ def deduplicated_archive(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFr
     # headers grow with the archive: a shuffle at every size, never a broadcast
     decided = materialize(decide(headers, min_bytes), "warc-decisions")
     joined = full.join(decided.hint("merge"), ["file", "number"])
-    return write_archive(joined.mapInPandas(_second_records, "record string"), scratch_path(spark, "warc-dedup"))
+    return write_archive(joined.mapInPandas(_second_records, "record string"), scratch_path(spark, "warc-dedup"), per_file)
 
 
 def _outcome(fields: dict, payload: bytes) -> tuple:
