@@ -16,7 +16,10 @@ by level, until each source has one small landing problem, which is solved for t
 total of words. A hot source is many blocks; only ids and sizes are shuffled.
 
 Reruns agree: directions are drawn from generators seeded by a block's content, in an order
-fixed by a hash of the rows. Repeated rows are separate, equal units.
+fixed by a hash of the rows. Rows with equal doc_id, source and size are one unit with a count: their whole
+copies and the whole part of their expected rest are settled at once, and one fraction flies for
+them all, so a row that repeats a million times is one row of one block. Ids pass through
+Python as strings.
 
 Edge cases: null text is size 0; a source without words has target 0; an empty table gives an
 empty result; null ids and sources are values like any other; extra columns are ignored by
@@ -29,15 +32,17 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import WORD, fresh, materialize, ship, table
-from corpusmill.plans.ordering import global_rank
+from corpusmill.plans.ordering import global_offsets, global_rank
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 BLOCK = 4_000
+#: Equal rows that one array lists at a time.
+LOT = 10_000
 _EPS = 1e-9
 
 
@@ -49,16 +54,16 @@ def source_targets(sized: DataFrame) -> DataFrame:
     ranked = global_rank(materialize(per, "mix-sources"), ["_null", "_name"], out="_rank")
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("_rank") % len(WEIGHTS) + 1).cast("int"))
     per = materialize(ranked.select("source", "source_size", weight.cast("bigint").alias("weight")), "mix-weights")
-    total = per.agg(F.sum("source_size")).first()[0] or 0
-    # sources that the level fills up leave the rest to the others; the level only rises
-    level, open_weight = 0.0, None
-    while total:
-        full = F.col("weight") * F.lit(level) >= MAX_REPEAT * F.col("source_size")
-        r = per.agg(F.sum(F.when(full, MAX_REPEAT * F.col("source_size")).otherwise(0)).alias("taken"),
-                    F.sum(F.when(full, 0).otherwise(F.col("weight"))).alias("w")).first()
-        if r["w"] == open_weight or not r["w"]:
-            break
-        level, open_weight = (total - r["taken"]) / r["w"], r["w"]
+    # sources fill up in order of 3 * size / weight: behind the ones that are full the rest is shared by weight
+    fill = per.withColumn("_fill", MAX_REPEAT * F.col("source_size") / F.col("weight")).withColumn("_full", MAX_REPEAT * F.col("source_size"))
+    order = ["_fill", "weight", "source"]
+    sums = global_offsets(materialize(fill, "mix-fill"), "_fill", "_full", out="_taken", order=order)
+    sums = global_offsets(materialize(sums, "mix-taken"), "_fill", "weight", out="_weight", order=order)
+    both = per.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weight")).first()
+    # the level of the first source in order that it does not fill
+    share = (F.lit(both["total"] or 0) - F.col("_taken")) / (F.lit(both["weight"] or 0) - F.col("_weight"))
+    level = sums.select(share.alias("level"), "_fill").where("level <= _fill").agg(F.min(F.struct("_fill", "level")).alias("m")).first()["m"]
+    level = level["level"] if level else float("inf")
     target = F.least(F.col("weight") * F.lit(float(level)), (MAX_REPEAT * F.col("source_size")).cast("double"))
     return per.select("source", "source_size", target.alias("target"))
 
@@ -120,16 +125,21 @@ def _fly_block(last: bool):
     return run
 
 
-def balanced_copies(sized: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies)`` for every row of ``sized``."""
-    # the source table may be joined by shuffle: the hot source is split by the engine
+def balanced_units(sized: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, often, whole, more)``: the distinct rows of ``sized``, how often each
+    stands, the copies that each of the equal rows has, and how many of them have one more."""
+    # equal rows are counted before the shuffle, the hot source is split by the engine
+    units = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("often"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     t = targets.withColumnRenamed("source", "_source")
-    rows = sized.join(t, sized["source"].eqNullSafe(F.col("_source"))).drop("_source") \
+    rows = units.join(t, units["source"].eqNullSafe(F.col("_source"))).drop("_source") \
         .withColumn("_rate", rate).withColumn("_order", F.xxhash64("doc_id", "source", "size")) \
-        .withColumn("whole", F.floor("_rate").cast("int")).withColumn("p", F.col("_rate") - F.floor("_rate")).drop("_rate")
+        .withColumn("doc_id", F.col("doc_id").cast("string")) \
+        .withColumn("whole", F.floor("_rate").cast("int")).withColumn("_rest", F.col("often") * (F.col("_rate") - F.floor("_rate"))) \
+        .withColumn("more", F.floor("_rest").cast("bigint")).withColumn("p", F.col("_rest") - F.floor("_rest")).drop("_rate", "_rest")
     done, undecided, level = None, rows, 0
-    schema = "doc_id bigint, size bigint, source string, source_size bigint, target double, _order bigint, whole int, p double, _n bigint"
+    schema = ("doc_id string, size bigint, source string, source_size bigint, target double, often bigint, _order bigint, "
+              "whole int, more bigint, p double, _n bigint")
     while True:
         per = undecided.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("source", "_source")
         counted = undecided.join(per, undecided["source"].eqNullSafe(F.col("_source"))).drop("_source")
@@ -146,8 +156,15 @@ def balanced_copies(sized: DataFrame, targets: DataFrame, block: int = BLOCK) ->
         if undecided.isEmpty():
             break
         level += 1
-    return done.select("doc_id", "source", "size", "source_size", "target",
-                       (F.col("whole") + F.col("p").cast("int")).alias("copies"))
+    return done.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "size", "source_size", "target", "often", "whole",
+                       (F.col("more") + F.col("p").cast("bigint")).alias("more"))
+
+
+def _rows_of(units: DataFrame) -> DataFrame:
+    """A row for each of a unit's equal rows, the first ``more`` with one copy more."""
+    lots = units.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(often - 1) div {LOT}"))))
+    each = lots.withColumn("_k", F.explode(F.sequence(F.col("_lot") * LOT, F.least("often", (F.col("_lot") + 1) * LOT) - 1)))
+    return each.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("_k") < F.col("more")).cast("int")).alias("copies"))
 
 
 def _fly(cols: list[str]):
@@ -165,38 +182,44 @@ def sizes(docs: DataFrame) -> DataFrame:
     return materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", size.alias("size")), "mix-sizes")
 
 
-def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies)`` for ``docs (doc_id, text, source)``."""
+def mixed_units(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``balanced_units`` of ``docs (doc_id, text, source)``."""
     sized = sizes(docs)
-    return balanced_copies(sized, source_targets(sized), block)
+    return balanced_units(sized, source_targets(sized), block)
+
+
+def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, copies)`` for every row of ``docs (doc_id, text, source)``."""
+    return _rows_of(mixed_units(docs, block))
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``docs`` with the number of ``copies`` that the mix takes of each (0: left out); the
-    column's name is lengthened if ``docs`` has it. Rows that repeat a doc_id, source and size
-    share their copies by rank, in no particular order among equals."""
-    taken = materialize(mixture(docs, block).select("doc_id", "source", "size", "copies"), "mix-copies")
-    name, size, k, key = (fresh(docs.columns, n) for n in ("copies", "_mix_size", "_mix_k", "_mix_id"))
-    often = materialize(taken.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)), "mix-often")
-    repeats = not often.isEmpty()
-    plain, one = docs, taken
-    if repeats:
-        plain = docs.join(often, docs["doc_id"].eqNullSafe(F.col(key)), "left_anti")
-        one = taken.join(often, taken["doc_id"].eqNullSafe(F.col(key)), "left_anti")
-    t = one.select(F.col("doc_id").alias(key), F.col("copies").alias(name))
-    # the copies grow with the corpus: a shuffle at every size, never a broadcast
-    out = plain.join(t.hint("merge"), plain["doc_id"].eqNullSafe(F.col(key))).select(*[plain[c] for c in docs.columns], name)
-    if not repeats:
+    column's name is lengthened if ``docs`` has it. Of rows that repeat a doc_id, source and size, the first in order
+    of a hash of the text have the copies that do not go round."""
+    units = materialize(mixed_units(docs, block).select("doc_id", "source", "size", "often", "whole", "more"), "mix-units")
+    # among repeated rows, those of a unit are neighbours in order: from the place ``first`` on
+    repeated = materialize(global_offsets(units.where("often > 1"), "doc_id", "often", out="first", order=["doc_id", "source", "size"]), "mix-often")
+    name, size, at, text = (fresh(docs.columns, n) for n in ("copies", "_mix_size", "_mix_at", "_mix_text"))
+    sized = docs.withColumn(size, F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint"))
+
+    def meet(table_: DataFrame) -> tuple[DataFrame, dict]:
+        names = {c: fresh([*docs.columns, size], f"_mix_{c}") for c in table_.columns}
+        u = table_.select(*[F.col(c).alias(n) for c, n in names.items()])
+        same = sized["doc_id"].cast("bigint").eqNullSafe(u[names["doc_id"]]) & sized["source"].eqNullSafe(u[names["source"]]) \
+            & (sized[size] == u[names["size"]])
+        # the units grow with the corpus: a shuffle at every size, never a broadcast
+        return sized.join(u.hint("merge"), same), names
+
+    rows, n = meet(units.where("often = 1"))
+    out = rows.select(*docs.columns, (F.col(n["whole"]) + F.col(n["more"])).cast("int").alias(name))
+    if repeated.isEmpty():
         return out
-    rest = docs.join(often, docs["doc_id"].eqNullSafe(F.col(key)), "left_semi") \
-        .withColumn(size, F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint"))
-    rest = rest.withColumn(k, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))))
-    m = taken.join(often, taken["doc_id"].eqNullSafe(F.col(key)), "left_semi") \
-        .withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("copies")))
-    m = m.select(*[F.col(c).alias(f"_mix_in_{c}") for c in m.columns])
-    same = rest["doc_id"].eqNullSafe(m["_mix_in_doc_id"]) & rest["source"].eqNullSafe(m["_mix_in_source"]) \
-        & (rest[size] == m["_mix_in_size"]) & (rest[k] == m["_mix_in__k"])
-    return out.unionByName(rest.join(m, same).select(*[rest[c] for c in docs.columns], m["_mix_in_copies"].alias(name)))
+    rows, n = meet(repeated)
+    rows = materialize(rows.withColumn(text, F.xxhash64("text")), "mix-repeats")
+    ranked = global_rank(rows, [n["doc_id"], n["source"], n["size"], text], out=at)
+    more = (F.col(at) - F.col(n["first"]) < F.col(n["more"])).cast("int")
+    return out.unionByName(ranked.select(*docs.columns, (F.col(n["whole"]) + more).cast("int").alias(name)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

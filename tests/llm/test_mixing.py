@@ -67,3 +67,26 @@ def test_mix(spark, write_tables):
 def test_one_source_takes_everything_once(spark):
     df = spark.createDataFrame([(1, "a b", None), (2, "c", None)], "doc_id bigint, text string, source string")
     assert [r.copies for r in mx.mixture(df).collect()] == [1, 1]
+
+
+def test_ids_above_2_53_with_null_ids(spark):
+    rows = [(2**60 + 2 * k + 1, "w " * (k % 7), "a") for k in range(60)] + [(None, "w w", "a"), (None, "w w", "b"), (-2**60 - 1, "w", "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for block in (mx.BLOCK, 8):
+        assert sorted(str(r.doc_id) for r in mx.mixture(df, block).collect()) == sorted(str(r[0]) for r in rows)
+        assert sorted(str(r.doc_id) for r in mx.mix(df, block).collect()) == sorted(str(r[0]) for r in rows)
+
+
+def test_equal_rows_are_one_unit_whatever_their_number(spark):
+    df = spark.range(100_000).selectExpr("7L AS doc_id", "concat('w w ', id % 3) AS text", "'a' AS source", "id AS num") \
+        .unionByName(spark.range(5000).selectExpr("id + 100 AS doc_id", "'x y z' AS text", "'b' AS source", "-id AS num"))
+    units = mx.mixed_units(df.select("doc_id", "text", "source"), 100)
+    assert units.where("doc_id = 7").count() == 1
+    out = mx.mixture(df, 100).groupBy("source").agg({"copies": "sum", "target": "max", "*": "count"}).collect()
+    for r in out:
+        assert r["count(1)"] == (100_000 if r.source == "a" else 5000) and abs(3 * r["sum(copies)"] - r["max(target)"]) <= 3
+    mixed = mx.mix(df, 100)
+    assert mixed.count() == 105_000 and mixed.select("num", "doc_id").distinct().count() == 105_000
+    copies = {r.source: r["s"] for r in mixed.selectExpr("source", "copies").groupBy("source").agg({"copies": "sum"})
+              .withColumnRenamed("sum(copies)", "s").collect()}
+    assert all(abs(3 * copies[r.source] - r["max(target)"]) <= 3 for r in out)
