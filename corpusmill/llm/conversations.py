@@ -41,10 +41,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import materialize, ship, table
-from corpusmill.plans.ordering import ROWS_PER_BUCKET, global_rank
+from corpusmill.plans.ordering import global_rank
 
 #: Rows that one task repairs at once.
 CHUNK = 2_000
+#: Rows of one range of the order; they carry their texts.
+RANGE_ROWS = 50_000
 #: Characters of a text that the order of rows looks at first.
 HEAD = 64
 
@@ -301,7 +303,7 @@ def _walk(batches):
         yield pd.DataFrame([walk.result()], columns=_names(_WHOLE))
 
 
-def ordered_rows(rows: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def ordered_rows(rows: DataFrame, rows_per_bucket: int = RANGE_ROWS) -> DataFrame:
     """``rows (conv_id, turn, role, text)`` as ``(idx, conv, turn, role, text, is_first)``: the place in order over
     all conversations, and whether no earlier row of the conversation has the role and text."""
     t = rows.select(F.col("conv_id").cast("string").alias("conv"), F.col("conv_id").alias("_id"), F.col("turn").alias("_turn"),
@@ -313,7 +315,7 @@ def ordered_rows(rows: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> Dat
     return t.join(first.hint("merge"), "idx", "left").select("idx", "conv", "turn", "role", "text", F.col("_first").isNotNull().alias("is_first"))
 
 
-def repairs(rows: DataFrame, chunk: int = CHUNK, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def repairs(rows: DataFrame, chunk: int = CHUNK, rows_per_bucket: int = RANGE_ROWS) -> DataFrame:
     """``(conv, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256)`` for every
     conversation of ``rows (conv_id, turn, role, text)``; ``conv`` is the id as a string."""
     t = materialize(ordered_rows(rows, rows_per_bucket).withColumn("chunk", F.expr(f"idx div {int(chunk)}")), "turns-by-chunk")
