@@ -1,20 +1,16 @@
 """Line dedup by winnowing over line hashes. DataFrame functions only.
 
-A document's lines with a word are hashed. The window of a line holds it and the lines that
-start within the next ``min_words`` words; it is complete when the document has that many
-words left. Winnowing selects the smallest line hash of every window (the leftmost among
-equals): two equal windows select the same line, so any run of lines with ``min_words`` words
-that occurs twice shares a selected fingerprint. Windows are then joined on shared
-fingerprints, and those whose content occurs earlier (by doc_id, then line) are matches.
-The union of neighbouring matches is deleted; the first occurrence in the corpus stays.
-
-With ``whole``, matches are extended both ways to the maximal repeated run. A window reaches
-forward from its first line, so the union lacks lines at a run's end from which fewer than
-``min_words`` words are left; those lie in the shortest window that ends with the run's last
-line. Such windows, of every line, are joined in the same way, and no more is needed: a line of
-a run starts a window inside the run, or lies in the one that ends with the run. The SQL of
-``op6_line_dedup`` has the union of forward windows, so the query has it too; the pipeline
-deletes whole runs.
+A document's lines with a word are hashed (128 bits each). A window is a stretch of lines with ``min_words``
+words or more that would have fewer without its last line, or without its first one: every line
+starts one of the first kind and ends one of the second, where the document has that many words. Winnowing selects the
+smallest line hash of every window (the leftmost among equals): two equal windows select the
+same line, so any run of lines with ``min_words`` words that occurs twice shares a selected
+fingerprint. Places are joined on shared fingerprints: each with the earliest one (by doc_id, then
+line) whose surroundings agree line by line over a window. From its place a match
+reaches both ways, to the first and the last line that the windows around it share with an
+earlier occurrence: a line of a repeated run starts a window inside the run, or lies in the
+one that ends with the run's last line, so the union of the matches of both kinds is the maximal repeated run.
+That run is deleted; the first occurrence in the corpus stays.
 
 A fingerprint that a third of the documents holds costs one row per task before the shuffle
 (counts and smallest occurrences are partial aggregates) and its join is split by the engine;
@@ -41,51 +37,47 @@ def _lines(text: str):
     return F.split(F.col(text), "\n", -1)
 
 
-def _windows(docs: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
-    """``(doc, th, pos, last, content, mark, at)``: every complete window with its last line, the
-    hash of its lines, its winnowed line hash and that line's place. With ``whole``, also the
-    shortest window that ends with each line, where no window forward is the same lines."""
+def _windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """``(doc, th, pos, last, content, more, mark, at)``: every window with its first and last line, two
+    hashes of its lines, its winnowed line hash and that line's place."""
     lists = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), _lines("text").alias("ls")) \
         .where("ls IS NOT NULL") \
         .select("doc", "th", F.transform("ls", lambda x: F.struct(
-            F.xxhash64(x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"))).alias("ls")) \
+            F.xxhash64(x).alias("line"), F.xxhash64(F.lit(1), x).alias("other"), F.regexp_count(x, F.lit(WORD)).alias("words"))).alias("ls")) \
         .groupBy("doc", "th").agg(F.first("ls").alias("ls"))
     rows = lists.select("doc", "th", F.posexplode("ls").alias("pos", "l")) \
-        .select("doc", "th", "pos", "l.line", F.col("l.words").cast("bigint").alias("words")).where("words > 0")
+        .select("doc", "th", "pos", "l.line", "l.other", F.col("l.words").cast("bigint").alias("words")).where("words > 0")
     doc = Window.partitionBy("doc", "th")
     before = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))) \
         .withColumn("total", F.sum("words").over(doc)).withColumn("rank", F.row_number().over(doc.orderBy("pos")))
+    rows = rows.withColumn("end", F.col("start") + F.col("words"))
     ahead = doc.orderBy("start").rangeBetween(Window.currentRow, min_words - 1)
+    back = doc.orderBy("end").rangeBetween(-(min_words - 1), Window.currentRow)
+    held = lambda frame: [F.collect_list("line").over(frame).alias("held"), F.collect_list("other").over(frame).alias("others")]
     forward = F.when(F.col("start") + min_words <= F.col("total"), F.struct(
-        "pos", F.max("pos").over(ahead).alias("last"), F.col("rank").cast("bigint").alias("rank"), F.collect_list("line").over(ahead).alias("held")))
-    if whole:
-        rows = rows.withColumn("end", F.col("start") + F.col("words"))
-        back = doc.orderBy("end").rangeBetween(-(min_words - 1), Window.currentRow)
-        backward = F.when((F.col("end") >= min_words) & (F.col("start") - F.min("start").over(back) >= min_words), F.struct(
-            F.min("pos").over(back).alias("pos"), F.col("pos").alias("last"), F.min("rank").over(back).cast("bigint").alias("rank"),
-            F.collect_list("line").over(back).alias("held")))
-        rows = rows.select("doc", "th", forward.alias("f"), backward.alias("b")) \
-            .select("doc", "th", F.explode(F.array("f", "b")).alias("w"))
-    else:
-        rows = rows.select("doc", "th", forward.alias("w"))
+        "pos", F.max("pos").over(ahead).alias("last"), F.col("rank").cast("bigint").alias("rank"), *held(ahead)))
+    # left out where the window forward from its first line is the same lines
+    backward = F.when((F.col("end") >= min_words) & (F.col("start") - F.min("start").over(back) >= min_words), F.struct(
+        F.min("pos").over(back).alias("pos"), F.col("pos").alias("last"), F.min("rank").over(back).cast("bigint").alias("rank"), *held(back)))
+    rows = rows.select("doc", "th", forward.alias("f"), backward.alias("b")).select("doc", "th", F.explode(F.array("f", "b")).alias("w"))
     return rows.where("w IS NOT NULL").select("doc", "th", "w.*") \
-        .select("doc", "th", "pos", "last", F.xxhash64("held").alias("content"), F.array_min("held").alias("mark"),
-                F.expr("rank + array_position(held, array_min(held))").alias("at"))
+        .select("doc", "th", "pos", "last", F.xxhash64("held").alias("content"), F.xxhash64(F.lit(2), "others").alias("more"),
+                F.array_min("held").alias("mark"), F.expr("rank + array_position(held, array_min(held))").alias("at"))
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc, th, runs)``: for each document with later repeated runs, its sorted, disjoint
     ``runs`` of line numbers ``(s, e)``, both included. ``th`` is the hash of the text."""
-    w = materialize(_windows(docs, min_words, whole), "line-windows")
+    w = materialize(_windows(docs, min_words), "line-windows")
     # a fingerprint is a selected line; windows in a row often select the same one
     prints = w.groupBy("mark").agg(F.min(F.struct("doc", "th", "at")).alias("a"),
                                    F.max(F.struct("doc", "th", "at")).alias("b"))
     shared = prints.where("a <> b OR a.doc IS DISTINCT FROM b.doc").select("mark")
     placed = w.join(shared, "mark", "left_semi")
-    first = placed.groupBy("content").agg(F.min(F.struct("doc", "th", "pos")).alias("f"), F.count(F.lit(1)).alias("n")) \
-        .where("n > 1").select("content", F.col("f.doc").alias("fd"), F.col("f.th").alias("ft"), F.col("f.pos").alias("fp"))
-    later = placed.join(first, "content").where("NOT (doc <=> fd AND th = ft AND pos = fp)")
+    first = placed.groupBy("content", "more").agg(F.min(F.struct("doc", "th", "pos")).alias("f"), F.count(F.lit(1)).alias("n")) \
+        .where("n > 1").select("content", "more", F.col("f.doc").alias("fd"), F.col("f.th").alias("ft"), F.col("f.pos").alias("fp"))
+    later = placed.join(first, ["content", "more"]).where("NOT (doc <=> fd AND th = ft AND pos = fp)")
     doc = Window.partitionBy("doc", "th").orderBy("pos")
     reach = F.max("last").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     runs = later.select("doc", "th", "pos", "last", (F.coalesce(reach, F.lit(-2)) + 1 < F.col("pos")).cast("int").alias("new")) \
@@ -95,14 +87,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = Fal
     return materialize(runs, "line-runs")
 
 
-def drop_runs(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def drop_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` without its later repeated runs; every row and column stays."""
-    out = _cleaned(docs, min_words, whole)[0]
+    out = _cleaned(docs, min_words)[0]
     return out.select(*docs.columns)
 
 
-def _cleaned(docs: DataFrame, min_words: int, whole: bool = False) -> tuple[DataFrame, str]:
-    runs = repeated_runs(docs, min_words, whole)
+def _cleaned(docs: DataFrame, min_words: int) -> tuple[DataFrame, str]:
+    runs = repeated_runs(docs, min_words)
     name = fresh(docs.columns, "_runs")
     d, h = fresh(docs.columns, "_runs_doc"), fresh(docs.columns, "_runs_text")
     r = runs.select(F.col("doc").alias(d), F.col("th").alias(h), F.col("runs").alias(name))
@@ -127,17 +119,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql(view: str = "documents", min_words: int = MIN_WORDS) -> str:
-    """The same in DuckDB: window contents as strings, lines tested against every match."""
+    """The same in DuckDB: window contents as strings; of runs that occur earlier, the lines in any window of either kind."""
     return rf"""
     WITH ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
                 FROM {view} WHERE text IS NOT NULL),
     counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM ls),
-    placed AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+    placed AS (SELECT *, (sum(words) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS stop,
                       (sum(words) OVER (PARTITION BY doc_id))::BIGINT AS total FROM counted WHERE words > 0),
-    windows AS (SELECT doc_id, pos, start, total, string_agg(line, chr(10)) OVER w AS content, max(pos) OVER w AS last FROM placed
-                WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND {min_words - 1} FOLLOWING)),
-    later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS k FROM windows
-                             WHERE start + {min_words} <= total) WHERE k > 1),
+    windows AS (SELECT doc_id, pos, max(pos) OVER w AS last, string_agg(line, chr(10)) OVER w AS content, stop - words + {min_words} <= total AS whole
+                FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY stop - words RANGE BETWEEN CURRENT ROW AND {min_words - 1} FOLLOWING)
+                UNION ALL
+                SELECT doc_id, min(pos) OVER w AS pos, pos AS last, string_agg(line, chr(10)) OVER w AS content, stop >= {min_words} AS whole
+                FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY stop RANGE BETWEEN {min_words - 1} PRECEDING AND CURRENT ROW)),
+    later AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY content ORDER BY doc_id, pos) AS k FROM windows WHERE whole) WHERE k > 1),
     gone AS (SELECT DISTINCT ls.doc_id, ls.pos FROM ls JOIN later ON ls.doc_id = later.doc_id AND ls.pos BETWEEN later.pos AND later.last),
     kept AS (SELECT ls.doc_id, string_agg(line, chr(10) ORDER BY ls.pos) FILTER (gone.pos IS NULL) AS text, count(gone.pos) AS n_deleted
              FROM ls LEFT JOIN gone ON ls.doc_id = gone.doc_id AND ls.pos = gone.pos GROUP BY ls.doc_id)

@@ -1,4 +1,4 @@
-"""Runs against a brute force over all windows; no Python in the plan; edge rows."""
+"""Runs against a brute force over all ranges of lines; no Python in the plan; edge rows."""
 import random
 import re
 
@@ -7,40 +7,6 @@ from corpusmill.llm import linededup as ld
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(docs, min_words):
-    """Texts by (doc_id, text), with every line of a window that occurs earlier taken out."""
-    seen, out = set(), {}
-    for key in sorted(set(docs)):
-        lines = key[1].split("\n")
-        full = [k for k, x in enumerate(lines) if WORD.search(x)]
-        count = {k: len(WORD.findall(lines[k])) for k in full}
-        gone = set()
-        for i, k in enumerate(full):
-            held, words = [], 0
-            for j in full[i:]:
-                if words >= min_words:
-                    break
-                held.append(j)
-                words += count[j]
-            if words >= min_words:
-                content = tuple(lines[j] for j in held)
-                if content in seen:
-                    gone.update(range(k, held[-1] + 1))
-                seen.add(content)
-        out[key] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    return out
-
-
-def test_runs_equal_brute_force(spark):
-    rnd = random.Random(8)
-    pool = ["a b c", "d", "", " ", "e f", "g h i j k l", "m n", "a b c"]
-    docs = [(k, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14)))) for k in range(80)]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    for min_words in (1, 4, 9):
-        got = {(r.doc_id, t): r.text for (r, t) in zip(sorted(ld.drop_runs(df, min_words).collect()), [t for _, t in sorted(docs)])}
-        assert got == brute(docs, min_words)
-
-
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     plan = ld.drop_runs(df)._jdf.queryExecution().toString()
@@ -62,7 +28,7 @@ def test_rows(spark, write_tables):
     assert sorted(r.n_deleted for r in ld.query(spark, d).collect())[:4] == [0, 0, 0, 0]
 
 
-def brute_whole(docs, min_words):
+def brute(docs, min_words):
     """Texts by (doc_id, text), without any lines of an earlier occurrence, however they are cut:
     all ranges of lines with enough words are compared."""
     places, lines = {}, {}
@@ -87,15 +53,15 @@ def test_whole_runs_with_uneven_lines(spark):
     docs = [(k, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14)))) for k in range(80)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     for min_words in (1, 4, 9):
-        out = ld.drop_runs(df, min_words, whole=True)
+        out = ld.drop_runs(df, min_words)
         got = {(r.doc_id, t): r.text for (r, t) in zip(sorted(out.collect()), [t for _, t in sorted(docs)])}
         # a line without a word between two matches may stay
         full = lambda texts: {k: [x for x in t.split("\n") if WORD.search(x)] for k, t in texts.items()}
-        assert full(got) == full(brute_whole(docs, min_words))
+        assert full(got) == full(brute(docs, min_words))
     for sizes in ((100, 20), (49, 2, 45), (60, 10, 10)):
         run = "\n".join(line(f"r{k}x", n) for k, n in enumerate(sizes))
         docs = [(k, f"{line(f'own{k}y', 5)}\n{run}\n{line(f'end{k}y', 5)}") for k in range(3)] + [(7, run)]
-        got = ld.drop_runs(spark.createDataFrame(docs, "doc_id bigint, text string"), whole=True)
+        got = ld.drop_runs(spark.createDataFrame(docs, "doc_id bigint, text string"))
         want = {0: docs[0][1], 7: ""} | {k: f"{line(f'own{k}y', 5)}\n{line(f'end{k}y', 5)}" for k in (1, 2)}
         assert {r.doc_id: r.text for r in got.collect()} == want
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
