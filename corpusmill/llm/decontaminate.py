@@ -2,44 +2,77 @@
 
 Words are runs of letters and digits, lower-cased; shingles are five words (an item with
 fewer words is one shingle). For every item length, windows of that many words slide over a
-document (one with fewer words is itself the one window); each window's 64-bit SimHash is looked up among the items of that length by
-multi-index Hamming blocks: eight blocks of 8 bits, items filed under every block value
-within 2 bits. Fingerprints within ``RADIUS`` = 23 bits have, by the pigeonhole principle,
-a block with at most 2 errors, so none is missed. Candidates are verified by their exact
-weighted-shingle similarity (weights are counts: sum of minima over sum of maxima), 0.8 or
-more. At 0.8 the expected distance is 10 bits with a deviation of 3.
-
-Only windows that hold a shingle of some item can reach any similarity above zero, so
-windows without one are not fingerprinted: that loses nothing and makes the cost follow the
-text, not text times item lengths.
+document (one with fewer words is itself the one window). A window can reach the similarity only if
+so many of its shingles stand in items of that length that the sum of minima can: nine shared ones for
+each four of both sides together. This is counted exactly, so it loses nothing, and
+all other windows are left out.
+
+Each window left has a SimHash of ``BITS`` = 288 bits, looked up by multi-index Hamming blocks: twelve
+blocks of 24 bits. Two fingerprints within 59 bits have, by the pigeonhole principle, a
+block with at most 4 errors: the values within 4 bits of the window's block value, 12,951 of 2^24, are
+looked up among those of the items, so a window costs the same for any number of items and
+0.9 % of random items become candidates. Items of few shingles, whose distances vary more, allow 5 or 6 errors
+(71 or 83 bits). At a similarity of just 0.8 the distance is 42 bits on average with a deviation of 6: 99.4 % or more of such
+windows are found for every number of shingles (measured), and more above. Candidates within the radius are
+verified by their exact weighted-shingle similarity (weights are counts: sum of minima over sum of
+maxima), 0.8 or more.
 
 The items are a query set: they go to the tasks in blocks of ``ITEM_WORDS`` words, one block
-in memory at a time, each against all documents; there is no shuffle.
+in memory at a time, each against all documents; there is no shuffle. A word counts once for each eight of
+its characters.
 
 Edge cases: null or empty texts and items match nothing; items that repeat are separate
-items; rows are judged one by one, so repeated rows, null ids and extra columns change
+items; of windows of one item with equal similarity the first counts; rows are judged one by one, so repeated rows, null ids and extra columns change
 nothing. Texts are read whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import fresh, materialize, ship, table
 
-SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
+SHINGLE, SIMILARITY = 5, 0.8
+BLOCKS, WIDTH = 12, 24
+BITS = BLOCKS * WIDTH
+#: Errors that a block may have, by the least number of shingles of an item: distances of small sets vary more.
+ERRORS = ((20, 4), (7, 5), (0, 6))
+#: Windows whose shingles are held at once.
+STRIP = 20_000
 #: Words of benchmark items that a task holds at once.
 ITEM_WORDS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 _STEP = [pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(SHINGLE)]
-_BALL = [v for v in range(256) if v.bit_count() <= RADIUS // BLOCKS]
+
+
+def errors_of(shingles: int) -> int:
+    return next(e for least, e in ERRORS if shingles >= least)
+
+
+def radius_of(shingles: int) -> int:
+    """The distance that is found without a miss: beyond it every block may have an error more than is looked up."""
+    return BLOCKS * (errors_of(shingles) + 1) - 1
+
+
+@cache
+def _ball(errors: int) -> np.ndarray:
+    """The numbers of ``WIDTH`` bits with so many ones at most."""
+    out = np.zeros(1, np.uint32)
+    top = np.full(1, -1)
+    parts = [out]
+    for _ in range(errors):  # one bit more, above all others
+        grown = [(out[top < k] | np.uint32(1 << k), k) for k in range(WIDTH)]
+        out, top = np.concatenate([g for g, _ in grown]), np.concatenate([np.full(len(g), k) for g, k in grown])
+        parts.append(out)
+    return np.concatenate(parts)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -47,19 +80,39 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _hashes(words: list[str], size: int) -> list[bytes]:
-    return [xxhash.xxh64_digest(" ".join(words[k:k + size])) for k in range(len(words) - size + 1)]
+    return [hashlib.blake2b(" ".join(words[k:k + size]).encode("utf-8", "surrogatepass"), digest_size=BITS // 8).digest()
+            for k in range(len(words) - size + 1)]
 
 
 def _votes(hashes: list[bytes]) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8), axis=1)
-    return bits.astype(np.int32) * 2 - 1
+    """The votes of every shingle, (n, BITS). A shingle weighs one and a bit, by its hash, so that ties are rare and
+    settled alike by similar sets, and no bit is rarer than its opposite."""
+    digests = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, BITS // 8)
+    weight = 1024 + digests[:, :1].astype(np.int32)
+    return (np.unpackbits(digests, axis=1).astype(np.int32) * 2 - 1) * weight
 
 
 def _pack(sums: np.ndarray) -> np.ndarray:
-    """Bit sums (n, 64) to fingerprints as eight bytes (n, 8)."""
+    """Bit sums (n, BITS) to fingerprints as bytes (n, BITS / 8)."""
     return np.packbits(sums > 0, axis=1)
 
 
+def fingerprint(hashes: list[bytes]) -> np.ndarray:
+    """The SimHash of some shingles, as bytes."""
+    return _pack(_votes(hashes).sum(axis=0, keepdims=True))[0]
+
+
+def _block_values(prints: np.ndarray) -> np.ndarray:
+    """Fingerprints as block values (n, BLOCKS)."""
+    parts = prints.reshape(len(prints), BLOCKS, WIDTH // 8).astype(np.uint32)
+    return (parts[:, :, 0] << np.uint32(16)) | (parts[:, :, 1] << np.uint32(8)) | parts[:, :, 2]
+
+
+def least_shared(own: int, other: int) -> int:
+    """Shingles that two sets of these sizes share at least if they are similar enough: s / (own + other - s) >= 0.8."""
+    return -(-4 * (own + other) // 9)
+
+
 class Items:
     """The index of one block of items ``[(item_id, text)]``."""
 
@@ -81,16 +134,34 @@ class Items:
                 holders[size][c].add(len(w))
         self.codes = {s: np.array(sorted(h), np.uint64) for s, h in holders.items()}
         self.lengths = {s: [sorted(h[c]) for c in sorted(h)] for s, h in holders.items()}
-        #: by item length: item numbers, fingerprints, and block tables (block, value, item)
+        #: by item length: item numbers, fingerprints, and by block the items that have each value
         self.groups = {}
+        #: by block, one bit for every value that some item has
+        self.seen = np.zeros((BLOCKS, 1 << WIDTH - 3), np.uint8)
         for n, members in groups.items():
             size = min(SHINGLE, n)
-            prints = np.concatenate([_pack(_votes(_hashes(tokens[k][1], size)).sum(axis=0, keepdims=True)) for k in members])
-            tables = np.zeros((BLOCKS, 256, len(members)), dtype=bool)
-            for flip in _BALL:
-                for b in range(BLOCKS):
-                    tables[b, prints[:, b] ^ flip, np.arange(len(members))] = True
-            self.groups[n] = (np.array(members), prints, tables)
+            prints = np.stack([fingerprint(_hashes(tokens[k][1], size)) for k in members])
+            values = _block_values(prints)
+            posted = [defaultdict(list) for _ in range(BLOCKS)]
+            for b in range(BLOCKS):
+                np.bitwise_or.at(self.seen[b], values[:, b] >> np.uint32(3), np.uint8(1) << (values[:, b] & np.uint32(7)).astype(np.uint8))
+                for k, v in enumerate(values[:, b].tolist()):
+                    posted[b][v].append(k)
+            self.groups[n] = (np.array(members), prints, [dict(p) for p in posted])
+
+    def near(self, n: int, window: np.ndarray) -> list[int]:
+        """The items of ``n`` words within the radius of a fingerprint, by their number."""
+        members, prints, posted = self.groups[n]
+        shingles = n - min(SHINGLE, n) + 1
+        ball, found = _ball(errors_of(shingles)), set()
+        for b, value in enumerate(_block_values(window[None])[0]):
+            near = ball ^ value
+            held = near[(self.seen[b][near >> np.uint32(3)] >> (near & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0]
+            for v in held.tolist():
+                found.update(posted[b].get(v, ()))
+        k = np.array(sorted(found), dtype=np.int64)
+        far = np.bitwise_count(prints[k] ^ window).sum(axis=1)
+        return members[k[far <= radius_of(shingles)]].tolist()
 
     @staticmethod
     def _codes(ids: np.ndarray, size: int) -> np.ndarray:
@@ -102,11 +173,11 @@ class Items:
         return out
 
     def _starts(self, words: list[str]) -> dict[int, np.ndarray]:
-        """By item length, the starts of all windows that hold a shingle of such an item."""
+        """By item length, the starts of all windows with enough shingles of such items."""
         get = self.vocab.get
         ids = np.array([get(w, 0) for w in words], np.uint64)
         known = np.concatenate(([0], np.cumsum(ids > 0)))
-        spans = defaultdict(list)
+        places = defaultdict(list)
         for size, codes in self.codes.items():
             if len(ids) < size:
                 continue
@@ -118,18 +189,22 @@ class Items:
             hit = codes[place] == own
             for p, c in zip(at[hit].tolist(), place[hit].tolist()):
                 for n in self.lengths[size][c]:
-                    if len(words) >= n:
-                        spans[n].append((max(0, p - n + size), min(p, len(words) - n)))
-                    # a shorter document is one window; with too few shingles it cannot be similar
-                    elif (len(words) - size + 1) / (n - size + 1) >= SIMILARITY:
-                        spans[n].append((0, 0))
+                    places[n].append(p)
         out = {}
-        for n, own in spans.items():
-            mark = np.zeros(len(words) + 1, np.int64)
-            for a, b in own:
-                mark[a] += 1
-                mark[b + 1] -= 1
-            out[n] = np.flatnonzero(np.cumsum(mark) > 0)
+        for n, held in places.items():
+            size, at = min(SHINGLE, n), np.array(held, dtype=np.int64)
+            per = min(n, len(words)) - size + 1  # a shorter document is one window
+            need = least_shared(per, n - size + 1)
+            if need > per or need > len(at):
+                continue
+            low, high = at[:len(at) - need + 1], at[need - 1:]  # so many places in a row
+            close = high - low < per
+            mark = np.zeros(len(words) + 2, np.int64)
+            np.add.at(mark, np.maximum(high[close] - per + 1, 0), 1)
+            np.add.at(mark, np.minimum(low[close], len(words) - size + 1 - per) + 1, -1)
+            starts = np.flatnonzero(np.cumsum(mark) > 0)
+            if len(starts):
+                out[n] = starts
         return out
 
     def leaks(self, text: str | None) -> list[tuple]:
@@ -137,22 +212,19 @@ class Items:
         words = words_of(text)
         best: dict[int, tuple] = {}
         for n, starts in (self._starts(words) if words else {}).items():
-            members, prints, tables = self.groups[n]
-            size = min(SHINGLE, n)
+            size, of = min(SHINGLE, n), n
             n = min(n, len(words))
             lo, per = int(starts[0]), n - size + 1
             # runs of starts that lie close share one strip of shingles
-            for strip in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
+            far = np.flatnonzero(np.diff(starts) > n) + 1
+            for strip in (x[k:k + STRIP] for x in np.split(starts, far) for k in range(0, len(x), STRIP)):
                 lo = int(strip[0])
                 hashes = _hashes(words[lo:int(strip[-1]) + n], size)
-                sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_votes(hashes), axis=0)))
+                sums = np.concatenate((np.zeros((1, BITS), np.int32), np.cumsum(_votes(hashes), axis=0)))
                 windows = _pack(sums[strip - lo + per] - sums[strip - lo])
-                near = tables[0, windows[:, 0]]
-                for b in range(1, BLOCKS):
-                    near = near | tables[b, windows[:, b]]
-                w, k = np.nonzero(near)
-                far = np.unpackbits(windows[w] ^ prints[k], axis=1).sum(axis=1)
-                for x, y in zip(w[far <= RADIUS].tolist(), members[k[far <= RADIUS]].tolist()):
+                distinct, first = np.unique(windows, axis=0, return_inverse=True)
+                near = [self.near(of, w) for w in distinct]
+                for x, y in ((x, y) for x, d in enumerate(first.ravel().tolist()) for y in near[d]):
                     s = int(strip[x]) - lo
                     got, want = Counter(hashes[s:s + per]), self.shingles[y]
                     sim = sum((got & want).values()) / sum((got | want).values())
@@ -164,7 +236,7 @@ class Items:
 def _blocks(items: DataFrame, block_words: int):
     """The items, block by block; one block is in memory at a time."""
     sized = materialize(items.select("item_id", "text").where("text IS NOT NULL")
-                        .withColumn("n", F.size(F.split("text", " ")).cast("bigint")), "benchmark-items")
+                        .withColumn("n", F.greatest(F.regexp_count("text", F.lit(r"(?U)\p{Alnum}+")), F.length("text") / 8).cast("bigint") + 1), "benchmark-items")
     total = sized.agg(F.sum("n")).first()[0] or 0
     count = max(1, -(-total // block_words))
     for b in range(count):

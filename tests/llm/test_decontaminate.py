@@ -1,7 +1,10 @@
 """Leaks against a brute force over all windows and items; edge rows."""
 import random
+import time
 from collections import Counter
 
+import numpy as np
+
 from corpusmill.llm import decontaminate as dc
 
 
@@ -93,3 +96,53 @@ def test_short_documents_equal_brute_force():
             found += bool(best and n < len(own))
         assert index.leaks(text) == want
     assert found > 20
+
+
+def test_few_random_items_pass_the_blocks_and_near_ones_do():
+    rnd = random.Random(3)
+    text = lambda: " ".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=44))
+    items = [(k, text()) for k in range(1500)]
+    index = dc.Items(items)
+    prints = index.groups[44][1]
+    passed = 0
+    for _ in range(40):
+        window = dc.fingerprint(dc._hashes(text().split(), 5))
+        values = dc._block_values(window[None])[0]
+        every = dc._block_values(prints)
+        passed += (np.bitwise_count(every ^ values) <= dc.errors_of(40)).any(axis=1).sum()
+    assert passed / (40 * 1500) < 0.01
+    found = total = 0
+    for k, t in items:
+        words = t.split()
+        grams = [" ".join(words[j:j + 5]) for j in range(40)]
+        for at in rnd.sample(range(40), 4):  # four of forty shingles differ: 36 / 44, just above 0.8
+            grams[at] = f"a new shingle {k} {at}"
+        h = [dc._hashes(g.split(), 5)[0] for g in grams]
+        found += k in index.near(44, dc.fingerprint(h))
+        total += 1
+    assert found / total >= 0.99
+
+
+def test_cost_of_a_document_does_not_follow_the_items():
+    rnd = random.Random(4)
+    vocab = [f"w{k}" for k in range(300)]
+    doc = " ".join(rnd.choices(vocab, k=1800))
+    took = {}
+    for n in (2000, 8000):
+        index = dc.Items([(k, " ".join(rnd.choices(vocab, k=6))) for k in range(n)] + [(-1, " ".join(doc.split()[700:706]))])
+        index.leaks(doc)
+        t = time.process_time()
+        assert [x[0] for x in index.leaks(doc)] == [-1]
+        took[n] = time.process_time() - t
+    assert took[8000] < 2 * took[2000] + 0.2 and took[8000] < 1
+
+
+def test_blocks_of_items_are_measured_in_words(spark):
+    items = spark.createDataFrame([(k, "\n".join(f"a{k}b{j}" for j in range(40))) for k in range(20)] + [(99, "x" * 4000)], "item_id bigint, text string")
+    held = [len(b.ids) for b in dc._blocks(items, 200)]
+    assert sum(held) == 21 and len(held) >= 5
+
+
+def test_the_ball_holds_every_value_once():
+    ball = dc._ball(3)
+    assert len(set(ball.tolist())) == len(ball) == 1 + 24 + 276 + 2024 and np.bitwise_count(ball).max() == 3
