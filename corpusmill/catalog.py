@@ -23,6 +23,7 @@ from corpusmill.operators import metrics as met
 from corpusmill.operators import ngram as ng
 from corpusmill.operators import pack, runs, stream, tokens, vocab
 from corpusmill.operators.scoring import linear_model, nll_of_scores, score_batches
+from corpusmill.plans.lineage import materialize
 from corpusmill.session import ensure_checkpoint_dir, scratch_path
 from corpusmill.sources import sinks
 from corpusmill.sources.documents import lines as scan_lines
@@ -494,22 +495,23 @@ _merges: dict = {}
 
 
 def _subwords(spark, sf_dir) -> tuple:
-    """The rank table learned from the corpus and the symbol ids, once per session."""
+    """The rank table learned from the corpus, the symbol ids and the ids of the distinct words, once per session."""
     from corpusmill.operators import subword
     ensure_checkpoint_dir(spark)
     key = (_session_key(spark), _stamp(spark, sf_dir))
     with _lock:
         if key not in _merges:
-            docs = read_documents(spark, sf_dir)
-            merges = subword.learn_merges(docs, N_MERGES)
-            _merges[key] = subword.merges_table(spark, merges), subword.symbol_table(subword.alphabet(docs), merges)
+            words = materialize(subword.word_counts(read_documents(spark, sf_dir)), "word-counts")
+            merges = subword.learn_merges(None, N_MERGES, words=words)
+            ids = subword.symbol_table(subword.alphabet(None, words=words), merges)
+            _merges[key] = subword.merges_table(spark, merges), ids, subword.encode_words(words, merges, ids)
         return _merges[key]
 
 
 def _encoded_subwords(spark, sf_dir, eos: bool) -> DataFrame:
     from corpusmill.operators import subword
-    ranks, ids = _subwords(spark, sf_dir)
-    return subword.encode_subword(read_documents(spark, sf_dir), ranks, ids, len(ids) if eos else None)
+    ranks, ids, encoded = _subwords(spark, sf_dir)
+    return subword.encode_subword(read_documents(spark, sf_dir), ranks, ids, len(ids) if eos else None, encoded=encoded)
 
 
 def q_learn_merges(spark, sf_dir):

@@ -1,23 +1,29 @@
 """Subword tokens (F2, F3): a merge table learned from the corpus, and encoding with it.
 
-A word is held as its symbols in hexadecimal UTF-8, each between spaces (``" 6C  6F  77 "``),
-so a merge is one plain ``replace`` of ``" a  b "`` by ``" ab "``: exact from left to right for
-any characters, and hexadecimal order is code point order.
-
-``learn_merges``: the ``(word, n)`` table is built once; a pass over it counts the adjacent
-pairs (partial aggregation) and takes the leading merges that cannot influence each other,
-so a pass yields one merge or several, always those of one merge at a time. The table is
-written to the checkpoint folder every few merges to keep plans short.
-
-``encode_subword``: each *distinct* word is encoded once (``groupBy(word)``) by an Arrow
-(pandas) UDF that applies the merge ranks -- the rank table is bounded by the merge count
-and shipped with the function -- then looked up for the token positions.
+``learn_merges``: the ``(word, n)`` table is counted once, and so are its pairs. Merges are proposed
+and proved in rounds. The driver proposes the next ones from the exact counts and from the words it
+holds, a bounded number of the most frequent. Every task then makes the proposed merges on its own words, held as one
+array of symbols: a merge rewrites only the places of its pair and gives the changes of the pair counts beside
+them; nothing else is counted again. The changes of all tasks, summed by step, prove the proposals: as
+long as a proposed pair is the most frequent of all, with ties by symbols, it is the next merge; the first one that is not ends the round.
+So the merges are those of one at a time, whatever the proposals, and a round makes many.
+The driver holds the counts of ``TRACKED`` pairs and of all pairs that merges made: an untracked pair can only
+become rarer, and pairs are counted anew where one might be the next.
+
+``encode_subword``: each *distinct* word is encoded once by an Arrow (pandas) UDF that applies the
+merge ranks -- the rank table is bounded by the merge count and shipped with the function -- then
+looked up for the token positions.
+
+A symbol is its UTF-8 in hexadecimal, whose order is code point order.
 """
 
 from __future__ import annotations
 
+import heapq
 import sys
+from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -30,8 +36,8 @@ from corpusmill.plans.lineage import materialize
 
 #: One character of hexadecimal UTF-8 (also read by the SQL check).
 HEX_CHARACTER = "[0-7][0-9A-F]|[C-F][0-9A-F](?:[89AB][0-9A-F])+"
-#: Pairs looked at in one pass.
-LEADING = 64
+#: Pairs whose counts are held, words that the driver proposes from, and merges proposed in a round.
+TRACKED, HELD_WORDS, PROPOSED = 200_000, 500_000, 256
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -49,52 +55,231 @@ def _text(symbol: str) -> str:
     return bytes.fromhex(symbol).decode("utf-8", "replace")
 
 
-def independent(leading: list[tuple[str, str, int]], known: set[str], more: bool) -> list[tuple[str, str]]:
-    """The first merges of ``leading`` (pairs by falling count, then by symbols; ``more``: not
-    all pairs) that are also those of one merge at a time. A merge changes only counts of pairs
-    that share a symbol with it, and a pair it creates is at most as frequent as such a pair. So
-    a later pair follows if it shares no symbol with an earlier one and its count is above that
-    of the first pair that does. A pair of one symbol twice, or one whose result is a symbol
-    already, ends the pass."""
-    taken: list[tuple[str, str, int]] = []
-    used: set[str] = set()
-    limit = leading[-1][2] if more else 0
-    for k, (a, b, n) in enumerate(leading):
-        if taken and (a in used or b in used):
-            limit = max(limit, n)
+class Words:
+    """Words as one array of symbol numbers, with each place's word and count. A merge finds the places of its
+    pair, rewrites those and counts the pairs beside them; no other pair is counted again."""
+
+    def __init__(self, words: list[tuple[str, int]]):
+        self.names: list[str] = []
+        self.number: dict[str, int] = {}
+        own = [w.split() for w, _ in words]
+        sizes = np.array([len(o) for o in own], dtype=np.int64)
+        self.x = np.fromiter((self._number(s) for o in own for s in o), np.int32, int(sizes.sum()))
+        self.word = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
+        self.n = np.repeat(np.array([n for _, n in words], dtype=np.int64), sizes)
+
+    def copy(self) -> Words:
+        other = Words([])
+        other.names, other.number = list(self.names), dict(self.number)
+        other.x, other.word, other.n = self.x.copy(), self.word, self.n  # a merge writes x in place, the others anew
+        return other
+
+    def _number(self, symbol: str) -> int:
+        k = self.number.get(symbol)
+        if k is None:
+            k = self.number[symbol] = len(self.names)
+            self.names.append(symbol)
+        return k
+
+    def _places(self, a: str, b: str) -> np.ndarray:
+        """Where the pair starts, from the left and without overlap."""
+        if a not in self.number or b not in self.number or not len(self.x):
+            return np.zeros(0, np.int64)
+        at = np.flatnonzero((self.x[:-1] == self.number[a]) & (self.x[1:] == self.number[b]) & (self.word[:-1] == self.word[1:]))
+        if a == b and len(at):  # of neighbouring places every second one
+            first = np.concatenate(([True], np.diff(at) > 1))
+            run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+        return at
+
+    def total(self, a: str, b: str) -> int:
+        return int(self.n[self._places(a, b)].sum())
+
+    def _pairs(self, at: np.ndarray, sign: int, changes: Counter) -> None:
+        """Adds the pairs that start at these places."""
+        at = np.unique(at[(at >= 0) & (at + 1 < len(self.x))])
+        at = at[self.word[at] == self.word[at + 1]]
+        code = self.x[at].astype(np.int64) * len(self.names) + self.x[at + 1]
+        pairs, where = np.unique(code, return_inverse=True)
+        sums = np.zeros(len(pairs), np.int64)
+        np.add.at(sums, where, self.n[at])
+        for c, n in zip(pairs.tolist(), sums.tolist()):
+            changes[self.names[c // len(self.names)], self.names[c % len(self.names)]] += sign * n
+
+    def merge(self, a: str, b: str) -> dict[tuple[str, str], int]:
+        """Rewrites the places of the pair; the changes of pair counts."""
+        at, changes = self._places(a, b), Counter()
+        if not len(at):
+            return {}
+        self._pairs(np.concatenate((at - 1, at, at + 1)), -1, changes)
+        self.x[at] = self._number(a + b)
+        keep = np.ones(len(self.x), bool)
+        keep[at + 1] = False
+        self.x, self.word, self.n = self.x[keep], self.word[keep], self.n[keep]
+        at = at - np.arange(len(at))
+        self._pairs(np.concatenate((at - 1, at)), 1, changes)
+        return {p: c for p, c in changes.items() if c}
+
+    def lines(self) -> list[str]:
+        """The words in order, their symbols between spaces."""
+        out = [self.names[k] for k in self.x.tolist()]
+        ends = np.flatnonzero(np.diff(np.append(self.word, -1))) + 1
+        return [" ".join(out[s:e]) for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())] if len(out) else []
+
+
+class Ranking:
+    """The counts of pairs, most frequent first, ties by symbols."""
+
+    def __init__(self, counts: dict[tuple[str, str], int]):
+        self.counts = dict(counts)
+        self.heap = [(-n, a, b) for (a, b), n in counts.items()]
+        heapq.heapify(self.heap)
+
+    def add(self, changes: dict[tuple[str, str], int], merged: str) -> None:
+        for pair, change in changes.items():
+            if pair in self.counts or merged in pair:  # a new symbol's pairs are new, so their count is whole
+                self.counts[pair] = n = self.counts.get(pair, 0) + change
+                heapq.heappush(self.heap, (-n, *pair))
+
+    def best(self) -> tuple[str, str, int] | None:
+        while self.heap:
+            n, a, b = self.heap[0]
+            if self.counts.get((a, b), 0) == -n and n < 0:
+                return a, b, -n
+            heapq.heappop(self.heap)
+        return None
+
+
+    def copy(self) -> Ranking:
+        other = Ranking({})
+        other.counts, other.heap = dict(self.counts), list(self.heap)
+        return other
+
+
+def _propose(held: Words, ranking: Ranking, known: set[str], floor: int, most: int) -> list[tuple[str, str]]:
+    """The next merges by the exact counts, changed as the held words change. ``held`` is used up."""
+    guess, counts, symbols = [], ranking.copy(), set(known)
+    while len(guess) < most:
+        best = counts.best()
+        if best is None or best[2] <= floor:
             break
-        taken.append((a, b, n))
-        used |= {a, b}
-        if a == b or a + b in known:
-            limit = max([limit, *(c for _, _, c in leading[k + 1:k + 2])])
+        a, b, n = best
+        own = held.total(a, b)
+        scale = n / own if own else 1.0
+        guess.append((a, b))
+        if a + b in symbols:
             break
-        known = known | {a + b}
-    return [(a, b) for k, (a, b, n) in enumerate(taken) if not k or n > limit]
+        symbols.add(a + b)
+        changes = {p: round(c * scale) for p, c in held.merge(a, b).items()}
+        counts.add({**changes, (a, b): -n}, a + b)
+    return guess
 
 
-def learn_merges(docs: DataFrame, n_merges: int, cut_every: int = 8) -> list[tuple[str, str]]:
+_CHANGES, _WORDS = "step int, a string, b string, c bigint", "syms string, n bigint"
+
+
+def _lots(batches, rows: int = 200_000):
+    """Some batches at a time: a merge costs a lot of words little more than a few."""
+    held, count = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        count += len(pdf)
+        if count >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, count = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _changes(done: list[tuple[str, str]], guess: list[tuple[str, str]]):
+    """The change of every pair count by the proposed merges, on the words of a task behind the merges that are done."""
+    def run(batches):
+        for pdf in _lots(batches):
+            index = Words(list(zip(pdf["syms"].tolist(), pdf["n"].tolist())))
+            for pair in done:
+                index.merge(*pair)
+            rows = [(step, *p, c) for step, pair in enumerate(guess) for p, c in index.merge(*pair).items()]
+            yield pd.DataFrame(rows, columns=["step", "a", "b", "c"])
+
+    return run
+
+
+def _rewritten(done: list[tuple[str, str]]):
+    def run(batches):
+        for pdf in _lots(batches):
+            index = Words(list(zip(pdf["syms"].tolist(), pdf["n"].tolist())))
+            for pair in done:
+                index.merge(*pair)
+            yield pd.DataFrame({"syms": index.lines(), "n": pdf["n"].tolist()})
+
+    return run
+
+
+def _pair_counts(wc: DataFrame) -> tuple[dict[tuple[str, str], int], int]:
+    """The most frequent pairs, ``TRACKED`` at most, and the count that no other pair exceeds."""
+    arr = F.split("syms", " ")
+    pairs = wc.where(F.size(arr) > 1).select(F.explode(F.arrays_zip(
+        F.slice(arr, 1, F.size(arr) - 1).alias("a"), F.slice(arr, 2, F.size(arr) - 1).alias("b"))).alias("p"), "n")
+    counts = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("c"))
+    top = counts.orderBy(F.col("c").desc(), "a", "b").limit(TRACKED + 1).collect()  # bounded by TRACKED
+    return {(r["a"], r["b"]): r["c"] for r in top[:TRACKED]}, top[TRACKED]["c"] if len(top) > TRACKED else 0
+
+
+def _held(wc: DataFrame) -> Words:
+    """The most frequent words, ``HELD_WORDS`` at most."""
+    return Words([(r["syms"], r["n"]) for r in wc.orderBy(F.col("n").desc(), "syms").limit(HELD_WORDS).collect()])
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(slots, "syms") if rows.rdd.getNumPartitions() < slots else rows
+
+
+def learn_merges(docs: DataFrame | None, n_merges: int, cut_every: int = PROPOSED, words: DataFrame | None = None) -> list[tuple[str, str]]:
     """the first ``n_merges`` merges, most frequent adjacent pair first (ties: the
-    smallest pair)."""
-    wc = materialize(word_counts(docs).select(symbols("word").alias("syms"), "n").groupBy("syms").agg(F.sum("n").alias("n")),
-                     "merge-words")
+    smallest pair). ``words``: a written ``(word, n)`` table in place of the documents. Words are written again
+    after ``cut_every`` merges."""
+    source = word_counts(docs) if words is None else words
+    rows = source.select(F.trim(F.regexp_replace(symbols("word"), " +", " ")).alias("syms"), "n").where(F.col("syms").contains(" "))
+    # many small tasks: a round's work is in Python, so the files are for all slots, however small the table is
+    wc = materialize(_dealt(rows), "merge-words")
     merges: list[tuple[str, str]] = []
-    pending = 0
+    done: list[tuple[str, str]] = []  # merges that the written words do not have yet
+    ranking, floor, held = None, 0, Words([])
     while len(merges) < int(n_merges):
-        arr = F.split(F.trim("syms"), "  ")
-        pairs = wc.where(F.size(arr) > 1).select(
-            F.explode(F.arrays_zip(F.slice(arr, 1, F.size(arr) - 1).alias("a"),
-                                   F.slice(arr, 2, F.size(arr) - 1).alias("b"))).alias("p"), "n")
-        counts = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("c"))
-        top = [tuple(r) for r in counts.orderBy(F.col("c").desc(), "a", "b").limit(LEADING).collect()]
-        if not top:
+        if ranking is None:
+            if done:
+                wc, done = materialize(_dealt(wc).mapInPandas(_rewritten(done), _WORDS), "merge-words"), []
+            tracked, floor = _pair_counts(wc)
+            ranking, held = Ranking(tracked), _held(wc)
+        best = ranking.best()
+        if best is None:
             break
-        new = independent(top, {a + b for a, b in merges}, len(top) == LEADING)[:int(n_merges) - len(merges)]
-        for a, b in new:
-            wc = wc.select(F.replace(F.col("syms"), F.lit(f" {a}  {b} "), F.lit(f" {a}{b} ")).alias("syms"), "n")
-        merges += new
-        pending += len(new)
-        if cut_every and pending >= cut_every:
-            wc, pending = materialize(wc, "merge-words"), 0
+        alone = best[2] <= floor  # just counted, with all counts equal: the first pair is the next merge, no more is known
+        known = {a + b for a, b in merges}
+        most = 1 if alone else min(PROPOSED, int(n_merges) - len(merges))
+        guess = _propose(held.copy(), ranking, known, 0 if alone else floor, most)
+        by_step: dict[int, dict] = defaultdict(dict)
+        for r in wc.mapInPandas(_changes(done, guess), _CHANGES).groupBy("step", "a", "b").agg(F.sum("c").alias("c")).collect():
+            by_step[r["step"]][r["a"], r["b"]] = r["c"]  # a step changes the pairs beside one merge: bounded by the symbols
+        again = alone
+        for step, (a, b) in enumerate(guess):
+            best = ranking.best()
+            if best is None or best[:2] != (a, b) or best[2] <= floor and not alone:
+                break
+            merges.append((a, b))
+            done.append((a, b))
+            held.merge(a, b)
+            if a + b in known:  # its pairs may be among those not tracked
+                again = True
+                break
+            known.add(a + b)
+            ranking.add(by_step[step], a + b)
+        best = ranking.best()
+        if again or best is not None and best[2] <= floor:
+            ranking = None
+        elif len(done) >= int(cut_every):
+            wc, done = materialize(_dealt(wc).mapInPandas(_rewritten(done), _WORDS), "merge-words"), []
     return [(_text(a), _text(b)) for a, b in merges]
 
 
@@ -108,52 +293,62 @@ def read_merges(table: DataFrame) -> list[tuple[str, str]]:
     return [(r["left"], r["right"]) for r in table.select("rank", "left", "right").orderBy("rank").collect()]
 
 
-def alphabet(docs: DataFrame) -> list[str]:
+def alphabet(docs: DataFrame | None, words: DataFrame | None = None) -> list[str]:
     """The distinct characters of the corpus words in code point order (bounded by the
-    character set, not by the data)."""
-    words = docs.select(F.explode(split_words("text")).alias("w")).distinct()
-    return [_text(r["s"]) for r in words.select(F.explode(F.split(F.trim(symbols("w")), "  ")).alias("s")).distinct()
+    character set, not by the data). ``words``: a written ``(word, n)`` table in place of the documents."""
+    own = docs.select(F.explode(split_words("text")).alias("word")).distinct() if words is None else words
+    return [_text(r["s"]) for r in own.select(F.explode(F.split(F.trim(symbols("word")), "  ")).alias("s")).distinct()
             .orderBy("s").collect()]
 
 
 def bpe_encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Apply merges to one word: repeatedly merge the adjacent pair of lowest rank."""
-    syms = list(word)
-    while len(syms) > 1:
-        best, at = None, -1
-        for i in range(len(syms) - 1):
-            r = ranks.get((syms[i], syms[i + 1]))
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
-        a, b = syms[at], syms[at + 1]
-        out, i = [], 0
-        while i < len(syms):
-            if i < len(syms) - 1 and syms[i] == a and syms[i + 1] == b:
-                out.append(a + b)
-                i += 2
-            else:
-                out.append(syms[i])
-                i += 1
-        syms = out
-    return syms
-
-
-def encode_subword(docs: DataFrame, merges: DataFrame | list[tuple[str, str]], symbol_ids: dict[str, int],
-                   eos_id: int | None, **limits) -> DataFrame:
-    """``(doc_id, n, ids)``: every document's words encoded with the merges (a rank table or
-    a list), one end-of-sequence id per document (none if ``eos_id`` is None)."""
+    """Apply merges to one word: the adjacent pair of lowest rank, at all its places from the left, again and again.
+
+    The symbols are a linked list and the pairs a heap by rank and place, so a word of n characters takes
+    n log n steps."""
+    syms, after, before = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+    end = len(word)
+    heap = [(r, i) for i in range(end - 1) if (r := ranks.get((syms[i], syms[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, grown = heap[0][0], []
+        while heap and heap[0][0] == rank:
+            i = heapq.heappop(heap)[1]
+            j = after[i] if syms[i] is not None else end
+            if j == end or ranks.get((syms[i], syms[j])) != rank:
+                continue  # a symbol of the pair was merged before
+            syms[i], syms[j], after[i] = syms[i] + syms[j], None, after[j]
+            if after[i] < end:
+                before[after[i]] = i
+            grown.append(i)
+        for i in grown:  # the pairs around the new symbols
+            for left in (before[i], i):
+                if left >= 0 and syms[left] is not None and after[left] < end:
+                    if (r := ranks.get((syms[left], syms[after[left]]))) is not None:
+                        heapq.heappush(heap, (r, left))
+    return [s for s in syms if s is not None]
+
+
+def encode_words(words: DataFrame, merges: DataFrame | list[tuple[str, str]], symbol_ids: dict[str, int]) -> DataFrame:
+    """``(word, n, sub)`` for ``words (word, n)``: each distinct word's ids, written once for a rank table."""
     if isinstance(merges, DataFrame):
         merges = read_merges(merges)
     ranks = {(a, b): r for r, (a, b) in enumerate(merges)}
     ids = dict(symbol_ids)
 
     @F.pandas_udf(ArrayType(LongType()))
-    def enc(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: [ids.get(s, -1) for s in bpe_encode_word(w, ranks)])
+    def enc(own: pd.Series) -> pd.Series:
+        return own.map(lambda w: [ids.get(s, -1) for s in bpe_encode_word(w, ranks)])
+
+    return materialize(words.withColumn("sub", enc(F.col("word"))), "subwords")
 
-    distinct = materialize(word_counts(docs).withColumn("sub", enc(F.col("word"))), "subwords")
+
+def encode_subword(docs: DataFrame, merges: DataFrame | list[tuple[str, str]], symbol_ids: dict[str, int],
+                   eos_id: int | None, encoded: DataFrame | None = None, **limits) -> DataFrame:
+    """``(doc_id, n, ids)``: every document's words encoded with the merges (a rank table or
+    a list), one end-of-sequence id per document (none if ``eos_id`` is None). ``encoded``: the distinct words' ids from
+    ``encode_words``, if they are written already."""
+    distinct = encode_words(word_counts(docs), merges, symbol_ids) if encoded is None else encoded
     words = docs.select("doc_id", split_words("text").alias("words"))
     seq = F.flatten(F.col("sub"))
     if eos_id is not None:

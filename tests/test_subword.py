@@ -1,7 +1,9 @@
 """F2/F3 against a brute-force BPE, one merge at a time."""
 import random
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from helpers import docs_df
@@ -64,14 +66,80 @@ def test_merges_are_those_of_one_at_a_time(spark, texts):
     assert got == _py_merges([t or "" for t in texts], 25)
 
 
-def test_a_pass_takes_only_merges_that_cannot_influence_each_other():
-    pick = subword.independent
-    assert pick([("a", "b", 9), ("c", "d", 8), ("b", "x", 7), ("e", "f", 6)], set(), False) == [("a", "b"), ("c", "d")]
-    assert pick([("a", "b", 9), ("c", "d", 7), ("b", "x", 7)], set(), False) == [("a", "b")]      # a tie decides later
-    assert pick([("a", "b", 9), ("c", "d", 7)], set(), True) == [("a", "b")]                      # pairs not looked at
-    assert pick([("a", "a", 9), ("c", "d", 7)], set(), False) == [("a", "a")]
-    assert pick([("a", "b", 9), ("c", "c", 7), ("a", "x", 7)], set(), False) == [("a", "b")]
-    assert pick([("a", "b", 9), ("c", "d", 7)], {"ab"}, False) == [("a", "b")]
+@pytest.mark.parametrize("tracked,held,cut", [(3, 100, 512), (20, 5, 4), (200_000, 0, 9), (200_000, 100_000, 512)])
+def test_rounds_and_proposals_do_not_change_the_merges(spark, monkeypatch, tracked, held, cut):
+    monkeypatch.setattr(subword, "TRACKED", tracked)
+    monkeypatch.setattr(subword, "HELD_WORDS", held)
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcd", k=rng.randint(1, 12))) for _ in range(60)) for _ in range(6)]
+    # symbols that come about in two ways, and pairs of one symbol
+    texts += ["abc abc bcx abcab aaaa aaa " * 3, "xabcx abcabc"]
+    got = subword.learn_merges(docs_df(spark, texts), 24, cut_every=cut)
+    assert got == _py_merges(texts, 24)
+
+
+def test_changes_of_counts_are_those_of_a_recount():
+    rng = random.Random(8)
+    index = subword.Words([(" ".join(rng.choices("abc", k=rng.randint(1, 14))), rng.randint(1, 5)) for _ in range(80)])
+    times = [int(index.n[np.flatnonzero(index.word == k)[0]]) for k in range(80)]
+
+    def recount():
+        counts = Counter()
+        for own, n in zip(map(str.split, index.lines()), times):
+            for pair in zip(own, own[1:]):
+                counts[pair] += n
+        return counts
+
+    counts = recount()
+    for _ in range(30):
+        if not counts:
+            break
+        pair = max(counts, key=lambda p: (counts[p], p))
+        before = [x.split() for x in index.lines()]
+        assert index.total(*pair) <= counts[pair]
+        for p, c in index.merge(*pair).items():
+            counts[p] += c
+        counts = +counts
+        assert counts == recount()
+        assert all(x == y for x, y in zip(before, map(str.split, index.lines())) if pair not in list(zip(x, x[1:])))
+
+
+def _loop(word, ranks):
+    """Merges by rescanning the word."""
+    syms = list(word)
+    while True:
+        found = min((ranks[p] for p in zip(syms, syms[1:]) if p in ranks), default=None)
+        if found is None:
+            return syms
+        out, i = [], 0
+        while i < len(syms):
+            if i + 1 < len(syms) and ranks.get((syms[i], syms[i + 1])) == found:
+                out.append(syms[i] + syms[i + 1])
+                i += 2
+            else:
+                out.append(syms[i])
+                i += 1
+        syms = out
+
+
+def test_encoding_a_word_equals_rescanning_and_takes_long_words():
+    rng = random.Random(12)
+    for _ in range(60):
+        parts, pairs = ["a", "b", "c"], []
+        for _ in range(12):
+            pair = (rng.choice(parts), rng.choice(parts))
+            pairs.append(pair)
+            parts.append("".join(pair))
+        rng.shuffle(pairs)  # also tables in which a later merge has a lower rank
+        ranks = {p: r for r, p in enumerate(dict.fromkeys(pairs))}
+        for _ in range(20):
+            word = "".join(rng.choices("abc", k=rng.randint(0, 30)))
+            assert subword.bpe_encode_word(word, ranks) == _loop(word, ranks)
+    ranks = {("a", "b"): 0, ("ab", "ab"): 1, ("abab", "abab"): 2, ("c", "c"): 3}
+    began = time.process_time()
+    out = subword.bpe_encode_word("ab" * 400_000 + "c" * 200_000, ranks)
+    assert time.process_time() - began < 20
+    assert out == ["abababab"] * 100_000 + ["cc"] * 100_000
 
 
 def test_rank_table_and_no_end_marker_above_the_broadcast_limit(spark):
