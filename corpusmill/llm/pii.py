@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import cache
 
 import numpy as np
@@ -278,8 +279,10 @@ def spans_of(text: str | None) -> tuple[dict, dict]:
     base = find(text)
     every = {}
     for kind, more in disguised(text).items():
-        new = [s for s in more if not any(a <= s[0] and s[1] <= b for a, b in base[kind])] if more else []
-        every[kind] = sorted({*base[kind], *new})
+        # base spans do not overlap: the last one that starts in time is the only one that can cover
+        own, starts = base[kind], [a for a, _ in base[kind]]
+        new = [s for s in more if not (k := bisect_right(starts, s[0])) or own[k - 1][1] < s[1]]
+        every[kind] = sorted({*own, *new})
     return base, every
 
 
