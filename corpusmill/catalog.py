@@ -28,6 +28,7 @@ from corpusmill.session import ensure_checkpoint_dir, scratch_path
 from corpusmill.sources import sinks
 from corpusmill.sources.documents import lines as scan_lines
 from corpusmill.sources.documents import read_documents, read_table, spread, whole_text
+from corpusmill.sources.files import list_files
 from corpusmill.streaming import ingest
 
 # The reference's defaults used by the registered queries.
@@ -42,6 +43,7 @@ CHECK_NEW = 10        # completion length of the model check
 GREEDY_LEN = 20       # open-ended sample length, prompt included
 TAKE_N = 750          # record count: below the row count at every scale but the smallest, so that it cuts
 BUDGET = 100_000      # token budget of the budget query
+SHARD_BATCHES = 50    # batches of a listed shard
 MAX_STEPS = 100       # short-run step limit
 EVERY_N = 10          # checkpoint interval on the events metric log
 TOP_K = 3
@@ -246,6 +248,53 @@ def q_shift_targets(spark, sf_dir):
     return pack.shift_targets(_heldout(spark, sf_dir), "item_id")
 
 
+def q_first_documents_windows(spark, sf_dir):
+    """T1 as the corpus of a run: the first documents, their own vocabulary and stream, in windows."""
+    docs = tokens.take_documents(read_documents(spark, sf_dir), TAKE_N)
+    c = stream.prepare_corpus(docs, "doc")
+    w = pack.assign_batches(pack.pack_windows(c.docs, SEQ_LEN, c.total), BATCH)
+    return w.select("sample_id", "batch_id", F.md5(_join_ids(F.col("inputs"))).alias("inputs_md5"),
+                    F.md5(_join_ids(F.col("target"))).alias("target_md5"))
+
+
+def q_budget_blocks(spark, sf_dir):
+    """T2 as the corpus of a run: the documents within the token budget, in blocks."""
+    docs = tokens.within_budget(read_documents(spark, sf_dir), BUDGET, tokens.LINE_MODE)
+    c = stream.prepare_corpus(docs, "line")
+    b = pack.assign_batches(pack.pack_blocks(c.docs, BLOCK, c.total), BATCH)
+    return b.select("sample_id", "batch_id", _join_ids(F.col("inputs")).alias("inputs"), _join_ids(F.col("target")).alias("target"))
+
+
+def q_list_shards(spark, sf_dir):
+    """The shard folders that the sample sink wrote, found by listing its folder: files and data files of each."""
+    c = corpus(spark, sf_dir, "line")
+    path = scratch_path(spark, "listed-shards")
+    sinks.write_samples(pack.assign_batches(pack.pack_blocks(c.docs, BLOCK, c.total), BATCH), path, SHARD_BATCHES)
+    return list_files(spark, path, "*.parquet").groupBy("dir").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def q_vocab_size_by_source(spark, sf_dir):
+    """G2 by source and over all: the exact number of distinct words, and whether the merged sketches agree within 5 %."""
+    t = tokens.doc_tokens(read_documents(spark, sf_dir, columns=("text", "source")), tokens.DOC_MODE, keep=("source",))
+    sketches = materialize(vocab.vocab_sketches(t, "source"), "vocab-sketches")
+    words = materialize(t.select("source", F.explode("words").alias("word")).distinct(), "source-words")
+    exact = words.groupBy("source").agg(F.count(F.lit(1)).alias("vocab_size"))
+    exact = exact.join(vocab.sketched_size(sketches, ["source"]), "source")
+    name = F.lit("all sources").alias("source")
+    every = words.select("word").distinct().agg(F.count(F.lit(1)).alias("vocab_size")).select(name, "vocab_size", F.lit(None).cast("bigint").alias("approx_size"))
+    merged = vocab.sketched_size(sketches).select(name, F.lit(None).cast("bigint").alias("vocab_size"), "approx_size")
+    both = exact.unionByName(every).unionByName(merged).groupBy("source").agg(F.max("vocab_size").alias("vocab_size"), F.max("approx_size").alias("approx_size"))
+    return both.select("source", "vocab_size", (F.abs(F.col("approx_size") - F.col("vocab_size")) <= 0.05 * F.col("vocab_size")).alias("sketch_agrees"))
+
+
+def q_stream_vocab_sketch(spark, sf_dir):
+    """G2 over the document stream: whether the union of the batches' sketches agrees within 5 % with the exact size."""
+    ensure_checkpoint_dir(spark)
+    size = ingest.stream_vocab_sketch(spark, sf_dir, scratch_path(spark, "sketch-out"), scratch_path(spark, "sketch-ckpt"))
+    exact = corpus(spark, sf_dir, "doc").vocab_size
+    return size.select(F.lit(exact).cast("bigint").alias("vocab_size"), (F.abs(F.col("approx_size") - exact) <= 0.05 * exact).alias("sketch_agrees"))
+
+
 # ---------------------------------------------------------------- scores and losses
 
 def _embeddings(spark, sf_dir):
@@ -538,6 +587,11 @@ def q_whole_text_blocks(spark, sf_dir):
 
 
 QUERIES = {
+    "first_documents_windows": q_first_documents_windows,
+    "budget_blocks": q_budget_blocks,
+    "list_shards": q_list_shards,
+    "vocab_size_by_source": q_vocab_size_by_source,
+    "stream_vocab_sketch": q_stream_vocab_sketch,
     "lines": q_lines,
     "whole_text": q_whole_text,
     "line_tokens": q_line_tokens,

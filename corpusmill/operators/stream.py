@@ -31,13 +31,20 @@ def token_stream(stream_docs: DataFrame) -> DataFrame:
         .select((F.col("off") + F.col("k")).alias("pos"), "doc_id", "id")
 
 
+def by_position(stream_docs: DataFrame) -> DataFrame:
+    """The stream laid out by position, with ``until``, the position behind a document: range partitions of ``off``, sorted.
+    Written so, a file holds one range of positions, and its row-group statistics of ``off`` and ``until`` tell a lookup
+    which files it can pass over."""
+    return stream_docs.withColumn("until", F.col("off") + F.col("n")).repartitionByRange("off").sortWithinPartitions("off")
+
+
 @dataclass
 class Corpus:
     """A prepared corpus: tokens, vocabulary and the encoded stream with offsets."""
 
     tokens: DataFrame   # (doc_id, words)
     vocab: DataFrame    # (id, word, n)
-    docs: DataFrame     # (doc_id, off, n, ids)
+    docs: DataFrame     # (doc_id, off, n, ids, until), laid out by position
     total: int          # stream length N (or T)
     vocab_size: int
     eos_id: int
@@ -72,7 +79,7 @@ def prepare_corpus(docs: DataFrame, mode: str = DOC_MODE, persist: bool = True,
     enc = encode(tokens, vocab)
     stream = enc.join(offs.select("doc_id", "off", *keep), "doc_id").select("doc_id", "off", "n", "ids", *keep)
     if persist:
-        stream = materialize(stream, "stream")
+        stream = materialize(by_position(stream), "stream")
     total = offs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     vsize = vocab.count()
     eos = word_id(vocab, EOS)
@@ -84,19 +91,21 @@ def lay_out(enc: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[Dat
     and its length: the sequences that packing reads. Written once."""
     enc = materialize(enc.select("doc_id", "n", "ids"), "encoded")
     offs = materialize(stream_offsets(enc, rows_per_bucket), "offsets")
-    docs = materialize(enc.join(offs.select("doc_id", "off"), "doc_id").select("doc_id", "off", "n", "ids"), "stream")
+    docs = materialize(by_position(enc.join(offs.select("doc_id", "off"), "doc_id").select("doc_id", "off", "n", "ids")), "stream")
     return docs, int(offs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
 def sample_at(stream_docs: DataFrame, index: int, seq_len: int) -> DataFrame:
     """Window ``index`` without building the others: ``(sample_id, inputs, target)``.
 
-    Only documents overlapping ``[index, index + S + 1)`` pass the filter on ``off``/``n``
-    (pushed to the scan of a written stream), then their slices are concatenated.
+    Only documents overlapping ``[index, index + S + 1)`` pass the filter on ``off`` and ``until``
+    (pushed to the scan of a written stream, which reads the row groups of that range alone), then their slices are
+    concatenated.
     """
     S, i = int(seq_len), int(index)
     end = i + S + 1
-    d = stream_docs.where((F.col("off") < end) & (F.col("off") + F.col("n") > i))
+    until = F.col("until") if "until" in stream_docs.columns else F.col("off") + F.col("n")
+    d = stream_docs.where((F.col("off") < end) & (until > i))
     start = F.greatest(F.col("off"), F.lit(i))
     stop = F.least(F.col("off") + F.col("n"), F.lit(end))
     piece = F.slice("ids", (start - F.col("off") + 1).cast("int"), (stop - start).cast("int"))

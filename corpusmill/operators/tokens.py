@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import EOS, doc_mode_words, line_mode_words, line_words, split_lines, split_words
+from corpusmill.plans.lineage import materialize
 from corpusmill.plans.ordering import ROWS_PER_BUCKET, global_index, global_offsets
 
 LINE_MODE = "line"
@@ -58,11 +59,14 @@ def token_budget(tokens: DataFrame, budget: int) -> DataFrame:
     return offs.where(F.col("off") + F.col("n") <= budget)
 
 
-def samples_for(total: int, seq_len: int, packing: str) -> int:
-    """Number of training samples: ``N // B - 1`` blocks, or ``T - S`` windows; never negative."""
-    if packing == "blocks":
-        return max(0, total // seq_len - 1)
-    return max(0, total - seq_len)
+def within_budget(docs: DataFrame, budget: int, mode: str = DOC_MODE) -> DataFrame:
+    """The leading documents whose tokens fit in ``budget``, as documents: the corpus of a run. Their ids are a prefix of
+    the order, so a filter on ``doc_id`` reaches the scan; ties at its end are settled by the join."""
+    fits = materialize(token_budget(doc_tokens(docs, mode), budget).select("doc_id"), "within-budget")
+    last = fits.agg(F.max("doc_id")).first()[0]
+    lead = docs.where(F.col("doc_id").isNull()) if last is None else docs.where(F.col("doc_id").isNull() | (F.col("doc_id") <= last))
+    own = fits.withColumnRenamed("doc_id", "_fits")
+    return lead.join(own.hint("merge"), lead["doc_id"].eqNullSafe(own["_fits"]), "left_semi")
 
 
 def corpus_report(tokens: DataFrame, seq_len: int, packing: str) -> DataFrame:
@@ -79,4 +83,4 @@ def corpus_report(tokens: DataFrame, seq_len: int, packing: str) -> DataFrame:
 
 
 __all__ = ["EOS", "LINE_MODE", "DOC_MODE", "line_tokens", "doc_tokens", "doc_lengths", "take_documents",
-           "token_budget", "samples_for", "corpus_report"]
+           "token_budget", "within_budget", "corpus_report"]

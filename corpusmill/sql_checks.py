@@ -226,12 +226,24 @@ SELECT o.off AS sample_id,
        string_agg(CAST(ds.id AS VARCHAR), ' ' ORDER BY ds.pos) FILTER (WHERE ds.pos > o.off) AS target
 FROM o JOIN ds ON ds.pos BETWEEN o.off AND o.off + {S}
 WHERE o.off < (SELECT T FROM consts) - {S} GROUP BY o.off"""
+    # every position of every window labelled with its document, then first and last place of each
     q["window_sources"] = _with() + rf""",
-o AS (SELECT doc_id, min(pos) AS off, count(*) AS n FROM ds GROUP BY doc_id),
-x AS (SELECT o.doc_id, o.off, o.n,
-             unnest(range(greatest(0, o.off - {S}), least(o.off + o.n, (SELECT T FROM consts) - {S}))) AS i FROM o)
-SELECT CAST(i AS BIGINT) AS sample_id, doc_id, CAST(greatest(0, i - off) AS BIGINT) AS local_start,
-       CAST(least(n, i + {S + 1} - off) AS BIGINT) AS local_end FROM x"""
+x AS (SELECT doc_id, k - 1 AS place, unnest(range(greatest(0, pos - {S}), least(pos + 1, (SELECT T FROM consts) - {S}))) AS i FROM ds)
+SELECT CAST(i AS BIGINT) AS sample_id, doc_id, CAST(min(place) AS BIGINT) AS local_start, CAST(max(place) + 1 AS BIGINT) AS local_end
+FROM x GROUP BY i, doc_id"""
+    first = f"(SELECT * FROM documents ORDER BY doc_id LIMIT {C.TAKE_N}) documents"
+    q["first_documents_windows"] = q["pack_windows"].replace("FROM documents", f"FROM {first}")
+    fit = ("(SELECT * FROM documents WHERE doc_id IN (WITH " + _BASE + " SELECT doc_id FROM (SELECT doc_id, sum(len(words)) OVER (ORDER BY doc_id) AS upto "
+           f"FROM lw) WHERE upto <= {C.BUDGET})) documents")
+    q["budget_blocks"] = _with(_blocks_cte()).replace("FROM documents", f"FROM {fit}") + \
+        f"SELECT sample_id, sample_id // {BS} AS batch_id, inputs, target FROM blk"
+    q["list_shards"] = _with(_blocks_cte()) + rf"""
+SELECT 'shard=' || CAST(sample_id // {BS} // {C.SHARD_BATCHES} AS VARCHAR) AS dir, CAST(1 AS BIGINT) AS n_files FROM blk GROUP BY 1"""
+    q["vocab_size_by_source"] = _with() + r""",
+sw AS (SELECT d.source, dt.word FROM dt JOIN documents d USING (doc_id))
+SELECT source, CAST(count(DISTINCT word) AS BIGINT) AS vocab_size, true AS sketch_agrees FROM sw GROUP BY source
+UNION ALL SELECT 'all sources', CAST(count(DISTINCT word) AS BIGINT), true FROM sw"""
+    q["stream_vocab_sketch"] = _with() + "SELECT CAST(count(*) AS BIGINT) AS vocab_size, true AS sketch_agrees FROM dv"
     q["shift_targets"] = _with(_HELD) + r"""
 SELECT item_id, pos, id, next_id FROM (
   SELECT item_id, CAST(k - 1 AS INTEGER) AS pos, id, lead(id) OVER (PARTITION BY item_id ORDER BY k) AS next_id FROM he)

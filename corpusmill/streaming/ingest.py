@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import doc_mode_words, line_mode_words
+from corpusmill.operators.vocab import sketched_size, vocab_sketches
 
 
 def document_stream(spark: SparkSession, src_dir: str, table: str = "documents",
@@ -77,3 +78,19 @@ def stream_word_counts(spark: SparkSession, src_dir: str, out_path: str, checkpo
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(schema + ", batch bigint").parquet(out_path).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def stream_vocab_sketch(spark: SparkSession, src_dir: str, out_path: str, checkpoint: str, mode: str = "doc",
+                        max_files_per_trigger: int | None = None) -> DataFrame:
+    """G2 over the document stream: each micro-batch writes one HLL sketch of its words, the union of all sketches
+    gives ``(approx_size)``. A batch leaves 16 kB, however many words it holds."""
+    words = doc_mode_words("text") if mode == "doc" else line_mode_words("text")
+    stream = document_stream(spark, src_dir, max_files_per_trigger=max_files_per_trigger).select(words.alias("words"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        vocab_sketches(batch.withColumn("batch", F.lit(number)), "batch").select("sketch").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    spark.createDataFrame([], "sketch binary").write.mode("overwrite").parquet(f"{out_path}/batch=-1")  # readable without a batch
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return sketched_size(spark.read.schema("sketch binary, batch bigint").parquet(out_path))
