@@ -13,39 +13,46 @@ steps the beam table is written to the shared checkpoint folder to cut the linea
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.ngram import NgramModel, top_successors
 from corpusmill.plans.joins import fits_broadcast
 from corpusmill.plans.lineage import materialize
+from corpusmill.plans.ordering import global_rank
 
 
 def generate(model: NgramModel, prompts: DataFrame, key: str, eos_id: int, beams: int = 2,
-             max_new: int = 20, cut_every: int = 10) -> DataFrame:
+             max_new: int = 20, cut_every: int = 10, **limits) -> DataFrame:
     """I4: ``(key, rank, ids, new_ids, score)`` -- the final ``beams`` beams of every
     prompt ``(key, ids)``; ``rank`` 1 is the best. Prompts must be non-empty.
 
-    The beam table is hash-partitioned by ``key``. A step is one left join of every beam
-    with the successor table (the join condition skips finished beams, which come back
-    unchanged) and a per-key ``row_number() <= beams``: with the successor table
+    Prompts get a dense number, by which the beam table is hash-partitioned. A step is one left join of
+    every beam with the successor table (the join condition skips finished beams, which come back
+    unchanged) and a per-prompt ``row_number() <= beams``: with the successor table
     broadcast (size-checked) the join keeps the partitioning, so the step needs no
-    shuffle. Every ``cut_every`` steps the table is written to the checkpoint folder.
+    shuffle. A larger table is dealt by context once and kept on the executors' disks; each step sends it the distinct last
+    tokens of the open beams, so it is never shuffled again and a last token that many beams share is
+    looked up once. Every ``cut_every`` steps the beams are written to the checkpoint folder.
     """
     # the successor table is bounded by (contexts x beams); written once, size-checked once
     succ = materialize(top_successors(model, beams).select("ctx", "next", "lp"), "successors")
-    succ_side = F.broadcast(succ) if fits_broadcast(succ, "ctx") else succ
+    small = fits_broadcast(succ, "ctx", **limits)
     parts = prompts.sparkSession.sparkContext.defaultParallelism
-    state = prompts.where(F.size("ids") > 0).select(
-        key, F.col("ids").cast("array<bigint>").alias("ids"), F.size("ids").alias("plen"),
-        F.lit(0.0).alias("score"), F.lit(False).alias("done")).repartition(parts, key)
-    rank_w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("ids").asc())
+    numbered = materialize(global_rank(prompts.where(F.size("ids") > 0).select(key, F.col("ids").cast("array<bigint>").alias("ids")), [key], out="_p"),
+                           "prompts")
+    # dealt by context and kept so: a lost part is read from the written table again
+    near = F.broadcast(succ) if small else dealt_by_context(succ).persist(StorageLevel.DISK_ONLY)
+    state = numbered.select("_p", "ids", F.size("ids").alias("plen"), F.lit(0.0).alias("score"), F.lit(False).alias("done")).repartition(parts, "_p")
+    rank_w = Window.partitionBy("_p").orderBy(F.col("score").desc(), F.col("ids").asc())
     for step in range(int(max_new)):
-        cur = state.withColumn("_last", F.try_element_at("ids", F.lit(-1)))
-        j = cur.join(succ_side, (cur["_last"] == succ_side["ctx"]) & ~cur["done"], "left")
+        cur = state.withColumn("_last", F.when(~F.col("done"), F.try_element_at("ids", F.lit(-1))))
+        side = near if small else next_of(cur, near)
+        j = cur.join(side, cur["_last"] == side["ctx"], "left")
         stop = F.col("next").isNull()
         grown = j.select(
-            key,
+            "_p",
             F.when(stop, F.col("ids")).otherwise(F.concat("ids", F.array(F.col("next")))).alias("ids"),
             "plen",
             F.when(stop, F.col("score")).otherwise(F.col("score") + F.col("lp")).alias("score"),
@@ -54,10 +61,23 @@ def generate(model: NgramModel, prompts: DataFrame, key: str, eos_id: int, beams
         if (cut_every and (step + 1) % cut_every == 0) or step + 1 == max_new:
             state = materialize(state, "beams")
             if step + 1 < max_new:
-                state = state.repartition(parts, key)
+                state = state.repartition(parts, "_p")
+    if not small:
+        near.unpersist()
     out = state.withColumn("rank", F.row_number().over(rank_w).cast("int"))
-    return out.select(key, "rank", "ids", F.slice("ids", F.col("plen") + 1, F.lit(max_new + 1)).alias("new_ids"),
-                      "score")
+    return out.join(numbered.select("_p", key), "_p").select(
+        key, "rank", "ids", F.slice("ids", F.col("plen") + 1, F.lit(max_new + 1)).alias("new_ids"), "score")
+
+
+def dealt_by_context(successors: DataFrame) -> DataFrame:
+    """In as many parts as a join's shuffle makes, so that no join deals the table again."""
+    return successors.repartition(int(successors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ctx")
+
+
+def next_of(beams: DataFrame, successors: DataFrame) -> DataFrame:
+    """The successors of the distinct last tokens: only those are sent to the table, which stays where it is."""
+    lasts = beams.where(F.col("_last").isNotNull()).select(F.col("_last").alias("ctx")).distinct()
+    return lasts.join(successors.hint("merge"), "ctx")
 
 
 def greedy_from_eos(model: NgramModel, spark, eos_id: int, total_len: int = 20) -> DataFrame:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.plans.joins import lookup_join, restrict_to
+from corpusmill.plans.joins import lookup_join, restrict_to, spread_join
 
 NO_CTX = -1
 
@@ -58,7 +58,7 @@ class NgramModel:
 
 
 def fit_ngram(stream_docs: DataFrame, vocab_size: int, order: int = 2, alpha: float = 0.1,
-              by: list[str] | None = None, persist: bool = False) -> NgramModel:
+              by: list[str] | None = None, persist: bool = False, **limits) -> NgramModel:
     """``lp = ln((n + alpha) / (tot + alpha * (V + 1)))`` per (context, next).
 
     With ``persist`` the pair counts are written once to the checkpoint folder and the
@@ -78,7 +78,8 @@ def fit_ngram(stream_docs: DataFrame, vocab_size: int, order: int = 2, alpha: fl
         contexts = materialize(contexts, "ngram-contexts")
     V1 = float(vocab_size + 1)
     if by:
-        j = counts.join(contexts, [*by, "ctx"])
+        # a context of a group may have a large part of all its pairs
+        j = spread_join(counts, contexts, [*by, "ctx"], **limits)
     elif order == 2:
         j = lookup_join(counts, contexts, "ctx", weight="tot")
     else:  # a single context
@@ -102,9 +103,10 @@ def _fallback_lp(model: NgramModel, tot) -> F.Column:
     return F.when(tot.isNull(), F.lit(math.log(1.0 / V1))).otherwise(unseen_pair)
 
 
-def score_pairs(model: NgramModel, pairs: DataFrame) -> DataFrame:
+def score_pairs(model: NgramModel, pairs: DataFrame, **limits) -> DataFrame:
     """Adds ``lp`` to rows carrying ``ctx`` and ``id`` (the target): the model's
-    value when the pair was seen, else the smoothing rule."""
+    value when the pair was seen, else the smoothing rule. Distinct pairs are scored first, so a context or pair that
+    half of the rows have meets the model once; where tables are too large to broadcast, heavy keys are salted."""
     from corpusmill.plans.lineage import materialize
     if model.by:
         raise ValueError("grouped models are scored with perplexity_by_group")
@@ -119,21 +121,21 @@ def score_pairs(model: NgramModel, pairs: DataFrame) -> DataFrame:
     keys = materialize(p.select("_ctx", "id").distinct(), "scored-keys")
     m = restrict_to(m, keys, ["_ctx", "id"])
     c = restrict_to(c, keys, ["_ctx"])
-    j = p.join(m, ["_ctx", "id"], "left")
-    j = j.join(c, "_ctx", "left")
-    return j.withColumn("lp", F.coalesce(F.col("_lp"), _fallback_lp(model, F.col("_tot")))) \
-        .drop("_ctx", "_lp", "_tot", "n")
+    j = keys.join(m, ["_ctx", "id"], "left")  # distinct on both sides
+    j = spread_join(j, c, ["_ctx"], "left", measured=keys, **limits)
+    scored = materialize(j.select("_ctx", "id", F.coalesce(F.col("_lp"), _fallback_lp(model, F.col("_tot"))).alias("lp")), "scored-pairs")
+    return spread_join(p, scored, ["_ctx", "id"], "left", **limits).drop("_ctx")
 
 
-def score_ngram(model: NgramModel, seqs: DataFrame, key: str) -> DataFrame:
+def score_ngram(model: NgramModel, seqs: DataFrame, key: str, **limits) -> DataFrame:
     """Per-token log-probabilities of encoded texts ``(key, ids)``: all positions but
     the first, ``(key, pos, ctx, id, lp, mask)`` with mask 1."""
     t = seqs.select(key, "ids", F.posexplode("ids").alias("pos", "id")).where(F.col("pos") >= 1)
     t = t.select(key, F.col("pos").cast("int").alias("pos"), F.get(F.col("ids"), F.col("pos") - 1).alias("ctx"), "id")
-    return score_pairs(model, t).withColumn("mask", F.lit(1))
+    return score_pairs(model, t, **limits).withColumn("mask", F.lit(1))
 
 
-def perplexity_by_group(model: NgramModel, heldout_pairs: DataFrame) -> DataFrame:
+def perplexity_by_group(model: NgramModel, heldout_pairs: DataFrame, **limits) -> DataFrame:
     """Held-out perplexity under every group's model: ``(*by, n_scored, loss, perplexity)``.
 
     Held-out tokens are reduced to distinct pairs with their count first, so a common context
@@ -149,7 +151,8 @@ def perplexity_by_group(model: NgramModel, heldout_pairs: DataFrame) -> DataFram
         h = h.withColumn("ctx", F.lit(NO_CTX).cast("bigint"))
     h = materialize(h.groupBy("ctx", "next").agg(F.count(F.lit(1)).alias("w")), "heldout-pairs")
     H = h.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-    seen_ctx = restrict_to(model.contexts, h, ["ctx"]).join(h, "ctx")
+    # a context with many next tokens meets every group: its rows are dealt over salts
+    seen_ctx = spread_join(h, restrict_to(model.contexts, h, ["ctx"]), ["ctx"], **limits)
     counts = model.counts if model.counts is not None else model.pairs.select(*by, "ctx", "next", "n")
     counts = restrict_to(counts, h, ["ctx", "next"])
     seen = seen_ctx.join(counts, [*by, "ctx", "next"], "left")

@@ -1,4 +1,4 @@
-"""Join strategies with a checked size before any broadcast, and a hot-key split.
+"""Join strategies with a checked size before any broadcast, and ways around hot keys.
 
 ``lookup_join`` joins a large fact side to a dimension keyed by ``key``:
 
@@ -8,6 +8,12 @@
   are broadcast -- a bound set by the parameter -- and only the remaining, cold keys go
   through a shuffled sort-merge join, so no reducer receives a hot key. AQE's skew
   join stays on as a second guard.
+
+``spread_join`` is for keys of several columns, for dimensions with many rows a key and for facts without a
+count column: the heavy keys of the fact come from a mergeable top-k sketch of the key's hash (one pass, partial
+sketches, at most ``HEAVY_KEYS`` numbers on the driver); their rows are dealt over ``SALTS`` salts, and the
+dimension's rows of these keys are repeated for each salt. A key that the sketch takes for heavy
+by mistake is only repeated for nothing.
 """
 
 from __future__ import annotations
@@ -18,6 +24,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 256 << 20
 HOT_ROWS = 100_000
+#: Keys that a sketch may report, entries that it keeps, the share of all rows that makes a key heavy, and salts.
+HEAVY_KEYS, HEAVY_TRACKED, HEAVY_SHARE, SALTS = 100, 10_000, 0.005, 32
 
 
 def size_of(dim: DataFrame, key: str) -> tuple[int, int]:
@@ -65,3 +73,34 @@ def restrict_to(big: DataFrame, small: DataFrame, keys: list[str], max_rows: int
     if fits_broadcast(k, keys[0], max_rows, max_bytes):
         return big.join(F.broadcast(k), keys, "left_semi")
     return big
+
+
+def heavy_hashes(fact: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> list[int]:
+    """Hashes of the keys that hold more than ``share`` of the rows, by a mergeable sketch."""
+    r = fact.select(F.xxhash64(*keys).alias("k")).agg(
+        F.expr(f"approx_top_k(k, {HEAVY_KEYS}, {HEAVY_TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return [t["item"] for t in r["top"] or [] if t["count"] > share * r["n"]]
+
+
+def salted_join(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS,
+                share: float = HEAVY_SHARE, measured: DataFrame | None = None) -> DataFrame:
+    """``fact`` joined with ``dim`` on ``keys`` (``how`` is 'inner' or 'left') by a shuffle that deals heavy keys over ``salts``
+    parts. ``measured``: a written table with the fact's distribution of keys, if the fact itself is not cheap to read."""
+    heavy = heavy_hashes(fact if measured is None else measured, keys, share)
+    if not heavy:
+        return fact.join(dim, keys, how)
+    is_heavy = F.xxhash64(*keys).isin(heavy)
+    # the place in the scan, not a random number: a repeated task deals its rows alike
+    dealt = fact.withColumn("_salt", F.when(is_heavy, F.monotonically_increasing_id() % salts).otherwise(F.lit(0).cast("bigint")))
+    every = F.when(is_heavy, F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(
+        F.array(F.lit(0).cast("bigint")))
+    repeated = dim.withColumn("_salt", F.explode(every))
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def spread_join(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", measured: DataFrame | None = None,
+                max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES, **salting) -> DataFrame:
+    """``fact`` joined with ``dim`` on ``keys``: a broadcast where the size check allows it, else a salted shuffle."""
+    if fits_broadcast(dim, keys[0], max_rows, max_bytes):
+        return fact.join(F.broadcast(dim), keys, how)
+    return salted_join(fact, dim, keys, how, measured=measured, **salting)

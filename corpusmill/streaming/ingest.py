@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import doc_mode_words, line_mode_words
 from corpusmill.operators.vocab import sketched_size, vocab_sketches
+from corpusmill.plans.joins import HOT_ROWS, fits_broadcast
 
 
 def document_stream(spark: SparkSession, src_dir: str, table: str = "documents",
@@ -28,13 +29,24 @@ def document_stream(spark: SparkSession, src_dir: str, table: str = "documents",
     return stream.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def tokenize_stream(stream: DataFrame, vocab: DataFrame, unk_id: int, mode: str = "doc") -> DataFrame:
-    """Stateless tokenizing + encoding of a document stream against a static vocabulary."""
+def tokenize_stream(stream: DataFrame, vocab: DataFrame, unk_id: int, mode: str = "doc", hot_rows: int = HOT_ROWS,
+                    **limits) -> DataFrame:
+    """Stateless tokenizing + encoding of a document stream against a static vocabulary ``(id, word, n)``.
+
+    A vocabulary within the broadcast limits is broadcast. Above them its ``hot_rows`` most frequent words are, and only tokens
+    that are none of these are shuffled to the rest; all others carry a key of their own that matches nothing, so a
+    word that a third of the tokens are never meets one task."""
     words = doc_mode_words("text") if mode == "doc" else line_mode_words("text")
     t = stream.select("doc_id", F.posexplode(words).alias("k", "word"))
-    j = t.join(vocab.select("word", "id"), "word", "left")
-    return j.select("doc_id", F.col("k").cast("int").alias("k"), "word",
-                    F.coalesce(F.col("id"), F.lit(unk_id).cast("bigint")).alias("id"))
+    found = F.coalesce(F.col("id"), F.lit(unk_id).cast("bigint")).alias("id")
+    if fits_broadcast(vocab, "word", **limits):
+        return t.join(F.broadcast(vocab.select("word", "id")), "word", "left").select("doc_id", F.col("k").cast("int").alias("k"), "word", found)
+    hot = vocab.orderBy(F.col("n").desc(), "id").limit(hot_rows).select("word", F.col("id").alias("_hot"))  # bounded by hot_rows
+    cold = vocab.join(F.broadcast(hot.select("word")), "word", "left_anti").select(F.col("word").alias("_key"), F.col("id").alias("_cold"))
+    own = F.concat(F.lit(" "), F.xxhash64("doc_id", "k").cast("string"))  # no word holds a space
+    j = t.join(F.broadcast(hot), "word", "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col("word")).otherwise(own))
+    j = j.join(cold, "_key", "left").withColumn("id", F.coalesce("_hot", "_cold"))
+    return j.select("doc_id", F.col("k").cast("int").alias("k"), "word", found)
 
 
 def run_available(df: DataFrame, out_path: str, checkpoint: str, output_mode: str = "append") -> None:
@@ -45,9 +57,9 @@ def run_available(df: DataFrame, out_path: str, checkpoint: str, output_mode: st
 
 
 def stream_tokenize(spark: SparkSession, src_dir: str, vocab: DataFrame, unk_id: int, out_path: str,
-                    checkpoint: str, mode: str = "doc") -> DataFrame:
+                    checkpoint: str, mode: str = "doc", **limits) -> DataFrame:
     """Tokenize all available documents incrementally; returns the sink table."""
-    run_available(tokenize_stream(document_stream(spark, src_dir), vocab, unk_id, mode), out_path, checkpoint)
+    run_available(tokenize_stream(document_stream(spark, src_dir), vocab, unk_id, mode, **limits), out_path, checkpoint)
     return spark.read.parquet(out_path)
 
 
