@@ -29,7 +29,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    from corpusmill.session import local_session, ensure_checkpoint_dir
+    from corpusmill.session import drop_scratch, ensure_checkpoint_dir, local_session
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
     ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="corpusmill-bench-"))
     from corpusmill import catalog
@@ -77,6 +77,7 @@ def main() -> None:
         "windows_per_sec": round(max(0, doc.total - catalog.SEQ_LEN) / max(1e-9, times["pack_windows"]), 1),
     }
     print(json.dumps(out))
+    drop_scratch(spark)
     spark.stop()
 
 

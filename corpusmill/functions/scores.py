@@ -53,7 +53,3 @@ def length_mask(size, length) -> Column:
 
 def clamp(x, lo, hi) -> Column:
     return F.least(F.greatest(_c(x), _c(lo)), _c(hi))
-
-
-def array_sum(arr) -> Column:
-    return F.aggregate(_c(arr), F.lit(0).cast("bigint"), lambda a, x: a + x)

@@ -133,13 +133,6 @@ def latest_artifact(files: DataFrame, top_dir: str = "checkpoints", log_dir: str
                     F.concat_ws("/", F.col("_k.d"), F.col("_k.n")).alias("path"))
 
 
-def checkpoint_name(prefix: str, step) -> Column:
-    """``{prefix}-{step:06d}.ckpt``."""
-    return F.concat(F.lit(prefix + "-"), zero_pad(step), F.lit(".ckpt"))
-
-
-# ---------------------------------------------------------------- lookup
-
 def fuzzy_lookup(candidates: DataFrame, queries: DataFrame, name: str = "name", order: str = "ord",
                  recency: str = "mtime", query: str = "query", qid: str = "qid") -> DataFrame:
     """For every query, the candidate with the longest common substring with it; the

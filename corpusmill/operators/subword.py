@@ -36,8 +36,9 @@ from corpusmill.plans.lineage import materialize
 
 #: One character of hexadecimal UTF-8 (also read by the SQL check).
 HEX_CHARACTER = "[0-7][0-9A-F]|[C-F][0-9A-F](?:[89AB][0-9A-F])+"
-#: Pairs whose counts are held, words that the driver proposes from, and merges proposed in a round.
-TRACKED, HELD_WORDS, PROPOSED = 200_000, 500_000, 256
+#: Pairs whose counts are held, words that the driver proposes from, merges proposed in a round, and merges
+#: after which words are written again.
+TRACKED, HELD_WORDS, PROPOSED, WRITE_EVERY = 200_000, 50_000, 64, 256
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -235,7 +236,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(slots, "syms") if rows.rdd.getNumPartitions() < slots else rows
 
 
-def learn_merges(docs: DataFrame | None, n_merges: int, cut_every: int = PROPOSED, words: DataFrame | None = None) -> list[tuple[str, str]]:
+def learn_merges(docs: DataFrame | None, n_merges: int, cut_every: int = WRITE_EVERY, words: DataFrame | None = None) -> list[tuple[str, str]]:
     """the first ``n_merges`` merges, most frequent adjacent pair first (ties: the
     smallest pair). ``words``: a written ``(word, n)`` table in place of the documents. Words are written again
     after ``cut_every`` merges."""

@@ -18,8 +18,9 @@ by mistake is only repeated for nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DateType, NumericType, StringType, TimestampType
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 256 << 20
@@ -28,10 +29,24 @@ HOT_ROWS = 100_000
 HEAVY_KEYS, HEAVY_TRACKED, HEAVY_SHARE, SALTS = 100, 10_000, 0.005, 32
 
 
+def _width(column) -> Column | int:
+    """The bytes of a column's value: fixed for numbers, by length for strings and arrays of numbers, else by its JSON."""
+    kind = column.dataType
+    if isinstance(kind, (NumericType, BooleanType, DateType, TimestampType)):
+        return 8
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column.name), F.lit(0)) + 16
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, NumericType):
+        return F.coalesce(F.size(column.name) * 8, F.lit(0)) + 16
+    return F.length(F.to_json(F.struct(F.col(column.name))))
+
+
 def size_of(dim: DataFrame, key: str) -> tuple[int, int]:
-    """(rows, estimated bytes) of a dimension table, by one aggregation."""
-    wide = F.length(F.to_json(F.struct(*[F.col(c) for c in dim.columns])))  # every column counts, arrays too
-    r = dim.agg(F.count(F.lit(1)).alias("n"), F.sum(wide + F.lit(24)).alias("b")).first()
+    """(rows, estimated bytes) of a dimension table, by one aggregation: every column counts, arrays too."""
+    widths = [_width(c) for c in dim.schema.fields]
+    fixed = 24 + sum(w for w in widths if isinstance(w, int))
+    wide = sum((w for w in widths if not isinstance(w, int)), F.lit(fixed))
+    r = dim.agg(F.count(F.lit(1)).alias("n"), F.sum(wide).alias("b")).first()
     return int(r["n"] or 0), int(r["b"] or 0)
 
 

@@ -21,7 +21,3 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     w.parquet(path)
     return spark.read.parquet(path)
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into ``spark.checkpoint.dir`` (for iterative plans)."""
-    return df.checkpoint(eager=True)
