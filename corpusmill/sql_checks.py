@@ -231,7 +231,7 @@ WHERE o.off < (SELECT T FROM consts) - {S} GROUP BY o.off"""
 x AS (SELECT doc_id, k - 1 AS place, unnest(range(greatest(0, pos - {S}), least(pos + 1, (SELECT T FROM consts) - {S}))) AS i FROM ds)
 SELECT CAST(i AS BIGINT) AS sample_id, doc_id, CAST(min(place) AS BIGINT) AS local_start, CAST(max(place) + 1 AS BIGINT) AS local_end
 FROM x GROUP BY i, doc_id"""
-    first = f"(SELECT * FROM documents ORDER BY doc_id LIMIT {C.TAKE_N}) documents"
+    first = f"(SELECT * FROM documents QUALIFY row_number() OVER (ORDER BY doc_id) <= {C.TAKE_N}) documents"
     q["first_documents_windows"] = q["pack_windows"].replace("FROM documents", f"FROM {first}")
     fit = ("(SELECT * FROM documents WHERE doc_id IN (WITH " + _BASE + " SELECT doc_id FROM (SELECT doc_id, sum(len(words)) OVER (ORDER BY doc_id) AS upto "
            f"FROM lw) WHERE upto <= {C.BUDGET})) documents")
