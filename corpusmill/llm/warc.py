@@ -65,35 +65,37 @@ def record(kind: str, fields: dict, payload: str) -> str:
 
 
 class _Stream:
-    """A file read step by step; only what is asked for is held."""
+    """A file read step by step; what is not asked for yet is held, what was given is let go with the next step."""
 
     def __init__(self, file):
-        self.file, self.held = file, b""
+        self.file, self.held, self.at = file, b"", 0
+
+    def _more(self, count: int) -> int:
+        more = self.file.read(count)
+        self.held, self.at = self.held[self.at:] + more, 0
+        return len(more)
 
     def until(self, end: bytes) -> bytes | None:
         """The bytes before ``end``, or None behind the last record."""
-        held, at = bytearray(self.held), self.held.find(end)
-        while at < 0:
-            more = self.file.read(STEP_BYTES)
-            if not more:
-                if held:
+        found = self.held.find(end, self.at)
+        step = STEP_BYTES
+        while found < 0:
+            had = len(self.held) - self.at
+            if not self._more(step):
+                if had:
                     raise ValueError("the archive ends within a record")
                 return None
-            held += more
-            at = held.find(end, max(0, len(held) - len(more) - len(end) + 1))  # the end may lie over two steps
-        self.held = bytes(held[at + len(end):])
-        return bytes(held[:at])
+            found = self.held.find(end, max(0, had - len(end) + 1))  # the end may lie over two steps
+            step *= 2
+        out, self.at = self.held[self.at:found], found + len(end)
+        return out
 
     def take(self, count: int) -> bytes:
-        parts, have = [self.held], len(self.held)
-        while have < count:
-            parts.append(self.file.read(max(STEP_BYTES, count - have)))
-            have += len(parts[-1])
-            if not parts[-1]:
+        while len(self.held) - self.at < count:
+            if not self._more(max(STEP_BYTES, count - len(self.held) + self.at)):
                 raise ValueError("the archive ends within a record")
-        whole = b"".join(parts)
-        self.held = whole[count:]
-        return whole[:count]
+        out, self.at = self.held[self.at:self.at + count], self.at + count
+        return out
 
 
 def parse(archive):
