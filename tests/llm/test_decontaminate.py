@@ -146,3 +146,24 @@ def test_blocks_of_items_are_measured_in_words(spark):
 def test_the_ball_holds_every_value_once():
     ball = dc._ball(3)
     assert len(set(ball.tolist())) == len(ball) == 1 + 24 + 276 + 2024 and np.bitwise_count(ball).max() == 3
+
+
+def test_both_ways_of_a_block_lookup_find_the_same(monkeypatch):
+    rnd = random.Random(2)
+    vocab = [f"w{k}" for k in range(9)]
+    index = dc.Items([(k, " ".join(rnd.choices(vocab, k=24))) for k in range(400)])
+    windows = [dc.fingerprint(dc._hashes(rnd.choices(vocab, k=24), 5)) for _ in range(30)] + [index.groups[24][1][k] for k in range(30)]
+    few = [index.near(24, w) for w in windows]
+    ball = dc._ball(4)
+    monkeypatch.setattr(dc, "_ball", lambda errors: _Short(ball))
+    assert [index.near(24, w) for w in windows] == few and sum(map(len, few)) >= 30
+
+
+class _Short(np.ndarray):
+    """A ball that says it is smaller than any number of values."""
+
+    def __new__(cls, held):
+        return np.asarray(held).view(cls)
+
+    def __len__(self):
+        return 0
