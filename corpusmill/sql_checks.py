@@ -7,6 +7,7 @@ single-node check, and deliberately unlike the Spark plans.
 from __future__ import annotations
 
 from corpusmill import catalog as C
+from corpusmill.functions.names import EPOCH_STEP, LAST_NAME, NUMBERED, SUFFIX
 from corpusmill.operators.scoring import linear_weight
 from corpusmill.operators.subword import HEX_CHARACTER
 
@@ -361,18 +362,18 @@ SELECT run, step, value, bool_or(is_top) AS is_top, bool_or(is_last) AS is_last
 GROUP BY run, step, value"""
     q["artifact_listing"] = "WITH " + _LOG.lstrip(",") + _FILES + r"""
 SELECT grp, dir, name, round(mtime, 3) AS mtime FROM files WHERE suffix(name, '.ckpt') AND name <> 'last.ckpt'"""
-    q["latest_artifact"] = "WITH " + _LOG.lstrip(",") + _FILES + r""",
+    q["latest_artifact"] = "WITH " + _LOG.lstrip(",") + _FILES + rf""",
 ft AS (SELECT grp, dir, name,
-   CASE WHEN dir = 'checkpoints' AND name = 'last.ckpt' THEN 1
-        WHEN dir = 'checkpoints' AND suffix(name, '.ckpt') AND name <> 'last.ckpt'
-             AND regexp_matches(name, '.*-(\d+)\.ckpt') THEN 2
+   CASE WHEN dir = 'checkpoints' AND name = '{LAST_NAME}' THEN 1
+        WHEN dir = 'checkpoints' AND suffix(name, '{SUFFIX}') AND name <> '{LAST_NAME}'
+             AND regexp_matches(name, '{NUMBERED}') THEN 2
         WHEN starts_with(dir, 'lightning_logs/') AND suffix(dir, '/checkpoints') AND len(string_split(dir, '/')) = 3
-             AND suffix(name, '.ckpt') AND regexp_matches(name, 'epoch=(\d+)-step=(\d+)\.ckpt') THEN 3 END AS tier,
+             AND suffix(name, '{SUFFIX}') AND regexp_matches(name, '{EPOCH_STEP}') THEN 3 END AS tier,
    name AS nm FROM files),
-fr AS (SELECT *, CASE WHEN tier = 2 THEN CAST(regexp_extract(nm, '.*-(\d+)\.ckpt', 1) AS BIGINT)
-                      WHEN tier = 3 THEN CAST(regexp_extract(nm, 'epoch=(\d+)-step=(\d+)\.ckpt', 1) AS BIGINT)
+fr AS (SELECT *, CASE WHEN tier = 2 THEN CAST(regexp_extract(nm, '{NUMBERED}', 1) AS BIGINT)
+                      WHEN tier = 3 THEN CAST(regexp_extract(nm, '{EPOCH_STEP}', 1) AS BIGINT)
                       ELSE 0 END AS a,
-              CASE WHEN tier = 3 THEN CAST(regexp_extract(nm, 'epoch=(\d+)-step=(\d+)\.ckpt', 2) AS BIGINT) ELSE 0 END AS b
+              CASE WHEN tier = 3 THEN CAST(regexp_extract(nm, '{EPOCH_STEP}', 2) AS BIGINT) ELSE 0 END AS b
        FROM ft WHERE tier IS NOT NULL)
 SELECT grp, CAST(tier AS INTEGER) AS tier, dir || '/' || name AS path FROM (
   SELECT *, row_number() OVER (PARTITION BY grp ORDER BY tier, a DESC, b DESC, dir DESC, name DESC) AS r FROM fr)
