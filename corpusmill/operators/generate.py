@@ -18,9 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.ngram import NgramModel, top_successors
-from corpusmill.plans.joins import fits_broadcast
+from corpusmill.plans.joins import fits_broadcast, spread_join
 from corpusmill.plans.lineage import materialize
-from corpusmill.plans.ordering import global_rank
 
 
 def generate(model: NgramModel, prompts: DataFrame, key: str, eos_id: int, beams: int = 2,
@@ -28,23 +27,25 @@ def generate(model: NgramModel, prompts: DataFrame, key: str, eos_id: int, beams
     """I4: ``(key, rank, ids, new_ids, score)`` -- the final ``beams`` beams of every
     prompt ``(key, ids)``; ``rank`` 1 is the best. Prompts must be non-empty.
 
-    Prompts get a dense number, by which the beam table is hash-partitioned. A step is one left join of
+    The model looks at one token, so prompts with the same last token have the same completions: the beam table
+    starts with the distinct last tokens, by which it is hash-partitioned, and its beams meet the prompts at the end
+    (by a broadcast, or by a shuffle that deals common last tokens over salts). A step is one left join of
     every beam with the successor table (the join condition skips finished beams, which come back
-    unchanged) and a per-prompt ``row_number() <= beams``: with the successor table
+    unchanged) and a ``row_number() <= beams`` per first token: with the successor table
     broadcast (size-checked) the join keeps the partitioning, so the step needs no
-    shuffle. A larger table is dealt by context once and kept on the executors' disks; each step sends it the distinct last
-    tokens of the open beams, so it is never shuffled again and a last token that many beams share is
-    looked up once. Every ``cut_every`` steps the beams are written to the checkpoint folder.
+    shuffle. A larger table is dealt by context once, in order, and kept on the executors' disks; each step sends it the distinct last
+    tokens of the open beams, so it is never shuffled or sorted again and a last token that many beams share is
+    looked up once. Such a step reads the beams twice, so they are written after each; otherwise every ``cut_every`` steps.
     """
     # the successor table is bounded by (contexts x beams); written once, size-checked once
     succ = materialize(top_successors(model, beams).select("ctx", "next", "lp"), "successors")
     small = fits_broadcast(succ, "ctx", **limits)
     parts = prompts.sparkSession.sparkContext.defaultParallelism
-    numbered = materialize(global_rank(prompts.where(F.size("ids") > 0).select(key, F.col("ids").cast("array<bigint>").alias("ids")), [key], out="_p"),
-                           "prompts")
+    given = materialize(prompts.where(F.size("ids") > 0).select(key, F.col("ids").cast("array<bigint>").alias("ids"))
+                        .withColumn("_p", F.element_at("ids", F.lit(-1))), "prompts")
     # dealt by context and kept so: a lost part is read from the written table again
     near = F.broadcast(succ) if small else dealt_by_context(succ).persist(StorageLevel.DISK_ONLY)
-    state = numbered.select("_p", "ids", F.size("ids").alias("plen"), F.lit(0.0).alias("score"), F.lit(False).alias("done")).repartition(parts, "_p")
+    state = given.select("_p").distinct().select("_p", F.array("_p").alias("ids"), F.lit(0.0).alias("score"), F.lit(False).alias("done")).repartition(parts, "_p")
     rank_w = Window.partitionBy("_p").orderBy(F.col("score").desc(), F.col("ids").asc())
     for step in range(int(max_new)):
         cur = state.withColumn("_last", F.when(~F.col("done"), F.try_element_at("ids", F.lit(-1))))
@@ -54,24 +55,24 @@ def generate(model: NgramModel, prompts: DataFrame, key: str, eos_id: int, beams
         grown = j.select(
             "_p",
             F.when(stop, F.col("ids")).otherwise(F.concat("ids", F.array(F.col("next")))).alias("ids"),
-            "plen",
             F.when(stop, F.col("score")).otherwise(F.col("score") + F.col("lp")).alias("score"),
             (stop | (F.col("next") == F.lit(eos_id))).alias("done"))
         state = grown.withColumn("_r", F.row_number().over(rank_w)).where(F.col("_r") <= beams).drop("_r")
-        if (cut_every and (step + 1) % cut_every == 0) or step + 1 == max_new:
+        if not small or (cut_every and (step + 1) % cut_every == 0) or step + 1 == max_new:
             state = materialize(state, "beams")
             if step + 1 < max_new:
                 state = state.repartition(parts, "_p")
     if not small:
         near.unpersist()
-    out = state.withColumn("rank", F.row_number().over(rank_w).cast("int"))
-    return out.join(numbered.select("_p", key), "_p").select(
-        key, "rank", "ids", F.slice("ids", F.col("plen") + 1, F.lit(max_new + 1)).alias("new_ids"), "score")
+    done = state.withColumn("rank", F.row_number().over(rank_w).cast("int")).select(
+        "_p", "rank", F.slice("ids", F.lit(2), F.lit(max_new + 1)).alias("new_ids"), "score")
+    out = spread_join(given, done, ["_p"], measured=given, **limits)
+    return out.select(key, "rank", F.concat("ids", "new_ids").alias("ids"), "new_ids", "score")
 
 
 def dealt_by_context(successors: DataFrame) -> DataFrame:
-    """In as many parts as a join's shuffle makes, so that no join deals the table again."""
-    return successors.repartition(int(successors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ctx")
+    """In as many parts as a join's shuffle makes and in order, so that no join deals or sorts the table again."""
+    return successors.repartition(int(successors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ctx").sortWithinPartitions("ctx")
 
 
 def next_of(beams: DataFrame, successors: DataFrame) -> DataFrame:
