@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from corpusmill.plans.joins import lookup_join, restrict_to, spread_join
 
 NO_CTX = -1
+#: Pairs of a task that counts them by batch.
+TASK_PAIRS = 1_000_000
 
 
 def stream_pairs(stream_docs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -172,18 +174,21 @@ def overfit_check(samples: DataFrame) -> DataFrame:
     first can never exceed the second. ``(batch_id, n_pairs, bigram_nll, unigram_nll)``.
 
     With ``H(X|C) * P = sum_c n_c ln n_c - sum_cx n_cx ln n_cx`` and
-    ``H(X) * P = P ln P - sum_x n_x ln n_x`` every term is a sum of ``n ln n``. The pairs are
-    counted once; the counts of contexts and of targets are sums of that table."""
-    from corpusmill.plans.lineage import materialize
-    z = samples.select("batch_id", F.explode(F.arrays_zip(F.col("inputs").alias("ctx"),
-                                                           F.col("target").alias("next"))).alias("z"))
-    counts = materialize(z.groupBy("batch_id", F.col("z.ctx").alias("ctx"), F.col("z.next").alias("next"))
-                         .agg(F.count(F.lit(1)).alias("n")), "batch-pairs")
-    nlogn = F.sum(F.col("n") * F.log("n"))
-    side = lambda key, name: counts.groupBy("batch_id", key).agg(F.sum("n").alias("n")).groupBy("batch_id") \
-        .agg(nlogn.alias(name))
-    pairs = counts.groupBy("batch_id").agg(nlogn.alias("a"), F.sum("n").alias("P"))
-    j = pairs.join(side("ctx", "c"), "batch_id").join(side("next", "x"), "batch_id")
+    ``H(X) * P = P ln P - sum_x n_x ln n_x`` every term is a sum of ``n ln n``. Samples are dealt by batch as arrays, the only
+    shuffle; a batch's pairs, contexts and targets are counted where it lies, in tasks of about ``TASK_PAIRS`` pairs."""
+    pairs = samples.agg(F.sum(F.size("inputs"))).first()[0] or 0
+    parts = max(samples.sparkSession.sparkContext.defaultParallelism, -(-pairs // TASK_PAIRS))
+    z = samples.select("batch_id", "inputs", "target").repartition(int(parts), "batch_id").select(
+        "batch_id", F.explode(F.arrays_zip(F.col("inputs").alias("ctx"), F.col("target").alias("next"))).alias("z"))
+    none = F.lit(None).cast("bigint")
+    kinds = [F.struct(F.lit(k).alias("kind"), ctx.cast("bigint").alias("ctx"), nxt.cast("bigint").alias("next")) for k, ctx, nxt in (
+        (0, F.col("z.ctx"), F.col("z.next")), (1, F.col("z.ctx"), none), (2, none, F.col("z.next")))]
+    counts = z.select("batch_id", F.explode(F.array(*kinds)).alias("k")).groupBy(
+        "batch_id", F.col("k.kind").alias("kind"), F.col("k.ctx").alias("ctx"), F.col("k.next").alias("next")).agg(F.count(F.lit(1)).alias("n"))
+    of = lambda k, c: F.sum(F.when(F.col("kind") == k, c))
+    nlogn = F.col("n") * F.log("n")
+    j = counts.groupBy("batch_id").agg(of(0, F.col("n")).alias("P"), of(0, nlogn).alias("a"), of(1, nlogn).alias("c"), of(2, nlogn).alias("x")) \
+        .where(F.col("batch_id").isNotNull())
     P = F.col("P").cast("double")
     return j.select("batch_id", F.col("P").cast("bigint").alias("n_pairs"),
                     ((F.col("c") - F.col("a")) / P).alias("bigram_nll"),
