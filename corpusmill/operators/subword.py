@@ -25,6 +25,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ HEX_CHARACTER = "[0-7][0-9A-F]|[C-F][0-9A-F](?:[89AB][0-9A-F])+"
 #: Pairs whose counts are held, words that the driver proposes from, merges proposed in a round, and merges
 #: after which words are written again.
 TRACKED, HELD_WORDS, PROPOSED, WRITE_EVERY = 200_000, 50_000, 64, 256
+#: Symbols of the words that a task merges at a time.
+LOT_SYMBOLS = 1_000_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -61,12 +65,14 @@ class Words:
     pair, rewrites those and counts the pairs beside them; no other pair is counted again."""
 
     def __init__(self, words: list[tuple[str, int]]):
-        self.names: list[str] = []
-        self.number: dict[str, int] = {}
-        own = [w.split() for w, _ in words]
-        sizes = np.array([len(o) for o in own], dtype=np.int64)
-        self.x = np.fromiter((self._number(s) for o in own for s in o), np.int32, int(sizes.sum()))
-        self.word = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
+        # split and numbered in Arrow: no Python string per symbol
+        own = pc.ascii_split_whitespace(pa.array([w or None for w, _ in words], pa.string()))
+        sizes = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = own.flatten().dictionary_encode()
+        self.names: list[str] = flat.dictionary.to_pylist()
+        self.number: dict[str, int] = {s: k for k, s in enumerate(self.names)}
+        self.x = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        self.word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         self.n = np.repeat(np.array([n for _, n in words], dtype=np.int64), sizes)
 
     def copy(self) -> Words:
@@ -179,15 +185,23 @@ def _propose(held: Words, ranking: Ranking, known: set[str], floor: int, most: i
 _CHANGES, _WORDS = "step int, a string, b string, c bigint", "syms string, n bigint"
 
 
-def _lots(batches, rows: int = 200_000):
-    """Some batches at a time: a merge costs a lot of words little more than a few."""
+def _lots(batches, most: int = LOT_SYMBOLS):
+    """Some words at a time: a merge costs a lot of words little more than a few. A lot is bounded by its symbols, so long words
+    make it no larger; one word is never cut."""
     held, count = [], 0
     for pdf in batches:
-        held.append(pdf)
-        count += len(pdf)
-        if count >= rows:
-            yield pd.concat(held, ignore_index=True)
-            held, count = [], 0
+        if not len(pdf):
+            continue
+        sizes = (pdf["syms"].str.count(" ") + 1).to_numpy()
+        at = 0
+        while at < len(pdf):
+            upto = max(at + 1 if not count else at, at + int(np.searchsorted(np.cumsum(sizes[at:]), most - count, side="right")))
+            held.append(pdf.iloc[at:upto])
+            count += int(sizes[at:upto].sum())
+            at = upto
+            if at < len(pdf) or count >= most:
+                yield pd.concat(held, ignore_index=True)
+                held, count = [], 0
     if held:
         yield pd.concat(held, ignore_index=True)
 
@@ -351,10 +365,10 @@ def encode_subword(docs: DataFrame, merges: DataFrame | list[tuple[str, str]], s
     ``encode_words``, if they are written already."""
     distinct = encode_words(word_counts(docs), merges, symbol_ids) if encoded is None else encoded
     words = docs.select("doc_id", split_words("text").alias("words"))
-    seq = F.flatten(F.col("sub"))
+    seq = F.col("sub")
     if eos_id is not None:
         seq = F.concat(seq, F.array(F.lit(eos_id).cast("bigint")))
-    out = relabel(words, "doc_id", "words", distinct, "word", "sub", **limits).select("doc_id", seq.alias("ids"))
+    out = relabel(words, "doc_id", "words", distinct, "word", "sub", flat=True, **limits).select("doc_id", seq.alias("ids"))
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n"), "ids")
 
 

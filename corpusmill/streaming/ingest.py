@@ -1,8 +1,8 @@
 """Incremental ingest (S5, S7 streaming form).
 
 The stateless part of tokenizing runs per micro-batch: whitespace words, the end marker,
-and a stream-static left join against a fixed vocabulary (new words -> ``<unk>``). Output
-is the long form ``(doc_id, k, word, id)`` in append mode, so no state is kept; the
+and a lookup in a fixed vocabulary (new words -> ``<unk>``). Output
+is the long form ``(doc_id, k, word, id)``, one folder a micro-batch, so no state is kept; the
 vocabulary itself is rebuilt in batch (global first-occurrence order needs all the data).
 """
 
@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from corpusmill.functions.text import doc_mode_words, line_mode_words
 from corpusmill.operators.vocab import sketched_size, vocab_sketches
-from corpusmill.plans.joins import HOT_ROWS, fits_broadcast
+from corpusmill.plans.dictionaries import code_blocks, coded_values
+from corpusmill.plans.joins import fits_broadcast
+from corpusmill.plans.lineage import materialize
 
 
 def document_stream(spark: SparkSession, src_dir: str, table: str = "documents",
@@ -29,24 +32,22 @@ def document_stream(spark: SparkSession, src_dir: str, table: str = "documents",
     return stream.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def tokenize_stream(stream: DataFrame, vocab: DataFrame, unk_id: int, mode: str = "doc", hot_rows: int = HOT_ROWS,
-                    **limits) -> DataFrame:
-    """Stateless tokenizing + encoding of a document stream against a static vocabulary ``(id, word, n)``.
+def tokenize_batch(batch: DataFrame, vocab: DataFrame, unk_id: int, mode: str = "doc", **limits) -> DataFrame:
+    """Stateless tokenizing + encoding of a micro-batch against a static vocabulary ``(id, word, n)``.
 
-    A vocabulary within the broadcast limits is broadcast. Above them its ``hot_rows`` most frequent words are, and only tokens
-    that are none of these are shuffled to the rest; all others carry a key of their own that matches nothing, so a
-    word that a third of the tokens are never meets one task."""
+    A vocabulary within the broadcast limits is broadcast. Above them the batch is written as numbers into lists of distinct
+    words by block (``dictionaries.code_blocks``); the lists meet the vocabulary, so a word that a third of the tokens are
+    is one row a block, and no row per token is shuffled."""
     words = doc_mode_words("text") if mode == "doc" else line_mode_words("text")
-    t = stream.select("doc_id", F.posexplode(words).alias("k", "word"))
-    found = F.coalesce(F.col("id"), F.lit(unk_id).cast("bigint")).alias("id")
     if fits_broadcast(vocab, "word", **limits):
+        t = batch.select("doc_id", F.posexplode(words).alias("k", "word"))
+        found = F.coalesce(F.col("id"), F.lit(unk_id).cast("bigint")).alias("id")
         return t.join(F.broadcast(vocab.select("word", "id")), "word", "left").select("doc_id", F.col("k").cast("int").alias("k"), "word", found)
-    hot = vocab.orderBy(F.col("n").desc(), "id").limit(hot_rows).select("word", F.col("id").alias("_hot"))  # bounded by hot_rows
-    cold = vocab.join(F.broadcast(hot.select("word")), "word", "left_anti").select(F.col("word").alias("_key"), F.col("id").alias("_cold"))
-    own = F.concat(F.lit(" "), F.xxhash64("doc_id", "k").cast("string"))  # no word holds a space
-    j = t.join(F.broadcast(hot), "word", "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col("word")).otherwise(own))
-    j = j.join(cold, "_key", "left").withColumn("id", F.coalesce("_hot", "_cold"))
-    return j.select("doc_id", F.col("k").cast("int").alias("k"), "word", found)
+    coded = materialize(code_blocks(batch.select("doc_id", words.alias("words")), "doc_id", "words", places=False), "batch-tokens")
+    texts = coded.where("_text").select("doc_id", "_block", "codes")
+    both = coded_values(coded, texts, vocab, "word", "id", "ids", missing=int(unk_id), values="words")
+    t = both.select("doc_id", F.posexplode(F.arrays_zip("words", "ids")).alias("k", "z"))
+    return t.select("doc_id", F.col("k").cast("int").alias("k"), F.col("z.words").alias("word"), F.col("z.ids").alias("id"))
 
 
 def run_available(df: DataFrame, out_path: str, checkpoint: str, output_mode: str = "append") -> None:
@@ -57,10 +58,19 @@ def run_available(df: DataFrame, out_path: str, checkpoint: str, output_mode: st
 
 
 def stream_tokenize(spark: SparkSession, src_dir: str, vocab: DataFrame, unk_id: int, out_path: str,
-                    checkpoint: str, mode: str = "doc", **limits) -> DataFrame:
-    """Tokenize all available documents incrementally; returns the sink table."""
-    run_available(tokenize_stream(document_stream(spark, src_dir), vocab, unk_id, mode, **limits), out_path, checkpoint)
-    return spark.read.parquet(out_path)
+                    checkpoint: str, mode: str = "doc", hot_rows: int | None = None, **limits) -> DataFrame:
+    """Tokenize all available documents incrementally; returns the sink table. Each micro-batch writes the folder of its number,
+    which a repeated batch overwrites. ``hot_rows`` is kept for callers; hot words need no plan of their own any more."""
+    stream = document_stream(spark, src_dir)
+    schema = StructType([stream.schema["doc_id"], *[StructField(*f) for f in (("k", IntegerType()), ("word", StringType()), ("id", LongType()))]])
+
+    def write(batch: DataFrame, number: int) -> None:
+        tokenize_batch(batch, vocab, unk_id, mode, **limits).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out_path}/batch=-1")  # readable without a batch
+    q = (stream.select("doc_id", "text").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(out_path).drop("batch")
 
 
 def stream_metrics(spark: SparkSession, src_dir: str, out_path: str, checkpoint: str,

@@ -56,3 +56,32 @@ def test_pairs_of_a_batch_are_counted_where_its_samples_lie(spark):
         f = lambda t: sum(n * log(n) for n in t.values())
         assert r["n_pairs"] == P and abs(r["bigram_nll"] - (f(ctx) - f(pairs)) / P) < 1e-9 and abs(r["unigram_nll"] - (P * log(P) - f(nxt)) / P) < 1e-9
     assert out.count() == 9
+
+
+def test_lots_of_words_are_bounded_by_their_symbols():
+    import pandas as pd
+    from corpusmill.operators import subword
+    sizes = [[3, 1, 9, 2], [40], [], [5, 5, 1, 1, 1]]
+    batches = [pd.DataFrame({"syms": [" ".join(["61"] * k) for k in own], "n": range(len(own))}) for own in sizes]
+    lots = [(pdf["syms"].str.count(" ") + 1).tolist() for pdf in subword._lots(iter(batches), most=10)]
+    assert [k for lot in lots for k in lot] == [k for own in sizes for k in own]
+    assert all(sum(lot) <= 10 or len(lot) == 1 for lot in lots) and len(lots) < 9
+    assert subword.Words([("61 62 61", 2), ("", 1), ("63", 4)]).lines() == ["61 62 61", "63"]
+
+
+def test_lists_for_values_become_one_list(spark):
+    words = spark.createDataFrame([(1, ["a", "b", "a", "?"]), (2, []), (3, None), (4, ["b"]), (4, ["c", "a"]), (None, ["a"])], "doc_id bigint, words array<string>")
+    dim = spark.createDataFrame([("a", 3, [1, 2]), ("b", 2, []), ("c", 1, [7])], "word string, n bigint, sub array<bigint>")
+    few, blocks = (vocab.relabel(words, "doc_id", "words", dim, "word", "sub", few=n, flat=True) for n in (10**6, 0))
+    assert few.schema == blocks.schema and rows_of(few) == rows_of(blocks)
+    assert {r["doc_id"]: r["sub"] for r in blocks.where("doc_id = 1 OR doc_id = 2").collect()} == {1: [1, 2, 1, 2], 2: []}
+
+
+def test_a_micro_batch_beside_a_large_vocabulary_is_looked_up_by_block(spark):
+    from corpusmill.streaming import ingest
+    docs = spark.createDataFrame(ROWS + [(60, None, None), (61, "w1", "s"), (61, "w1", "s")], "doc_id bigint, text string, source string").repartition(3)
+    v = materialize(vocab.build_vocab(doc_tokens(docs)).where("word <> 'w3'"), "vocab")
+    a, b = (ingest.tokenize_batch(docs, v, 99, mode, **limits) for mode, limits in (("line", {}), ("line", {"max_rows": 0})))
+    assert a.schema.simpleString() == b.schema.simpleString() and rows_of(a) == rows_of(b) and a.where("id = 99").count() > 5
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "split" not in plan
