@@ -8,23 +8,35 @@ Spark-scale counterpart here: counts of (context, next) pairs over the stream, o
 Pairs come from the document form of the stream: pairs inside a document are an
 ``arrays_zip`` of two slices (narrow), the pair across each document border joins the
 slim (last id, end position) of one document to the (first id, start) of the next on
-position equality. Counting is one partial-aggregated ``groupBy``: hot pairs cost one
-row per task before the shuffle.
+position equality.
+
+A model is counted in tasks of bounded size, however long the stream is: documents are counted where they lie in lots of about
+``LOT`` positions, in Arrow, and the lots' counts meet in tasks of about ``TASK_PAIRS`` pairs, dealt by context. A context with
+many pairs is dealt over several tasks by its next tokens; the total of any other lies in its task, so no join by context follows.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
-
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.plans.joins import lookup_join, restrict_to, spread_join
+from corpusmill.plans.joins import restrict_to, spread_join
 
 NO_CTX = -1
-#: Pairs of a task that counts them by batch.
-TASK_PAIRS = 1_000_000
+#: Pairs of a task that counts them, and positions that are counted at once where they lie.
+TASK_PAIRS, LOT = 1_000_000, 2_000_000
+#: A context with more than this part of a task's pairs is dealt over several tasks.
+LARGE = 1 / 16
 
 
 def stream_pairs(stream_docs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -38,10 +50,59 @@ def stream_pairs(stream_docs: DataFrame, by: list[str] | None = None) -> DataFra
         *by, F.explode(F.arrays_zip(F.slice("ids", 1, F.col("n").cast("int") - 1).alias("ctx"),
                                     F.slice("ids", 2, F.col("n").cast("int") - 1).alias("next"))).alias("z"))
     inner = inner.select(*by, F.col("z.ctx").alias("ctx"), F.col("z.next").alias("next"))
+    return inner.unionByName(border_pairs(d, by))
+
+
+def border_pairs(stream_docs: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, ctx, next)`` across the borders of documents, one row a border."""
+    d = stream_docs.where(F.col("n") > 0)
     ends = d.select((F.col("off") + F.col("n")).alias("pos"), F.get(F.col("ids"), F.col("n").cast("int") - 1).alias("ctx"))
     starts = d.select(F.col("off").alias("pos"), *by, F.get(F.col("ids"), 0).alias("next"))
-    border = ends.join(starts, "pos").select(*by, "ctx", "next")
-    return inner.unionByName(border)
+    return ends.join(starts, "pos").select(*by, "ctx", "next")
+
+
+def _lot_counts(by: list[str], keys: list[str], order: int, lot: int):
+    def counted(rows: pa.Table) -> pa.Table:
+        lists = rows["ids"].combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, ends = lists.flatten(), np.cumsum(sizes)
+        inner = np.ones(len(flat), bool)  # all but the last position of a document
+        inner[ends[sizes > 0] - 1] = False
+        at = np.flatnonzero(inner)
+        groups = {c: rows[c].combine_chunks().dictionary_encode() for c in by}
+        owner = np.repeat(np.arange(len(sizes)), sizes)[at] if by else None
+        found = {c: g.indices.take(pa.array(owner)) for c, g in groups.items()}
+        found["ctx"] = flat.take(pa.array(at)) if order > 1 else pa.array(np.full(len(at), NO_CTX))
+        if "next" in keys:
+            found["next"] = flat.take(pa.array(at + 1))
+        names = [*by, *keys]
+        t = pa.table({c: found[c] for c in names}).group_by(names, use_threads=False).aggregate([([], "count_all")])
+        return pa.table([groups[c].dictionary.take(t[c].combine_chunks()) if c in groups else t[c] for c in names] + [t["count_all"]], names=[*names, "n"])
+
+    def run(batches):
+        kept, size = [], 0
+        for b in batches:
+            kept.append(b)
+            size += len(b.column("ids").flatten())
+            if size >= lot:
+                yield from counted(pa.Table.from_batches(kept)).to_batches(max_chunksize=100_000)
+                kept, size = [], 0
+        if size:
+            yield from counted(pa.Table.from_batches(kept)).to_batches(max_chunksize=100_000)
+
+    return run
+
+
+def lot_counts(stream_docs: DataFrame, border: DataFrame, by: list[str], keys: list[str], order: int = 2, lot: int = LOT) -> DataFrame:
+    """``(*by, *keys, n)``: the pairs of the stream (``keys`` ctx, next) or their contexts (ctx), counted in lots; ``border`` has the pairs
+    across documents. Rows of one key in several lots are to be summed."""
+    kinds = {f.name: f.dataType.simpleString() for f in stream_docs.schema.fields}
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], *[f"`{c}` bigint" for c in keys], "n bigint"])
+    ids = stream_docs.where(F.col("n") > 1).select(*by, F.col("ids").cast("array<bigint>").alias("ids"))
+    inner = ids.mapInArrow(_lot_counts(by, keys, order, lot), schema)
+    if order == 1:
+        border = border.withColumn("ctx", F.lit(NO_CTX).cast("bigint"))
+    return inner.unionByName(border.select(*by, *keys, F.lit(1).cast("bigint").alias("n")))
 
 
 @dataclass
@@ -52,51 +113,59 @@ class NgramModel:
     alpha: float
     order: int
     by: list[str]
-    counts: DataFrame | None = None   # (*by, ctx, next, n): pairs without the lp join
+    counts: DataFrame | None = None   # (*by, ctx, next, n): pairs without lp
+    written: bool = False             # pairs and contexts are scans of written tables
 
     @property
     def outcomes(self) -> int:
         return self.vocab_size + 1
 
 
-def fit_ngram(stream_docs: DataFrame, vocab_size: int, order: int = 2, alpha: float = 0.1,
-              by: list[str] | None = None, persist: bool = False, **limits) -> NgramModel:
+def fit_ngram(stream_docs: DataFrame, vocab_size: int, order: int = 2, alpha: float = 0.1, by: list[str] | None = None,
+              persist: bool = False, task_pairs: int = TASK_PAIRS, lot: int = LOT, **limits) -> NgramModel:
     """``lp = ln((n + alpha) / (tot + alpha * (V + 1)))`` per (context, next).
 
-    With ``persist`` the pair counts are written once to the checkpoint folder and the
-    context totals and log-probabilities are derived from the written table."""
-    by = by or []
-    pairs = stream_pairs(stream_docs, by)
-    if order == 1:
-        pairs = pairs.withColumn("ctx", F.lit(NO_CTX).cast("bigint"))
-    elif order != 2:
+    With ``persist`` context totals and pairs are written once to the checkpoint folder. ``limits`` of broadcasts change nothing
+    here: only the large contexts are broadcast, fewer than ``1 / LARGE`` a task."""
+    if order not in (1, 2):
         raise ValueError("order must be 1 or 2")
-    counts = pairs.groupBy(*by, "ctx", "next").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    from corpusmill.plans.lineage import materialize
+    by = by or []
+    keys = [*by, "ctx"]
+    total = stream_docs.agg(F.sum("n")).first()[0] or 0
+    parts = max(stream_docs.sparkSession.sparkContext.defaultParallelism, -(-total // task_pairs))
+    border = border_pairs(stream_docs, by)
     if persist:
-        from corpusmill.plans.lineage import materialize
-        counts = materialize(counts, "ngram-counts")
-    contexts = counts.groupBy(*by, "ctx").agg(F.sum("n").cast("bigint").alias("tot"))
+        border = materialize(border, "border-pairs")
+    contexts = lot_counts(stream_docs, border, by, ["ctx"], order, lot).repartition(parts, *keys) \
+        .groupBy(*keys).agg(F.sum("n").cast("bigint").alias("tot"))
     if persist:
         contexts = materialize(contexts, "ngram-contexts")
-    V1 = float(vocab_size + 1)
-    if by:
-        # a context of a group may have a large part of all its pairs
-        j = spread_join(counts, contexts, [*by, "ctx"], **limits)
-    elif order == 2:
-        j = lookup_join(counts, contexts, "ctx", weight="tot")
-    else:  # a single context
-        one = contexts.first()
-        j = counts.withColumn("tot", F.lit(one["tot"] if one else 0).cast("bigint"))
-    lp = F.log((F.col("n") + F.lit(float(alpha))) / (F.col("tot") + F.lit(float(alpha) * V1)))
-    model = j.select(*by, "ctx", "next", "n", lp.alias("lp"))
-    return NgramModel(model, contexts, vocab_size, alpha, order, by, counts)
+    most = max(1, int(total / parts * LARGE))
+    large = contexts.where(F.col("tot") > most).select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("tot").alias("_tot"))
+    pairs = lot_counts(stream_docs, border, by, ["ctx", "next"], order, lot)
+    dealt = pairs.join(F.broadcast(large), reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]), "left")
+    salt = F.when(F.col("_tot").isNotNull(), F.pmod(F.xxhash64("next"), F.ceil(F.col("_tot") / F.lit(most)))).otherwise(F.lit(0).cast("bigint"))
+    n = dealt.select(*keys, "next", "n", "_tot", salt.alias("_salt")).repartition(parts, *keys, "_salt") \
+        .groupBy(*keys, "_salt", "next").agg(F.sum("n").cast("bigint").alias("n"), F.max("_tot").alias("_tot"))
+    tot = F.coalesce(F.col("_tot"), F.sum("n").over(Window.partitionBy(*keys, "_salt")))
+    lp = F.log((F.col("n") + F.lit(float(alpha))) / (tot + F.lit(float(alpha) * float(vocab_size + 1))))
+    model = n.select(*keys, "next", "n", lp.alias("lp"))
+    if persist:
+        model = materialize(model, "ngram-pairs")
+    counts = model.select(*keys, "next", "n")
+    for c in by:  # a row without a group is of no group's model
+        model = model.where(F.col(c).isNotNull())
+    return NgramModel(model, contexts, vocab_size, alpha, order, by, counts, persist)
 
 
 def persist_model(model: NgramModel) -> NgramModel:
-    """Write the scored pair table once (contexts and counts are expected written already)."""
+    """Write the scored pair table once, unless ``fit_ngram`` did (contexts and counts are expected written already)."""
+    if model.written:
+        return model
     from corpusmill.plans.lineage import materialize
     pairs = materialize(model.pairs, "ngram-pairs")
-    return NgramModel(pairs, model.contexts, model.vocab_size, model.alpha, model.order, model.by, model.counts)
+    return NgramModel(pairs, model.contexts, model.vocab_size, model.alpha, model.order, model.by, model.counts, True)
 
 
 def _fallback_lp(model: NgramModel, tot) -> F.Column:
@@ -199,7 +268,10 @@ def top_successors(model: NgramModel, k: int) -> DataFrame:
     """``(ctx, next, lp, r)``: the ``k`` most likely observed successors of every context
     (ties: smaller id). ``row_number() <= k`` lets Spark insert a partial group limit
     before the shuffle, so a hot context ships at most ``k`` rows per task."""
-    from pyspark.sql import Window
     w = Window.partitionBy("ctx").orderBy(F.col("n").desc(), F.col("next").asc())
     return model.pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k) \
         .select("ctx", "next", "lp", "r")
+
+
+# Python workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

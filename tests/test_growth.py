@@ -1,4 +1,7 @@
 """Steps whose work must follow the input: lookups by a large table, windows as bytes, beams of many prompts."""
+import math
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import split_words
@@ -77,3 +80,33 @@ def test_prompts_with_one_last_token_are_completed_once(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0]) > 201
     assert max(written) <= 2 * 3
     assert len(written) == 2 + 12  # beside a table that is not broadcast the plan of a step does not hold that of the step before
+
+
+def test_models_are_counted_in_tasks_of_bounded_size(spark):
+    # one word is half of all tokens; empty texts, texts of one word and a null group are among them
+    texts = ["", "the", "odd"] + [" ".join("the" if (k * 7 + j) % 2 else f"w{(k * j) % 19}" for j in range(40)) for k in range(60)]
+    docs = docs_df(spark, texts).withColumn("source", F.when(F.col("doc_id") % 9 != 0, F.concat(F.lit("s"), F.col("doc_id") % 3)))
+    c = stream.prepare_corpus(docs, "doc", keep=("source",))
+    rows = c.docs.orderBy("off").collect()
+    flat = [(r["source"], i) for r in rows for i in r["ids"]]
+    for order, by in ((1, None), (2, ["source"])):
+        want = Counter(((g,) if by else ()) + (a if order == 2 else ngram.NO_CTX, b) for (_, a), (g, b) in zip(flat[:-1], flat[1:]))
+        tot = Counter()
+        for k, n in want.items():
+            tot[k[:-1]] += n
+        m = ngram.fit_ngram(c.docs, c.vocab_size, order, 0.5, by, persist=True, task_pairs=100, lot=150)
+        assert {tuple(r)[:-1]: r["n"] for r in m.counts.collect()} == want and {tuple(r)[:-1]: r["tot"] for r in m.contexts.collect()} == tot
+        assert m.counts.count() == len(want) and m.contexts.count() == len(tot)
+        lps = {tuple(r)[:-2]: r["lp"] for r in m.pairs.collect()}
+        assert set(lps) == {k for k in want if k[0] is not None}
+        assert all(abs(lp - math.log((want[k] + 0.5) / (tot[k[:-1]] + 0.5 * (c.vocab_size + 1)))) < 1e-12 for k, lp in lps.items())
+        # tasks follow the input, and none has a large context to itself; nothing is joined by context
+        tasks = -(-c.total // 100)
+        parts = [r["count"] for r in m.counts.groupBy(F.input_file_name()).count().collect()]
+        assert tasks > 20 and max(parts) < len(want) / 3 and len(parts) > min(tasks, len(want)) / 3
+        assert "Join" not in m.pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert ngram.persist_model(m) is m
+    plain = ngram.fit_ngram(c.docs, c.vocab_size, order, 0.5, by)  # no written tables
+    assert rows_of(ngram.persist_model(plain).pairs) == rows_of(m.pairs)
+    none = ngram.fit_ngram(c.docs.limit(0), 3, persist=True)
+    assert none.pairs.count() == none.contexts.count() == 0
