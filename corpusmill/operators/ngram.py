@@ -114,7 +114,7 @@ class NgramModel:
     order: int
     by: list[str]
     counts: DataFrame | None = None   # (*by, ctx, next, n): pairs without lp
-    written: bool = False             # pairs and contexts are scans of written tables
+    written: bool = False             # pairs are a scan of a written table
 
     @property
     def outcomes(self) -> int:
@@ -125,7 +125,7 @@ def fit_ngram(stream_docs: DataFrame, vocab_size: int, order: int = 2, alpha: fl
               persist: bool = False, task_pairs: int = TASK_PAIRS, lot: int = LOT, **limits) -> NgramModel:
     """``lp = ln((n + alpha) / (tot + alpha * (V + 1)))`` per (context, next).
 
-    With ``persist`` context totals and pairs are written once to the checkpoint folder. ``limits`` of broadcasts change nothing
+    With ``persist`` context totals and pairs (by group: the pairs' counts) are written once to the checkpoint folder. ``limits`` of broadcasts change nothing
     here: only the large contexts are broadcast, fewer than ``1 / LARGE`` a task."""
     if order not in (1, 2):
         raise ValueError("order must be 1 or 2")
@@ -144,19 +144,27 @@ def fit_ngram(stream_docs: DataFrame, vocab_size: int, order: int = 2, alpha: fl
     most = max(1, int(total / parts * LARGE))
     large = contexts.where(F.col("tot") > most).select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("tot").alias("_tot"))
     pairs = lot_counts(stream_docs, border, by, ["ctx", "next"], order, lot)
-    dealt = pairs.join(F.broadcast(large), reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]), "left")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
     salt = F.when(F.col("_tot").isNotNull(), F.pmod(F.xxhash64("next"), F.ceil(F.col("_tot") / F.lit(most)))).otherwise(F.lit(0).cast("bigint"))
-    n = dealt.select(*keys, "next", "n", "_tot", salt.alias("_salt")).repartition(parts, *keys, "_salt") \
-        .groupBy(*keys, "_salt", "next").agg(F.sum("n").cast("bigint").alias("n"), F.max("_tot").alias("_tot"))
-    tot = F.coalesce(F.col("_tot"), F.sum("n").over(Window.partitionBy(*keys, "_salt")))
-    lp = F.log((F.col("n") + F.lit(float(alpha))) / (tot + F.lit(float(alpha) * float(vocab_size + 1))))
-    model = n.select(*keys, "next", "n", lp.alias("lp"))
-    if persist:
-        model = materialize(model, "ngram-pairs")
-    counts = model.select(*keys, "next", "n")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(large), same, "left").select(*keys, "next", "n", "_tot", salt.alias("_salt")).repartition(parts, *keys, "_salt")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        tot = F.coalesce(F.col("_tot"), F.sum("n").over(Window.partitionBy(*keys, "_salt")))
+        lp = F.log((F.col("n") + F.lit(float(alpha))) / (tot + F.lit(float(alpha) * float(vocab_size + 1))))
+        return rows.select(*keys, "next", "n", lp.alias("lp"))
+
+    summed = dealt(pairs).groupBy(*keys, "_salt", "next").agg(F.sum("n").cast("bigint").alias("n"), F.max("_tot").alias("_tot"))
+    if persist and by:  # models by group are scored by their counts: lp is there for who asks for it
+        counts = materialize(summed.select(*keys, "next", "n"), "ngram-counts")
+        model = scored(dealt(counts))
+    else:
+        model = materialize(scored(summed), "ngram-pairs") if persist else scored(summed)
+        counts = model.select(*keys, "next", "n")
     for c in by:  # a row without a group is of no group's model
         model = model.where(F.col(c).isNotNull())
-    return NgramModel(model, contexts, vocab_size, alpha, order, by, counts, persist)
+    return NgramModel(model, contexts, vocab_size, alpha, order, by, counts, persist and not by)
 
 
 def persist_model(model: NgramModel) -> NgramModel:
