@@ -2,21 +2,28 @@
 
 A tolerant scan turns a page into blocks with a zone: inside an ``article`` element, inside
 ``main``, or elsewhere; menus, headers, footers, sidebars, forms, scripts, styles, notices,
-adverts and reader comments are marked by their elements and class names. A page's text is
-its article blocks; what an article holds is never dropped for being repeated elsewhere, as
-copies and common sentences are content too.
-
-A page without an article (or main) element has no such guide. For these, the token streams
-of a host's pages are joined and sorted as a suffix array; a run of ``RUN`` tokens (block ends
-count as one) found on two distinct pages is boilerplate, as is everything such runs cover
-(together they make up every longer repeated substring). Pages of a host with equal blocks that
-may be text are copies and count as one page here, so copies do not cover each other. Blocks covered by half or more go;
-unique runs stay. Streams of pages with an article enter with the blocks outside it.
-
-A host's pages are sorted in blocks of ``PAGES`` pages, each giving one row per distinct run
-(its smallest and largest page); the rows of all blocks meet in a partial aggregate by host
-and run. So a host with a third of all pages is many tasks, and a run is found even if each
-block holds it once. Article texts are never shuffled.
+adverts and reader comments are marked by their elements and class names.
+
+The token streams of a host's pages are joined and sorted as a suffix array, and a page loses
+the blocks that repeated runs of ``RUN`` tokens (block ends count as one) cover by half or more;
+such runs together make up every longer repeated substring. Which runs count depends on what the
+page gives as its text.
+
+* A page with an article (or main) element gives the blocks in it. A sentence that other articles
+  hold too is content, so a run counts if it stands in ``FEW`` and in a ``SHARE`` of the host's
+  distinct articles: a notice without a mark that the site puts into its articles. An article
+  that would lose half of its words or more is a near copy of others and stays whole.
+* Other pages have no such guide: a run on two distinct pages counts. Pages of a host with equal
+  blocks that may be text are copies and count as one page here, so copies do not cover each
+  other. Streams of pages with an article enter here with the blocks outside it.
+
+A host's pages are sorted in blocks of ``PAGES`` pages. For pages without an article each gives one
+row per distinct run (its smallest and largest page); the rows of all blocks meet in a partial
+aggregate by host and run, so a run is found even if each block holds it once. Articles are cut
+into blocks of at most ``CHARS`` code points or so too. A run in a share of all articles is in that
+share of those of one block at least, so a block gives only such runs; hosts of several blocks
+then count these runs in all of them. So a host with a third of all pages is many tasks. Article
+texts are shuffled packed, copies once a task, and once more for hosts that are counted again.
 
 Edge cases: null html is empty; a page without text gives an empty string; unclosed elements,
 cut tags, comments and references are read as far as they go. Rows with the same page_id,
@@ -28,6 +35,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -36,9 +44,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import materialize, ship, table
+from corpusmill.plans.joins import lookup_join
 
-RUN, PAGES = 6, 1000
+RUN, PAGES, CHARS = 6, 1000, 8_000_000
 COVERED = 0.5
+FEW, SHARE = 5, 0.5
 
 # Element names of the HTML standard by their use here.
 RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
@@ -138,8 +148,8 @@ def _marked(attributes: str) -> bool:
 
 
 def split_page(page: str | None) -> tuple[str | None, list[str], list[str]]:
-    """``(text, candidates, stream)``: the text of a page with an article (or main) element,
-    else null and the blocks that may be its text; the blocks its host compares."""
+    """``(text, candidates, stream)``: the article (or main) blocks of a page that has them, one a line,
+    else null and the blocks that may be its text; the blocks outside an article that its host compares."""
     blocks = blocks_of(page)
     for zone in (ARTICLE, MAIN):
         own = [t for z, t in blocks if z == zone]
@@ -218,30 +228,120 @@ def _page_runs(batches):
                                 "run": [_run_hash(tokens, k, RUN) for k in range(n)]})
 
 
+def _counted_runs(pdf: pd.DataFrame, wanted: np.ndarray | None) -> pd.DataFrame:
+    """One row per run that stands in a ``SHARE`` of a block's articles (in ``FEW`` too if the host has no other block), or
+    per wanted run, with the number of articles that hold it."""
+    pdf = pdf.drop_duplicates("same")  # copies of an article are one
+    word: dict[str, str] = {}
+    streams = [[word.setdefault(t, t) for t in _tokens(zlib.decompress(p).decode().split("\n"))] for p in pdf["packed"]]
+    order, rank, owner = suffix_runs(streams)
+    if not len(order):
+        return pd.DataFrame(columns=["host", "run", "pages", "blocks"], dtype=object)
+    head = np.concatenate(([True], rank[1:] != rank[:-1]))
+    first = np.flatnonzero(head)
+    # equal runs lie in the order of their streams
+    pages = np.add.reduceat((head | np.concatenate(([True], owner[1:] != owner[:-1]))).astype(np.int64), first)
+    if wanted is None:
+        few = pages >= max(SHARE * len(pdf), FEW if pdf["blocks"].iloc[0] == 1 else 1)
+        first, pages = first[few], pages[few]
+    flat = [t for s in streams for t in [*s, ""]]
+    run = np.array([_run_hash(flat, int(k), RUN) for k in order[first]], dtype=np.int64)
+    if wanted is not None:
+        run, pages = run[(held := np.isin(run, wanted))], pages[held]
+    return pd.DataFrame({"host": pdf["host"].iloc[0], "run": run, "pages": pages, "blocks": pdf["blocks"].iloc[0]})
+
+
+def _article_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _counted_runs(pdf, None)
+
+
+def _wanted_runs(pdf: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    return _counted_runs(pdf, wanted["run"].to_numpy(np.int64))
+
+
+def _packed(batches):
+    """The articles of a task, each distinct one of a host once."""
+    seen: set[int] = set()
+    for b in batches:
+        rows = [(h, k, zlib.compress(t.encode())) for h, k, t in zip(b["host"], b["same"], b["text"])
+                if not (k in seen or seen.add(k))]
+        yield pd.DataFrame(rows, columns=["host", "same", "packed"])
+
+
+def _covered_blocks(blocks: list[str], starts) -> list[bool]:
+    """Whether the runs that start at these tokens cover half of a block or more."""
+    mask = np.zeros(sum(len(b.split()) + 1 for b in blocks) + 1, bool)
+    for k in starts:
+        mask[k:k + RUN] = True
+    at, out = 1, []
+    for b in blocks:
+        n = len(b.split())
+        out.append(bool(mask[at:at + n].mean() >= COVERED))
+        at += n + 1
+    return out
+
+
 def _unique_blocks(candidates: pd.Series, covered: pd.Series) -> pd.Series:
+    return pd.Series(["\n".join(b for b, c in zip(blocks, _covered_blocks(blocks, () if starts is None else starts)) if not c)
+                      for blocks, starts in zip(candidates, covered)], dtype=object)
+
+
+def _own_blocks(texts: pd.Series, runs: pd.Series) -> pd.Series:
+    """Articles without the blocks that runs of their host cover; one that would lose half of its words stays whole."""
     out = []
-    for blocks, starts in zip(candidates, covered):
-        tokens = _tokens(blocks)
-        mask = np.zeros(len(tokens), bool)
-        for k in () if starts is None else starts:
-            mask[k:k + RUN] = True
-        at, kept = 1, []
-        for b in blocks:
-            n = len(b.split())
-            if mask[at:at + n].mean() < COVERED:
-                kept.append(b)
-            at += n + 1
-        out.append("\n".join(kept))
+    for text, frame in zip(texts, runs):
+        if text and frame is not None:
+            blocks = text.split("\n")
+            tokens, frame = _tokens(blocks), set(frame.tolist())
+            covered = _covered_blocks(blocks, [k for k in range(len(tokens) - RUN + 1) if _run_hash(tokens, k, RUN) in frame])
+            words = np.array([len(b.split()) for b in blocks])
+            if 2 * words[covered].sum() < words.sum():
+                text = "\n".join(b for b, c in zip(blocks, covered) if not c)
+        out.append(text)
     return pd.Series(out, dtype=object)
 
 
+def article_frames(articles: DataFrame, pages_per_block: int = PAGES) -> DataFrame:
+    """``(host, runs, n)``: the runs that stand in ``FEW`` and in a ``SHARE`` of the ``n`` distinct texts of a host in
+    ``articles (host, text)``, a written table; hosts without such runs are left out."""
+    articles = articles.select("host", F.xxhash64("host", "text").alias("same"), "text")
+    size = articles.select("host", "same", F.length("text").alias("size")).distinct().groupBy("host") \
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(pages_per_block)), F.ceil(F.col("size") / F.lit(CHARS)))
+    size = materialize(size.select("host", "n", blocks.cast("bigint").alias("blocks")), "html-hosts")
+    large = size.where("blocks > 1").select("host", "blocks")  # a row per PAGES pages or CHARS code points at most
+
+    def dealt(part: DataFrame) -> DataFrame:
+        split = part.mapInPandas(_packed, "host string, same bigint, packed binary").join(F.broadcast(large), "host", "left") \
+            .withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
+        return split.withColumn("block", F.pmod("same", "blocks"))
+
+    schema = "host string, run bigint, pages bigint, blocks bigint"
+    found = materialize(dealt(articles).groupBy("host", "block").applyInPandas(_article_runs, schema), "html-runs")
+    frames = found.where("blocks = 1").select("host", "run")
+    many = found.where("blocks > 1").select("host", "run", "blocks").distinct()
+    if not many.isEmpty():  # what a share of one block holds is counted in all
+        wanted = many.select("host", "run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+        again = dealt(articles.join(F.broadcast(many.select("host").distinct()), "host", "left_semi"))
+        counted = again.groupBy("host", "block").cogroup(wanted.groupBy("host", "block")).applyInPandas(_wanted_runs, schema)
+        total = counted.groupBy("host", "run").agg(F.sum("pages").alias("pages"))
+        enough = total.join(F.broadcast(size.where("blocks > 1")), "host") \
+            .where((F.col("pages") >= F.lit(SHARE) * F.col("n")) & (F.col("pages") >= FEW))
+        frames = frames.unionByName(enough.select("host", "run"))
+    frames = frames.groupBy("host").agg(F.collect_set("run").alias("runs"))
+    return materialize(frames.join(size.select("host", "n"), "host"), "html-frames")
+
+
 def main_text(pages: DataFrame, pages_per_block: int = PAGES) -> DataFrame:
     """``(page_id, url, text)`` for every row of ``pages (page_id, url, html)``."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     parts = materialize(pages.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"),
-                                     parts_of().alias("m")).select("page_id", "url", "host", "page", "m.*"), "html-parts")
+                                     parts_of().alias("m")).select("page_id", "url", "host", "page", "m.*"), "html-parts", codec="zstd")
     open_ = parts.where("text IS NULL")
-    done = parts.where("text IS NOT NULL").select("page_id", "url", "text")
+    frames = article_frames(parts.where("text <> ''").select("host", "text"), pages_per_block)
+    own = F.pandas_udf(_own_blocks, "string")
+    done = lookup_join(parts.where("text IS NOT NULL").select("page_id", "url", "host", "text"), frames, "host", "left", "n") \
+        .select("page_id", "url", own("text", "runs").alias("text"))
     # a host needs its runs only if one of its pages has no article
     need = open_.select("host").distinct()
     # copies of a page without an article are one page in the runs; they stay spread over the blocks

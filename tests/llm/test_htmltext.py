@@ -94,3 +94,70 @@ def test_repeated_rows_of_a_page_are_one_page(spark):
     out = ht.main_text(pages, 10)
     assert out.count() == 3020
     assert {r.text for r in out.where("page_id = 7 AND url = 'http://h/a'").collect()} == {"own words of one page that stays whole here"}
+
+
+def test_articles_lose_the_runs_of_their_host(spark):
+    notice = "<p>Read our other stories and tell your friends</p>"
+    said = "<p>the match was called off because of rain</p>"  # a sentence of some articles, no notice
+
+    def words(k, n=12):
+        return " ".join(f"w{k}x{i}" for i in range(n))
+
+    def article(k, more=""):
+        return f"<nav>Home</nav><article><h1>Title {k}</h1><p>{words(k)}</p>{more}<p>{words(k + 1000)}</p></article>"
+
+    def text(k, more=""):
+        return "\n".join(x for x in (f"Title {k}", words(k), more, words(k + 1000)) if x)
+
+    lines = "the match was called off because of rain"
+    read = "Read our other stories and tell your friends"
+    rows = [(k, f"http://h.example/{k}", article(k, notice if k < 7 else said if k < 10 else "")) for k in range(12)]
+    want = [(k, text(k, lines if 7 <= k < 10 else "")) for k in range(12)]
+    # copies of one article are one: two of six distinct articles hold the notice
+    rows += [(100 + k, f"http://copies.example/{k}", article(100 + max(0, k - 9), notice if k < 11 else "")) for k in range(15)]
+    want += [(100 + k, text(100 + max(0, k - 9), read if k < 11 else "")) for k in range(15)]
+    # too few articles to tell; the same notice on another host
+    rows += [(200 + k, f"http://few.example/{k}", article(200 + k, notice)) for k in range(4)]
+    want += [(200 + k, text(200 + k, read)) for k in range(4)]
+    # near copies: the article is what they share
+    rows += [(300 + k, f"http://near.example/{k}", f"<main><p>{words(300, 40)}</p><p>{words(301 + k, 8)}</p></main>") for k in range(9)]
+    want += [(300 + k, f"{words(300, 40)}\n{words(301 + k, 8)}") for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for size in (ht.PAGES, 5, 2):
+        assert sorted((r.page_id, r.text) for r in ht.main_text(df, size).collect()) == want
+
+
+def test_article_frames_against_brute_force(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = []
+    for host, pages in (("a", 23), ("b", 9), ("c", 4), ("", 7)):
+        common = [" ".join(rnd.choice("pqrst") for _ in range(rnd.randint(6, 9))) for _ in range(4)]
+        for _ in range(pages):
+            own = [" ".join(rnd.choice("uvwxyz") for _ in range(9)) for _ in range(2)]
+            blocks = own + [c for k, c in enumerate(common) if rnd.random() < (0.3, 0.5, 0.6, 0.8)[k]]
+            rnd.shuffle(blocks)
+            rows += [(host, "\n".join(blocks))] * rnd.choice((1, 1, 3))
+    want = {}
+    for host in {h for h, _ in rows}:
+        texts = {t for h, t in rows if h == host}
+        held = defaultdict(set)
+        for t in texts:
+            tokens = ht._tokens(t.split("\n"))
+            for k in range(len(tokens) - ht.RUN + 1):
+                held[ht._run_hash(tokens, k, ht.RUN)].add(t)
+        runs = {r for r, p in held.items() if len(p) >= ht.FEW and len(p) >= ht.SHARE * len(texts)}
+        if runs:
+            want[host] = (runs, len(texts))
+    assert set(want) >= {"a", "b"} and "c" not in want
+    spark.createDataFrame(rows, "host string, text string").repartition(3).write.parquet(f"{tmp_path}/articles")
+    articles = spark.read.parquet(f"{tmp_path}/articles")
+    for size in (ht.PAGES, 8, 2, 1):
+        assert {r.host: (set(r.runs), r.n) for r in ht.article_frames(articles, size).collect()} == want
+    assert ht.article_frames(articles.limit(0)).count() == 0
+
+
+def test_hosts_of_short_pages(spark):
+    pages = [(1, "http://a/", "plain"), (2, "http://b/", "<article>x</article>"), (3, "http://c/", "<article>y</article>"), (4, "http://c/", "z")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    for size in (ht.PAGES, 1):
+        assert sorted((r.page_id, r.text) for r in ht.main_text(df, size).collect()) == [(1, "plain"), (2, "x"), (3, "y"), (4, "z")]
