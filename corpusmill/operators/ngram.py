@@ -129,7 +129,7 @@ def fit_ngram(stream_docs: DataFrame, vocab_size: int, order: int = 2, alpha: fl
     here: only the large contexts are broadcast, fewer than ``1 / LARGE`` a task."""
     if order not in (1, 2):
         raise ValueError("order must be 1 or 2")
-    from corpusmill.plans.lineage import materialize
+    from corpusmill.plans.lineage import PACKED, materialize
     by = by or []
     keys = [*by, "ctx"]
     total = stream_docs.agg(F.sum("n")).first()[0] or 0
@@ -140,7 +140,7 @@ def fit_ngram(stream_docs: DataFrame, vocab_size: int, order: int = 2, alpha: fl
     contexts = lot_counts(stream_docs, border, by, ["ctx"], order, lot).repartition(parts, *keys) \
         .groupBy(*keys).agg(F.sum("n").cast("bigint").alias("tot"))
     if persist:
-        contexts = materialize(contexts, "ngram-contexts")
+        contexts = materialize(contexts, "ngram-contexts", codec=PACKED)
     most = max(1, int(total / parts * LARGE))
     large = contexts.where(F.col("tot") > most).select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("tot").alias("_tot"))
     pairs = lot_counts(stream_docs, border, by, ["ctx", "next"], order, lot)
@@ -157,10 +157,10 @@ def fit_ngram(stream_docs: DataFrame, vocab_size: int, order: int = 2, alpha: fl
 
     summed = dealt(pairs).groupBy(*keys, "_salt", "next").agg(F.sum("n").cast("bigint").alias("n"), F.max("_tot").alias("_tot"))
     if persist and by:  # models by group are scored by their counts: lp is there for who asks for it
-        counts = materialize(summed.select(*keys, "next", "n"), "ngram-counts")
+        counts = materialize(summed.select(*keys, "next", "n"), "ngram-counts", codec=PACKED)
         model = scored(dealt(counts))
     else:
-        model = materialize(scored(summed), "ngram-pairs") if persist else scored(summed)
+        model = materialize(scored(summed), "ngram-pairs", codec=PACKED) if persist else scored(summed)
         counts = model.select(*keys, "next", "n")
     for c in by:  # a row without a group is of no group's model
         model = model.where(F.col(c).isNotNull())

@@ -16,7 +16,7 @@ from corpusmill.functions.text import doc_mode_words, line_mode_words
 from corpusmill.operators.vocab import sketched_size, vocab_sketches
 from corpusmill.plans.dictionaries import code_blocks, coded_values
 from corpusmill.plans.joins import fits_broadcast
-from corpusmill.plans.lineage import materialize
+from corpusmill.plans.lineage import PACKED, discard, materialize, shuffles_dropped
 
 
 def document_stream(spark: SparkSession, src_dir: str, table: str = "documents",
@@ -32,19 +32,22 @@ def document_stream(spark: SparkSession, src_dir: str, table: str = "documents",
     return stream.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def tokenize_batch(batch: DataFrame, vocab: DataFrame, unk_id: int, mode: str = "doc", **limits) -> DataFrame:
+def tokenize_batch(batch: DataFrame, vocab: DataFrame, unk_id: int, mode: str = "doc", written: list | None = None, **limits) -> DataFrame:
     """Stateless tokenizing + encoding of a micro-batch against a static vocabulary ``(id, word, n)``.
 
     A vocabulary within the broadcast limits is broadcast. Above them the batch is written as numbers into lists of distinct
     words by block (``dictionaries.code_blocks``); the lists meet the vocabulary, so a word that a third of the tokens are
-    is one row a block, and no row per token is shuffled."""
+    is one row a block, and no row per token is shuffled. The written
+    batch is added to ``written``: the caller may delete it once the result is written."""
     words = doc_mode_words("text") if mode == "doc" else line_mode_words("text")
     if fits_broadcast(vocab, "word", **limits):
         t = batch.select("doc_id", F.posexplode(words).alias("k", "word"))
         found = F.coalesce(F.col("id"), F.lit(unk_id).cast("bigint")).alias("id")
         return t.join(F.broadcast(vocab.select("word", "id")), "word", "left").select("doc_id", F.col("k").cast("int").alias("k"), "word", found)
-    coded = materialize(code_blocks(batch.select("doc_id", words.alias("words")), "doc_id", "words", places=False), "batch-tokens")
-    texts = coded.where("_text").select("doc_id", "_block", "codes")
+    coded = materialize(code_blocks(batch.select("doc_id", words.alias("words")), "doc_id", "words", places=False), "batch-tokens", codec=PACKED)
+    if written is not None:
+        written.append(coded)
+    texts = coded.where("_text").select("doc_id", "n", "_block", "codes")
     both = coded_values(coded, texts, vocab, "word", "id", "ids", missing=int(unk_id), values="words")
     t = both.select("doc_id", F.posexplode(F.arrays_zip("words", "ids")).alias("k", "z"))
     return t.select("doc_id", F.col("k").cast("int").alias("k"), F.col("z.words").alias("word"), F.col("z.ids").alias("id"))
@@ -65,7 +68,11 @@ def stream_tokenize(spark: SparkSession, src_dir: str, vocab: DataFrame, unk_id:
     schema = StructType([stream.schema["doc_id"], *[StructField(*f) for f in (("k", IntegerType()), ("word", StringType()), ("id", LongType()))]])
 
     def write(batch: DataFrame, number: int) -> None:
-        tokenize_batch(batch, vocab, unk_id, mode, **limits).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        written: list[DataFrame] = []
+        out = tokenize_batch(batch, vocab, unk_id, mode, written, **limits)
+        with shuffles_dropped(spark):
+            out.write.mode("overwrite").option("compression", PACKED).parquet(f"{out_path}/batch={number}")
+        discard(*written)
 
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out_path}/batch=-1")  # readable without a batch
     q = (stream.select("doc_id", "text").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
