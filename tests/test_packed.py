@@ -3,10 +3,11 @@ import os
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from corpusmill.operators import stream, vocab
+from corpusmill.operators import pack, stream, vocab
 from corpusmill.operators.tokens import doc_tokens
-from corpusmill.plans import dictionaries
+from corpusmill.plans import chunks, dictionaries
 from corpusmill.plans.lineage import discard, materialize
 from corpusmill.session import scratch_folder
 from corpusmill.streaming import ingest
@@ -88,3 +89,24 @@ def test_steps_leave_no_shuffle_files_and_no_tables_that_are_used_up(spark, tmp_
     discard(docs)  # not a table of ours
     assert spark.read.parquet(f"{tmp_path}/documents.parquet").count() == 90
     assert rows_of(c.docs.select("doc_id", "n", "ids")) == rows_of(vocab.encode(doc_tokens(docs), c.vocab))
+
+
+def test_windows_shuffle_the_ends_of_long_rows_alone(spark):
+    rows, off = [], 0
+    for k in range(300):
+        ids = [(k * j) % 97 for j in range(1 + k * 7 % 30)]
+        rows.append((k, off, len(ids), ids))
+        off += len(ids)
+    docs = spark.createDataFrame(rows, "doc_id bigint, off bigint, n bigint, ids array<bigint>").coalesce(1)
+    long = chunks.runs(docs).collect()
+    assert len(long) == 1 and long[0]["n"] == off and long[0]["ids"] == [x for r in rows for x in r[3]]
+    flat = long[0]["ids"]
+    for df, most in ((docs, 100), (docs.repartition(7), 64), (docs.orderBy(F.col("off").desc()), 1000)):
+        got = chunks.runs(df, most).collect()
+        assert all(len(r["ids"]) == r["n"] <= most and flat[r["off"]:r["off"] + r["n"]] == r["ids"] for r in got)
+        assert sum(r["n"] for r in got) == off
+        w = {r["sample_id"]: (r["inputs"], r["target"]) for r in pack.pack_windows(df, 5, off, chunk=16).collect()}
+        assert w == {i: (flat[i:i + 5], flat[i + 1:i + 6]) for i in range(off - 5)}
+    pieces = chunks.border_chunks(chunks.runs(docs, 2000), 100, 5, (off - 6) // 100)
+    assert pieces.count() < off / 100 / 4
+    assert chunks.runs(docs.limit(0)).count() == 0
