@@ -5,8 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import docs_df
+from corpusmill.functions.text import split_words
 from corpusmill.operators import subword
 
 TEXTS = ["low lower lowest", "newer newest new", "wide wider", "low low new", ""]
@@ -152,3 +154,46 @@ def test_rank_table_and_no_end_marker_above_the_broadcast_limit(spark):
         got = subword.encode_subword(d, ranks, ids, eos, max_rows=0, hot_rows=2)
         assert {r["doc_id"]: (r["n"], list(r["ids"])) for r in got.collect()} == want
         assert want[4][1] == want[5][1] == ([] if eos is None else [eos])
+
+
+def test_many_words_are_encoded_together_as_one_by_one(monkeypatch):
+    import pyarrow as pa
+    rng = random.Random(3)
+    monkeypatch.setattr(subword, "LONG_WORD", 25)
+    for _ in range(60):
+        parts, pairs = ["a", "b", "c"], []
+        for _ in range(rng.randint(0, 12)):
+            pairs.append((rng.choice(parts), rng.choice(parts)))
+            parts.append("".join(pairs[-1]))
+        rng.shuffle(pairs)  # also tables in which a later merge has a lower rank
+        ranks = {p: r for r, p in enumerate(dict.fromkeys(pairs))}
+        ids = {s: i for i, s in enumerate(dict.fromkeys(parts)) if i != 1}
+        words = ["".join(rng.choices("abc\U0001f600é", k=rng.choice([0, 1, 2, 5, 20, 40]))) for _ in range(30)]
+        got = subword.Encoder(ranks, ids).lists(pa.array(words)).to_pylist()
+        assert got == [[ids.get(s, -1) for s in subword.bpe_encode_word(w, ranks)] for w in words]
+    assert subword.Encoder({}, {}).lists(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_documents_are_encoded_where_they_lie(spark, monkeypatch):
+    from corpusmill.operators import vocab
+    from corpusmill.plans import dictionaries
+    monkeypatch.setattr(dictionaries, "BLOCK_ROWS", 3)
+    texts = ["abc abd ab abc", "", "ab ab b", None, "c " * 40, "abc bcd cde def efg"] * 4
+    d = docs_df(spark, texts).repartition(2)
+    merges = subword.learn_merges(d, 6)
+    ids = subword.symbol_table(subword.alphabet(d), merges)
+    ranks = {p: r for r, p in enumerate(merges)}
+    out = subword.encode_subword(d, merges, ids, len(ids))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "explode" not in plan  # no word is shuffled or looked up
+    got = {r["doc_id"]: (r["n"], r["ids"]) for r in out.collect()}
+    for r in d.collect():
+        want = [ids[s] for w in (r["text"] or "").split() for s in subword.bpe_encode_word(w, ranks)] + [len(ids)]
+        assert got[r["doc_id"]] == (len(want), want)
+    # rows that share an id are merged, as of a lookup
+    twice = d.unionByName(d.where("doc_id IN (2, 5)")).unionByName(d.where("doc_id < 2").withColumn("doc_id", F.lit(None).cast("bigint")))
+    words = subword.encode_words(subword.word_counts(twice), merges, ids)
+    want = vocab.relabel(twice.select("doc_id", split_words("text").alias("words")), "doc_id", "words", words, "word", "sub", flat=True)
+    for encoded in (None, words):
+        got = subword.encode_subword(twice, merges, ids, None, encoded=encoded)
+        assert sorted(map(str, got.select("doc_id", "ids").collect())) == sorted(map(str, want.select("doc_id", F.col("sub").alias("ids")).collect()))
