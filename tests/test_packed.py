@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusmill.operators import pack, stream, vocab
+from corpusmill.operators import ngram, pack, stream, vocab
 from corpusmill.operators.tokens import doc_tokens
 from corpusmill.plans import chunks, dictionaries
 from corpusmill.plans.lineage import discard, materialize
@@ -110,3 +110,25 @@ def test_windows_shuffle_the_ends_of_long_rows_alone(spark):
     pieces = chunks.border_chunks(chunks.runs(docs, 2000), 100, 5, (off - 6) // 100)
     assert pieces.count() < off / 100 / 4
     assert chunks.runs(docs.limit(0)).count() == 0
+
+
+def test_rows_that_overlap_or_leave_gaps_keep_their_windows(spark):
+    rows = [(k, 20 * k, 20, [(k * j) % 17 for j in range(20)]) for k in range(30)]
+    twice = rows[:9] + [(9, 180, 40, list(range(40))), (9, 200, 40, list(range(40)))] + rows[11:]
+    for own, plain in ((rows, True), (twice, False), (rows[1:], False), (rows[:-1], False)):
+        docs = spark.createDataFrame(own, "doc_id bigint, off bigint, n bigint, ids array<bigint>").coalesce(2)
+        assert chunks.covered_once(docs, 600) is plain
+        every = spark.range(600).select(F.col("id").alias("sample_id"))
+        want = pack.pack_windows(docs, 5, 600, chunk=16, samples=every)
+        text = [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("inputs", "target")]
+        got = pack.pack_windows(docs, 5, 600, chunk=16, joined=True).select("sample_id", *[F.col(c).cast("string") for c in ("inputs", "target")])
+        whole = lambda df: rows_of(df.where("size(split(inputs, ' ')) = 5 AND size(split(target, ' ')) = 5"))
+        assert whole(got) == whole(want.select("sample_id", *text)) and len(whole(got)) > 500
+
+
+def test_models_by_group_are_written_packed(spark):
+    docs = docs_df(spark, [" ".join(f"w{(k * j) % 23}" for j in range(k % 40)) for k in range(60)]).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 3))
+    c = stream.prepare_corpus(docs, "line", keep=("source",))
+    m = ngram.fit_ngram(c.docs, c.vocab_size, by=["source"], persist=True)
+    for table in (c.docs, c.vocab, m.contexts, m.counts):
+        assert table.inputFiles() and all(f.endswith(".zstd.parquet") for f in table.inputFiles())
